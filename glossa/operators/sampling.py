@@ -150,7 +150,9 @@ def mixture_grid(samples: DataFrame, languages: Sequence[str], ratios: dict[str,
     capped at ``sample_size`` (A5). Returns (mixtures, manifest). A cell whose side is short
     is a ``failed`` manifest row and draws nothing; other cells are unaffected.
     """
+    from glossa.session import cut_lineage
     spark = samples.sparkSession
+    samples = cut_lineage(samples)  # bounded by sample_size per language; read by both sides
     counts = samples.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     # the grid itself is job parameters: languages x ratios, built on the driver
     grid = spark.createDataFrame(

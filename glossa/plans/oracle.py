@@ -271,7 +271,7 @@ types AS (
 ORACLE["pretoken_types"] = f"WITH {TYPES} SELECT * FROM types"
 
 
-def text_stats_cte(src: str = "ss", target: str = R.TARGET) -> str:
+def text_stats_cte(src: str = "ss", target: str = R.TARGET, name: str = "stats") -> str:
     conds = {"all": "true", "en": "label = 'en'", "target": f"label = {Q.q(target)}"}
     cols = []
     for n, c in conds.items():
@@ -279,10 +279,10 @@ def text_stats_cte(src: str = "ss", target: str = R.TARGET) -> str:
         cols += [f"count(*) FILTER (WHERE {c}) AS texts_{n}",
                  f"CAST(coalesce(sum(CASE WHEN {nb} THEN length(t) ELSE 0 END), 0) AS BIGINT) AS chars_{n}",
                  f"CAST(coalesce(sum(CASE WHEN {nb} THEN {Q.word_count('t')} ELSE 0 END), 0) AS BIGINT) AS words_{n}"]
-    return f"stats AS (SELECT {', '.join(cols)} FROM (SELECT {Q.strip('text')} AS t, label FROM {src} WHERE split = 'test'))"
+    return f"{name} AS (SELECT {', '.join(cols)} FROM (SELECT {Q.strip('text')} AS t, label FROM {src} WHERE split = 'test'))"
 
 
-def result_select(sums: str = "sums") -> str:
+def result_select(sums: str = "sums", stats: str = "stats") -> str:
     sl = {"all": "", "en": "_en", "target": "_target"}
     out, tpc = [], {}
     for n, suf in sl.items():
@@ -304,22 +304,22 @@ def result_select(sums: str = "sums") -> str:
             f"round({inv['en']} - {inv['target']}, 6) AS compression_penalty_char"]
     path = "'tokenizers/' || method || '/vocab_' || CAST(vocab_size AS VARCHAR) || '/tokenizer.json'"
     return (f"SELECT method, CAST(vocab_size AS INTEGER) AS vocab_size, {path} AS tokenizer_path, "
-            f"{', '.join(out)} FROM {sums}, stats")
+            f"{', '.join(out)} FROM {sums}, {stats}")
 
 
-def lexical_sums_cte(method: str, sizes, name: str) -> str:
+def lexical_sums_cte(method: str, sizes, name: str, types: str = "types", p: str = "") -> str:
+    m = method + p
     if method == "word":
-        units = "SELECT word AS unit, * FROM types"
+        units = f"SELECT word AS unit, * FROM {types}"
         inv = "SELECT unit, train_freq AS uf FROM units_{m} WHERE train_freq > 0"
     else:
-        units = "SELECT unnest(regexp_extract_all(word, '(?s).', 0)) AS unit, * FROM types"
+        units = f"SELECT unnest(regexp_extract_all(word, '(?s).', 0)) AS unit, * FROM {types}"
         inv = "SELECT unit, sum(train_freq) AS uf FROM units_{m} WHERE train_freq > 0 GROUP BY unit"
-    m = method
     parts = []
     for v in sizes:
         tl = f"CASE WHEN rk IS NOT NULL AND rk <= {v - 5} THEN length(unit) ELSE 5 END"
         parts.append(
-            f"SELECT '{m}' AS method, {v} AS vocab_size, "
+            f"SELECT '{method}' AS method, {v} AS vocab_size, "
             + ", ".join(f"CAST(sum({s}_freq) AS BIGINT) AS tokens_{s}, CAST(sum({s}_freq * {tl}) AS BIGINT) AS token_chars_{s}"
                         for s in ["test_all", "test_en", "test_target"])
             + f" FROM j_{m}")
@@ -337,3 +337,154 @@ ORACLE["compression_grid"] = f"""WITH {TYPES}, {text_stats_cte()},
 {lexical_sums_cte('char', R.GRID_SIZES, 'sc')},
 sums AS (SELECT * FROM sw UNION ALL SELECT * FROM sc)
 {result_select()}"""
+
+
+# ------------------------------------------------------------ F: n-gram LM
+_B = R.LM_BLOCK
+BLOCKS = f"""{SPLIT},
+toks AS (SELECT doc_id, pos, split, label, {Q.pretokens('text')} AS ids FROM ss WHERE len({Q.pretokens('text')}) >= 2),
+blk AS (
+  SELECT doc_id, pos, split, label, CAST(s // {_B} AS INTEGER) AS block_no, ids[s + 1 : s + {_B}] AS block
+  FROM toks, unnest(range(0, len(ids) - 1, {_B})) AS u(s)
+  WHERE len(ids[s + 1 : s + {_B}]) >= 2)"""
+
+ORACLE["lm_blocks"] = f"""WITH {BLOCKS}
+SELECT doc_id, pos, split, block_no, len(block) AS n_ids, array_to_string(block, ' ') AS block_text FROM blk"""
+
+ORACLE["ngram_lm_eval"] = f"""WITH {BLOCKS},
+grams AS (SELECT doc_id, pos, split, label, block_no, block[i] AS w, block[i - 1] AS c1
+          FROM blk, unnest(range(2, len(block) + 1)) AS u(i)),
+tr AS (SELECT * FROM grams WHERE split = 'train'),
+uni AS (SELECT w, count(*) AS c_uni FROM tr GROUP BY w),
+ng AS (SELECT c1, w, count(*) AS n1 FROM tr GROUP BY c1, w),
+cx AS (SELECT c1, sum(n1) AS cc, count(*) AS tc FROM ng GROUP BY c1),
+tot AS (SELECT count(*) AS n, count(DISTINCT w) + 1 AS v FROM tr),
+sc AS (
+  SELECT g.*, (coalesce(u.c_uni, 0) + 1.0) / (tot.n + tot.v) AS p0, ng.n1, cx.cc, cx.tc
+  FROM grams g LEFT JOIN uni u USING (w) LEFT JOIN ng USING (c1, w) LEFT JOIN cx USING (c1), tot),
+nl AS (
+  SELECT *, -ln(CASE WHEN cc > 0 THEN (greatest(coalesce(n1, 0) - 0.75, 0.0) + 0.75 * tc * p0) / cc ELSE p0 END) AS nll
+  FROM sc),
+agg AS (
+  SELECT avg(nll) FILTER (WHERE split = 'test') AS l_test, avg(nll) FILTER (WHERE split = 'train') AS l_train,
+         avg(nll) FILTER (WHERE split = 'test' AND label = 'en') AS l_en,
+         avg(nll) FILTER (WHERE split = 'test' AND label = {Q.q(R.TARGET)}) AS l_target,
+         count(DISTINCT (doc_id, pos, block_no)) FILTER (WHERE split = 'train') AS b_train,
+         count(DISTINCT (doc_id, pos, block_no)) FILTER (WHERE split = 'test') AS b_test,
+         count(DISTINCT (doc_id, pos, block_no)) FILTER (WHERE split = 'test' AND label = 'en') AS b_en,
+         count(DISTINCT (doc_id, pos, block_no)) FILTER (WHERE split = 'test' AND label = {Q.q(R.TARGET)}) AS b_target
+  FROM nl)
+SELECT round(exp(l_test), 6) AS ppl, round(l_test, 6) AS eval_loss, round(l_train, 6) AS train_loss,
+       round(exp(l_en), 6) AS ppl_en, round(l_en, 6) AS loss_en, CAST(b_en AS INTEGER) AS test_en_blocks,
+       round(exp(l_target), 6) AS ppl_target, round(l_target, 6) AS loss_target,
+       CAST(b_target AS INTEGER) AS test_target_blocks, round(l_target - l_en, 6) AS gap_loss,
+       CAST(b_train AS INTEGER) AS train_blocks, CAST(b_test AS INTEGER) AS test_blocks
+FROM agg"""
+
+
+# ------------------------------------------------------------ G: roll-ups
+def run_results_ctes(target: str) -> str:
+    p = "_" + target.replace("-", "_")
+    return f"""labelled{p} AS (SELECT *, {Q.language_label('text', target, 'lang')} AS label FROM clean),
+{stratified_split_cte(f'labelled{p}', f'ss{p}')},
+words{p} AS (SELECT unnest({Q.pretokens('text')}) AS word, split, label FROM ss{p}),
+types{p} AS (
+  SELECT word, count(*) FILTER (WHERE split = 'train') AS train_freq,
+         count(*) FILTER (WHERE split = 'test') AS test_all_freq,
+         count(*) FILTER (WHERE split = 'test' AND label = 'en') AS test_en_freq,
+         count(*) FILTER (WHERE split = 'test' AND label = {Q.q(target)}) AS test_target_freq
+  FROM words{p} GROUP BY word),
+{text_stats_cte(f'ss{p}', target, f'stats{p}')},
+{lexical_sums_cte('word', R.GRID_SIZES, f'sw{p}', f'types{p}', p)},
+{lexical_sums_cte('char', R.GRID_SIZES, f'sc{p}', f'types{p}', p)},
+sums{p} AS (SELECT * FROM sw{p} UNION ALL SELECT * FROM sc{p}),
+results{p} AS (SELECT *, 'runs/{target}' AS run_path FROM ({result_select(f'sums{p}', f'stats{p}')}))"""
+
+
+_BATCH_RUNS = ", ".join(f"({Q.q(f'data/mixtures/mix_{R._group(t)}_{t}_{r}.txt')}, {Q.q(f'runs/{t}')})" for t, r in R.BATCH)
+BATCH_CTES = (f"{CLEAN},\n" + ",\n".join(run_results_ctes(t) for t, _ in R.BATCH) + ",\n"
+              + "res AS (" + " UNION ALL ".join(f"SELECT * FROM results_{t.replace('-', '_')}" for t, _ in R.BATCH) + "),\n"
+              + f"runs(corpus_path, run_path) AS (VALUES {_BATCH_RUNS})")
+
+
+def best_rows_sql(src: str = "res", keys: str = "run_path") -> str:
+    from glossa.operators.rollup import BEST_CRITERIA
+    parts = []
+    for name, metric, mode in BEST_CRITERIA:
+        key = f"abs({metric})" if mode == "min_abs" else (f"-{metric}" if mode == "max" else metric)
+        parts.append(f"""SELECT {keys}, '{name}' AS criterion, method, vocab_size, value FROM (
+  SELECT {keys}, method, vocab_size, {metric} AS value,
+         row_number() OVER (PARTITION BY {keys} ORDER BY {key}, method, vocab_size) AS _r
+  FROM {src} WHERE {metric} IS NOT NULL) WHERE _r = 1""")
+    return "\nUNION ALL\n".join(parts)
+
+
+ORACLE["best_rows"] = f"WITH {BATCH_CTES}\n{best_rows_sql()}"
+
+ORACLE["run_status"] = f"""WITH {BATCH_CTES},
+n AS (SELECT run_path, count(*) AS n_rows FROM res GROUP BY run_path)
+SELECT run_path, coalesce(n_rows, 0) AS n_rows, 0::BIGINT AS n_errors,
+       CASE WHEN coalesce(n_rows, 0) > 0 THEN 'completed' ELSE 'failed' END AS status
+FROM runs LEFT JOIN n USING (run_path)"""
+
+_T0 = R.BATCH[0][0]
+ORACLE["run_summary"] = f"""WITH {BATCH_CTES},
+raw AS (SELECT count(*) AS raw_texts FROM paras),
+st AS (SELECT count(*) AS cleaned_texts, count(*) FILTER (WHERE split = 'train') AS train_texts,
+              count(*) FILTER (WHERE split = 'test') AS test_texts,
+              count(*) FILTER (WHERE split = 'test' AND label = 'en') AS test_en_texts,
+              count(*) FILTER (WHERE split = 'test' AND label NOT IN ('en', 'unknown')) AS test_target_texts,
+              count(*) FILTER (WHERE split = 'test' AND label = 'unknown') AS test_unknown_texts FROM ss_{_T0}),
+cells AS (SELECT count(*) AS completed_combinations FROM res WHERE run_path = 'runs/{_T0}'),
+best AS (SELECT method AS best_method, vocab_size AS best_vocab_size, value AS best_tokens_per_char
+         FROM ({best_rows_sql("(SELECT * FROM res WHERE run_path = 'runs/" + _T0 + "')")})
+         WHERE criterion = 'best_tokens_per_char')
+SELECT raw.*, st.*, cells.*, best.*, 0::BIGINT AS failed_combinations, 'stratified_by_language' AS split_strategy
+FROM raw, st, cells LEFT JOIN best ON true"""
+
+BATCH_SUMMARY = f"""summary AS (
+  SELECT r.corpus_path, p.grp AS "group", p.tl AS target_lang, p.ratio,
+         CASE WHEN coalesce(c.n, 0) > 0 THEN 'completed' ELSE 'failed' END AS status, '' AS error, r.run_path,
+         CAST(coalesce(c.n, 0) AS INTEGER) AS completed_combinations, 0 AS failed_combinations,
+         bt.method AS best_tokens_per_char_method, bt.vocab_size AS best_tokens_per_char_vocab,
+         bt.value AS best_tokens_per_char,
+         CAST(NULL AS VARCHAR) AS best_ppl_method, CAST(NULL AS INTEGER) AS best_ppl_vocab, CAST(NULL AS DOUBLE) AS best_ppl
+  FROM runs r
+  LEFT JOIN (SELECT run_path, count(*) AS n FROM res GROUP BY run_path) c USING (run_path)
+  LEFT JOIN (SELECT * FROM best WHERE criterion = 'best_tokens_per_char') bt USING (run_path)
+  LEFT JOIN (SELECT run_path, string_split(regexp_extract(corpus_path, '([^/]*?)(\\.[^./]*)?\\z', 1), '_') AS parts
+             FROM runs) pp USING (run_path)
+  CROSS JOIN LATERAL (SELECT parts[2] AS grp, parts[3] AS tl, array_to_string(parts[4:], '_') AS ratio) p)"""
+
+ORACLE["batch_summary"] = f"""WITH {BATCH_CTES}, best AS ({best_rows_sql()}), {BATCH_SUMMARY}
+SELECT * FROM summary"""
+
+ROLLUP = f"""{BATCH_CTES}, best AS ({best_rows_sql()}), {BATCH_SUMMARY},
+rollup AS (
+  SELECT 'results/batch_demo' AS batch_dir, s.run_path, s.corpus_path, s."group", s.target_lang, s.ratio,
+         CASE WHEN instr(s.ratio, '_') > 0 THEN TRY_CAST(string_split(s.ratio, '_')[-1] AS DOUBLE) END AS target_percent,
+         s.status AS batch_status, res.* EXCLUDE (run_path)
+  FROM summary s JOIN res USING (run_path) WHERE length(coalesce(s.run_path, '')) > 0)"""
+
+ORACLE["batch_rollup"] = f"WITH {ROLLUP} SELECT * FROM rollup"
+
+
+def mean_by_sql(dims: list[str], coerce: bool = False) -> str:
+    from glossa.operators.rollup import ROLLUP_METRICS
+    present = ["compression_factor_char_target", "compression_penalty_char"]  # no LM columns in this batch
+    parts = []
+    for m in [x for x in ROLLUP_METRICS if x in present]:
+        v = f"TRY_CAST({m} AS DOUBLE)" if coerce else f"CAST({m} AS DOUBLE)"
+        dsel = ", ".join(f'CAST("{d}" AS VARCHAR) AS "{d}"' for d in dims)
+        dn = " AND ".join(f'"{d}" IS NOT NULL' for d in dims)
+        dl = ", ".join(f'"{d}"' for d in dims)
+        parts.append(f"""SELECT {dl}, '{m}' AS metric, round(avg(_v), 6) AS mean, count(*) AS n FROM (
+  SELECT {dsel}, {v} AS _v FROM rollup) WHERE _v IS NOT NULL AND NOT isnan(_v) AND {dn} GROUP BY {dl}""")
+    return "\nUNION ALL\n".join(parts)
+
+
+ORACLE["mean_by_method_vocab"] = f"WITH {ROLLUP}\n{mean_by_sql(['method', 'vocab_size'])}"
+ORACLE["mean_by_method_percent"] = f"WITH {ROLLUP}\n{mean_by_sql(['method', 'target_percent'])}"
+ORACLE["mean_by_lang_percent"] = f"WITH {ROLLUP}\n{mean_by_sql(['target_lang', 'target_percent'])}"
+ORACLE["mean_by_line_vocab"] = f"WITH {ROLLUP}\n{mean_by_sql(['ratio', 'vocab_size'], coerce=True)}"
+ORACLE["status_counts"] = f"WITH {BATCH_CTES}, best AS ({best_rows_sql()}), {BATCH_SUMMARY} SELECT status, count(*) AS n FROM summary GROUP BY status"

@@ -61,8 +61,10 @@ def paragraphs(spark, d) -> DataFrame:
 
 
 def cleaned(spark, d) -> DataFrame:
-    """Cleaned corpus (doc_id, lang, pos, text) with each document's own language."""
-    return C.clean_corpus(paragraphs(spark, d))
+    """Cleaned corpus (doc_id, lang, pos, text) with each document's own language, written
+    once to the checkpoint folder: every later step reads it more than once."""
+    from glossa.session import cut_lineage
+    return cut_lineage(C.clean_corpus(paragraphs(spark, d)))
 
 
 def labelled(spark, d) -> DataFrame:
@@ -290,7 +292,8 @@ BPE_SIZES = [150, 300]
 
 def split_corpus(spark, d) -> DataFrame:
     """Labelled corpus with the stratified split (the run's test/train sides)."""
-    return S.stratified_split(labelled(spark, d), ["doc_id", "pos"], "label", TEST_FRACTION, SEED)
+    from glossa.session import cut_lineage
+    return cut_lineage(S.stratified_split(labelled(spark, d), ["doc_id", "pos"], "label", TEST_FRACTION, SEED))
 
 
 @register("pretoken_types")
@@ -308,7 +311,7 @@ def q_compression_grid(spark, d):
 
 def _bpe(spark, d, method="bpe", sizes=BPE_SIZES):
     from glossa.session import cut_lineage
-    sc = cut_lineage(split_corpus(spark, d))
+    sc = split_corpus(spark, d)
     types = cut_lineage(BPE.type_table(sc, TARGET))
     tr = BPE.train_merges(types, sizes, method)
     return sc, types, tr
@@ -334,3 +337,146 @@ def q_compression_by_language(spark, d):
         row = snap.select(F.lit("bpe").alias("method"), F.lit(v).alias("vocab_size"), "*")
         sums = row if sums is None else sums.unionByName(row)
     return M.result_rows(M.text_stats(sc, TARGET), sums)
+
+
+# ------------------------------------------------------------ F: n-gram LM
+from glossa.operators import ngram_lm as LM  # noqa: E402
+
+LM_BLOCK = 32
+LM_ORDER = 2
+
+
+def word_blocks(spark, d) -> DataFrame:
+    """F1 over word tokens (pre-tokens) of the stratified split."""
+    sc = split_corpus(spark, d).select("doc_id", "pos", "split", "label", T.pretokens(F.col("text")).alias("ids"))
+    return LM.blocks(sc, "ids", LM_BLOCK)
+
+
+@register("lm_blocks")
+def q_lm_blocks(spark, d):
+    b = word_blocks(spark, d)
+    return b.select("doc_id", "pos", "split", "block_no", F.size("block").alias("n_ids"),
+                    F.array_join("block", " ").alias("block_text"))
+
+
+@register("ngram_lm_eval")
+def q_ngram_lm_eval(spark, d):
+    g = LM.ngrams(word_blocks(spark, d), LM_ORDER)
+    return LM.lm_record(LM.evaluate(g, LM_ORDER, LM.standard_slices(TARGET)))
+
+
+# ------------------------------------------------------------ G: roll-ups
+from glossa.operators import rollup as G  # noqa: E402
+
+# Fixed batch of runs over the same cleaned corpus: (target language, ratio name).
+BATCH = [("de", "90_10"), ("fr", "75_25"), ("es", "50_50")]
+
+
+def run_results(c: DataFrame, target: str) -> DataFrame:
+    lab = c.withColumn("label", T.language_label(F.col("text"), target, F.col("lang")))
+    sc = S.stratified_split(lab, ["doc_id", "pos"], "label", TEST_FRACTION, SEED)
+    types = BPE.type_table(sc, target)
+    sums = M.lexical_token_sums(types, GRID_SIZES, "word").unionByName(M.lexical_token_sums(types, GRID_SIZES, "char"))
+    return M.result_rows(M.text_stats(sc, target), sums).withColumn("run_path", F.lit(f"runs/{target}"))
+
+
+def batch_tables(spark, d):
+    from glossa.session import cut_lineage
+    c = cleaned(spark, d)
+    res = None
+    for tgt, _ in BATCH:
+        r = run_results(c, tgt)
+        res = r if res is None else res.unionByName(r)
+    res = cut_lineage(res)
+    runs = spark.createDataFrame(
+        [(f"data/mixtures/mix_{_group(t)}_{t}_{r}.txt", f"runs/{t}") for t, r in BATCH], "corpus_path string, run_path string")
+    errors = spark.createDataFrame([], "run_path string, stage string, error string")
+    return runs, res, errors
+
+
+def _group(lang: str) -> str:
+    for g, ls in T.LANGUAGE_GROUPS.items():
+        if lang in ls:
+            return g
+    return "custom"
+
+
+@register("best_rows")
+def q_best_rows(spark, d):
+    _, res, _ = batch_tables(spark, d)
+    return G.best_rows(res, ["run_path"])
+
+
+@register("run_status")
+def q_run_status(spark, d):
+    runs, res, err = batch_tables(spark, d)
+    n = res.groupBy("run_path").agg(F.count(F.lit(1)).alias("n_rows"))
+    e = err.groupBy("run_path").agg(F.count(F.lit(1)).alias("n_errors"))
+    j = runs.join(n, "run_path", "left").join(e, "run_path", "left").fillna(0, ["n_rows", "n_errors"])
+    return j.select("run_path", "n_rows", "n_errors", G.run_status(F.col("n_rows"), F.col("n_errors")).alias("status"))
+
+
+@register("run_summary")
+def q_run_summary(spark, d):
+    """G3 for the first batch run: corpus and split counts, cell counts, best row."""
+    tgt = BATCH[0][0]
+    raw = paragraphs(spark, d).agg(F.count(F.lit(1)).alias("raw_texts"))
+    c = cleaned(spark, d).withColumn("label", T.language_label(F.col("text"), tgt, F.col("lang")))
+    sc = S.stratified_split(c, ["doc_id", "pos"], "label", TEST_FRACTION, SEED)
+    st = S.split_stats(sc, "label")
+    _, res, err = batch_tables(spark, d)
+    res = res.filter(F.col("run_path") == f"runs/{tgt}")
+    cells = res.agg(F.count(F.lit(1)).alias("completed_combinations"))
+    best = G.best_rows(res).filter(F.col("criterion") == "best_tokens_per_char").select(
+        F.col("method").alias("best_method"), F.col("vocab_size").alias("best_vocab_size"),
+        F.col("value").alias("best_tokens_per_char"))
+    one = F.lit(1).alias("_one")
+    out = raw.select("*", one)
+    for t in [st.select(F.col("total_texts").alias("cleaned_texts"), "train_texts", "test_texts", "test_en_texts",
+                        "test_target_texts", "test_unknown_texts"), cells, best]:
+        out = out.join(t.select("*", one), "_one", "left")
+    return out.drop("_one").withColumn("failed_combinations", F.lit(0).cast("long")) \
+              .withColumn("split_strategy", F.lit("stratified_by_language"))
+
+
+@register("batch_summary")
+def q_batch_summary(spark, d):
+    runs, res, err = batch_tables(spark, d)
+    return G.batch_summary(runs, res, err)
+
+
+@register("batch_rollup")
+def q_batch_rollup(spark, d):
+    runs, res, err = batch_tables(spark, d)
+    return G.batch_rollup(G.batch_summary(runs, res, err), res, "results/batch_demo")
+
+
+def _rollup(spark, d):
+    runs, res, err = batch_tables(spark, d)
+    return G.batch_rollup(G.batch_summary(runs, res, err), res, "results/batch_demo")
+
+
+@register("mean_by_method_vocab")
+def q_mean_by_method_vocab(spark, d):
+    return G.mean_by(_rollup(spark, d), ["method", "vocab_size"])
+
+
+@register("mean_by_method_percent")
+def q_mean_by_method_percent(spark, d):
+    return G.mean_by(_rollup(spark, d), ["method", "target_percent"])
+
+
+@register("mean_by_lang_percent")
+def q_mean_by_lang_percent(spark, d):
+    return G.mean_by(_rollup(spark, d), ["target_lang", "target_percent"])
+
+
+@register("mean_by_line_vocab")
+def q_mean_by_line_vocab(spark, d):
+    return G.mean_by(_rollup(spark, d), ["ratio", "vocab_size"], coerce=True)
+
+
+@register("status_counts")
+def q_status_counts(spark, d):
+    runs, res, err = batch_tables(spark, d)
+    return G.status_counts(G.batch_summary(runs, res, err))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions import text as T
 from glossa.operators.sampling import first_k, id_bucket
-from glossa.session import spread
+from glossa.session import cut_lineage, spread
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -71,7 +71,8 @@ def quota_load(records: DataFrame, max_samples: int, languages: Sequence[str] |
         records = records.filter(F.col("lang").isin(list(languages)))
     rec = records.select("lang", "doc_id", field_fallback(records).alias("raw"))
     rec = id_bucket(rec, ["lang"], "doc_id")
-    scanned = first_k(rec, ["lang"], ["doc_id"], "_bucket", 5 * max_samples).drop("_bucket")
+    # at most 5*max_samples rows per language: small, and read several times below
+    scanned = cut_lineage(first_k(rec, ["lang"], ["doc_id"], "_bucket", 5 * max_samples).drop("_bucket"))
     cleaned = (T.clean_frame(scanned.withColumnRenamed("raw", "text"), "text", F.col("lang"))
                 .filter(T.keep_text(F.col("text"))))
     cleaned = id_bucket(cleaned, ["lang"], "doc_id")
