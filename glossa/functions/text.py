@@ -76,9 +76,20 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# The same whitespace set as literal characters, for btrim / DuckDB trim(s, chars).
+WS_LITERAL = ("".join(chr(c) for c in range(0x9, 0xE)) + "".join(chr(c) for c in range(0x1C, 0x21))
+              + "\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def py_strip(text) -> Column:
-    """Python ``str.strip()``: Unicode whitespace at both ends (Spark ``trim`` only strips spaces)."""
-    return F.regexp_replace(_c(text), rf"\A{WS}+|{WS}+\z", "")
+    """Python ``str.strip()``: Unicode whitespace at both ends (Spark ``trim`` only strips
+    spaces; ``btrim`` with the explicit set only looks at the ends)."""
+    return F.btrim(_c(text), F.lit(WS_LITERAL))
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body`` (a one-element lambda)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def word_count(text) -> Column:
@@ -129,20 +140,37 @@ def repair_mojibake(text) -> Column:
     return F.when(gate & fixed.isNotNull(), fixed).otherwise(t)
 
 
-def repair_chars(text) -> Column:
-    """B2 step 3: ligatures, full width, curly quotes, line breaks, control characters."""
+def repair_ligatures(text) -> Column:
+    """B2 step 3: Latin ligatures (only texts that have one pay for the replaces)."""
     t = _c(text)
+    out = t
     for k, v in LIGATURES:
-        t = F.replace(t, F.lit(k), F.lit(v))
+        out = F.replace(out, F.lit(k), F.lit(v))
+    return F.when(t.rlike("[" + "".join(k for k, _ in LIGATURES) + "]"), out).otherwise(t)
+
+
+def repair_width(text) -> Column:
+    """B2 step 4: full-width forms and the ideographic space to ASCII."""
+    t = _c(text)
     full = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u3000"
     half = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
-    t = F.translate(t, full, half)
-    t = F.translate(t, SINGLE_QUOTES + DOUBLE_QUOTES, "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES))
-    t = F.regexp_replace(t, r"\r\n|[\r\x{85}\x{2028}\x{2029}]", "\n")
+    return F.when(t.rlike(r"[\x{ff01}-\x{ff5e}\x{3000}]"), F.translate(t, full, half)).otherwise(t)
+
+
+def repair_quotes(text) -> Column:
+    """B2 step 5: curly quotes to straight ones."""
+    t = _c(text)
+    q = SINGLE_QUOTES + DOUBLE_QUOTES
+    return F.when(t.rlike(f"[{q}]"), F.translate(t, q, "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES))).otherwise(t)
+
+
+def repair_breaks(text) -> Column:
+    """B2 step 6: line breaks to LF, control characters removed."""
+    t = F.regexp_replace(_c(text), r"\r\n|[\r\x{85}\x{2028}\x{2029}]", "\n")
     return F.regexp_replace(t, CONTROL_CHARS, "")
 
 
-REPAIR_STEPS = [repair_entities, repair_mojibake, repair_chars]
+REPAIR_STEPS = [repair_entities, repair_mojibake, repair_ligatures, repair_width, repair_quotes, repair_breaks]
 
 
 def with_steps(df, col: str, steps) -> "DataFrame":  # noqa: F821
@@ -207,7 +235,7 @@ def keep_text(text) -> Column:
     """NOT B7: a string of >= 10 code points after strip with at least one letter."""
     t = _c(text)
     s = py_strip(t)
-    return t.isNotNull() & (F.length(s) >= MIN_TEXT_CHARS) & s.rlike(r"\p{L}")
+    return t.isNotNull() & (F.length(s) >= MIN_TEXT_CHARS) & t.rlike(r"\p{L}")
 
 
 def script_tag(text) -> Column:
@@ -222,23 +250,27 @@ def script_tag(text) -> Column:
 def language_label(text, target_lang: str, detected) -> Column:
     """B11: 'en', the target, or 'unknown'. ``detected`` is the classifier's top language
     (B12) for the text; it is only consulted for Latin-script text."""
-    t = py_strip(_c(text))
     det = _c(detected)
-    tag = script_tag(t)
     tgt = F.lit(target_lang)
-    if target_lang in CJK_TARGETS:
-        lab = (F.when(tag == CJK_TARGETS[target_lang], tgt)
-                .when((tag == "lat") & (det == "en"), F.lit("en"))
-                .otherwise(F.lit("unknown")))
-    elif target_lang in CYRILLIC_TARGETS:
-        lab = (F.when(tag == "cyr", tgt)
-                .when((tag == "lat") & (det == "en"), F.lit("en"))
-                .otherwise(F.lit("unknown")))
-    else:
-        lab = (F.when((tag == "lat") & (det == "en"), F.lit("en"))
-                .when((tag == "lat") & (det == target_lang), tgt)
-                .otherwise(F.lit("unknown")))
-    return F.when(F.length(t) == 0, F.lit("unknown")).otherwise(lab)
+
+    def decide(st):
+        t, tag = st["t"], st["tag"]
+        if target_lang in CJK_TARGETS:
+            lab = (F.when(tag == CJK_TARGETS[target_lang], tgt)
+                    .when((tag == "lat") & (det == "en"), F.lit("en"))
+                    .otherwise(F.lit("unknown")))
+        elif target_lang in CYRILLIC_TARGETS:
+            lab = (F.when(tag == "cyr", tgt)
+                    .when((tag == "lat") & (det == "en"), F.lit("en"))
+                    .otherwise(F.lit("unknown")))
+        else:
+            lab = (F.when((tag == "lat") & (det == "en"), F.lit("en"))
+                    .when((tag == "lat") & (det == target_lang), tgt)
+                    .otherwise(F.lit("unknown")))
+        return F.when(F.length(t) == 0, F.lit("unknown")).otherwise(lab)
+
+    stripped = py_strip(_c(text))
+    return let(let(stripped, lambda t: F.struct(t.alias("t"), script_tag(t).alias("tag"))), decide)
 
 
 def language_group(lang) -> Column:

@@ -10,9 +10,11 @@ safe separator. One round:
 
 1. count adjacent symbol pairs over train types (explode + groupBy, weighted by train_freq);
 2. fetch the top pairs to the driver (bounded by ``top_n``);
-3. choose the longest prefix of them that greedy one-at-a-time BPE would also take next
-   (disjoint symbols, no (x,x), strictly higher count than the first pair left out, each
-   merge making a string that is new -- the pair that does not is taken and ends the batch);
+3. choose the longest prefix of them that greedy one-at-a-time BPE would also take next:
+   no two chosen pairs chain in any train word (the same job returns each pair's left and
+   right neighbour symbols, so ``x a b`` is known exactly), strictly higher count than the
+   first pair left out, each merge making a string that is new -- the pair that does not is
+   taken and ends the batch;
 4. apply the batch as nested literal ``replace`` calls (JVM-side, codegen'd).
 
 Test words carry along, so their encoding at every vocabulary size is the segmentation
@@ -26,11 +28,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.functions import text as T
-from glossa.session import cut_lineage
+from glossa.session import cut_lineage, spread
 
 # Special tokens occupy ids 0-4 and count toward vocab_size.
 SPECIAL_TOKENS = ["<unk>", "<pad>", "<s>", "</s>", "<mask>"]
@@ -81,15 +84,22 @@ def symbol_chars(seg) -> F.Column:
     return F.length(F.replace(s, F.lit(" "), F.lit(""))).cast("long")
 
 
-def pair_counts(state: DataFrame) -> DataFrame:
-    """Adjacent pairs weighted by train frequency."""
+def pair_counts(state: DataFrame, neighbours: bool = False) -> DataFrame:
+    """Adjacent pairs weighted by train frequency. With ``neighbours`` also the sets of symbols
+    seen just left of and just right of each pair occurrence (bounded by the vocabulary):
+    triple ``x a b`` occurs in a train word exactly when ``x`` is in left(a, b)."""
     act = state.filter((F.col("train_freq") > 0) & (n_symbols("seg") > 1))
     syms = F.split(F.trim(F.col("seg")), "  ")
     n = F.size(syms)
-    z = F.arrays_zip(F.slice(syms, 1, n - 1).alias("l"), F.slice(syms, 2, n - 1).alias("r"))
-    pairs = act.select(F.explode(z).alias("p"), "train_freq")
-    return pairs.groupBy(F.col("p.l").alias("left"), F.col("p.r").alias("right")).agg(
-        F.sum("train_freq").alias("count"))
+    cols = [F.slice(syms, 1, n - 1).alias("l"), F.slice(syms, 2, n - 1).alias("r")]
+    if neighbours:
+        cols += [F.concat(F.array(F.lit(None).cast("string")), F.slice(syms, 1, n - 2)).alias("x"),
+                 F.slice(syms, 3, n - 2).alias("y")]
+    pairs = act.select(F.explode(F.arrays_zip(*cols)).alias("p"), "train_freq")
+    aggs = [F.sum("train_freq").alias("count")]
+    if neighbours:
+        aggs += [F.collect_set("p.x").alias("xs"), F.collect_set("p.y").alias("ys")]
+    return pairs.groupBy(F.col("p.l").alias("left"), F.col("p.r").alias("right")).agg(*aggs)
 
 
 def merged_symbol(left: str, right: str, wordpiece: bool) -> str:
@@ -99,26 +109,44 @@ def merged_symbol(left: str, right: str, wordpiece: bool) -> str:
 
 
 def choose_batch(cands: list[tuple[int, str, str]], vocab: set[str], budget: int, min_frequency: int,
-                 wordpiece: bool, complete: bool) -> list[tuple[str, str, str, int]]:
+                 wordpiece: bool, complete: bool, chains: set[tuple[str, str, str]] | None = None
+                 ) -> list[tuple[str, str, str, int]]:
     """Longest prefix that one-at-a-time greedy BPE would take next; see the module docstring.
 
     ``cands`` is sorted by (count desc, left, right). ``complete`` says the list holds every
     pair (so the pair after the last one has count 0). ``budget`` = vocabulary rows still
     allowed before the next snapshot size; only new strings use it.
+
+    ``chains`` holds the symbol triples (x, a, b) that occur in train words. Two pairs only
+    interact when they chain through such a triple ((x,a) then (a,b)); without ``chains``
+    every shared symbol is treated as a conflict.
     """
     batch: list[tuple[str, str, str, int]] = []
-    used: set[str] = set()
     made: set[str] = set()
+    by_left: dict[str, list[str]] = {}
+    by_right: dict[str, list[str]] = {}
+    used: set[str] = set()
     new_rows = 0
     for i, (c, l, r) in enumerate(cands):
         if c < min_frequency or new_rows >= budget:
             break
-        if i > 0 and (l in used or r in used or l == r):
-            break
+        if i > 0:
+            if chains is None:
+                if l in used or r in used or l == r:
+                    break
+            else:
+                # (l, r) after an accepted (x, l): triple x l r; before an accepted (r, y): l r y;
+                # and with itself when l == r: l l l
+                if any((x, l, r) in chains for x in by_right.get(l, ())) or \
+                   any((l, r, y) in chains for y in by_left.get(r, ())) or \
+                   (l == r and (l, l, l) in chains):
+                    break
         m = merged_symbol(l, r, wordpiece)
         batch.append((l, r, m, c))
         used.update((l, r))
-        if l == r:
+        by_left.setdefault(l, []).append(r)
+        by_right.setdefault(r, []).append(l)
+        if chains is None and l == r:
             break
         if m in vocab or m in made:
             break  # not a new string: take it, but it ends the batch
@@ -134,6 +162,21 @@ def choose_batch(cands: list[tuple[int, str, str]], vocab: set[str], budget: int
     return batch[:k]
 
 
+def chain_triples(state: DataFrame, cands: list[tuple[int, str, str]]) -> set[tuple[str, str, str]]:
+    """Symbol triples (a, b, c) in train words whose two pairs (a,b) and (b,c) are both
+    candidates. The candidate table is bounded by ``top_n``, so it is broadcast."""
+    keys = [f"{l} {r}" for _, l, r in cands]  # symbols never contain spaces
+    act = state.filter((F.col("train_freq") > 0) & (n_symbols("seg") > 2))
+    syms = F.split(F.trim(F.col("seg")), "  ")
+    n = F.size(syms)
+    z = F.arrays_zip(F.slice(syms, 1, n - 2).alias("a"), F.slice(syms, 2, n - 2).alias("b"),
+                     F.slice(syms, 3, n - 2).alias("c"))
+    tri = act.select(F.explode(z).alias("t")).select("t.a", "t.b", "t.c")
+    tri = (tri.filter(F.concat_ws(" ", "a", "b").isin(keys) & F.concat_ws(" ", "b", "c").isin(keys))
+              .distinct())
+    return {(r["a"], r["b"], r["c"]) for r in tri.collect()}
+
+
 def apply_batch(seg: F.Column, batch: Sequence[tuple[str, str, str, int]]) -> F.Column:
     """Merge every occurrence of every batch pair. Symbols are wrapped in their own spaces,
     so occurrences of different (disjoint) pairs never share characters and nested literal
@@ -166,7 +209,7 @@ def slice_sums(state: DataFrame) -> DataFrame:
 
 
 def train_merges(types: DataFrame, vocab_sizes: Sequence[int], method: str = "bpe", min_frequency: int = 2,
-                 top_n: int = 512, checkpoint_every: int = 8, keep_states: bool = False) -> MergeTraining:
+                 top_n: int = 512, checkpoint_every: int = 16, keep_states: bool = False) -> MergeTraining:
     """D2 (``bpe``) / D3 (``wordpiece``) training over a type table, snapshotting every
     requested vocabulary size in one sweep."""
     wordpiece = method == "wordpiece"
@@ -176,7 +219,7 @@ def train_merges(types: DataFrame, vocab_sizes: Sequence[int], method: str = "bp
     if not alphabet:
         raise ValueError("cannot train a tokenizer: the training sample is empty")
     base = types if not wordpiece else train_words
-    state = initial_segments(base, alphabet, wordpiece).select("word", "seg", *[f"{s}_freq" for s in SLICES])
+    state = spread(initial_segments(base, alphabet, wordpiece).select("word", "seg", *[f"{s}_freq" for s in SLICES]))
     if wordpiece:
         first = train_words.select(F.substring("word", 1, 1).alias("s"))
         rest = train_words.select(F.explode(F.slice(_chars(F.col("word")), 2, 1 << 20)).alias("c")).select(
@@ -187,32 +230,42 @@ def train_merges(types: DataFrame, vocab_sizes: Sequence[int], method: str = "bp
     vocab = list(SPECIAL_TOKENS) + [s for s in init_symbols if s not in SPECIAL_TOKENS]
     vocab_set = set(vocab)
     res = MergeTraining(method=method, alphabet=alphabet, vocab=vocab)
-    state = cut_lineage(state)
+    state = cut_lineage(state).persist(StorageLevel.MEMORY_AND_DISK)
     targets = sorted(set(int(v) for v in vocab_sizes))
     rank = 0
     done = False
+    old = None
     for target in targets:
         while not done and len(vocab) < target:
-            pc = pair_counts(state).orderBy(F.desc("count"), "left", "right").limit(top_n + 1).collect()
+            pc = pair_counts(state, neighbours=True).orderBy(F.desc("count"), "left", "right").limit(top_n + 1).collect()
+            if old is not None:  # this round's state is cached now; drop the one before
+                old.unpersist()
+                old = None
             cands = [(int(r["count"]), r["left"], r["right"]) for r in pc]
             if not cands or cands[0][0] < min_frequency:
                 done = True
                 break
-            batch = choose_batch(cands[:top_n], vocab_set, target - len(vocab), min_frequency, wordpiece,
-                                 complete=len(cands) <= top_n)
-            if len(cands) > top_n and len(batch) == top_n:
-                batch = batch[:-1] or batch
+            chains = set()
+            for r in pc[:top_n]:
+                chains.update((x, r["left"], r["right"]) for x in r["xs"])
+                chains.update((r["left"], r["right"], y) for y in r["ys"])
+            head, complete = cands[:top_n], len(cands) <= top_n
+            batch = choose_batch(head, vocab_set, target - len(vocab), min_frequency, wordpiece, complete, chains=chains)
             for l, r, m, c in batch:
                 rank += 1
                 res.merges.append((rank, l, r, m, c))
                 if m not in vocab_set:
                     vocab_set.add(m)
                     vocab.append(m)
+            prev = state
             state = state.withColumn("seg", apply_batch(F.col("seg"), batch))
             res.rounds += 1
             if res.rounds % checkpoint_every == 0:
                 state = cut_lineage(state)
-        state = cut_lineage(state)
+            # keep one round of merges per job: the next round's jobs read this cached state
+            state = state.persist(StorageLevel.MEMORY_AND_DISK)
+            old = prev
+        state = cut_lineage(state).persist(StorageLevel.MEMORY_AND_DISK)
         res.snapshots[target] = spark.createDataFrame(slice_sums(state).collect(), slice_sums(state).schema)
         if keep_states:
             res.states[target] = state

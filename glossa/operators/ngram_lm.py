@@ -86,6 +86,8 @@ def evaluate(grams: DataFrame, order: int, slices: dict[str, Column]) -> DataFra
     counts = train_counts(train, order)
     tot = train.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("w").alias("v")).collect()[0]
     total_n, vocab_n = int(tot["n"]), int(tot["v"]) + 1
+    if total_n == 0:  # no train block, nothing to learn from
+        raise ValueError("language model: the train side has no block of two or more tokens")
     scored = score(grams, counts, order, vocab_n, total_n)
     blk_id = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("pos").cast("string"), F.col("block_no").cast("string"))
     aggs = []

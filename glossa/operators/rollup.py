@@ -26,6 +26,18 @@ BEST_CRITERIA = [
 ]
 
 
+# Fixed value: the columns the compact result views prefer, in display order.
+COMPACT_COLUMNS = ["method", "vocab_size", "tokens_per_char", "tokens_per_char_en", "tokens_per_char_target",
+                   "compression_gap_tokens_per_char", "compression_factor_char_target", "compression_penalty_char",
+                   "ppl", "ppl_en", "ppl_target", "gap_loss"]
+
+
+def compact(df: DataFrame, preferred: Sequence[str] = COMPACT_COLUMNS) -> DataFrame:
+    """Keep the preferred columns that exist, else everything."""
+    keep = [c for c in preferred if c in df.columns]
+    return df.select(*keep) if keep else df
+
+
 def result_table(rows: DataFrame, with_lm: bool) -> DataFrame:
     """G1: fixed column order; LM columns only when the LM ran."""
     cols = RESULT_COLUMNS + (LM_COLUMNS if with_lm else [])

@@ -488,3 +488,46 @@ ORACLE["mean_by_method_percent"] = f"WITH {ROLLUP}\n{mean_by_sql(['method', 'tar
 ORACLE["mean_by_lang_percent"] = f"WITH {ROLLUP}\n{mean_by_sql(['target_lang', 'target_percent'])}"
 ORACLE["mean_by_line_vocab"] = f"WITH {ROLLUP}\n{mean_by_sql(['ratio', 'vocab_size'], coerce=True)}"
 ORACLE["status_counts"] = f"WITH {BATCH_CTES}, best AS ({best_rows_sql()}), {BATCH_SUMMARY} SELECT status, count(*) AS n FROM summary GROUP BY status"
+
+
+# ------------------------------------------------------------ B12: language id
+_NORM = f"(' ' || lower(regexp_replace({Q.strip('text')}, {Q.q(T.WS + '+')}, ' ', 'g')) || ' ')"
+LANGID = f"""{CLEAN},
+lh AS (SELECT *, {Q.md5_key(7, 'doc_id')} AS _h, {_NORM} AS nt FROM clean),
+tr AS (SELECT * FROM lh WHERE _h >= '{R.HOLDOUT}'),
+ho AS (SELECT * FROM lh WHERE _h < '{R.HOLDOUT}'),
+tg AS (SELECT lang, substring(nt, i, n) AS gram FROM tr, unnest([1, 2, 3]) AS nn(n),
+       unnest(range(1, greatest(length(nt) - n + 1, 1) + 1)) AS u(i) WHERE length(substring(nt, i, n)) > 0),
+cnt AS (SELECT lang, gram, count(*) AS count FROM tg GROUP BY lang, gram),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY count DESC, gram) AS rank FROM cnt)
+        WHERE rank <= 300),
+tot AS (SELECT lang, sum(count) AS n, count(*) AS v FROM top GROUP BY lang),
+docs AS (SELECT lang, count(*) AS d FROM tr GROUP BY lang),
+lt AS (SELECT lang, ln(0.5 / (n + 0.5 * v)) AS unseen, ln(d / (SELECT sum(d) FROM docs)) AS prior, n, v
+       FROM tot JOIN docs USING (lang)),
+model AS (SELECT t.lang, gram, count, rank, ln((count + 0.5) / (n + 0.5 * v)) - unseen AS gain, unseen, prior
+          FROM top t JOIN lt USING (lang))"""
+
+ORACLE["langid_nb"] = f"WITH {LANGID} SELECT lang, gram, count, rank FROM model"
+
+ORACLE["langid_accuracy"] = f"""WITH {LANGID},
+hg AS (SELECT doc_id, pos, substring(nt, i, n) AS gram FROM ho, unnest([1, 2, 3]) AS nn(n),
+       unnest(range(1, greatest(length(nt) - n + 1, 1) + 1)) AS u(i) WHERE length(substring(nt, i, n)) > 0),
+ng AS (SELECT doc_id, pos, count(*) AS n_grams FROM hg GROUP BY doc_id, pos),
+sc AS (SELECT doc_id, pos, m.lang, sum(gain) AS gain FROM hg JOIN model m USING (gram) GROUP BY doc_id, pos, m.lang),
+allsc AS (
+  SELECT ng.doc_id, ng.pos, lt.lang, coalesce(sc.gain, 0) + ng.n_grams * lt.unseen + lt.prior AS score
+  FROM ng JOIN lt ON true LEFT JOIN sc ON sc.doc_id = ng.doc_id AND sc.pos = ng.pos AND sc.lang = lt.lang),
+best AS (SELECT doc_id, pos, arg_max(lang, score) AS predicted FROM allsc GROUP BY doc_id, pos)
+SELECT h.lang, b.predicted, count(*) AS n_texts FROM ho h JOIN best b USING (doc_id, pos) GROUP BY h.lang, b.predicted"""
+
+
+# ------------------------------------------------------------ S, A6-A15
+ORACLE["stream_clean"] = f"""WITH {CLEAN}
+SELECT doc_id, pos, lang, {Q.language_label('text', R.TARGET, 'lang')} AS label, text FROM clean"""
+
+ORACLE["stream_quota"] = f"""WITH {CLEAN}, {first_k_cte('clean', 'head', 50)}
+SELECT lang, doc_id, pos FROM head"""
+
+ORACLE["corpus_roundtrip"] = f"""WITH {CLEAN}
+SELECT lang, count(*) AS n_texts, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM clean GROUP BY lang"""

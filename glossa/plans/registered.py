@@ -480,3 +480,142 @@ def q_mean_by_line_vocab(spark, d):
 def q_status_counts(spark, d):
     runs, res, err = batch_tables(spark, d)
     return G.status_counts(G.batch_summary(runs, res, err))
+
+
+# ------------------------------------------------------------ B12: language id
+from glossa.operators import langid as LID  # noqa: E402
+
+HOLDOUT = "33"  # md5 prefix below this marks the ~20% held-out documents
+
+
+def _langid_sides(spark, d):
+    c = cleaned(spark, d).withColumn("_h", S.md5_key(7, "doc_id"))
+    return c.filter(F.col("_h") >= HOLDOUT).drop("_h"), c.filter(F.col("_h") < HOLDOUT).drop("_h")
+
+
+@register("langid_nb")
+def q_langid_nb(spark, d):
+    train, _ = _langid_sides(spark, d)
+    return LID.train(train, top_k=300).select("lang", "gram", "count", "rank")
+
+
+@register("langid_accuracy")
+def q_langid_accuracy(spark, d):
+    train, held = _langid_sides(spark, d)
+    model = LID.train(train, top_k=300)
+    pred = LID.predict(model, held, ["doc_id", "pos"])
+    return (held.join(pred, ["doc_id", "pos"]).groupBy("lang", "predicted")
+                .agg(F.count(F.lit(1)).alias("n_texts")))
+
+
+# ------------------------------------------------------------ S, A6-A15: streams and sinks
+def _scratch(spark, name: str) -> str:
+    """A fresh folder inside the session's (shared) checkpoint directory."""
+    import uuid
+    from glossa.session import ensure_checkpoint_dir
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@register("stream_clean")
+def q_stream_clean(spark, d):
+    from glossa.streaming import ingest as SI
+    root = _scratch(spark, "stream-clean")
+    SI.run_clean_stream(spark, d, f"{root}/sink", f"{root}/state", TARGET)
+    return spark.read.parquet(f"{root}/sink").select("doc_id", "pos", "lang", "label", "text")
+
+
+@register("stream_quota")
+def q_stream_quota(spark, d):
+    from glossa.streaming import ingest as SI
+    root = _scratch(spark, "stream-quota")
+    SI.run_quota_stream(spark, d, f"{root}/sink", f"{root}/state", 50)
+    return spark.read.parquet(f"{root}/sink").select("lang", "doc_id", "pos")
+
+
+@register("corpus_roundtrip")
+def q_corpus_roundtrip(spark, d):
+    """A6 export per language, read back through the paragraph scan (A1)."""
+    from glossa.sources import io as IO
+    root = _scratch(spark, "corpora")
+    IO.write_corpus_text(cleaned(spark, d), root, ["lang"])
+    back = IO.read_corpus_text(spark, root).withColumn("lang", F.regexp_extract("path", "lang=([^/]+)", 1))
+    p = C.paragraph_scan(back, keep=("doc_id", "lang"))
+    return p.groupBy("lang").agg(F.count(F.lit(1)).alias("n_texts"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@register("corpus_listing")
+def q_corpus_listing(spark, d):
+    """A12 over an exported corpus (file count depends on the writer's partitioning: rows-only)."""
+    from glossa.sources import io as IO
+    root = _scratch(spark, "listing")
+    IO.write_corpus_text(cleaned(spark, d), root, ["lang"])
+    return IO.file_listing(spark, root, "*.txt")
+
+
+@register("run_ledger")
+def q_run_ledger(spark, d):
+    """A9 + A11: per-run status and config JSON written by the batch, read back as a ledger."""
+    from glossa.sources import io as IO
+    root = _scratch(spark, "runs")
+    runs, res, err = batch_tables(spark, d)
+    n = res.groupBy("run_path").agg(F.count(F.lit(1)).alias("n_rows"))
+    st = runs.join(n, "run_path", "left").fillna(0, ["n_rows"])
+    rid = F.regexp_extract("run_path", "([^/]+)$", 1)
+    for r in [x["run_path"] for x in runs.select("run_path").collect()]:  # one folder per run (a handful)
+        one = st.filter(F.col("run_path") == r)
+        IO.write_json(one.select(rid.alias("run_id"), G.run_status(F.col("n_rows"), F.lit(0)).alias("status"),
+                                 F.lit("").alias("message"), F.current_timestamp().cast("string").alias("updated_at")),
+                      f"{root}/{r.split('/')[-1]}/status.json")
+        IO.write_json(one.select(rid.alias("run_id"), rid.alias("language"), "corpus_path"),
+                      f"{root}/{r.split('/')[-1]}/config.json")
+    return IO.run_ledger(spark, root)
+
+
+# ------------------------------------------------------------ D3/D4/D6: WordPiece, Unigram
+from glossa.operators import subword as W  # noqa: E402
+
+SUBWORD_SIZE = 300
+
+
+@register("wordpiece_vocab")
+def q_wordpiece_vocab(spark, d):
+    _, _, tr = _bpe(spark, d, "wordpiece", [SUBWORD_SIZE])
+    return BPE.vocab_frame(spark, tr)
+
+
+@register("wordpiece_encode")
+def q_wordpiece_encode(spark, d):
+    _, types, tr = _bpe(spark, d, "wordpiece", [SUBWORD_SIZE])
+    enc = W.wordpiece_encode(types.filter(F.col("test_all_freq") > 0), tr.vocab)
+    return enc.select("word", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+
+
+def _unigram(spark, d):
+    from glossa.session import cut_lineage
+    utypes = cut_lineage(W.unigram_type_table(split_corpus(spark, d), TARGET))
+    return utypes, W.train_unigram(utypes, SUBWORD_SIZE)
+
+
+@register("unigram_vocab")
+def q_unigram_vocab(spark, d):
+    _, pieces = _unigram(spark, d)
+    rows = [(i, p, float(lp)) for i, (p, lp) in enumerate(pieces, start=len(BPE.SPECIAL_TOKENS))]
+    specials = [(i, t, 0.0) for i, t in enumerate(BPE.SPECIAL_TOKENS)]
+    return spark.createDataFrame(specials + rows, "id int, piece string, score double")
+
+
+@register("unigram_encode")
+def q_unigram_encode(spark, d):
+    utypes, pieces = _unigram(spark, d)
+    enc = W.unigram_encode(utypes.filter(F.col("test_all_freq") > 0), pieces)
+    return enc.select("word", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+
+
+@register("experiment_methods")
+def q_experiment_methods(spark, d):
+    """Entry 1 end to end: every method at one vocabulary size, with the word-level LM."""
+    from glossa.plans.experiment import ExperimentParams, run_experiment
+    p = ExperimentParams(language=TARGET, tokenizer_methods=["bpe", "wordpiece", "unigram", "word", "char"],
+                         vocab_sizes=[SUBWORD_SIZE], run_language_model=True, block_size=LM_BLOCK)
+    return run_experiment(spark, paragraphs(spark, d), p).results

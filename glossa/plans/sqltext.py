@@ -15,7 +15,7 @@ def q(s: str) -> str:
 
 
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, {q(rf'\A{T.WS}+|{T.WS}+\z')}, '', 'g')"
+    return f"trim({x}, {q(T.WS_LITERAL)})"
 
 
 def word_count(x: str) -> str:
@@ -117,7 +117,7 @@ def clean_from(src: str, col: str = "text", lang: str | None = None) -> str:
 
 def keep_text(x: str) -> str:
     s = strip(x)
-    return f"({x} IS NOT NULL AND length({s}) >= {T.MIN_TEXT_CHARS} AND regexp_matches({s}, '\\p{{L}}'))"
+    return f"({x} IS NOT NULL AND length({s}) >= {T.MIN_TEXT_CHARS} AND regexp_matches({x}, '\\p{{L}}'))"
 
 
 def script_tag(x: str) -> str:

@@ -71,6 +71,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin the rows over the cluster when a scan yields fewer partitions than cores
     (one small file is one split). Large inputs already have enough splits and are left alone,
     so no shuffle is added at scale."""
+    if df.isStreaming:
+        return df
     sc = df.sparkSession.sparkContext
     want = min_partitions or sc.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
