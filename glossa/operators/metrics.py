@@ -109,14 +109,21 @@ def lexical_token_sums(types: DataFrame, vocab_sizes, method: str, n_special: in
     per_unit = units.groupBy("unit").agg(*[F.sum(f"{s}_freq").alias(f"{s}_freq") for s in
                                            ["test_all", "test_en", "test_target"]])
     j = per_unit.join(F.broadcast(ranked.select("unit", "rk")), "unit", "left")
-    out = None
-    for v in sorted(set(int(x) for x in vocab_sizes)):
+    # every vocabulary size in one aggregate pass, then one row per size
+    sizes = sorted(set(int(x) for x in vocab_sizes))
+    aggs = []
+    for v in sizes:
         known = F.col("rk").isNotNull() & (F.col("rk") <= v - n_special)
         tl = F.when(known, F.length("unit")).otherwise(F.length(F.lit("<unk>")))
-        aggs = [F.lit(method).alias("method"), F.lit(v).alias("vocab_size")]
-        for s in ["test_all", "test_en", "test_target"]:
-            aggs += [F.sum(F.col(f"{s}_freq")).cast("long").alias(f"tokens_{s}"),
-                     F.sum(F.col(f"{s}_freq") * tl).cast("long").alias(f"token_chars_{s}")]
-        row = j.agg(*aggs[2:]).select(aggs[0], aggs[1], "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+        for s_ in ["test_all", "test_en", "test_target"]:
+            aggs.append(F.sum(F.col(f"{s_}_freq") * tl).cast("long").alias(f"token_chars_{s_}_{v}"))
+    for s_ in ["test_all", "test_en", "test_target"]:
+        aggs.append(F.sum(F.col(f"{s_}_freq")).cast("long").alias(f"tokens_{s_}"))
+    one = j.agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(v).alias("vocab_size"),
+                              *[F.col(f"token_chars_{s_}_{v}").alias(f"token_chars_{s_}") for s_ in
+                                ["test_all", "test_en", "test_target"]]) for v in sizes])
+    return one.select(F.lit(method).alias("method"), F.explode(rows).alias("r"), "tokens_test_all", "tokens_test_en",
+                      "tokens_test_target").select(
+        "method", "r.vocab_size", "tokens_test_all", "r.token_chars_test_all", "tokens_test_en",
+        "r.token_chars_test_en", "tokens_test_target", "r.token_chars_test_target")

@@ -128,7 +128,10 @@ def mean_by(df: DataFrame, dims: Sequence[str], metrics: Sequence[str] = ROLLUP_
         v = F.col(m).try_cast("double") if coerce else F.col(m).cast("double")
         g = (df.select(*[F.col(d).cast("string").alias(d) for d in dims], v.alias("_v"))
                .filter(reduce(lambda a, b: a & b, [F.col(d).isNotNull() for d in dims], F.col("_v").isNotNull() & ~F.isnan("_v")))
-               .groupBy(*dims).agg(F.round(F.avg("_v"), 6).alias("mean"), F.count(F.lit(1)).alias("n"))
+               .groupBy(*dims).agg(
+                   # metrics carry 6 decimals: sum them as scaled integers, divide once (exact)
+                   F.round(F.sum(F.round(F.col("_v") * F.lit(1e6)).cast("long")) / (F.count(F.lit(1)) * F.lit(1e6)), 8)
+                   .alias("mean"), F.count(F.lit(1)).alias("n"))
                .select(*dims, F.lit(m).alias("metric"), "mean", "n"))
         out = g if out is None else out.unionByName(g)
     return out

@@ -24,13 +24,16 @@ from glossa.operators import subword as W
 from glossa.session import cut_lineage
 
 METHODS = ("bpe", "wordpiece", "unigram", "word", "char")
+# Vocabulary sizes offered (D9) and the default grid.
+VOCAB_SIZES_OFFERED = [500, 1000, 2000, 4000, 8000, 16000, 32000, 64000]
+DEFAULT_VOCAB_SIZES = [1000, 2000]
 
 
 @dataclass
 class ExperimentParams:
     language: str
     tokenizer_methods: list[str] = field(default_factory=lambda: ["bpe", "wordpiece"])
-    vocab_sizes: list[int] = field(default_factory=lambda: [1000, 2000])
+    vocab_sizes: list[int] = field(default_factory=lambda: list(DEFAULT_VOCAB_SIZES))
     test_fraction: float = 0.1
     seed: int = 42
     split_strategy: str = "stratified_by_language"

@@ -408,9 +408,12 @@ BATCH_CTES = (f"{CLEAN},\n" + ",\n".join(run_results_ctes(t) for t, _ in R.BATCH
 
 
 def best_rows_sql(src: str = "res", keys: str = "run_path") -> str:
+    from glossa.operators.metrics import RESULT_COLUMNS
     from glossa.operators.rollup import BEST_CRITERIA
     parts = []
     for name, metric, mode in BEST_CRITERIA:
+        if metric not in RESULT_COLUMNS:  # the batch ran without the LM: no ppl / gap_loss columns
+            continue
         key = f"abs({metric})" if mode == "min_abs" else (f"-{metric}" if mode == "max" else metric)
         parts.append(f"""SELECT {keys}, '{name}' AS criterion, method, vocab_size, value FROM (
   SELECT {keys}, method, vocab_size, {metric} AS value,
@@ -478,7 +481,8 @@ def mean_by_sql(dims: list[str], coerce: bool = False) -> str:
         dsel = ", ".join(f'CAST("{d}" AS VARCHAR) AS "{d}"' for d in dims)
         dn = " AND ".join(f'"{d}" IS NOT NULL' for d in dims)
         dl = ", ".join(f'"{d}"' for d in dims)
-        parts.append(f"""SELECT {dl}, '{m}' AS metric, round(avg(_v), 6) AS mean, count(*) AS n FROM (
+        parts.append(f"""SELECT {dl}, '{m}' AS metric,
+  round(CAST(sum(CAST(round(_v * 1e6) AS BIGINT)) AS DOUBLE) / (count(*) * 1e6), 8) AS mean, count(*) AS n FROM (
   SELECT {dsel}, {v} AS _v FROM rollup) WHERE _v IS NOT NULL AND NOT isnan(_v) AND {dn} GROUP BY {dl}""")
     return "\nUNION ALL\n".join(parts)
 
@@ -531,3 +535,9 @@ SELECT lang, doc_id, pos FROM head"""
 
 ORACLE["corpus_roundtrip"] = f"""WITH {CLEAN}
 SELECT lang, count(*) AS n_texts, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM clean GROUP BY lang"""
+
+from glossa.operators.metrics import RESULT_COLUMNS as _RC  # noqa: E402
+from glossa.operators.rollup import COMPACT_COLUMNS as _CC  # noqa: E402
+
+ORACLE["result_table"] = f"WITH {BATCH_CTES} SELECT {', '.join(_RC)} FROM res"
+ORACLE["compact_results"] = f"WITH {BATCH_CTES} SELECT {', '.join(c for c in _CC if c in _RC)} FROM res"

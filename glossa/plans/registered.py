@@ -303,8 +303,9 @@ def q_pretoken_types(spark, d):
 
 @register("compression_grid")
 def q_compression_grid(spark, d):
+    from glossa.session import cut_lineage
     sc = split_corpus(spark, d)
-    types = BPE.type_table(sc, TARGET)
+    types = cut_lineage(BPE.type_table(sc, TARGET))
     sums = M.lexical_token_sums(types, GRID_SIZES, "word").unionByName(M.lexical_token_sums(types, GRID_SIZES, "char"))
     return M.result_rows(M.text_stats(sc, TARGET), sums)
 
@@ -374,8 +375,9 @@ BATCH = [("de", "90_10"), ("fr", "75_25"), ("es", "50_50")]
 
 def run_results(c: DataFrame, target: str) -> DataFrame:
     lab = c.withColumn("label", T.language_label(F.col("text"), target, F.col("lang")))
-    sc = S.stratified_split(lab, ["doc_id", "pos"], "label", TEST_FRACTION, SEED)
-    types = BPE.type_table(sc, target)
+    from glossa.session import cut_lineage
+    sc = cut_lineage(S.stratified_split(lab, ["doc_id", "pos"], "label", TEST_FRACTION, SEED))
+    types = cut_lineage(BPE.type_table(sc, target))
     sums = M.lexical_token_sums(types, GRID_SIZES, "word").unionByName(M.lexical_token_sums(types, GRID_SIZES, "char"))
     return M.result_rows(M.text_stats(sc, target), sums).withColumn("run_path", F.lit(f"runs/{target}"))
 
@@ -619,3 +621,17 @@ def q_experiment_methods(spark, d):
     p = ExperimentParams(language=TARGET, tokenizer_methods=["bpe", "wordpiece", "unigram", "word", "char"],
                          vocab_sizes=[SUBWORD_SIZE], run_language_model=True, block_size=LM_BLOCK)
     return run_experiment(spark, paragraphs(spark, d), p).results
+
+
+@register("result_table")
+def q_result_table(spark, d):
+    """G1: the batch's result rows in the fixed column order (no LM columns in this batch)."""
+    _, res, _ = batch_tables(spark, d)
+    return G.result_table(res, with_lm=False)
+
+
+@register("compact_results")
+def q_compact_results(spark, d):
+    """Preferred columns that exist."""
+    _, res, _ = batch_tables(spark, d)
+    return G.compact(res.drop("tokenizer_path"))
