@@ -117,7 +117,7 @@ def force_decode(text) -> Column:
     for esc, rep in [(r"\\n", "\n"), (r"\\t", "\t"), (r"\\r", "\r"), (r"\\'", "'")]:
         decoded = F.regexp_replace(decoded, esc, rep)
     decoded = F.regexp_replace(decoded, r"\\\\", "\\\\")
-    is_literal = t.rlike(r"(?s)\Ab'.*'\z") & ~t.rlike(r"\\x([^0-9a-fA-F]|[0-9a-fA-F][^0-9a-fA-F]|[0-9a-fA-F]?\z)")
+    is_literal = t.startswith("b'") & t.endswith("'") & (F.length(t) >= 3) & ~t.rlike(r"\\x([^0-9a-fA-F]|[0-9a-fA-F][^0-9a-fA-F]|[0-9a-fA-F]?\z)")
     return F.when(t.isNotNull() & is_literal, decoded).otherwise(t)
 
 
@@ -127,7 +127,7 @@ def repair_entities(text) -> Column:
     ent = t
     for k, v in HTML_ENTITIES:
         ent = F.replace(ent, F.lit(k), F.lit(v))
-    return F.when(F.instr(t, "<") == 0, ent).otherwise(t)
+    return F.when((F.instr(t, "&") > 0) & (F.instr(t, "<") == 0), ent).otherwise(t)
 
 
 def repair_mojibake(text) -> Column:
@@ -140,37 +140,31 @@ def repair_mojibake(text) -> Column:
     return F.when(gate & fixed.isNotNull(), fixed).otherwise(t)
 
 
-def repair_ligatures(text) -> Column:
-    """B2 step 3: Latin ligatures (only texts that have one pay for the replaces)."""
+def repair_forms(text) -> Column:
+    """B2 steps 3-5: Latin ligatures, full-width forms and the ideographic space, curly quotes.
+    One character-class scan decides; only texts that have such a character pay for the rest."""
     t = _c(text)
     out = t
     for k, v in LIGATURES:
         out = F.replace(out, F.lit(k), F.lit(v))
-    return F.when(t.rlike("[" + "".join(k for k, _ in LIGATURES) + "]"), out).otherwise(t)
-
-
-def repair_width(text) -> Column:
-    """B2 step 4: full-width forms and the ideographic space to ASCII."""
-    t = _c(text)
     full = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u3000"
     half = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
-    return F.when(t.rlike(r"[\x{ff01}-\x{ff5e}\x{3000}]"), F.translate(t, full, half)).otherwise(t)
-
-
-def repair_quotes(text) -> Column:
-    """B2 step 5: curly quotes to straight ones."""
-    t = _c(text)
+    out = F.translate(out, full, half)
     q = SINGLE_QUOTES + DOUBLE_QUOTES
-    return F.when(t.rlike(f"[{q}]"), F.translate(t, q, "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES))).otherwise(t)
+    out = F.translate(out, q, "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES))
+    # the same characters as a few ranges (cheap to test per code point)
+    gate = r"[\x{132}\x{133}\x{2018}-\x{201f}\x{3000}\x{fb00}-\x{fb06}\x{ff01}-\x{ff5e}]"
+    return F.when(t.rlike(gate), out).otherwise(t)
 
 
 def repair_breaks(text) -> Column:
-    """B2 step 6: line breaks to LF, control characters removed."""
-    t = F.regexp_replace(_c(text), r"\r\n|[\r\x{85}\x{2028}\x{2029}]", "\n")
-    return F.regexp_replace(t, CONTROL_CHARS, "")
+    """B2 step 6: line breaks to LF, control characters removed (one scan decides)."""
+    t = _c(text)
+    out = F.regexp_replace(F.regexp_replace(t, r"\r\n|[\r\x{85}\x{2028}\x{2029}]", "\n"), CONTROL_CHARS, "")
+    return F.when(t.rlike(r"[\x{0}-\x{8}\x{b}-\x{1f}\x{7f}\x{85}\x{2028}\x{2029}\x{feff}]"), out).otherwise(t)
 
 
-REPAIR_STEPS = [repair_entities, repair_mojibake, repair_ligatures, repair_width, repair_quotes, repair_breaks]
+REPAIR_STEPS = [repair_entities, repair_mojibake, repair_forms, repair_breaks]
 
 
 def with_steps(df, col: str, steps) -> "DataFrame":  # noqa: F821
@@ -193,18 +187,20 @@ def repair_text_frame(df, col: str = "text"):
 
 
 def remove_escapes(text) -> Column:
-    """``\\x`` + hex run, then backslash + one ASCII alnum, then U+FFFD."""
-    t = F.regexp_replace(_c(text), ESCAPE_HEX, "")
-    t = F.regexp_replace(t, ESCAPE_ANY, "")
-    return F.regexp_replace(t, REPLACEMENT_CHAR, "")
+    """``\\x`` + hex run, then backslash + one ASCII alnum, then U+FFFD (gated by instr)."""
+    t = _c(text)
+    out = F.replace(F.regexp_replace(F.regexp_replace(t, ESCAPE_HEX, ""), ESCAPE_ANY, ""),
+                    F.lit(REPLACEMENT_CHAR), F.lit(""))
+    return F.when((F.instr(t, "\\") > 0) | (F.instr(t, REPLACEMENT_CHAR) > 0), out).otherwise(t)
 
 
 def remove_markers(text) -> Column:
     """Wiki40B markers, one replace per marker, in the fixed order."""
     t = _c(text)
+    out = t
     for m in WIKI_MARKERS:
-        t = F.replace(t, F.lit(m), F.lit(""))
-    return t
+        out = F.replace(out, F.lit(m), F.lit(""))
+    return F.when(F.instr(t, "_") > 0, out).otherwise(t)
 
 
 def cjk_filter(text, lang) -> Column:

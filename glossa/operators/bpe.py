@@ -41,6 +41,7 @@ UNK = "<unk>"
 CONT = "##"  # WordPiece continuation prefix
 
 SLICES = ["train", "test_all", "test_en", "test_target"]
+MAX_NEIGHBOURS = 4096
 
 
 def type_table(corpus: DataFrame, target_lang: str, text_col: str = "text") -> DataFrame:
@@ -99,7 +100,11 @@ def pair_counts(state: DataFrame, neighbours: bool = False) -> DataFrame:
     aggs = [F.sum("train_freq").alias("count")]
     if neighbours:
         aggs += [F.collect_set("p.x").alias("xs"), F.collect_set("p.y").alias("ys")]
-    return pairs.groupBy(F.col("p.l").alias("left"), F.col("p.r").alias("right")).agg(*aggs)
+    g = pairs.groupBy(F.col("p.l").alias("left"), F.col("p.r").alias("right")).agg(*aggs)
+    if neighbours:  # what reaches the driver is bounded: an oversized set comes back as NULL
+        g = g.select("left", "right", "count",
+                     *[F.when(F.size(c) <= MAX_NEIGHBOURS, F.col(c)).alias(c) for c in ("xs", "ys")])
+    return g
 
 
 def merged_symbol(left: str, right: str, wordpiece: bool) -> str:
@@ -109,24 +114,30 @@ def merged_symbol(left: str, right: str, wordpiece: bool) -> str:
 
 
 def choose_batch(cands: list[tuple[int, str, str]], vocab: set[str], budget: int, min_frequency: int,
-                 wordpiece: bool, complete: bool, chains: set[tuple[str, str, str]] | None = None
+                 wordpiece: bool, complete: bool, chains: set[tuple[str, str, str]] | None = None,
+                 neighbours: dict[tuple[str, str], tuple[list[str], list[str]]] | None = None
                  ) -> list[tuple[str, str, str, int]]:
     """Longest prefix that one-at-a-time greedy BPE would take next; see the module docstring.
 
-    ``cands`` is sorted by (count desc, left, right). ``complete`` says the list holds every
-    pair (so the pair after the last one has count 0). ``budget`` = vocabulary rows still
-    allowed before the next snapshot size; only new strings use it.
-
-    ``chains`` holds the symbol triples (x, a, b) that occur in train words. Two pairs only
-    interact when they chain through such a triple ((x,a) then (a,b)); without ``chains``
-    every shared symbol is treated as a conflict.
+    ``cands`` is sorted by (count desc, left, right); ``complete`` says it holds every pair.
+    ``budget`` = vocabulary rows still allowed before the next snapshot size (only new
+    strings use it). ``chains`` holds the triples (x, a, b) that occur in train words: two
+    pairs interact only when they chain through one; without it any shared symbol is a
+    conflict. Existing pairs outside the batch can only lose occurrences, so they never
+    overtake a batch member; the danger is a pair *created* by an earlier merge. With
+    ``neighbours`` ((a,b) -> left and right neighbour symbols) each created pair (x, ab) is
+    bounded by count(x, a) and (ab, y) by count(b, y), and a member is accepted only when it
+    beats every such bound. Without it, the batch must end where the count strictly drops.
     """
+    cnt = {(l, r): c for c, l, r in cands}
+    floor = 0 if complete else (cands[-1][0] if cands else 0)
     batch: list[tuple[str, str, str, int]] = []
     made: set[str] = set()
     by_left: dict[str, list[str]] = {}
     by_right: dict[str, list[str]] = {}
     used: set[str] = set()
     new_rows = 0
+    bound = -1
     for i, (c, l, r) in enumerate(cands):
         if c < min_frequency or new_rows >= budget:
             break
@@ -137,21 +148,37 @@ def choose_batch(cands: list[tuple[int, str, str]], vocab: set[str], budget: int
             else:
                 # (l, r) after an accepted (x, l): triple x l r; before an accepted (r, y): l r y;
                 # and with itself when l == r: l l l
-                if any((x, l, r) in chains for x in by_right.get(l, ())) or \
-                   any((l, r, y) in chains for y in by_left.get(r, ())) or \
-                   (l == r and (l, l, l) in chains):
+                def unknown(p, q):  # p's right and q's left neighbour sets both oversized
+                    return neighbours is not None and neighbours.get(p, (None, None))[1] is None \
+                        and neighbours.get(q, (None, None))[0] is None
+                if any((x, l, r) in chains or unknown((x, l), (l, r)) for x in by_right.get(l, ())) or \
+                   any((l, r, y) in chains or unknown((l, r), (r, y)) for y in by_left.get(r, ())) or \
+                   (l == r and ((l, l, l) in chains or unknown((l, l), (l, l)))):
                     break
+            if neighbours is not None and c <= bound:
+                break
         m = merged_symbol(l, r, wordpiece)
         batch.append((l, r, m, c))
         used.update((l, r))
         by_left.setdefault(l, []).append(r)
         by_right.setdefault(r, []).append(l)
+        if neighbours is not None:
+            xs, ys = neighbours.get((l, r), (None, None))
+            if xs is None or ys is None:
+                bound = float("inf")  # unknown neighbours: nothing after this pair is safe
+            else:
+                for x in xs:
+                    bound = max(bound, cnt.get((x, l), floor))
+                for y in ys:
+                    bound = max(bound, cnt.get((r, y), floor))
         if chains is None and l == r:
             break
         if m in vocab or m in made:
             break  # not a new string: take it, but it ends the batch
         made.add(m)
         new_rows += 1
+    if neighbours is not None:
+        return batch
     # the strict-count condition against the first pair left out
     k = len(batch)
     while k > 1:
@@ -245,12 +272,15 @@ def train_merges(types: DataFrame, vocab_sizes: Sequence[int], method: str = "bp
             if not cands or cands[0][0] < min_frequency:
                 done = True
                 break
-            chains = set()
+            chains, neigh = set(), {}
             for r in pc[:top_n]:
-                chains.update((x, r["left"], r["right"]) for x in r["xs"])
-                chains.update((r["left"], r["right"], y) for y in r["ys"])
-            head, complete = cands[:top_n], len(cands) <= top_n
-            batch = choose_batch(head, vocab_set, target - len(vocab), min_frequency, wordpiece, complete, chains=chains)
+                chains.update((x, r["left"], r["right"]) for x in (r["xs"] or ()))
+                chains.update((r["left"], r["right"], y) for y in (r["ys"] or ()))
+                neigh[(r["left"], r["right"])] = (r["xs"], r["ys"])
+            complete = len(cands) <= top_n
+            # pairs beyond the list are bounded by the last count in it (a safe over-estimate)
+            batch = choose_batch(cands[:top_n], vocab_set, target - len(vocab), min_frequency, wordpiece, complete,
+                                 chains=chains, neighbours=neigh)
             for l, r, m, c in batch:
                 rank += 1
                 res.merges.append((rank, l, r, m, c))

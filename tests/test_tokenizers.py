@@ -81,3 +81,15 @@ def test_unigram_training_small(spark):
     assert chars <= {p for p, _ in pieces}
     sums = W.unigram_sums(types, pieces).collect()[0]
     assert sums["token_chars_test_all"] == sum(len(w) * f for w, f, *_ in rows)
+
+
+def test_batched_bpe_with_bounded_neighbour_sets(spark, monkeypatch):
+    """Oversized neighbour sets reach the driver as NULL; batching stays exact (just smaller)."""
+    monkeypatch.setattr(B, "MAX_NEIGHBOURS", 2)
+    rnd = random.Random(11)
+    words = Counter("".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 6))) for _ in range(200))
+    rows = [(w, f, f, 0, 0) for w, f in words.items()]
+    types = spark.createDataFrame(rows, "word string, train_freq long, test_all_freq long, test_en_freq long, test_target_freq long")
+    tr = B.train_merges(types, [30], "bpe")
+    merges, vocab, _ = greedy_bpe(words, 30)
+    assert [(l, r) for _, l, r, _, _ in tr.merges] == merges and tr.vocab == vocab
