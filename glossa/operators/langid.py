@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.functions import text as T
+from glossa.operators.sampling import top_k as top_k_rows
 
 MAX_N = 3
 TOP_K = 1000
@@ -38,8 +39,10 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", t
     """Model table (lang, gram, count, rank, logp, unseen, prior)."""
     g = labelled.select(F.col(lang_col).alias("lang"), F.explode(grams(F.col(text_col))).alias("gram"))
     counts = g.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("count"))
-    w = Window.partitionBy("lang").orderBy(F.desc("count"), "gram")
-    top = counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k)
+    # exact top-k per language without ranking a whole language's gram table in one task;
+    # ranks are then numbered within the (bounded) kept set
+    kept = top_k_rows(counts, ["lang"], "count", "gram", top_k)
+    top = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "gram")))
     tot = top.groupBy("lang").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("v"))
     docs = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("d"))
     one = F.lit(1).alias("_one")

@@ -104,7 +104,8 @@ def lexical_token_sums(types: DataFrame, vocab_sizes, method: str, n_special: in
     # vocabulary = top-k units by train frequency: a distributed top-k bounded by max(V),
     # then ranks over that bounded set
     kmax = max(int(v) for v in vocab_sizes) - n_special
-    top = inv.orderBy(F.desc("uf"), "unit").limit(max(kmax, 0))
+    from glossa.operators.sampling import top_k
+    top = top_k(inv, [], "uf", "unit", max(kmax, 0))
     ranked = top.withColumn("rk", F.row_number().over(Window.orderBy(F.desc("uf"), "unit")))
     per_unit = units.groupBy("unit").agg(*[F.sum(f"{s}_freq").alias(f"{s}_freq") for s in
                                            ["test_all", "test_en", "test_target"]])

@@ -192,3 +192,38 @@ def mixture_grid(samples: DataFrame, languages: Sequence[str], ratios: dict[str,
         F.when(F.col("status") == "created", F.col("total")).otherwise(F.lit(0)).alias("n_texts"),
         "status", F.coalesce("error", F.lit("")).alias("error"))
     return mixtures, manifest
+
+
+# ---------------------------------------------------------------------------
+# Top-k by score
+# ---------------------------------------------------------------------------
+
+def prefix_bucket(col: str) -> Column:
+    """First two UTF-8 bytes as an int: monotone in Spark's (byte-wise) string order."""
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(col), "UTF-8"), 1, 2)), 4, "0"), 16, 10).cast("int")
+
+
+def top_k(df: DataFrame, group: Sequence[str], score: str, tie: str, k: int) -> DataFrame:
+    """The ``k`` rows with the highest ``score`` per group, ties by ``tie`` ascending -- exactly,
+    without a window over a whole group or a k x partitions merge in one task.
+
+    A histogram of score values per group (small: one row per distinct score) locates the
+    threshold score; rows above it pass, rows below do not, and only the rows *at* the
+    threshold go through exact-k in ``tie`` order.
+    """
+    group = list(group)
+    hist = df.groupBy(*group, score).agg(F.count(F.lit(1)).alias("_n"))
+    w = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))).orderBy(F.desc(score))
+    hist = hist.withColumn("_above", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    thr = (hist.filter((F.col("_above") < k) & (F.col("_above") + F.col("_n") >= k))
+               .select(*group, F.col(score).alias("_thr"), (F.lit(k) - F.col("_above")).alias("k")))
+    one = [] if group else [F.lit(1).alias("_g")]
+    keys = group if group else ["_g"]
+    d = df.select("*", *one)
+    t = thr.select("*", *one)
+    # one row per group: bounded by the number of groups (languages, or one)
+    j = d.join(F.broadcast(t), keys, "left")
+    above = j.filter(F.col("_thr").isNull() | (F.col(score) > F.col("_thr")))
+    at = j.filter(F.col(score) == F.col("_thr")).withColumn("_b", prefix_bucket(tie))
+    at = first_k(at, keys, [tie], "_b", t.select(*keys, "k")).drop("_b")
+    return above.unionByName(at).drop("_thr", "k", *(["_g"] if not group else []))

@@ -183,7 +183,9 @@ def seed_pieces(types: DataFrame, seed_size: int) -> DataFrame:
     subs = subs.select(F.substring("word", F.col("i"), F.col("len")).alias("piece"), "len", "train_freq")
     counts = subs.groupBy("piece", "len").agg(F.sum("train_freq").alias("count"))
     chars = counts.filter(F.col("len") == 1)
-    multi = counts.filter(F.col("len") > 1).orderBy(F.desc(F.col("count") * F.col("len")), "piece").limit(seed_size)
+    from glossa.operators.sampling import top_k
+    scored = counts.filter(F.col("len") > 1).withColumn("_s", F.col("count") * F.col("len"))
+    multi = top_k(scored, [], "_s", "piece", seed_size).drop("_s")
     return chars.unionByName(multi).select("piece", F.col("count").cast("double").alias("count"), "len")
 
 

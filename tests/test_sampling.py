@@ -57,3 +57,17 @@ def test_mixture_counts(spark):
     cells = spark.createDataFrame([(1000, 0.1), (900, 0.1), (1000, 50.0)], "total long, target_percent double")
     got = [(r.target_count, r.english_count) for r in S.mixture_quotas(cells).collect()]
     assert got == [(1, 999), (0, 900), (500, 500)]
+
+
+def test_top_k_matches_sort(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice("xy"), "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 3))) + str(i), rnd.randint(1, 5))
+            for i in range(2000)]
+    df = spark.createDataFrame(rows, "g string, w string, c long")
+    got = S.top_k(df, ["g"], "c", "w", 37).collect()
+    for g in "xy":
+        exp = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1].encode()))[:37]
+        assert sorted((r.w for r in got if r.g == g)) == sorted(r[1] for r in exp)
+    glob = S.top_k(df, [], "c", "w", 100).collect()
+    exp = sorted(rows, key=lambda r: (-r[2], r[1].encode()))[:100]
+    assert sorted(r.w for r in glob) == sorted(r[1] for r in exp)
