@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions import text as T
 from glossa.operators.bpe import CONT, SLICES, SPECIAL_TOKENS, UNK
+from glossa.session import ship_package
 
 META = "▁"  # fixed value: Unigram word-start marker
 MAX_PIECE_LEN = 16
@@ -47,6 +48,7 @@ def wordpiece_tokens(word: str, vocab: set[str]) -> list[str]:
 
 def _encode_sums(types: DataFrame, vocab: Sequence[str], encoder) -> DataFrame:
     """Per-slice token totals for an encoder run once per distinct word."""
+    ship_package(types.sparkSession)
     vb = types.sparkSession.sparkContext.broadcast(frozenset(vocab))
     freq_cols = [f"{s}_freq" for s in SLICES]
 
@@ -74,6 +76,7 @@ def wordpiece_sums(types: DataFrame, vocab: Sequence[str]) -> DataFrame:
 
 def wordpiece_encode(types: DataFrame, vocab: Sequence[str]) -> DataFrame:
     """(word, tokens array<string>) for every distinct word."""
+    ship_package(types.sparkSession)
     vb = types.sparkSession.sparkContext.broadcast(frozenset(vocab))
 
     def run(it):
@@ -195,6 +198,7 @@ def train_unigram(types: DataFrame, vocab_size: int, seed_factor: int = 8, em_it
     n_keep = vocab_size - len(SPECIAL_TOKENS)
     if types.filter(F.col("train_freq") > 0).limit(1).count() == 0:
         raise ValueError("cannot train a tokenizer: the training sample is empty")
+    ship_package(types.sparkSession)
     seeds = seed_pieces(types, max(seed_factor * vocab_size, 1000)).collect()
     chars = {r["piece"] for r in seeds if r["len"] == 1}
     counts = {r["piece"]: r["count"] for r in seeds}
@@ -245,6 +249,7 @@ def train_unigram(types: DataFrame, vocab_size: int, seed_factor: int = 8, em_it
 def unigram_sums(types: DataFrame, pieces: Sequence[tuple[str, float]]) -> DataFrame:
     logp = dict(pieces)
     unk_penalty = min(logp.values()) - 10.0 if logp else -10.0
+    ship_package(types.sparkSession)
     vb = types.sparkSession.sparkContext.broadcast(logp)
     freq_cols = [f"{s}_freq" for s in SLICES]
 
@@ -269,6 +274,7 @@ def unigram_sums(types: DataFrame, pieces: Sequence[tuple[str, float]]) -> DataF
 def unigram_encode(types: DataFrame, pieces: Sequence[tuple[str, float]]) -> DataFrame:
     logp = dict(pieces)
     unk_penalty = min(logp.values()) - 10.0 if logp else -10.0
+    ship_package(types.sparkSession)
     vb = types.sparkSession.sparkContext.broadcast(logp)
 
     def run(it):

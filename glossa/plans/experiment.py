@@ -73,7 +73,17 @@ def prepare(paragraphs: DataFrame, p: ExperimentParams, detected: str = "lang")
     return cut_lineage(s)
 
 
+SUM_COLUMNS = ["method", "vocab_size"] + [f"{k}_test_{s}" for s in ("all", "en", "target") for k in ("tokens", "token_chars")]
+
+
 def _token_sums(method: str, types: DataFrame, utypes: DataFrame | None, sizes: list[int]) -> DataFrame:
+    """Slice token totals for one method at every size, in the common column layout."""
+    return _method_sums(method, types, utypes, sizes).select(
+        F.col("method"), F.col("vocab_size").cast("int").alias("vocab_size"),
+        *[F.col(c).cast("long").alias(c) for c in SUM_COLUMNS[2:]])
+
+
+def _method_sums(method: str, types: DataFrame, utypes: DataFrame | None, sizes: list[int]) -> DataFrame:
     spark = types.sparkSession
     if method in ("word", "char"):
         return M.lexical_token_sums(types, sizes, method)

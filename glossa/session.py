@@ -76,3 +76,21 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     sc = df.sparkSession.sparkContext
     want = min_partitions or sc.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``glossa`` importable in Python workers (mapInPandas helpers) by shipping the
+    package as a zip with ``addPyFile``; once per SparkContext."""
+    import shutil
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="glossa-pyfiles-")
+    zpath = shutil.make_archive(os.path.join(out, "glossa"), "zip", os.path.dirname(pkg), os.path.basename(pkg))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(key)
