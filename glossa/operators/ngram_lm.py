@@ -36,7 +36,7 @@ def ngrams(blk: DataFrame, order: int) -> DataFrame:
     idx = F.sequence(F.lit(2), F.size("block"))  # 1-based positions 2..n are predicted
 
     def gram(i):
-        fields = [F.element_at("block", i).alias("w")]
+        fields = [F.element_at("block", i).alias("w"), (i == 2).alias("first")]
         for k in range(1, order):
             fields.append(F.when(i - k >= 1, F.element_at("block", F.greatest(i - k, F.lit(1)))).alias(f"c{k}"))
         return F.struct(*fields)
@@ -89,11 +89,11 @@ def evaluate(grams: DataFrame, order: int, slices: dict[str, Column]) -> DataFra
     if total_n == 0:  # no train block, nothing to learn from
         raise ValueError("language model: the train side has no block of two or more tokens")
     scored = score(grams, counts, order, vocab_n, total_n)
-    blk_id = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("pos").cast("string"), F.col("block_no").cast("string"))
     aggs = []
     for name, cond in slices.items():
+        # every block has exactly one first predicted position: counting those counts blocks
         aggs += [F.avg(F.when(cond, F.col("nll"))).alias(f"_loss_{name}"),
-                 F.count_distinct(F.when(cond, blk_id)).alias(f"_blocks_{name}")]
+                 F.count_if(cond & F.col("first")).alias(f"_blocks_{name}")]
     r = scored.agg(*aggs)
     return r
 
