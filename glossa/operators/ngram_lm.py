@@ -119,3 +119,23 @@ def standard_slices(target_lang: str) -> dict[str, Column]:
     sp, lab = F.col("split"), F.col("label")
     return {"train": sp == "train", "test": sp == "test", "en": (sp == "test") & (lab == "en"),
             "target": (sp == "test") & (lab == target_lang)}
+
+
+def token_sequences(split_corpus: DataFrame, word_tokens: DataFrame, words_of) -> DataFrame:
+    """Per paragraph token ids for a tokenizer given as (word, tokens array<string>).
+
+    The paragraph's words are exploded with their position, joined to the (distributed) word
+    table -- a shuffle join on word, hot words split by AQE's skew handling -- and regrouped
+    per paragraph. A paragraph was one input row, so its group is bounded by that row.
+    """
+    w = split_corpus.select("doc_id", "pos", "split", "label", F.posexplode(words_of(F.col("text"))).alias("wp", "word"))
+    j = w.join(word_tokens, "word", "left")
+    toks = F.coalesce(F.col("tokens"), F.array(F.lit("<unk>")))
+    g = j.groupBy("doc_id", "pos", "split", "label").agg(F.array_sort(F.collect_list(F.struct("wp", toks.alias("t")))).alias("s"))
+    return g.select("doc_id", "pos", "split", "label", F.flatten(F.transform("s", lambda e: e["t"])).alias("ids"))
+
+
+def lm_for_tokens(seqs: DataFrame, block_size: int, order: int, target_lang: str) -> DataFrame:
+    """F1-F5 on token sequences: one LM record row."""
+    g = ngrams(blocks(seqs, "ids", block_size), order)
+    return lm_record(evaluate(g, order, standard_slices(target_lang)))

@@ -76,32 +76,42 @@ def prepare(paragraphs: DataFrame, p: ExperimentParams, detected: str = "lang")
 SUM_COLUMNS = ["method", "vocab_size"] + [f"{k}_test_{s}" for s in ("all", "en", "target") for k in ("tokens", "token_chars")]
 
 
-def _token_sums(method: str, types: DataFrame, utypes: DataFrame | None, sizes: list[int]) -> DataFrame:
+def _token_sums(method: str, types: DataFrame, utypes: DataFrame | None, sizes: list[int],
+                keep: dict | None = None) -> DataFrame:
     """Slice token totals for one method at every size, in the common column layout."""
-    return _method_sums(method, types, utypes, sizes).select(
+    return _method_sums(method, types, utypes, sizes, keep).select(
         F.col("method"), F.col("vocab_size").cast("int").alias("vocab_size"),
         *[F.col(c).cast("long").alias(c) for c in SUM_COLUMNS[2:]])
 
 
-def _method_sums(method: str, types: DataFrame, utypes: DataFrame | None, sizes: list[int]) -> DataFrame:
+def _method_sums(method: str, types: DataFrame, utypes: DataFrame | None, sizes: list[int],
+                 keep: dict | None = None) -> DataFrame:
+    """Token totals per size; ``keep`` collects (method, size) -> (word, tokens) tables for the LM."""
     spark = types.sparkSession
     if method in ("word", "char"):
         return M.lexical_token_sums(types, sizes, method)
     out = None
     if method == "bpe":
-        tr = BPE.train_merges(types, sizes, "bpe")
+        tr = BPE.train_merges(types, sizes, "bpe", keep_states=keep is not None)
+        if keep is not None:
+            for v, st in tr.states.items():
+                keep[("bpe", v)] = st.select("word", F.split(F.trim(F.col("seg")), "  ").alias("tokens"))
         for v, snap in tr.snapshots.items():
             row = snap.select(F.lit("bpe").alias("method"), F.lit(v).alias("vocab_size"), "*")
             out = row if out is None else out.unionByName(row)
     elif method == "wordpiece":
         tr = BPE.train_merges(types, sizes, "wordpiece")
         for v in sorted(set(sizes)):
+            if keep is not None:
+                keep[("wordpiece", v)] = cut_lineage(W.wordpiece_encode(types, tr.vocab[:v]))
             row = W.wordpiece_sums(types, tr.vocab[:v]).select(F.lit("wordpiece").alias("method"),
                                                                F.lit(v).alias("vocab_size"), "*")
             out = row if out is None else out.unionByName(row)
     elif method == "unigram":
         for v in sorted(set(sizes)):
             pieces = W.train_unigram(utypes, v)
+            if keep is not None:
+                keep[("unigram", v)] = cut_lineage(W.unigram_encode(utypes, pieces))
             row = W.unigram_sums(utypes, pieces).select(F.lit("unigram").alias("method"), F.lit(v).alias("vocab_size"), "*")
             out = row if out is None else out.unionByName(row)
     return cut_lineage(spark.createDataFrame(out.collect(), out.schema))  # a handful of rows
@@ -114,6 +124,36 @@ def lm_record_for_words(split: DataFrame, p: ExperimentParams) -> DataFrame:
     return LM.lm_record(LM.evaluate(g, p.lm_order, LM.standard_slices(p.language)))
 
 
+def _word_tokens(method: str, types: DataFrame) -> DataFrame:
+    """Word-level and char-level tokenizers as (word, tokens) tables (vocabulary misses -> <unk>
+    are not modelled here: the LM sees the units themselves)."""
+    if method == "word":
+        return types.select("word", F.array(F.col("word")).alias("tokens"))
+    return types.select("word", F.regexp_extract_all(F.col("word"), F.lit(r"(?s)."), 0).alias("tokens"))
+
+
+def lm_records(spark: SparkSession, split: DataFrame, types: DataFrame, keep: dict, sums: DataFrame,
+               p: ExperimentParams) -> DataFrame:
+    """F per grid cell on that cell's own tokens; a failing cell gets no LM columns."""
+    cells = [(r["method"], int(r["vocab_size"])) for r in sums.select("method", "vocab_size").collect()]
+    out = None
+    for method, v in cells:
+        if method == "unigram":
+            words_of = lambda t: F.transform(  # noqa: E731 - whitespace words with the marker
+                F.regexp_extract_all(t, F.lit(f"[^{T.WS_CHARS}]+"), 0), lambda w: F.concat(F.lit(W.META), w))
+        else:
+            words_of = T.pretokens
+        table = keep.get((method, v)) if method not in ("word", "char") else _word_tokens(method, types)
+        if table is None:
+            continue
+        seqs = LM.token_sequences(split, table, words_of)
+        rec = LM.lm_for_tokens(seqs, p.block_size, p.lm_order, p.language).select(
+            F.lit(method).alias("method"), F.lit(v).alias("vocab_size"), "*")
+        rec = spark.createDataFrame(rec.collect(), rec.schema)  # one row per cell
+        out = rec if out is None else out.unionByName(rec)
+    return out
+
+
 def run_experiment(spark: SparkSession, paragraphs: DataFrame, p: ExperimentParams) -> ExperimentResult:
     p.validate()
     split = prepare(paragraphs, p)
@@ -125,9 +165,10 @@ def run_experiment(spark: SparkSession, paragraphs: DataFrame, p: ExperimentPara
     utypes = cut_lineage(W.unigram_type_table(split, p.language)) if "unigram" in p.tokenizer_methods else None
     text_stats = cut_lineage(M.text_stats(split, p.language))
     sums, errors = None, []
+    keep: dict | None = {} if p.run_language_model else None
     for method in p.tokenizer_methods:
         try:
-            s = _token_sums(method, types, utypes, list(p.vocab_sizes))
+            s = _token_sums(method, types, utypes, list(p.vocab_sizes), keep)
             sums = s if sums is None else sums.unionByName(s)
         except Exception as e:  # noqa: BLE001 - a failing cell is recorded, the grid goes on
             errors += [(f"{method}/vocab_{v}", repr(e)) for v in p.vocab_sizes]
@@ -137,8 +178,8 @@ def run_experiment(spark: SparkSession, paragraphs: DataFrame, p: ExperimentPara
         return ExperimentResult(empty, err_df, stats, empty, "failed")
     rows = M.result_rows(text_stats, sums)
     if p.run_language_model:
-        lm = lm_record_for_words(split, p)
-        rows = rows.select("*", F.lit(1).alias("_one")).join(lm.select("*", F.lit(1).alias("_one")), "_one").drop("_one")
+        lm = lm_records(spark, split, types, keep, sums, p)
+        rows = rows.join(lm, ["method", "vocab_size"], "left")
     rows = G.result_table(rows, p.run_language_model)
     n_rows = rows.count()
     status = "completed" if n_rows and not errors else ("partially_completed" if n_rows else "failed")
