@@ -51,13 +51,16 @@ def flag_first_k(df: DataFrame, strata: Sequence[str], order: Sequence[str], buc
     ``order``. Rows of strata missing from ``quota`` get k = 0.
     """
     strata = list(strata)
+    if not strata:  # one stratum: key it explicitly (no cross join anywhere)
+        q = quota if isinstance(quota, int) else quota.withColumn("_g", F.lit(1))
+        return flag_first_k(df.withColumn("_g", F.lit(1)), ["_g"], order, bucket, q, flag).drop("_g")
     counts = df.groupBy(*strata, bucket).agg(F.count(F.lit(1)).alias("_n"))
     if isinstance(quota, int):
         counts = counts.withColumn("_k", F.lit(quota).cast("long"))
     else:
         q = quota.select(*strata, F.col("k").cast("long").alias("_k"))
         counts = counts.join(F.broadcast(q), strata, "left").withColumn("_k", F.coalesce("_k", F.lit(0).cast("long")))
-    w = Window.partitionBy(*strata).orderBy(bucket) if strata else Window.orderBy(bucket)
+    w = Window.partitionBy(*strata).orderBy(bucket)
     cum = counts.withColumn("_incl", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     cut = (cum.filter((F.col("_incl") >= F.col("_k")) & (F.col("_k") > 0))
               .groupBy(*strata)
@@ -70,7 +73,7 @@ def flag_first_k(df: DataFrame, strata: Sequence[str], order: Sequence[str], buc
                      F.when(F.col("_kk") <= 0, F.lit(-1)).otherwise(F.coalesce("_cut", F.lit(_BIG))).alias("_cut"),
                      F.coalesce("_need", F.lit(0)).alias("_need")))
     # one row per stratum: safe to broadcast
-    marked = df.join(F.broadcast(cut), strata, "left") if strata else df.crossJoin(F.broadcast(cut))
+    marked = df.join(F.broadcast(cut), strata, "left")
     rest = (marked.filter(F.col(bucket) != F.col("_cut"))
                   .withColumn(flag, F.col(bucket) < F.col("_cut")))
     edge = marked.filter(F.col(bucket) == F.col("_cut"))

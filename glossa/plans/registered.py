@@ -619,7 +619,7 @@ def q_experiment_methods(spark, d):
     """Entry 1 end to end: every method at one vocabulary size, with the word-level LM."""
     from glossa.plans.experiment import ExperimentParams, run_experiment
     p = ExperimentParams(language=TARGET, tokenizer_methods=["bpe", "wordpiece", "unigram", "word", "char"],
-                         vocab_sizes=[SUBWORD_SIZE], run_language_model=True, block_size=LM_BLOCK)
+                         vocab_sizes=[150], run_language_model=True, block_size=LM_BLOCK)
     return run_experiment(spark, paragraphs(spark, d), p).results
 
 
