@@ -541,3 +541,8 @@ from glossa.operators.rollup import COMPACT_COLUMNS as _CC  # noqa: E402
 
 ORACLE["result_table"] = f"WITH {BATCH_CTES} SELECT {', '.join(_RC)} FROM res"
 ORACLE["compact_results"] = f"WITH {BATCH_CTES} SELECT {', '.join(c for c in _CC if c in _RC)} FROM res"
+
+ORACLE["ratio_percent"] = f"""
+SELECT doc_id, r AS ratio,
+       CASE WHEN instr(r, '_') > 0 THEN TRY_CAST(string_split(r, '_')[-1] AS DOUBLE) END AS target_percent
+FROM (SELECT doc_id, [{', '.join(Q.q(x) for x in R.RATIO_NAMES)}][doc_id % {len(R.RATIO_NAMES)} + 1] AS r FROM documents)"""

@@ -635,3 +635,27 @@ def q_compact_results(spark, d):
     """Preferred columns that exist."""
     _, res, _ = batch_tables(spark, d)
     return G.compact(res.drop("tokenizer_path"))
+
+
+# Fixed derived ratio names for B15, valid and malformed.
+RATIO_NAMES = list(T.RATIOS_UNDERREPRESENTED) + list(T.RATIOS_TOKENIZER_TRAINING) + ["unknown", "a_b", "50", "x_7.5"]
+
+
+@register("ratio_percent")
+def q_ratio_percent(spark, d):
+    """B15 over a ratio name assigned to every document."""
+    docs = C.documents(spark, d)
+    r = F.element_at(F.array(*[F.lit(x) for x in RATIO_NAMES]), (F.col("doc_id") % len(RATIO_NAMES) + 1).cast("int"))
+    return docs.select("doc_id", r.alias("ratio"), T.ratio_target_percent(r).alias("target_percent"))
+
+
+@register("bpe_encode")
+def q_bpe_encode(spark, d):
+    """BPE tokens of every test word at the largest vocabulary size (the training state)."""
+    from glossa.session import cut_lineage
+    sc = split_corpus(spark, d)
+    types = cut_lineage(BPE.type_table(sc, TARGET))
+    tr = BPE.train_merges(types, [BPE_SIZES[-1]], "bpe", keep_states=True)
+    st = tr.states[BPE_SIZES[-1]].filter(F.col("test_all_freq") > 0)
+    toks = F.split(F.trim(F.col("seg")), "  ")
+    return st.select("word", F.size(toks).alias("n_tokens"), F.array_join(toks, " ").alias("tokens"))
