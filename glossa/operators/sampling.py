@@ -11,6 +11,7 @@ A stratum holding a third of all rows therefore costs the same as any other.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -51,9 +52,8 @@ def flag_first_k(df: DataFrame, strata: Sequence[str], order: Sequence[str], buc
     ``order``. Rows of strata missing from ``quota`` get k = 0.
     """
     strata = list(strata)
-    if not strata:  # one stratum: key it explicitly (no cross join anywhere)
-        q = quota if isinstance(quota, int) else quota.withColumn("_g", F.lit(1))
-        return flag_first_k(df.withColumn("_g", F.lit(1)), ["_g"], order, bucket, q, flag).drop("_g")
+    if not strata:
+        return _flag_first_k_single(df, order, bucket, quota, flag)
     counts = df.groupBy(*strata, bucket).agg(F.count(F.lit(1)).alias("_n"))
     if isinstance(quota, int):
         counts = counts.withColumn("_k", F.lit(quota).cast("long"))
@@ -82,6 +82,27 @@ def flag_first_k(df: DataFrame, strata: Sequence[str], order: Sequence[str], buc
     return rest.unionByName(edge).drop("_cut", "_need")
 
 
+def _flag_first_k_single(df: DataFrame, order: Sequence[str], bucket: str, quota: DataFrame | int,
+                         flag: str) -> DataFrame:
+    """One stratum: the cut (bucket, need) is two scalars, fetched to the driver and used as
+    literals -- no join at all."""
+    counts = df.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n"))
+    k = quota if isinstance(quota, int) else int(quota.first()["k"])
+    if k <= 0:
+        return df.withColumn(flag, F.lit(False))
+    w = Window.orderBy(bucket)  # over at most N_BUCKETS rows
+    cum = counts.withColumn("_incl", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    row = (cum.filter(F.col("_incl") >= k).orderBy(bucket).limit(1)
+              .select(F.col(bucket).alias("b"), (F.lit(k) - F.col("_incl") + F.col("_n")).alias("need")).collect())
+    if not row:  # k >= all rows
+        return df.withColumn(flag, F.lit(True))
+    cut, need = int(row[0]["b"]), int(row[0]["need"])
+    rest = df.filter(F.col(bucket) != cut).withColumn(flag, F.col(bucket) < cut)
+    edge = df.filter(F.col(bucket) == cut).withColumn(
+        flag, F.row_number().over(Window.partitionBy(bucket).orderBy(*order)) <= need)
+    return rest.unionByName(edge)
+
+
 def first_k(df: DataFrame, strata: Sequence[str], order: Sequence[str], bucket: str,
             quota: DataFrame | int) -> DataFrame:
     return flag_first_k(df, strata, order, bucket, quota, "_sel").filter("_sel").drop("_sel")
@@ -96,13 +117,11 @@ def random_split(df: DataFrame, key_cols: Sequence[str], test_fraction: float =
     Adds ``split`` ('train'/'test')."""
     h = md5_key(seed, *key_cols)
     d = df.withColumn("_h", h).withColumn("_b", md5_bucket(F.col("_h")))
-    n = d.agg(F.count(F.lit(1)).alias("n"))
-    quota = n.select(F.floor(F.col("n") * (F.lit(1.0) - F.lit(float(test_fraction)))).alias("k"))
-    d = d.withColumn("_all", F.lit(1))
-    quota = quota.withColumn("_all", F.lit(1))
-    out = flag_first_k(d, ["_all"], ["_h", *key_cols], "_b", quota, "_train")
+    n = d.count()  # a scalar for the cut index
+    k = int(math.floor(n * (1.0 - float(test_fraction))))
+    out = flag_first_k(d, [], ["_h", *key_cols], "_b", k, "_train")
     return (out.withColumn("split", F.when(F.col("_train"), "train").otherwise("test"))
-               .drop("_h", "_b", "_train", "_all"))
+               .drop("_h", "_b", "_train"))
 
 
 def stratified_split(df: DataFrame, key_cols: Sequence[str], label_col: str = "label",
