@@ -1,0 +1,12 @@
+"""Helpers of the pipeline's stages."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def keep_columns(result: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again, with ``n_chars`` following the text where there is such a column."""
+    cols = [F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return result.select(*cols)
