@@ -13,8 +13,10 @@ from pyspark.sql import types as T
 
 from glossa.session import cut_lineage, ensure_checkpoint_dir, ship_package
 
-#: Rows of text an Arrow batch holds: bounds a Python worker's memory for ordinary documents.
-TEXT_BATCH_ROWS = 512
+#: Rows and bytes of an Arrow batch: bound a Python worker's memory (a single longer text is a batch of its own).
+#: Each setting replaces Spark's default only, never a session's own choice.
+ARROW_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+                 "spark.sql.execution.arrow.maxBytesPerBatch": ("2147483647b", "16777216b")}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +27,9 @@ def prepare(spark: SparkSession) -> None:
     """Ship the package to Python workers and keep Arrow batches of text small."""
     ship_package(spark)
     ensure_checkpoint_dir(spark)
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
+    for key, (default, ours) in ARROW_BATCHES.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, ours)
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:

@@ -59,8 +59,9 @@ def dropped_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     """(doc, drops): the digests of the keys each document loses."""
     keys = store(map_docs(docs.select(F.col("doc_id").cast("long").alias("doc"), "text"), _keys(min_chars),
                           "doc long, h binary"))
-    common = (keys.groupBy("h").agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("keeper"))
-              .filter(F.col("n") >= min_docs).select("h", "keeper"))
+    # stored, so that both sides of the join are plain shuffles and a hot key can be split
+    common = store(keys.groupBy("h").agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("keeper"))
+                   .filter(F.col("n") >= min_docs).select("h", "keeper"))
     lost = keys.join(common, "h").filter(F.col("doc").isNull() | (F.col("doc") != F.col("keeper")))
     return lost.groupBy("doc").agg(F.collect_set("h").alias("drops"))
 

@@ -44,4 +44,20 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone)
 FROM j GROUP BY r
 """
 
-ORACLE = {"op1_quality_rules": OP1, "op7_line_dedup": OP7}
+_WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\pL\pN_]+')"
+
+# items of five words or more, as all items of the given tables are
+OP4 = rf"""
+WITH i AS (SELECT row_number() OVER () AS ir, item_id, {_WORDS} AS w FROM benchmark),
+ig AS (SELECT DISTINCT ir, item_id, array_to_string(w[k:k + 4], ' ') AS g
+       FROM (SELECT ir, item_id, w, unnest(range(1, len(w) - 3)) AS k FROM i)),
+ic AS (SELECT ir, count(*) AS n FROM ig GROUP BY ir),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+dg AS (SELECT DISTINCT r, doc_id, array_to_string(w[k:k + 4], ' ') AS g
+       FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM d))
+SELECT any_value(doc_id) AS doc_id, any_value(item_id) AS item_id, any_value(n) AS n_shingles, count(*) AS n_shared,
+  count(*) / any_value(n) AS containment
+FROM dg JOIN ig USING (g) JOIN ic USING (ir) GROUP BY r, ir HAVING 5 * count(*) >= 4 * any_value(n)
+"""
+
+ORACLE = {"op1_quality_rules": OP1, "op4_benchmark_decontamination": OP4, "op7_line_dedup": OP7}
