@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from glossa.llm import decontaminate, line_dedup, packing, quality_rules, simhash_trie, token_counts, toxicity
-from glossa.llm.common import read_table
+from glossa.llm import (decontaminate, html_extract, line_dedup, packing, quality_rules, simhash_trie, token_counts, toxicity,
+                        warc)
+from glossa.llm.common import read_table, shared_path
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +44,17 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(read_table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write_pages(read_table(spark, sf_dir, "pages"), path)
+    return warc.read_pages(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.classify(docs, read_table(spark, sf_dir, "labels"))
@@ -50,4 +62,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash_near_dedup, op3_best_fit_packing,
-                                   op4_benchmark_decontamination, op5_token_counts, op7_line_dedup, op10_toxicity)}
+                                   op4_benchmark_decontamination, op5_token_counts, op7_line_dedup, op8_html_extraction,
+                                   op9_warc, op10_toxicity)}
