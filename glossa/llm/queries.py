@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from glossa.llm import (decontaminate, html_extract, line_dedup, packing, quality_rules, simhash_trie, token_counts, toxicity,
-                        warc)
+from glossa.llm import (decontaminate, html_extract, line_dedup, packing, quality_rules, simhash_trie, suffix_dedup, token_counts,
+                        toxicity, warc)
 from glossa.llm.common import read_table, shared_path
 
 
@@ -38,6 +38,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup_substrings(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select(
@@ -62,5 +67,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash_near_dedup, op3_best_fit_packing,
-                                   op4_benchmark_decontamination, op5_token_counts, op7_line_dedup, op8_html_extraction,
+                                   op4_benchmark_decontamination, op5_token_counts, op6_suffix_array_dedup, op7_line_dedup, op8_html_extraction,
                                    op9_warc, op10_toxicity)}
