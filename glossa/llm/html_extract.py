@@ -36,6 +36,8 @@ from glossa.llm.common import map_docs, store
 THRESHOLD = 0.3
 #: Weights: undecided nodes, and nodes inside an article that aren't plain text elements.
 UNDECIDED, INSIDE = 0.5, 0.55
+#: Distinct pages of a host below which repetition says nothing.
+MIN_PAGES = 5
 #: Share of a node's own presentation in its importance; the rest is its content.
 PRESENTATION = 0.1
 
@@ -72,6 +74,10 @@ _SPLIT = re.compile(r"[^a-z]+")
 _DIGITS = re.compile(r"\d+")
 
 
+_ALL = (1 << 64) - 1
+_signed = lambda h: h - (1 << 64) if h >> 63 else h
+
+
 @dataclass
 class Node:
     """An open element."""
@@ -81,6 +87,7 @@ class Node:
     inside: bool  # within an article
     children: list[str] = field(default_factory=list)
     parent: Node | None = None
+    silent: bool = False  # its text is not read: it is removed, or it interrupts a block without being one
 
 
 class Labels(dict):
@@ -112,10 +119,10 @@ def _weight(tag: str, label: str, bad: bool, content: bool, parent: Node) -> tup
     return UNDECIDED, inside
 
 
-def parse(page: str, host: str, labels: Labels) -> Iterator[tuple[str, Node, str]]:
-    """("open" | "close", node, "") for every element, ("block", node, text) for every block of text, in page order. A block
-    belongs to the innermost element open where it began."""
-    root = Node("", xxhash.xxh3_64_intdigest(host), UNDECIDED, False)
+def parse(page: str, host: str, labels: Labels, gone: set[int] = frozenset()) -> Iterator[tuple[str, Node, str]]:
+    """("close", node, "") for every element, ("block", node, text) for every block of text, in page order, without the
+    branches in ``gone``. A block belongs to the innermost element open where it began."""
+    root = Node("", _signed(xxhash.xxh3_64_intdigest(host)), UNDECIDED, False)
     stack, text, owner = [root], [], root
     pos, n = 0, len(page)
 
@@ -130,7 +137,7 @@ def parse(page: str, host: str, labels: Labels) -> Iterator[tuple[str, Node, str
     def close(upto: int):
         while len(stack) > upto:
             node = stack.pop()
-            if node.tag in BLOCK or node.weight == 0:
+            if node.tag in BLOCK:
                 yield from flush()
             yield "close", node, ""
 
@@ -146,9 +153,9 @@ def parse(page: str, host: str, labels: Labels) -> Iterator[tuple[str, Node, str
         m = _TOKEN.match(page, pos)
         pos = m.end()
         if (part := m["text"]) is not None:
-            if not text and not part.isspace():
-                owner = stack[-1]
-            if text or not part.isspace():
+            if not stack[-1].silent and (text or not part.isspace()):
+                if not text:
+                    owner = stack[-1]
                 text.append(part)
             continue
         if m["name"] is None:
@@ -162,7 +169,8 @@ def parse(page: str, host: str, labels: Labels) -> Iterator[tuple[str, Node, str
                 yield from close(at)
             continue
         if tag == "br":
-            text.append(" ")
+            if text:
+                text.append(" ")
             continue
         if tag in BLOCK:
             yield from flush()
@@ -173,18 +181,15 @@ def parse(page: str, host: str, labels: Labels) -> Iterator[tuple[str, Node, str
         parent = stack[-1]
         label, bad, content = labels[tag, m["attrs"]]
         weight, inside = _weight(tag, label, bad, content, parent)
-        node = Node(tag, xxhash.xxh3_64_intdigest(label, parent.key), weight, inside, parent=parent)
-        if weight == 0:  # what comes before is not part of a removed branch
-            yield from flush()
         parent.children.append(tag)
         if tag in VOID:
             continue
-        yield "open", node, ""
-        if tag in RAW:
+        key = _signed(xxhash.xxh3_64_intdigest(label, parent.key & _ALL))
+        silent = parent.silent or key in gone or (weight == 0 and tag not in BLOCK)
+        node = Node(tag, key, weight, inside, parent=parent, silent=silent)
+        if tag in RAW:  # never text: go on behind it
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, pos)
             pos = end.start() if end else n
-            if tag in ("textarea", "title", "xmp"):
-                pass  # removed whatever it says
         stack.append(node)
     yield from flush()
     yield from close(1)
@@ -196,9 +201,6 @@ def host_of(url: str | None) -> str:
 
 # ---- the style tree -----------------------------------------------------------------------------
 
-_signed = lambda h: h - (1 << 64) if h >> 63 else h
-
-
 def _page_nodes(batches):
     """Pass one: the distinct nodes of each page, with their style, their own blocks and their ancestors."""
     labels = Labels()
@@ -206,6 +208,7 @@ def _page_nodes(batches):
         rows = []
         for page_id, url, page in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             nodes: dict[int, tuple[Node, list, set]] = {}
+            sid = _signed(xxhash.xxh3_64_intdigest(f"{host_of(url)}\0{page}"))
             for what, node, text in parse(page or "", host_of(url), labels):
                 if what == "close":
                     nodes.setdefault(node.key, (node, [], set()))[1].append(",".join(node.children))
@@ -214,39 +217,46 @@ def _page_nodes(batches):
             for key, (node, styles, blocks) in nodes.items():
                 up, at = [], node
                 while at.parent:
-                    up.append(_signed(at.key))
+                    up.append(at.key)
                     at = at.parent
                 style = _signed(xxhash.xxh3_64_intdigest("|".join(sorted(set(styles)))))
-                rows.append((page_id, _signed(key), node.weight, style, up, list(blocks)))
-        cols = list(zip(*rows)) or [()] * 6
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                rows.append((page_id, sid, key, node.weight, style, up, list(blocks)))
+        cols = list(zip(*rows)) or [()] * 7
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)],
-                                         names=["page_id", "node", "weight", "style", "up", "blocks"])
+                                         names=["page_id", "sid", "node", "weight", "style", "up", "blocks"])
+
+
+NODES = "page_id long, sid long, node long, weight double, style long, up array<long>, blocks array<long>"
 
 
-NODES = "page_id long, node long, weight double, style long, up array<long>, blocks array<long>"
+def page_nodes(page: DataFrame) -> DataFrame:
+    """Rows of ``NODES`` with share: one over the rows that hold the same page of the same host, so that copies of a page count
+    as one page."""
+    nodes = map_docs(page, _page_nodes, NODES)
+    roots = nodes.filter(F.size("up") == 1).groupBy("sid", "node").agg(F.count("*").alias("n")).filter("n > 1")
+    same = store(roots.groupBy("sid").agg(F.max("n").alias("n")))
+    return nodes.join(same, "sid", "left").select("page_id", "node", "weight", "style", "up", "blocks", (1 / F.coalesce("n", F.lit(1))).alias("share"))
 
 
-def importance(nodes: DataFrame) -> DataFrame:
+def importance(nodes: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(node, weight, importance) of every node of the style trees.
 
     With m pages at a node: presentation is the entropy (base m) of its styles; a block on n of them has entropy log_m n; content
-    is one minus the mean over the distinct blocks of the node's subtree. A node on a single page is fully important, and
-    a subtree without blocks has only its presentation."""
-    pages = nodes.groupBy("node").agg(F.count("*").alias("m"), F.max("weight").alias("weight"), F.first("up").alias("up"))
-    styles = nodes.groupBy("node", "style").agg(F.count("*").alias("n"))
-    spread = styles.groupBy("node").agg((F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias("bits"))
-    shared = nodes.select("node", F.explode("blocks").alias("block")).groupBy("node", "block").agg(F.count("*").alias("n"))
-    own = shared.groupBy("node").agg(F.count("*").alias("l"), F.sum(F.log("n")).alias("logs"))
-    pages = store(pages)
-    tree = (pages.join(own, "node").filter("m > 0")
-            .select(F.explode("up").alias("node"), "l", F.when(F.col("m") > 1, F.col("logs") / F.log("m")).otherwise(F.lit(0.0)).alias("h"))
+    is one minus the mean over the distinct blocks of the node's subtree. A node on fewer than ``min_pages`` pages
+    is fully important, and a subtree without blocks has only its presentation."""
+    n = F.sum("share").alias("n")
+    pages = store(nodes.groupBy("node").agg(F.sum("share").alias("m"), F.max("weight").alias("weight"), F.first("up").alias("up")))
+    spread = (nodes.groupBy("node", "style").agg(n).groupBy("node")
+              .agg((F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias("bits")))
+    own = (nodes.select("node", "share", F.explode("blocks").alias("block")).groupBy("node", "block").agg(n)
+           .groupBy("node").agg(F.count("*").alias("l"), F.sum(F.log("n")).alias("logs")))
+    enough = F.col("m") > min_pages - 0.5
+    tree = (pages.join(own, "node").select(F.explode("up").alias("node"), "l", F.when(enough, F.col("logs") / F.log("m")).otherwise(0.0).alias("h"))
             .groupBy("node").agg(F.sum("l").alias("l"), F.sum("h").alias("h")))
-    shown = F.when(F.col("m") > 1, F.col("bits") / F.log("m")).otherwise(F.lit(1.0))
-    said = 1 - F.col("h") / F.col("l")
-    return (pages.join(spread, "node").join(tree, "node", "left")
-            .select("node", "weight", F.when(F.col("l").isNull(), shown)
-                    .otherwise(PRESENTATION * shown + (1 - PRESENTATION) * said).alias("importance")))
+    shown, said = F.col("bits") / F.log("m"), 1 - F.col("h") / F.col("l")
+    value = F.when(~enough, 1.0).when(F.col("l").isNull(), shown).otherwise(PRESENTATION * shown + (1 - PRESENTATION) * said)
+    return pages.join(spread, "node").join(tree, "node", "left").select("node", "weight", value.alias("importance"))
 
 
 def _compress(batches):
@@ -263,14 +273,7 @@ def _extract(batches):
         texts = []
         for url, z, removed in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
             page = inflate.decompress(z).decode("utf-8", "replace") if z else ""
-            gone, kept, hidden = set(removed or ()), [], 0
-            for what, node, text in parse(page, host_of(url), labels):
-                if what == "open":
-                    hidden += _signed(node.key) in gone
-                elif what == "close":
-                    hidden -= _signed(node.key) in gone
-                elif not hidden:
-                    kept.append(text)
+            kept = [text for what, _, text in parse(page, host_of(url), labels, set(removed or ())) if what == "block"]
             texts.append("\n".join(kept))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
@@ -278,7 +281,7 @@ def _extract(batches):
 def extract_text(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(page_id, url, text): the main text of every page, a block a line."""
     page = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    nodes = store(map_docs(page, _page_nodes, NODES))
+    nodes = store(page_nodes(page))
     low = store(importance(nodes).filter(F.col("weight") * (1 + F.col("importance")) / 2 < threshold).select("node"))
     removed = (nodes.select("page_id", "node").join(low, "node").groupBy("page_id").agg(F.collect_set("node").alias("removed"))
                .withColumnRenamed("page_id", "at"))

@@ -22,6 +22,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import json
 import struct
 import uuid
@@ -177,7 +178,8 @@ def read_records(path: str, start: int = 0, end: int | None = None, wanted=lambd
             with gzip.GzipFile(fileobj=f) as g:
                 yield from _streamed(g, wanted, need_payload)
         elif size:
-            yield from _streamed(f, wanted, need_payload)
+            with io.BufferedReader(f) as g:
+                yield from _streamed(g, wanted, need_payload)
 
 
 # ---- the data source ----------------------------------------------------------------------------
@@ -237,6 +239,8 @@ class WarcReader(DataSourceReader):
         from pyspark.sql.pandas.types import to_arrow_schema
         kind = to_arrow_schema(self.types)
         rows, held = [], 0
+        if partition is None:  # Spark's stand-in where there are no partitions
+            return
         for row in read_records(partition.path, partition.start, partition.end, self._wanted, "payload" in self.names):
             rows.append({n: row.get(n) for n in self.names})
             held += 200 + len(row["payload"] or b"")
