@@ -52,10 +52,9 @@ def _cut(spec, capacity: int, end_id: int, with_ids: bool):
         step = 4 * capacity
         for b in batches:
             texts = [t or b"" for t in as_bytes(b.column(1))]
-            ids_of.learn({c for t in texts for c in t.split()})
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), texts, strict=True):
-                ids = ids_of.encode(text) + end
+            for doc, ids in zip(b.column(0).to_pylist(), ids_of.encode_all(texts), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at:at + step]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), part))

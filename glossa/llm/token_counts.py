@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm.common import map_docs
-from glossa.llm.tokens import CACHE_CHUNK_BYTES, CACHE_CHUNKS, load, read_tokenizer
+from glossa.llm.tokens import Generations, load, read_tokenizer
 
 RULES = ("first", "last", "most")
 SECTIONS = "doc_id long, section int, start long, end long, n_tokens long, n_crossing long"
 
 
-class SpanEncoder(dict):
+class SpanEncoder(Generations):
     """Token spans by pre-token, for tokenizers whose pre-tokenizer is ``pattern``: each pre-token is encoded by itself, so the
     spans of a text are those of its pre-tokens, shifted. Packed as 32-bit (start, end) pairs."""
 
@@ -39,13 +39,8 @@ class SpanEncoder(dict):
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.split = regex.compile(pattern).findall
 
-    def __missing__(self, piece: str) -> bytes:
-        spans = np.asarray(self.tokenizer.encode(piece, add_special_tokens=False).offsets, "<i4").tobytes()
-        if len(piece) <= CACHE_CHUNK_BYTES:
-            if len(self) >= CACHE_CHUNKS:
-                self.clear()
-            self[piece] = spans
-        return spans
+    def make(self, key: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(key, add_special_tokens=False).offsets, "<i4").tobytes()
 
     def spans(self, text: str) -> np.ndarray:
         """(tokens, 2): first character and the one after the last."""

@@ -8,12 +8,16 @@ dictionary look-up, so most of a corpus is encoded at the speed of ``bytes.split
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
-#: Chunks a cache may hold, and the longest chunk it keeps: together they bound a worker's memory.
-CACHE_CHUNKS = 400_000
+#: Chunks a generation of a cache may hold (two are kept), and the longest chunk it keeps: together they bound a
+#: worker's memory.
+CACHE_CHUNKS = 600_000
 CACHE_CHUNK_BYTES = 64
+#: Unseen chunks that are encoded as one text.
+LEARN_CHUNKS = 2000
 
 
 def read_tokenizer(path: str) -> str:
@@ -28,35 +32,72 @@ def load(spec: str):
     return Tokenizer.from_str(spec)
 
 
-class SpacedIds(dict):
-    """For tokenizers that drop white space: maps a chunk between ASCII white space to its ids, packed as
+class Generations(dict):
+    """A cache that forgets what it hasn't met since it was last full."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict = {}
+
+    def keep(self, key, value) -> None:
+        if len(self) >= CACHE_CHUNKS:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+    def make(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= CACHE_CHUNK_BYTES:
+            self.keep(key, found)
+        return found
+
+
+#: Punctuation between an ASCII letter and white space is a pre-token of its own: cut off, it leaves fewer distinct chunks.
+_TAIL = re.compile(rb"(?<=[A-Za-z])([!-&(-/:-@\[-`{-~]+)(?=\s|\Z)")
+
+
+class SpacedIds(Generations):
+    """For tokenizers that lower-case and drop white space: maps a chunk between ASCII white space to its ids, packed as
     little-endian unsigned 32-bit numbers."""
 
     def __init__(self, spec: str):
         super().__init__()
         self.tokenizer = load(spec)
 
-    def _pack(self, encoding) -> bytes:
-        return np.asarray(encoding.ids, "<u4").tobytes()
+    def make(self, key: bytes) -> bytes:
+        ids = self.tokenizer.encode(key.decode("utf-8", "replace"), add_special_tokens=False).ids
+        return np.asarray(ids, "<u4").tobytes()
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        ids = self._pack(self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False))
-        if len(chunk) <= CACHE_CHUNK_BYTES:
-            if len(self) >= CACHE_CHUNKS:
-                self.clear()
-            self[chunk] = ids
-        return ids
+    @staticmethod
+    def chunks(text: bytes) -> list[bytes]:
+        if b"<|" in text:  # may hold special tokens, which are found in the text as it is
+            return text.split()
+        return _TAIL.sub(rb" \1", text.lower()).split()
 
     def learn(self, chunks: set[bytes]) -> None:
-        """Encode unseen chunks together."""
-        new = [c for c in chunks if len(c) <= CACHE_CHUNK_BYTES and c not in self]
-        if len(self) + len(new) > CACHE_CHUNKS:
-            self.clear()
-            new = [c for c in chunks if len(c) <= CACHE_CHUNK_BYTES][:CACHE_CHUNKS]
-        texts = [c.decode("utf-8", "replace") for c in new]
-        for c, e in zip(new, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-            self[c] = self._pack(e)
+        """Encode unseen chunks together: as one text, cut up again by the offsets of its tokens."""
+        new = [c for c in chunks - self.keys() if c not in self.old and len(c) <= CACHE_CHUNK_BYTES]
+        for at in range(0, len(new), LEARN_CHUNKS):
+            part = new[at:at + LEARN_CHUNKS]
+            words = [c.decode("utf-8", "replace") for c in part]
+            encoded = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+            starts = np.cumsum([0, *(len(w) + 1 for w in words)])
+            ids = np.asarray(encoded.ids, "<u4").tobytes()
+            cuts = (4 * np.searchsorted([s for s, _ in encoded.offsets], starts)).tolist()
+            for c, s, e in zip(part, cuts, cuts[1:]):
+                self.keep(c, ids[s:e])
 
     def encode(self, text: bytes) -> bytes:
         """Ids of a text, packed."""
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self.__getitem__, self.chunks(text)))
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text; unseen chunks of all of them are encoded together."""
+        cut = [self.chunks(t) for t in texts]
+        self.learn(set().union(*cut))
+        return [b"".join(map(self.__getitem__, t)) for t in cut]
