@@ -6,11 +6,11 @@ windows with one key travels as one short string, its context. Then
 
 1. every key is counted over the corpus (only the distinct keys of a batch are shuffled), and keys met once are forgotten:
    their windows occur once;
-2. the contexts of the other keys are collected, equal ones as one row with their first place (a partial minimum, so a
-   passage in a third of all documents stays small), and a key with too many different contexts is split by a second
-   hash of the windows, and so on;
-3. contexts with a key meet in one task, where a suffix array is built by two-stage sorting; runs of adjacent suffixes with
-   a common prefix of ``WINDOW`` bytes are equal strings, and the earliest place of each is kept;
+2. the contexts of the other keys are collected, equal ones of a batch as one row with their first place (so a passage
+   in a third of all documents stays small); a key that is met very often is split by a second hash of the windows;
+3. contexts with a key meet in one task, where equal ones are one again and a suffix array is built by two-stage
+   sorting; runs of adjacent suffixes with a common prefix of ``WINDOW`` bytes are equal strings, and the earliest place
+   of each is kept;
 4. each document gets its kept windows back; its other windows with a repeated key are copies, and the bytes they
    cover go.
 
@@ -36,14 +36,14 @@ from glossa.llm.common import as_bytes, map_docs, store
 from glossa.llm.suffix_sort import adjacent_equal, joined, suffix_order, words8
 
 WINDOW, GRAM = 100, 20
-#: Windows hashed at a time, bytes sorted at a time, and contexts of a key above which it is split.
-CHUNK, BLOCK_BYTES, KEY_CONTEXTS = 1 << 18, 3 << 20, 20_000
+#: Windows hashed at a time, bytes sorted at a time, and occurrences of a key above which it is split.
+CHUNK, BLOCK_BYTES, CROWD = 1 << 18, 3 << 20, 20_000
 LAST = (1 << 63) - 1
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
-#: Multipliers that make another hash of the same substring at each level.
-_MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+#: Multipliers of the first and the second hash of a substring.
+_MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -65,7 +65,7 @@ def gram_hashes(text: np.ndarray, gram: int, level: int = 0) -> np.ndarray:
     np.cumsum((text.astype(_U) + _U(1)) * _power(_BASE, len(text)), out=total[1:])
     h = (total[gram:] - total[:-gram]) * _power(pow(_BASE, -1, 1 << 64), n)
     h ^= h >> _U(29)
-    h *= _U(_MIX[level % len(_MIX)] + 2 * (level // len(_MIX)))
+    h *= _U(_MIX[level])
     h ^= h >> _U(32)
     return h
 
@@ -103,17 +103,27 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def contexts(text: np.ndarray, keys: np.ndarray | None, window: int, gram: int, level: int = 0):
-    """(key, start, end) arrays of the runs of windows with one key; only those in sorted ``keys`` unless None. Runs are cut
-    between chunks, which only makes more contexts."""
-    for at, key, _ in window_keys(text, window, gram, level):
+def _within(values: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Which ``values`` are in the sorted ``chosen``."""
+    if not len(chosen):
+        return np.zeros(len(values), bool)
+    return chosen[np.minimum(np.searchsorted(chosen, values), len(chosen) - 1)] == values
+
+
+def contexts(text: np.ndarray, keys: np.ndarray, crowded: np.ndarray, window: int, gram: int):
+    """(key, start, end) arrays of the runs of windows with one key, of sorted ``keys`` and ``crowded`` ones; the windows of
+    a crowded key go by that key and another hash. Runs are cut between chunks, which only makes more contexts."""
+    for at, key, _ in window_keys(text, window, gram):
         cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        many = np.diff(np.append(cut, len(key)))
+        plain, crowd = (np.repeat(_within(key[cut], k), many) for k in (keys, crowded))
+        if crowd.any():
+            other = sliding(gram_hashes(text[at:at + len(key) + window - 1], gram, 1), window - gram + 1, np.minimum)
+            key = np.where(crowd, (key ^ (other >> _U(1))) * _U(_BASE), key)
+            cut = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (crowd[1:] != crowd[:-1])))
         end = np.append(cut[1:], len(key))
-        own = key[cut]
-        if keys is not None:
-            found = np.zeros(len(own), bool) if not len(keys) else keys[np.minimum(np.searchsorted(keys, own), len(keys) - 1)] == own
-            own, cut, end = own[found], cut[found], end[found]
-        yield own, at + cut, at + end
+        chosen = (plain | crowd)[cut]
+        yield key[cut][chosen], at + cut[chosen], at + end[chosen]
 
 
 # ---- passes over texts --------------------------------------------------------------------------
@@ -164,42 +174,43 @@ def _digests(batches):
 CONTEXTS = "key long, context binary, doc long, at long"
 
 
-def _emit(rows: list) -> pa.RecordBatch:
-    keys, parts, docs, places = zip(*rows) if rows else ((), (), (), ())
-    none = [np.zeros(0, "i8")]
-    return _batch([np.concatenate(keys or none).view("i8"), [p for x in parts for p in x], np.concatenate(docs or none),
-                   np.concatenate(places or none)], ["key", "context", "doc", "at"], [pa.int64(), pa.binary(), pa.int64(), pa.int64()])
+class _Contexts(dict):
+    """(key, context) -> its first (doc, place)."""
+    held = 0
+
+    def add(self, at: tuple[int, bytes], place: tuple[int, int]) -> None:
+        known = self.get(at)
+        if known is None:
+            self.held += len(at[1])
+        if known is None or place < known:
+            self[at] = place
+
+    def batch(self) -> pa.RecordBatch:
+        keys, parts = zip(*self) if self else ((), ())
+        docs, places = zip(*self.values()) if self else ((), ())
+        return _batch([keys, parts, docs, places], ["key", "context", "doc", "at"], [pa.int64(), pa.binary(), pa.int64(), pa.int64()])
+
+
+def _sorted_keys(values) -> np.ndarray:
+    return np.sort(np.array(values or (), "i8").view(_U))
 
 
 def _text_contexts(window: int, gram: int):
     def run(batches):
         inflate = zstandard.ZstdDecompressor()
         for b in batches:
-            rows, held = [], 0
-            for doc, sid, z, keys, copies in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4, 5)), strict=True):
-                if not keys or (copies and sid in copies):
+            found = _Contexts()
+            for doc, sid, z, keys, crowded, copies in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6)), strict=True):
+                if not (keys or crowded) or (copies and sid in copies):
                     continue
                 raw = inflate.decompress(z)
-                for key, start, end in contexts(np.frombuffer(raw, np.uint8), np.sort(np.array(keys, "i8").view(_U)), window, gram):
-                    rows.append((key, [raw[s:e + window - 1] for s, e in zip(start.tolist(), end.tolist())], np.full(len(key), doc), start))
-                    held += int((end - start).sum()) + window * len(key)
-                if held > BLOCK_BYTES:
-                    yield _emit(rows)
-                    rows, held = [], 0
-            yield _emit(rows)
-    return run
-
-
-def _split_contexts(window: int, gram: int, level: int):
-    """Contexts of crowded keys, cut by another hash of their windows; the new key is of both."""
-    def run(batches):
-        for b in batches:
-            rows = []
-            for old, raw, doc, at in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                for key, start, end in contexts(np.frombuffer(raw, np.uint8), None, window, gram, level):
-                    both = (key ^ _U(old & (2**64 - 1))) * _U(_BASE)
-                    rows.append((both, [raw[s:e + window - 1] for s, e in zip(start.tolist(), end.tolist())], np.full(len(key), doc), at + start))
-            yield _emit(rows)
+                for key, start, end in contexts(np.frombuffer(raw, np.uint8), _sorted_keys(keys), _sorted_keys(crowded), window, gram):
+                    for k, s, e in zip(key.view("i8").tolist(), start.tolist(), end.tolist()):
+                        found.add((k, raw[s:e + window - 1]), (doc, s))
+                if found.held > BLOCK_BYTES:
+                    yield found.batch()
+                    found = _Contexts()
+            yield found.batch()
     return run
 
 
@@ -233,23 +244,21 @@ def kept_windows(parts: list[bytes], docs: np.ndarray, places: np.ndarray, windo
 def _sort_blocks(window: int):
     """Rows come sorted by key; a block ends between keys."""
     def run(batches):
-        parts, docs, places, held, last = [], [], [], 0, None
+        block, last = _Contexts(), None
 
         def flush():
-            d, s, e = kept_windows(parts, np.array(docs, "i8"), np.array(places, "i8"), window)
+            docs, places = (np.array(x, "i8") for x in zip(*block.values()))
+            d, s, e = kept_windows([part for _, part in block], docs, places, window)
             return _batch([d, s, e], ["doc", "start", "end"], [pa.int64()] * 3)
 
         for b in batches:
             for key, part, doc, at in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if held > BLOCK_BYTES and key != last:
+                if block.held > BLOCK_BYTES and key != last:
                     yield flush()
-                    parts, docs, places, held = [], [], [], 0
-                parts.append(part)
-                docs.append(doc)
-                places.append(at)
-                held += len(part)
+                    block = _Contexts()
+                block.add((key, part), (doc, at))
                 last = key
-        if parts:
+        if block:
             yield flush()
     return run
 
@@ -259,7 +268,7 @@ def _sort_blocks(window: int):
 def removed_spans(text: np.ndarray, keys: np.ndarray, kept: list, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal removed runs of bytes."""
     copy = np.zeros(max(0, len(text) - window + 1), bool)
-    for _, start, end in contexts(text, keys, window, gram):
+    for _, start, end in contexts(text, keys, keys[:0], window, gram):
         for s, e in zip(start.tolist(), end.tolist()):
             copy[s:e] = True
     for k in kept:
@@ -280,12 +289,12 @@ def _remove(window: int, gram: int):
         inflate = zstandard.ZstdDecompressor()
         for b in batches:
             rows = []
-            for doc_id, sid, z, keys, copies, kept in zip(*(b.column(i).to_pylist() for i in range(1, 7)), strict=True):
+            for doc_id, sid, z, keys, crowded, copies, kept in zip(*(b.column(i).to_pylist() for i in range(1, 8)), strict=True):
                 raw = inflate.decompress(z)
                 if copies and sid in copies:
                     s, e = np.array([0]), np.array([len(raw)])
-                elif keys:
-                    s, e = removed_spans(np.frombuffer(raw, np.uint8), np.sort(np.array(keys, "i8").view(_U)), kept or [], window, gram)
+                elif keys or crowded:
+                    s, e = removed_spans(np.frombuffer(raw, np.uint8), _sorted_keys([*(keys or ()), *(crowded or ())]), kept or [], window, gram)
                 else:
                     s = e = np.zeros(0, "i8")
                 s, e = s.tolist(), e.tolist()
@@ -296,12 +305,7 @@ def _remove(window: int, gram: int):
     return run
 
 
-def _earliest(rows: DataFrame) -> DataFrame:
-    first = F.min(F.struct("doc", "at")).alias("first")
-    return rows.groupBy("key", "context").agg(first).select("key", "context", "first.doc", "first.at")
-
-
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, key_contexts: int = KEY_CONTEXTS) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept): the removed runs of each text's bytes, and what is left of them."""
     if not 8 <= gram < window:
         raise ValueError(f"gram must be from 8 to below the window: {gram}, {window}")
@@ -310,27 +314,18 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ke
     packed = map_docs(own, _packed, "doc long, doc_id long, sid binary, z binary")
     # 1. repeated keys, and the keys of each document among them
     counted = map_docs(text, _count_keys(window, gram), "key long, n long")
-    repeated = store(counted.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key"))
-    held = (map_docs(text, _keys_of_docs(window, gram), "doc long, key long").join(repeated, "key")
-            .groupBy("doc").agg(F.collect_list("key").alias("keys")))
+    repeated = store(counted.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key", (F.col("n") > crowd).alias("crowd")))
+    held = (map_docs(text, _keys_of_docs(window, gram), "doc long, key long").join(repeated, "key").groupBy("doc")
+            .agg(F.collect_list(F.when(~F.col("crowd"), F.col("key"))).alias("keys"), F.collect_list(F.when(F.col("crowd"), F.col("key"))).alias("crowded")))
     digests = store(map_docs(text, _digests, "doc long, sid binary, n long").filter(F.col("n") >= window).select("doc", "sid"))
     firsts = store(digests.groupBy("sid").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last"))
     copies = (digests.join(firsts, "sid").filter("doc > first").groupBy("doc").agg(F.collect_set("sid").alias("copies")))
     info = store(held.join(copies, "doc", "full"))
     # 2. their contexts
-    rows = map_docs(packed.join(info, "doc"), _text_contexts(window, gram), CONTEXTS)
-    found = store(_earliest(rows))
-    level = 0
-    while level < len(_MIX):
-        crowded = store(found.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > key_contexts).select("key"))
-        if crowded.isEmpty():
-            break
-        level += 1
-        split = map_docs(found.join(crowded, "key", "left_semi"), _split_contexts(window, gram, level), CONTEXTS)
-        found = store(found.join(crowded, "key", "left_anti").union(_earliest(split)))
+    found = map_docs(packed.join(info, "doc"), _text_contexts(window, gram), CONTEXTS)
     # 3. suffix arrays
     kept = map_docs(found.repartition("key").sortWithinPartitions("key"), _sort_blocks(window), "doc long, start long, end long")
     kept = kept.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("kept"))
     # 4. removal
     known = info.join(kept, "doc", "left")
-    return map_docs(packed.join(known, "doc", "left").select("doc", "doc_id", "sid", "z", "keys", "copies", "kept"), _remove(window, gram), RESULT)
+    return map_docs(packed.join(known, "doc", "left").select("doc", "doc_id", "sid", "z", "keys", "crowded", "copies", "kept"), _remove(window, gram), RESULT)

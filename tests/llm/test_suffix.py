@@ -80,6 +80,7 @@ def texts(window):
             cut = rng.randrange(len(passage))
             t = t[:at] + passage[cut:cut + 3 * window] + t[at:]
         out.append((100 - d, t))
+    out += [(600 + i, f"{i} " + passage[7:7 + 2 * window] + f" {i * i}") for i in range(12)]
     out += [(300 + i, out[20][1]) for i in range(4)] + [(400, out[25][1] + "!"), (None, out[21][1]), (401, "ab" * 3 * window), (402, "-" * 300),
             (403, "x" + "-" * 200), (404, "periodic" * window), (404, "periodic" * window), (404, "version " + "periodic" * window)]
     return out
