@@ -26,8 +26,8 @@ f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
   n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_symbols > n_words
-       OR 10 * n_dup_lines > 3 * len(l) OR 2 * upper_n > word_chars OR 10 * digit_n > 3 * word_chars
-       OR 10 * letter_n < 6 * word_chars OR 10 * shout_n > n_words) AS kept
+       OR 2 * n_dup_lines > len(l) OR 2 * upper_n > word_chars OR 2 * digit_n > word_chars
+       OR 2 * letter_n < word_chars OR 10 * shout_n > n_words) AS kept
 FROM f
 """
 

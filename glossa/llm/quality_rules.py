@@ -101,10 +101,10 @@ def _share(text: Column, pattern: str) -> Column:
 RULES = [
     Rule("word_length", lambda t, s: (s["word_chars"] < 2 * s["n_words"]) | (s["word_chars"] > 15 * s["n_words"])),
     Rule("symbol_ratio", lambda t, s: 10 * s["n_symbols"] > s["n_words"]),
-    Rule("duplicate_lines", lambda t, s: 10 * s["n_dup_lines"] > 3 * F.size(F.split(t, "\n"))),
+    Rule("duplicate_lines", lambda t, s: 2 * s["n_dup_lines"] > F.size(F.split(t, "\n"))),
     Rule("upper_case", lambda t, s: 2 * _share(t, r"\p{Lu}") > s["word_chars"]),
-    Rule("digits", lambda t, s: 10 * _share(t, r"\p{Nd}") > 3 * s["word_chars"]),
-    Rule("letters", lambda t, s: 10 * _share(t, r"\p{L}") < 6 * s["word_chars"]),
+    Rule("digits", lambda t, s: 2 * _share(t, r"\p{Nd}") > s["word_chars"]),
+    Rule("letters", lambda t, s: 2 * _share(t, r"\p{L}") < s["word_chars"]),
     Rule("shouting", lambda t, s: 10 * _share(t, "!") > s["n_words"]),
 ]
 
