@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glossa.llm.common import as_bytes, map_docs, store
-from glossa.llm.tokens import SpacedIds, read_tokenizer
+from glossa.llm.tokens import SpacedIds, read_tokenizer, shared
 
 CAPACITY = 4096
 END_ID = 1
@@ -48,7 +48,7 @@ def _cut(spec, capacity: int, end_id: int, with_ids: bool):
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches):
-        ids_of = SpacedIds(spec.value)
+        ids_of = shared(SpacedIds, spec.value)
         step = 4 * capacity
         for b in batches:
             texts = [t or b"" for t in as_bytes(b.column(1))]

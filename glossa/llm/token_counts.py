@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm.common import map_docs
-from glossa.llm.tokens import Generations, load, read_tokenizer
+from glossa.llm.tokens import Generations, load, read_tokenizer, shared
 
 RULES = ("first", "last", "most")
 SECTIONS = "doc_id long, section int, start long, end long, n_tokens long, n_crossing long"
@@ -79,7 +79,7 @@ def allocate(spans: np.ndarray, edges: np.ndarray, rule: str) -> tuple[np.ndarra
 
 def _counts(spec, pattern: str, rule: str):
     def run(batches):
-        encoder = SpanEncoder(spec.value, pattern)
+        encoder = shared(SpanEncoder, spec.value, pattern)
         for b in batches:
             docs, parts = [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

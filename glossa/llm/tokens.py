@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -18,6 +19,8 @@ CACHE_CHUNKS = 600_000
 CACHE_CHUNK_BYTES = 64
 #: Unseen chunks that are encoded as one text.
 LEARN_CHUNKS = 2000
+#: Lower-case Latin words: letters only, so one pre-token, and stable under the normaliser (NFC, lower case).
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
 
 def read_tokenizer(path: str) -> str:
@@ -32,6 +35,24 @@ def load(spec: str):
     return Tokenizer.from_str(spec)
 
 
+def byte_characters() -> dict[int, str]:
+    """The public byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = (b for b in range(256) if b not in plain)
+    return {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_shared: dict = {}
+
+
+def shared(kind, *args):
+    """One encoder a worker process and arguments: its cache serves all tasks that the process runs."""
+    if (kind, args) not in _shared:
+        _shared.clear()  # one at a time: its memory is the bound
+        _shared[kind, args] = kind(*args)
+    return _shared[kind, args]
+
+
 class Generations(dict):
     """A cache that forgets what it hasn't met since it was last full."""
 
@@ -58,7 +79,8 @@ class Generations(dict):
 
 
 #: Punctuation between an ASCII letter and white space is a pre-token of its own: cut off, it leaves fewer distinct chunks.
-_TAIL = re.compile(rb"(?<=[A-Za-z])([!-&(-/:-@\[-`{-~]+)(?=\s|\Z)")
+#: (An apostrophe may not be.)
+_TAIL = re.compile(rb"(?<=[a-z])[!-&(-/:-@\[-`{-~]+(?=\s|\Z)")
 
 
 class SpacedIds(Generations):
@@ -68,6 +90,8 @@ class SpacedIds(Generations):
     def __init__(self, spec: str):
         super().__init__()
         self.tokenizer = load(spec)
+        self.model = self.tokenizer.model
+        self.byte_chars = byte_characters()
 
     def make(self, key: bytes) -> bytes:
         ids = self.tokenizer.encode(key.decode("utf-8", "replace"), add_special_tokens=False).ids
@@ -77,20 +101,42 @@ class SpacedIds(Generations):
     def chunks(text: bytes) -> list[bytes]:
         if b"<|" in text:  # may hold special tokens, which are found in the text as it is
             return text.split()
-        return _TAIL.sub(rb" \1", text.lower()).split()
-
-    def learn(self, chunks: set[bytes]) -> None:
-        """Encode unseen chunks together: as one text, cut up again by the offsets of its tokens."""
-        new = [c for c in chunks - self.keys() if c not in self.old and len(c) <= CACHE_CHUNK_BYTES]
-        for at in range(0, len(new), LEARN_CHUNKS):
-            part = new[at:at + LEARN_CHUNKS]
-            words = [c.decode("utf-8", "replace") for c in part]
-            encoded = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(w) + 1 for w in words)])
+        return _TAIL.sub(rb" \g<0>", text.lower()).split()
+
+    def _words(self, words: list[bytes]) -> None:
+        """Words that are one pre-token: the merges alone."""
+        tokenize, byte_chars, out = self.model.tokenize, self.byte_chars, {}
+        for w in words:
+            text = w.decode("ascii") if w.isascii() else w.decode("latin-1").translate(byte_chars)
+            out[w] = array("I", [t.id for t in tokenize(text)]).tobytes()
+        self.update(out)
+
+    def _together(self, chunks: list[bytes]) -> None:
+        """Any chunks: as one text, cut up again by the offsets of its tokens."""
+        for at in range(0, len(chunks), LEARN_CHUNKS):
+            part = chunks[at:at + LEARN_CHUNKS]
+            texts = [c.decode("utf-8", "replace") for c in part]
+            encoded = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
             ids = np.asarray(encoded.ids, "<u4").tobytes()
             cuts = (4 * np.searchsorted([s for s, _ in encoded.offsets], starts)).tolist()
-            for c, s, e in zip(part, cuts, cuts[1:]):
-                self.keep(c, ids[s:e])
+            self.update(zip(part, (ids[s:e] for s, e in zip(cuts, cuts[1:]))))
+
+    def learn(self, chunks: set[bytes]) -> None:
+        """Encode the unseen chunks of a batch."""
+        if len(self) >= CACHE_CHUNKS:
+            self.old = dict(self)
+            self.clear()
+        old, words, rest = self.old, [], []
+        for c in chunks - self.keys():
+            if c in old:
+                self[c] = old[c]
+            elif c.isalpha() or _PLAIN.fullmatch(c):  # of bytes: ASCII letters only
+                words.append(c)
+            elif len(c) <= CACHE_CHUNK_BYTES:
+                rest.append(c)
+        self._words(words)
+        self._together(rest)
 
     def encode(self, text: bytes) -> bytes:
         """Ids of a text, packed."""
