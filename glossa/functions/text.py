@@ -21,8 +21,12 @@ WS = f"[{WS_CHARS}]"
 WORD_CHARS = r"\p{L}\p{N}_"
 # str.splitlines() break points.
 LINE_BREAKS = r"\r\n|[\n\x{b}\x{c}\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
-# Pre-tokenizer of BPE and WordPiece: runs of word chars, or runs of other non-space chars.
-PRETOKEN = f"[{WORD_CHARS}]+|[^{WORD_CHARS}{WS_CHARS}]+"
+# Pre-tokenizer of BPE and WordPiece: runs of word chars, or runs of other non-space chars. Its word class is the one of
+# Unicode's regular expressions: letters, marks, decimal and letter numbers, connectors, join controls, circled letters.
+PRETOKEN_WORD = (r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}\x{24b6}-\x{24e9}"
+                 r"\x{1f130}-\x{1f149}\x{1f150}-\x{1f169}\x{1f170}-\x{1f189}")
+PRETOKEN_SPACE = r"\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+PRETOKEN = f"[{PRETOKEN_WORD}]+|[^{PRETOKEN_WORD}{PRETOKEN_SPACE}]+"
 # Escape debris removed by the cleaner, in this order.
 ESCAPE_HEX = r"\\x[0-9a-fA-F]{2,}"
 ESCAPE_ANY = r"\\[a-zA-Z0-9]"
@@ -294,7 +298,7 @@ def parse_mixture_name(path) -> dict[str, Column]:
     stem = F.regexp_extract(_c(path), r"([^/]*?)(\.[^./]*)?\z", 1)
     parts = F.split(stem, "_")
     ok = stem.startswith("mix_") & (F.size(parts) >= 4)
-    rest = F.array_join(F.slice(parts, 4, 1 << 20), "_")
+    rest = F.array_join(F.slice(parts, 4, F.greatest(F.size(parts) - 3, F.lit(0))), "_")
     return {
         "group": F.when(ok, F.element_at(parts, 2)).otherwise(F.lit("unknown")),
         "target_lang": F.when(ok, F.element_at(parts, 3)).otherwise(F.lit("custom")),

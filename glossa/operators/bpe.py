@@ -6,16 +6,18 @@ combine, so a word that is a third of all tokens costs one partial count per tas
 
 Training keeps each type's current segmentation as a padded string, every symbol wrapped
 in its own spaces (`` t  h  e ``); pre-tokens never contain whitespace, so the space is a
-safe separator. One round:
-
-1. count adjacent symbol pairs over train types (explode + groupBy, weighted by train_freq);
-2. fetch the top pairs to the driver (bounded by ``top_n``);
-3. choose the longest prefix of them that greedy one-at-a-time BPE would also take next:
-   no two chosen pairs chain in any train word (the same job returns each pair's left and
-   right neighbour symbols, so ``x a b`` is known exactly), strictly higher count than the
-   first pair left out, each merge making a string that is new -- the pair that does not is
-   taken and ends the batch;
-4. apply the batch as nested literal ``replace`` calls (JVM-side, codegen'd).
+safe separator. One round, two jobs:
+
+1. count adjacent symbol pairs over train types (explode + codegen'd groupBy, weighted by
+   train_freq) and fetch the ``top_n`` largest; then count the triples of symbols whose two
+   pairs are both among those (bounded by the candidates' chains);
+2. choose candidates that greedy one-at-a-time BPE would take next, in that order. A candidate
+   that chains with a chosen pair (they share a symbol somewhere in a train word) is put off:
+   it loses at least the occurrences of that triple. A pair that a choice creates occurs at most
+   as often as the triple it comes from. A further candidate is chosen only if it out-counts
+   all of these, so it is what greedy BPE takes; each merge makes a string that is new -- the pair
+   that does not is taken and ends the batch;
+3. apply the batch as nested literal ``replace`` calls (JVM-side, codegen'd).
 
 Test words carry along, so their encoding at every vocabulary size is the segmentation
 at the moment the vocabulary reached that size: a single aggregate per snapshot. Merge
@@ -41,7 +43,6 @@ UNK = "<unk>"
 CONT = "##"  # WordPiece continuation prefix
 
 SLICES = ["train", "test_all", "test_en", "test_target"]
-MAX_NEIGHBOURS = 4096
 
 
 def type_table(corpus: DataFrame, target_lang: str, text_col: str = "text") -> DataFrame:
@@ -80,31 +81,23 @@ def n_symbols(seg) -> F.Column:
     return ((F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))) / 2).cast("long")
 
 
+def symbols(seg: str) -> F.Column:
+    """array of symbols (splitting at a single space takes the JVM's path without a regex)"""
+    return F.split(F.replace(F.trim(F.col(seg)), F.lit("  "), F.lit(" ")), " ")
+
+
 def symbol_chars(seg) -> F.Column:
     s = F.col(seg) if isinstance(seg, str) else seg
     return F.length(F.replace(s, F.lit(" "), F.lit(""))).cast("long")
 
 
-def pair_counts(state: DataFrame, neighbours: bool = False) -> DataFrame:
-    """Adjacent pairs weighted by train frequency. With ``neighbours`` also the sets of symbols
-    seen just left of and just right of each pair occurrence (bounded by the vocabulary):
-    triple ``x a b`` occurs in a train word exactly when ``x`` is in left(a, b)."""
+def pair_counts(state: DataFrame) -> DataFrame:
+    """Adjacent pairs weighted by train frequency: (left, right, count)."""
     act = state.filter((F.col("train_freq") > 0) & (n_symbols("seg") > 1))
-    syms = F.split(F.trim(F.col("seg")), "  ")
+    syms = symbols("seg")
     n = F.size(syms)
-    cols = [F.slice(syms, 1, n - 1).alias("l"), F.slice(syms, 2, n - 1).alias("r")]
-    if neighbours:
-        cols += [F.concat(F.array(F.lit(None).cast("string")), F.slice(syms, 1, n - 2)).alias("x"),
-                 F.slice(syms, 3, n - 2).alias("y")]
-    pairs = act.select(F.explode(F.arrays_zip(*cols)).alias("p"), "train_freq")
-    aggs = [F.sum("train_freq").alias("count")]
-    if neighbours:
-        aggs += [F.collect_set("p.x").alias("xs"), F.collect_set("p.y").alias("ys")]
-    g = pairs.groupBy(F.col("p.l").alias("left"), F.col("p.r").alias("right")).agg(*aggs)
-    if neighbours:  # what reaches the driver is bounded: an oversized set comes back as NULL
-        g = g.select("left", "right", "count",
-                     *[F.when(F.size(c) <= MAX_NEIGHBOURS, F.col(c)).alias(c) for c in ("xs", "ys")])
-    return g
+    pairs = act.select(F.explode(F.arrays_zip(F.slice(syms, 1, n - 1).alias("l"), F.slice(syms, 2, n - 1).alias("r"))).alias("p"), "train_freq")
+    return pairs.groupBy(F.col("p.l").alias("left"), F.col("p.r").alias("right")).agg(F.sum("train_freq").alias("count"))
 
 
 def merged_symbol(left: str, right: str, wordpiece: bool) -> str:
@@ -114,94 +107,57 @@ def merged_symbol(left: str, right: str, wordpiece: bool) -> str:
 
 
 def choose_batch(cands: list[tuple[int, str, str]], vocab: set[str], budget: int, min_frequency: int,
-                 wordpiece: bool, complete: bool, chains: set[tuple[str, str, str]] | None = None,
-                 neighbours: dict[tuple[str, str], tuple[list[str], list[str]]] | None = None
-                 ) -> list[tuple[str, str, str, int]]:
-    """Longest prefix that one-at-a-time greedy BPE would take next; see the module docstring.
+                 wordpiece: bool, complete: bool, chains: dict[tuple[str, str, str], int]) -> list[tuple[str, str, str, int]]:
+    """What one-at-a-time greedy BPE would take next, in order; see the module docstring.
 
     ``cands`` is sorted by (count desc, left, right); ``complete`` says it holds every pair.
     ``budget`` = vocabulary rows still allowed before the next snapshot size (only new
-    strings use it). ``chains`` holds the triples (x, a, b) that occur in train words: two
-    pairs interact only when they chain through one; without it any shared symbol is a
-    conflict. Existing pairs outside the batch can only lose occurrences, so they never
-    overtake a batch member; the danger is a pair *created* by an earlier merge. With
-    ``neighbours`` ((a,b) -> left and right neighbour symbols) each created pair (x, ab) is
-    bounded by count(x, a) and (ab, y) by count(b, y), and a member is accepted only when it
-    beats every such bound. Without it, the batch must end where the count strictly drops.
+    strings use it). ``chains`` counts the triples (x, a, b) of train words whose pairs are both
+    candidates; a triple with another pair counts at most as much as the last candidate.
     """
-    cnt = {(l, r): c for c, l, r in cands}
     floor = 0 if complete else (cands[-1][0] if cands else 0)
+    around: dict[tuple[str, str], list[tuple[tuple[str, str], int]]] = {}  # pair -> (pair it chains with, count)
+    for (x, a, b), n in chains.items():
+        around.setdefault((x, a), []).append(((a, b), n))
+        around.setdefault((a, b), []).append(((x, a), n))
     batch: list[tuple[str, str, str, int]] = []
+    chosen: set[tuple[str, str]] = set()
     made: set[str] = set()
-    by_left: dict[str, list[str]] = {}
-    by_right: dict[str, list[str]] = {}
-    used: set[str] = set()
-    new_rows = 0
     bound = -1
-    for i, (c, l, r) in enumerate(cands):
-        if c < min_frequency or new_rows >= budget:
+    for c, l, r in cands:
+        if c < min_frequency or len(made) >= budget or (batch and c <= bound):
+            break
+        touching = around.get((l, r), ())
+        # a pair of equal symbols doesn't merge everywhere in a run of them, so it may leave its neighbours as they are
+        lost = max((n if p[0] != p[1] else 0 for p, n in touching if p in chosen), default=None)
+        if lost is not None:  # put off: what is left of it must be out-counted
+            bound = max(bound, c - lost)
+            continue
+        if batch and (l, l, l) in chains and l == r:
             break
-        if i > 0:
-            if chains is None:
-                if l in used or r in used or l == r:
-                    break
-            else:
-                # (l, r) after an accepted (x, l): triple x l r; before an accepted (r, y): l r y;
-                # and with itself when l == r: l l l
-                def unknown(p, q):  # p's right and q's left neighbour sets both oversized
-                    return neighbours is not None and neighbours.get(p, (None, None))[1] is None \
-                        and neighbours.get(q, (None, None))[0] is None
-                if any((x, l, r) in chains or unknown((x, l), (l, r)) for x in by_right.get(l, ())) or \
-                   any((l, r, y) in chains or unknown((l, r), (r, y)) for y in by_left.get(r, ())) or \
-                   (l == r and ((l, l, l) in chains or unknown((l, l), (l, l)))):
-                    break
-            if neighbours is not None and c <= bound:
-                break
         m = merged_symbol(l, r, wordpiece)
         batch.append((l, r, m, c))
-        used.update((l, r))
-        by_left.setdefault(l, []).append(r)
-        by_right.setdefault(r, []).append(l)
-        if neighbours is not None:
-            xs, ys = neighbours.get((l, r), (None, None))
-            if xs is None or ys is None:
-                bound = float("inf")  # unknown neighbours: nothing after this pair is safe
-            else:
-                for x in xs:
-                    bound = max(bound, cnt.get((x, l), floor))
-                for y in ys:
-                    bound = max(bound, cnt.get((r, y), floor))
-        if chains is None and l == r:
-            break
+        chosen.add((l, r))
+        bound = max(bound, floor, max((n for _, n in touching), default=0))
         if m in vocab or m in made:
             break  # not a new string: take it, but it ends the batch
         made.add(m)
-        new_rows += 1
-    if neighbours is not None:
-        return batch
-    # the strict-count condition against the first pair left out
-    k = len(batch)
-    while k > 1:
-        nxt = cands[k][0] if k < len(cands) else (0 if complete else None)
-        if nxt is not None and batch[k - 1][3] > nxt:
-            break
-        k -= 1
-    return batch[:k]
+    return batch
 
 
-def chain_triples(state: DataFrame, cands: list[tuple[int, str, str]]) -> set[tuple[str, str, str]]:
-    """Symbol triples (a, b, c) in train words whose two pairs (a,b) and (b,c) are both
+def chain_triples(state: DataFrame, cands: list[tuple[int, str, str]]) -> dict[tuple[str, str, str], int]:
+    """Occurrences of the symbol triples (a, b, c) in train words whose two pairs (a,b) and (b,c) are both
     candidates. The candidate table is bounded by ``top_n``, so it is broadcast."""
-    keys = [f"{l} {r}" for _, l, r in cands]  # symbols never contain spaces
+    pairs = state.sparkSession.createDataFrame([(l, r) for _, l, r in cands], "l string, r string")
     act = state.filter((F.col("train_freq") > 0) & (n_symbols("seg") > 2))
-    syms = F.split(F.trim(F.col("seg")), "  ")
+    syms = symbols("seg")
     n = F.size(syms)
     z = F.arrays_zip(F.slice(syms, 1, n - 2).alias("a"), F.slice(syms, 2, n - 2).alias("b"),
                      F.slice(syms, 3, n - 2).alias("c"))
-    tri = act.select(F.explode(z).alias("t")).select("t.a", "t.b", "t.c")
-    tri = (tri.filter(F.concat_ws(" ", "a", "b").isin(keys) & F.concat_ws(" ", "b", "c").isin(keys))
-              .distinct())
-    return {(r["a"], r["b"], r["c"]) for r in tri.collect()}
+    tri = act.select(F.explode(z).alias("t"), "train_freq").select("t.a", "t.b", "t.c", "train_freq")
+    first, second = pairs.toDF("a", "b"), pairs.toDF("b", "c")
+    known = tri.join(F.broadcast(first), ["a", "b"]).join(F.broadcast(second), ["b", "c"])
+    return {(r["a"], r["b"], r["c"]): int(r["n"]) for r in known.groupBy("a", "b", "c").agg(F.sum("train_freq").alias("n")).collect()}
 
 
 def apply_batch(seg: F.Column, batch: Sequence[tuple[str, str, str, int]]) -> F.Column:
@@ -221,6 +177,7 @@ class MergeTraining:
     merges: list[tuple[int, str, str, str, int]] = field(default_factory=list)  # rank, left, right, merged, count
     vocab: list[str] = field(default_factory=list)
     rounds: int = 0
+    cuts: dict[int, tuple[int, int]] = field(default_factory=dict)  # vocab_size -> (vocabulary rows, merges)
     snapshots: dict[int, DataFrame] = field(default_factory=dict)  # vocab_size -> slice token sums (1 row)
     states: dict[int, DataFrame] = field(default_factory=dict)  # vocab_size -> type table with seg
 
@@ -249,7 +206,8 @@ def train_merges(types: DataFrame, vocab_sizes: Sequence[int], method: str = "bp
     state = spread(initial_segments(base, alphabet, wordpiece).select("word", "seg", *[f"{s}_freq" for s in SLICES]))
     if wordpiece:
         first = train_words.select(F.substring("word", 1, 1).alias("s"))
-        rest = train_words.select(F.explode(F.slice(_chars(F.col("word")), 2, 1 << 20)).alias("c")).select(
+        rest = train_words.filter(F.length("word") > 1).select(
+            F.explode(F.slice(_chars(F.col("word")), 2, F.length("word") - 1)).alias("c")).select(
             F.concat(F.lit(CONT), F.col("c")).alias("s"))
         init_symbols = sorted(r[0] for r in first.unionByName(rest).distinct().collect())
     else:
@@ -264,7 +222,7 @@ def train_merges(types: DataFrame, vocab_sizes: Sequence[int], method: str = "bp
     old = None
     for target in targets:
         while not done and len(vocab) < target:
-            pc = pair_counts(state, neighbours=True).orderBy(F.desc("count"), "left", "right").limit(top_n + 1).collect()
+            pc = pair_counts(state).orderBy(F.desc("count"), "left", "right").limit(top_n + 1).collect()
             if old is not None:  # this round's state is cached now; drop the one before
                 old.unpersist()
                 old = None
@@ -272,15 +230,10 @@ def train_merges(types: DataFrame, vocab_sizes: Sequence[int], method: str = "bp
             if not cands or cands[0][0] < min_frequency:
                 done = True
                 break
-            chains, neigh = set(), {}
-            for r in pc[:top_n]:
-                chains.update((x, r["left"], r["right"]) for x in (r["xs"] or ()))
-                chains.update((r["left"], r["right"], y) for y in (r["ys"] or ()))
-                neigh[(r["left"], r["right"])] = (r["xs"], r["ys"])
             complete = len(cands) <= top_n
             # pairs beyond the list are bounded by the last count in it (a safe over-estimate)
             batch = choose_batch(cands[:top_n], vocab_set, target - len(vocab), min_frequency, wordpiece, complete,
-                                 chains=chains, neighbours=neigh)
+                                 chain_triples(state, cands[:top_n]))
             for l, r, m, c in batch:
                 rank += 1
                 res.merges.append((rank, l, r, m, c))
@@ -295,7 +248,10 @@ def train_merges(types: DataFrame, vocab_sizes: Sequence[int], method: str = "bp
             # keep one round of merges per job: the next round's jobs read this cached state
             state = state.persist(StorageLevel.MEMORY_AND_DISK)
             old = prev
-        state = cut_lineage(state).persist(StorageLevel.MEMORY_AND_DISK)
+        held, state = state, cut_lineage(state)
+        held.unpersist()
+        old = None
+        res.cuts[target] = (len(vocab), len(res.merges))
         res.snapshots[target] = spark.createDataFrame(slice_sums(state).collect(), slice_sums(state).schema)
         if keep_states:
             res.states[target] = state
@@ -303,8 +259,8 @@ def train_merges(types: DataFrame, vocab_sizes: Sequence[int], method: str = "bp
     return res
 
 
-def merges_frame(spark, tr: MergeTraining) -> DataFrame:
-    return spark.createDataFrame(tr.merges, "rank int, left string, right string, merged string, count long")
+def merges_frame(spark, tr: MergeTraining, n: int | None = None) -> DataFrame:
+    return spark.createDataFrame(tr.merges if n is None else tr.merges[:n], "rank int, left string, right string, merged string, count long")
 
 
 def vocab_frame(spark, tr: MergeTraining, vocab_size: int | None = None) -> DataFrame:

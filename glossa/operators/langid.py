@@ -2,24 +2,23 @@
 (Cavnar & Trenkle 1994; Lui & Baldwin 2012) trained and applied as Spark jobs.
 
 Training: explode 1..3-grams of lower-cased, space-normalised text -> ``groupBy(lang, gram)``
-counts (map-side combine) -> keep the ``top_k`` grams per language (a row_number over the
-aggregated gram table, bounded by distinct grams, not by text volume) -> add-1/2 log
-probabilities. Scoring: explode a text's grams -> inner join with the model (``top_k`` x
-languages rows, broadcast) -> per (text, language) sum of log-probability *gains* over the
-language's unseen-gram floor -> ``max_by``. Languages with no matching gram are covered
-by a closed-form baseline, so no text x language product is formed.
+counts (map-side combine) -> add-1/2 log probabilities; every gram counts. Scoring: a text's
+score for a language is the sum of its grams' log-probability *gains* over the language's
+unseen-gram floor, plus the floor for every gram and the prior. While the model is small
+(checked) it is broadcast and each text is scored inside its own row; beyond that the grams
+of each text are counted and joined to the model.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.functions import text as T
-from glossa.operators.sampling import top_k as top_k_rows
+from glossa.session import BROADCAST_MAX_ROWS, cut_lineage, ship_package
 
 MAX_N = 3
-TOP_K = 1000
 SMOOTH = 0.5
 
 
@@ -35,46 +34,68 @@ def grams(text: Column) -> Column:
     return F.concat(*arrs)
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", top_k: int = TOP_K) -> DataFrame:
-    """Model table (lang, gram, count, rank, logp, unseen, prior)."""
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Model table (lang, gram, count, logp, unseen, prior)."""
     g = labelled.select(F.col(lang_col).alias("lang"), F.explode(grams(F.col(text_col))).alias("gram"))
     counts = g.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("count"))
-    # exact top-k per language without ranking a whole language's gram table in one task;
-    # ranks are then numbered within the (bounded) kept set
-    kept = top_k_rows(counts, ["lang"], "count", "gram", top_k)
-    top = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "gram")))
-    tot = top.groupBy("lang").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("v"))
+    tot = counts.groupBy("lang").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("v"))
     docs = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("d"))
     one = F.lit(1).alias("_one")
     all_docs = docs.agg(F.sum("d").alias("dd")).select("*", one)
-    lang_t = (tot.join(docs, "lang").select("*", one).join(F.broadcast(all_docs), "_one")  # one-row total
+    lang_t = (tot.join(docs, "lang").select("*", one).join(all_docs, "_one")  # one-row total
                  .select("lang", (F.log((F.lit(SMOOTH)) / (F.col("n") + F.lit(SMOOTH) * F.col("v")))).alias("unseen"),
                          F.log(F.col("d") / F.col("dd")).alias("prior"), "n", "v"))
-    return (top.join(F.broadcast(lang_t), "lang")
-               .select("lang", "gram", "count", "rank",
+    return (counts.join(lang_t, "lang")
+               .select("lang", "gram", "count",
                        F.log((F.col("count") + F.lit(SMOOTH)) / (F.col("n") + F.lit(SMOOTH) * F.col("v"))).alias("logp"),
                        "unseen", "prior"))
 
 
-def predict(model: DataFrame, texts: DataFrame, key_cols: list[str], text_col: str = "text") -> DataFrame:
-    """(key..., predicted). The model is bounded by top_k x languages, so it is broadcast."""
-    langs = model.select("lang", "unseen", "prior").distinct().collect()
-    langs = sorted((r["lang"], float(r["unseen"]), float(r["prior"])) for r in langs)
-    g = texts.select(*key_cols, F.explode(grams(F.col(text_col))).alias("gram"))
-    n = texts.select(*key_cols, F.size(grams(F.col(text_col))).alias("n_grams"))
+def _score_rows(shared, n_keys: int, names: list[str]):
+    def run(batches):
+        table, langs, base = shared.value
+        for b in batches:
+            best = []
+            for text in b.column(n_keys).to_pylist():
+                text = text or ""
+                gain = [0.0] * len(langs)
+                n = 0
+                for size in range(1, MAX_N + 1):
+                    for i in range(len(text) - size + 1):
+                        n += 1
+                        for k, g in table.get(text[i:i + size], ()):
+                            gain[k] += g
+                # languages are in name order, so a tie goes to the smaller full name
+                best.append(max(range(len(langs)), key=lambda k: (gain[k] + n * base[k][0] + base[k][1], -k)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([langs[k] for k in best], pa.string())], names=names)
+    return run
+
+
+def predict(model: DataFrame, texts: DataFrame, key_cols: list[str], text_col: str = "text",
+            max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """(key..., predicted)."""
+    spark = texts.sparkSession
+    model = cut_lineage(model)
+    langs = sorted((r["lang"], float(r["unseen"]), float(r["prior"])) for r in model.select("lang", "unseen", "prior").distinct().collect())
+    if not langs:
+        return texts.select(*key_cols, F.lit(None).cast("string").alias("predicted"))
     gain = model.select("lang", "gram", (F.col("logp") - F.col("unseen")).alias("gain"))
-    matched = g.join(F.broadcast(gain), "gram").groupBy(*key_cols, "lang").agg(F.sum("gain").alias("gain"))
-    base = F.create_map(*[x for l, u, p in langs for x in (F.lit(l), F.struct(F.lit(u).alias("u"), F.lit(p).alias("p")))])
-    m = (matched.join(n, key_cols)
-                .withColumn("score", F.col("gain") + F.col("n_grams") * base[F.col("lang")]["u"] + base[F.col("lang")]["p"]))
-    best = m.groupBy(*key_cols).agg(F.max_by(F.struct("lang", "score"), F.struct(F.col("score"), -F.ascii("lang"))).alias("b"))
-    # languages that matched no gram: closed-form score n*unseen + prior, best of them
-    nb = F.col("n_grams")
-    base_best = None
-    for l, u, p in langs:
-        s = nb * F.lit(u) + F.lit(p)
-        cand = F.struct(s.alias("score"), F.lit(l).alias("lang"))
-        base_best = cand if base_best is None else F.when(cand["score"] > base_best["score"], cand).otherwise(base_best)
-    out = n.join(best, key_cols, "left").withColumn("bb", base_best)
-    pick = F.when(F.col("b").isNull() | (F.col("bb.score") > F.col("b.score")), F.col("bb.lang")).otherwise(F.col("b.lang"))
-    return out.select(*key_cols, pick.alias("predicted"))
+    if gain.limit(max_rows + 1).count() <= max_rows:  # a checked bound
+        at = {l: k for k, (l, _, _) in enumerate(langs)}
+        table: dict[str, list] = {}
+        for r in gain.collect():
+            table.setdefault(r["gram"], []).append((at[r["lang"]], r["gain"]))
+        ship_package(spark)
+        shared = spark.sparkContext.broadcast((table, [l for l, _, _ in langs], [(u, p) for _, u, p in langs]))
+        types = {f.name: f.dataType.simpleString() for f in texts.schema.fields}
+        return texts.select(*key_cols, normalise(F.col(text_col)).alias("_t")).mapInArrow(
+            _score_rows(shared, len(key_cols), [*key_cols, "predicted"]), ", ".join(f"{k} {types[k]}" for k in key_cols) + ", predicted string")
+    g = texts.select(*key_cols, F.explode(grams(F.col(text_col))).alias("gram")).groupBy(*key_cols, "gram").agg(F.count(F.lit(1)).alias("k"))
+    matched = g.join(gain, "gram").groupBy(*key_cols).agg(*[F.coalesce(F.sum(F.when(F.col("lang") == l, F.col("k") * F.col("gain"))), F.lit(0.0))
+                                                            .alias(f"_g{i}") for i, (l, _, _) in enumerate(langs)])
+    n = texts.select(*key_cols, F.size(grams(F.col(text_col))).alias("_n")).join(matched, key_cols, "left")
+    best = None
+    for i, (l, u, p) in enumerate(langs):
+        cand = F.struct((F.coalesce(f"_g{i}", F.lit(0.0)) + F.col("_n") * F.lit(u) + F.lit(p)).alias("score"), F.lit(l).alias("lang"))
+        best = cand if best is None else F.when(cand["score"] > best["score"], cand).otherwise(best)
+    return n.select(*key_cols, best["lang"].alias("predicted"))

@@ -24,7 +24,6 @@ RESULT_COLUMNS = [
 ]
 LM_COLUMNS = ["ppl", "eval_loss", "train_loss", "ppl_en", "loss_en", "test_en_blocks", "ppl_target",
               "loss_target", "test_target_blocks", "gap_loss", "train_blocks", "test_blocks"]
-ROUND = 6
 
 
 def text_stats(split_corpus: DataFrame, target_lang: str, text_col: str = "text") -> DataFrame:
@@ -41,10 +40,6 @@ def text_stats(split_corpus: DataFrame, target_lang: str, text_col: str = "text"
     return test.agg(*aggs)
 
 
-def _r(c):
-    return F.round(c, ROUND)
-
-
 def compression_columns(tokens: dict[str, F.Column], token_chars: dict[str, F.Column]) -> list[F.Column]:
     """E1-E5 over columns texts_*, chars_*, words_* plus the given token totals per slice."""
     out = []
@@ -56,18 +51,18 @@ def compression_columns(tokens: dict[str, F.Column], token_chars: dict[str, F.Co
         tpc[name] = F.when(defined, F.try_divide(ntok.cast("double"), chars))
         tpw = F.when(defined, F.try_divide(ntok.cast("double"), F.nullif(words, F.lit(0))))
         atl = F.when(defined, F.try_divide(tch.cast("double"), F.nullif(ntok, F.lit(0))))
-        out += [_r(tpc[name]).alias(f"tokens_per_char{suf}"), _r(tpw).alias(f"tokens_per_word{suf}"),
-                _r(atl).alias(f"avg_token_len{suf}"),
+        out += [(tpc[name]).alias(f"tokens_per_char{suf}"), (tpw).alias(f"tokens_per_word{suf}"),
+                (atl).alias(f"avg_token_len{suf}"),
                 F.when(defined, F.col(f"texts_{name}")).otherwise(0).cast("long").alias(f"n_texts{suf}"),
                 F.when(defined, ntok).otherwise(0).cast("long").alias(f"n_tokens{suf}")]
     tpw_en = F.when(F.col("chars_en") > 0, F.try_divide(tokens["en"].cast("double"), F.nullif(F.col("words_en"), F.lit(0))))
     tpw_tg = F.when(F.col("chars_target") > 0,
                     F.try_divide(tokens["target"].cast("double"), F.nullif(F.col("words_target"), F.lit(0))))
     f_all, f_en, f_tg = (T.safe_inverse(tpc[k]) for k in ("all", "en", "target"))
-    out += [_r(tpc["target"] - tpc["en"]).alias("compression_gap_tokens_per_char"),
-            _r(tpw_tg - tpw_en).alias("compression_gap_tokens_per_word"),
-            _r(f_all).alias("compression_factor_char"), _r(f_en).alias("compression_factor_char_en"),
-            _r(f_tg).alias("compression_factor_char_target"), _r(f_en - f_tg).alias("compression_penalty_char")]
+    out += [(tpc["target"] - tpc["en"]).alias("compression_gap_tokens_per_char"),
+            (tpw_tg - tpw_en).alias("compression_gap_tokens_per_word"),
+            (f_all).alias("compression_factor_char"), (f_en).alias("compression_factor_char_en"),
+            (f_tg).alias("compression_factor_char_target"), (f_en - f_tg).alias("compression_penalty_char")]
     return out
 
 
@@ -90,23 +85,29 @@ def result_rows(stats: DataFrame, token_sums: DataFrame, path_prefix: str = "tok
 # train words (chars); anything else is <unk>. Fully relational, so SQL can check them.
 # ---------------------------------------------------------------------------
 
+def lexical_units(types: DataFrame, method: str) -> DataFrame:
+    """The type table by unit: the word itself, or each of its characters."""
+    if method == "word":
+        return types.select(F.col("word").alias("unit"), "*")
+    return types.select(F.explode(F.regexp_extract_all("word", F.lit(r"(?s)."), 0)).alias("unit"), "*")
+
+
+def lexical_vocab(types: DataFrame, size: int, method: str, n_special: int = 5) -> DataFrame:
+    """(unit, rk): the ``size - n_special`` most frequent train units, ties by string; bounded by ``size``."""
+    from pyspark.sql import Window
+
+    from glossa.operators.sampling import top_k
+    inv = lexical_units(types, method).filter(F.col("train_freq") > 0).groupBy("unit").agg(F.sum("train_freq").alias("uf"))
+    top = top_k(inv, [], "uf", "unit", max(int(size) - n_special, 0))
+    return top.select("unit", F.row_number().over(Window.orderBy(F.desc("uf"), "unit")).alias("rk"))
+
+
 def lexical_token_sums(types: DataFrame, vocab_sizes, method: str, n_special: int = 5) -> DataFrame:
     """Slice token totals for ``word`` or ``char`` tokenizers at every vocab size, in one job.
     The vocabulary is a top-k by train frequency (ties by string), so a rank column decides
     membership for all sizes at once."""
-    from pyspark.sql import Window
-    if method == "word":
-        units = types.select(F.col("word").alias("unit"), "*")
-        inv = units.filter(F.col("train_freq") > 0).select("unit", F.col("train_freq").alias("uf"))
-    else:
-        units = types.select(F.explode(F.regexp_extract_all("word", F.lit(r"(?s)."), 0)).alias("unit"), "*")
-        inv = units.filter(F.col("train_freq") > 0).groupBy("unit").agg(F.sum("train_freq").alias("uf"))
-    # vocabulary = top-k units by train frequency: a distributed top-k bounded by max(V),
-    # then ranks over that bounded set
-    kmax = max(int(v) for v in vocab_sizes) - n_special
-    from glossa.operators.sampling import top_k
-    top = top_k(inv, [], "uf", "unit", max(kmax, 0))
-    ranked = top.withColumn("rk", F.row_number().over(Window.orderBy(F.desc("uf"), "unit")))
+    units = lexical_units(types, method)
+    ranked = lexical_vocab(types, max(int(v) for v in vocab_sizes), method, n_special)
     per_unit = units.groupBy("unit").agg(*[F.sum(f"{s}_freq").alias(f"{s}_freq") for s in
                                            ["test_all", "test_en", "test_target"]])
     j = per_unit.join(F.broadcast(ranked.select("unit", "rk")), "unit", "left")

@@ -3,19 +3,24 @@
 F1 block chunking and n-gram extraction are array expressions on each row (no window per
 paragraph): ``blocks = [ids[i:i+B] for i in range(0, n-1, B)]`` keeping blocks of >= 2
 tokens; the first token of a block is context only and contexts never cross blocks.
-F2 training is ``groupBy().count()`` per order; F3 evaluation is left joins of test
-n-grams to the count tables, then ``avg(-log p)`` per slice. Probabilities use
+The grams are aggregated once, to (split, label, first, context, w, n); training counts are
+sums of that table, evaluation joins its rows (distinct grams, not token occurrences, so a
+frequent word is one row) to the counts and averages ``-log p`` weighted by n. Probabilities use
 interpolated absolute discounting with an add-one unigram floor over the vocabulary, so
 every test token has a finite loss.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossa.session import cut_lineage, ship_package
+
+#: Words a worker keeps encoded.
+CACHE_WORDS = 200_000
 DISCOUNT = 0.75
-ROUND = 6
 
 
 def blocks(df: DataFrame, ids_col: str, block_size: int) -> DataFrame:
@@ -46,12 +51,12 @@ def ngrams(blk: DataFrame, order: int) -> DataFrame:
 
 
 def train_counts(train_grams: DataFrame, order: int) -> dict[str, DataFrame]:
-    """count tables per order: uni (w, c), and for k>=1 ctx_k (context, w, c) with context
+    """F2, from aggregated grams (column n): count tables per order: uni (w, c), and for k>=1 ctx_k (context, w, c) with context
     totals ctxsum_k (context, c_ctx, t_ctx = distinct followers)."""
-    out = {"uni": train_grams.groupBy("w").agg(F.count(F.lit(1)).alias("c"))}
+    out = {"uni": train_grams.groupBy("w").agg(F.sum("n").alias("c"))}
     for k in range(1, order):
         ctx = [f"c{j}" for j in range(1, k + 1)]
-        g = train_grams.filter(F.col(f"c{k}").isNotNull()).groupBy(*ctx, "w").agg(F.count(F.lit(1)).alias("c"))
+        g = train_grams.filter(F.col(f"c{k}").isNotNull()).groupBy(*ctx, "w").agg(F.sum("n").alias("c"))
         out[f"ng{k}"] = g
         out[f"ctx{k}"] = g.groupBy(*ctx).agg(F.sum("c").alias("c_ctx"), F.count(F.lit(1)).alias("t_ctx"))
     return out
@@ -80,38 +85,38 @@ def score(test_grams: DataFrame, counts: dict[str, DataFrame], order: int, vocab
 def evaluate(grams: DataFrame, order: int, slices: dict[str, Column]) -> DataFrame:
     """Train on ``split='train'`` grams; loss / ppl / blocks per slice; one row.
 
-    ``grams`` needs split, label, doc_id, pos, block_no, w, c1..c{order-1}.
+    ``grams`` needs split, label, first, w, c1..c{order-1}; a side without a block is an error (F6).
     """
-    train = grams.filter(F.col("split") == "train")
-    counts = train_counts(train, order)
-    tot = train.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("w").alias("v")).collect()[0]
-    total_n, vocab_n = int(tot["n"]), int(tot["v"]) + 1
-    if total_n == 0:  # no train block, nothing to learn from
-        raise ValueError("language model: the train side has no block of two or more tokens")
-    scored = score(grams, counts, order, vocab_n, total_n)
+    keys = ["split", "label", "first", "w", *[f"c{k}" for k in range(1, order)]]
+    counted = cut_lineage(grams.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+    train = counted.filter(F.col("split") == "train")
+    sides = {r["split"]: r for r in counted.groupBy("split").agg(F.sum("n").alias("n"), F.countDistinct("w").alias("v")).collect()}
+    for side in ("train", "test"):
+        if side not in sides:
+            raise ValueError(f"language model: the {side} side has no block of two or more tokens")
+    scored = score(counted, train_counts(train, order), order, int(sides["train"]["v"]) + 1, int(sides["train"]["n"]))
     aggs = []
     for name, cond in slices.items():
         # every block has exactly one first predicted position: counting those counts blocks
-        aggs += [F.avg(F.when(cond, F.col("nll"))).alias(f"_loss_{name}"),
-                 F.count_if(cond & F.col("first")).alias(f"_blocks_{name}")]
-    r = scored.agg(*aggs)
-    return r
+        aggs += [F.try_divide(F.sum(F.when(cond, F.col("n") * F.col("nll"))), F.sum(F.when(cond, F.col("n")))).alias(f"_loss_{name}"),
+                 F.coalesce(F.sum(F.when(cond & F.col("first"), F.col("n"))), F.lit(0)).alias(f"_blocks_{name}")]
+    return scored.agg(*aggs)
 
 
 def lm_record(agg: DataFrame) -> DataFrame:
     """the 12 LM result fields (train_loss = F3 on the train side)."""
     def loss(n):
-        return F.round(F.col(f"_loss_{n}"), ROUND)
+        return F.col(f"_loss_{n}")
 
     def ppl(n):
-        return F.round(F.exp(F.col(f"_loss_{n}")), ROUND)
+        return F.exp(F.col(f"_loss_{n}"))
 
     return agg.select(
         ppl("test").alias("ppl"), loss("test").alias("eval_loss"), loss("train").alias("train_loss"),
         ppl("en").alias("ppl_en"), loss("en").alias("loss_en"), F.col("_blocks_en").cast("int").alias("test_en_blocks"),
         ppl("target").alias("ppl_target"), loss("target").alias("loss_target"),
         F.col("_blocks_target").cast("int").alias("test_target_blocks"),
-        F.round(F.col("_loss_target") - F.col("_loss_en"), ROUND).alias("gap_loss"),
+        (F.col("_loss_target") - F.col("_loss_en")).alias("gap_loss"),
         F.col("_blocks_train").cast("int").alias("train_blocks"), F.col("_blocks_test").cast("int").alias("test_blocks"))
 
 
@@ -121,18 +126,31 @@ def standard_slices(target_lang: str) -> dict[str, Column]:
             "target": (sp == "test") & (lab == target_lang)}
 
 
-def token_sequences(split_corpus: DataFrame, word_tokens: DataFrame, words_of) -> DataFrame:
-    """Per paragraph token ids for a tokenizer given as (word, tokens array<string>).
-
-    The paragraph's words are exploded with their position, joined to the (distributed) word
-    table -- a shuffle join on word, hot words split by AQE's skew handling -- and regrouped
-    per paragraph. A paragraph was one input row, so its group is bounded by that row.
-    """
-    w = split_corpus.select("doc_id", "pos", "split", "label", F.posexplode(words_of(F.col("text"))).alias("wp", "word"))
-    j = w.join(word_tokens, "word", "left")
-    toks = F.coalesce(F.col("tokens"), F.array(F.lit("<unk>")))
-    g = j.groupBy("doc_id", "pos", "split", "label").agg(F.array_sort(F.collect_list(F.struct("wp", toks.alias("t")))).alias("s"))
-    return g.select("doc_id", "pos", "split", "label", F.flatten(F.transform("s", lambda e: e["t"])).alias("ids"))
+def token_sequences(split_corpus: DataFrame, words: Column, encoder) -> DataFrame:
+    """Tokens of each paragraph (column ids). ``encoder(word)`` gives a word's tokens; it is broadcast (its size is bounded by
+    the vocabulary) and applied inside the paragraph's own row, so nothing is shuffled; words met before are looked up."""
+    ship_package(split_corpus.sparkSession)
+    shared = split_corpus.sparkSession.sparkContext.broadcast(encoder)
+    keys = ["doc_id", "pos", "split", "label"]
+
+    def run(batches):
+        seen: dict[str, list[str]] = {}
+        for b in batches:
+            ids = []
+            for row in b.column(len(keys)).to_pylist():
+                out: list[str] = []
+                for w in row or ():
+                    tokens = seen.get(w)
+                    if tokens is None:
+                        if len(seen) >= CACHE_WORDS:
+                            seen.clear()
+                        tokens = seen[w] = shared.value(w)
+                    out += tokens
+                ids.append(out)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.list_(pa.string()))], names=[*keys, "ids"])
+
+    types = {f.name: f.dataType.simpleString() for f in split_corpus.schema.fields}
+    return split_corpus.select(*keys, words.alias("words")).mapInArrow(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", ids array<string>")
 
 
 def lm_for_tokens(seqs: DataFrame, block_size: int, order: int, target_lang: str) -> DataFrame:

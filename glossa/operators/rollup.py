@@ -26,10 +26,11 @@ BEST_CRITERIA = [
 ]
 
 
-# Fixed value: the columns the compact result views prefer, in display order.
-COMPACT_COLUMNS = ["method", "vocab_size", "tokens_per_char", "tokens_per_char_en", "tokens_per_char_target",
-                   "compression_gap_tokens_per_char", "compression_factor_char_target", "compression_penalty_char",
-                   "ppl", "ppl_en", "ppl_target", "gap_loss"]
+# The columns the compact result views prefer, in display order: of one run, and of a batch.
+COMPACT_COLUMNS = ["method", "vocab_size", "tokens_per_char_en", "tokens_per_char_target", "compression_factor_char_en",
+                   "compression_factor_char_target", "compression_penalty_char", "ppl_en", "ppl_target", "gap_loss"]
+COMPACT_BATCH_COLUMNS = ["group", "target_lang", "ratio", "target_percent", "method", "vocab_size", "compression_factor_char_en",
+                         "compression_factor_char_target", "compression_penalty_char", "ppl_en", "ppl_target", "gap_loss"]
 
 
 def compact(df: DataFrame, preferred: Sequence[str] = COMPACT_COLUMNS) -> DataFrame:
@@ -71,16 +72,16 @@ def run_status(n_rows: Column, n_errors: Column) -> Column:
              .when(n_rows > 0, "partially_completed").otherwise("failed"))
 
 
-def batch_status(status_col: Column, n_errors: Column, validation_failed: Column | None = None) -> Column:
-    """G6 status: validation_failed / completed / partially_completed when any error / failed."""
-    s = F.when(n_errors > 0, "partially_completed").otherwise(status_col)
-    return s if validation_failed is None else F.when(validation_failed, "validation_failed").otherwise(s)
+def batch_status(n_errors: Column, failure: Column) -> Column:
+    """G6 status of a batch row: why a run gave no result (``failure``, validation_failed or failed), else
+    partially_completed with any failed cell, else completed."""
+    return F.coalesce(failure, F.when(n_errors > 0, "partially_completed").otherwise("completed"))
 
 
 def batch_summary(runs: DataFrame, results: DataFrame, errors: DataFrame) -> DataFrame:
     """One row per run (corpus): mixture metadata from the corpus name, counts and the
-    best tokens_per_char / ppl rows. ``runs``: (corpus_path, run_path); results and errors
-    carry run_path."""
+    best tokens_per_char / ppl rows. ``runs``: (corpus_path, run_path, failure, error), where a run
+    that gave no result has a blank run_path and says why; results and errors carry run_path."""
     meta = T.parse_mixture_name(F.col("corpus_path"))
     cnt = results.groupBy("run_path").agg(F.count(F.lit(1)).alias("completed_combinations"))
     err = errors.groupBy("run_path").agg(F.count(F.lit(1)).alias("failed_combinations"))
@@ -94,10 +95,9 @@ def batch_summary(runs: DataFrame, results: DataFrame, errors: DataFrame) -> Dat
     j = (runs.join(cnt, "run_path", "left").join(err, "run_path", "left")
              .join(b_tpc, "run_path", "left").join(b_ppl, "run_path", "left")
              .fillna(0, ["completed_combinations", "failed_combinations"]))
-    status = (F.when(F.col("failed_combinations") > 0, "partially_completed")
-               .when(F.col("completed_combinations") > 0, "completed").otherwise("failed"))
+    status = batch_status(F.col("failed_combinations"), F.col("failure"))
     return j.select("corpus_path", meta["group"].alias("group"), meta["target_lang"].alias("target_lang"),
-                    meta["ratio"].alias("ratio"), status.alias("status"), F.lit("").alias("error"), "run_path",
+                    meta["ratio"].alias("ratio"), status.alias("status"), F.coalesce("error", F.lit("")).alias("error"), "run_path",
                     F.col("completed_combinations").cast("int").alias("completed_combinations"),
                     F.col("failed_combinations").cast("int").alias("failed_combinations"),
                     "best_tokens_per_char_method", "best_tokens_per_char_vocab", "best_tokens_per_char",
@@ -129,9 +129,7 @@ def mean_by(df: DataFrame, dims: Sequence[str], metrics: Sequence[str] = ROLLUP_
         g = (df.select(*[F.col(d).cast("string").alias(d) for d in dims], v.alias("_v"))
                .filter(reduce(lambda a, b: a & b, [F.col(d).isNotNull() for d in dims], F.col("_v").isNotNull() & ~F.isnan("_v")))
                .groupBy(*dims).agg(
-                   # metrics carry 6 decimals: sum them as scaled integers, divide once (exact)
-                   F.round(F.sum(F.round(F.col("_v") * F.lit(1e6)).cast("long")) / (F.count(F.lit(1)) * F.lit(1e6)), 8)
-                   .alias("mean"), F.count(F.lit(1)).alias("n"))
+                   F.avg("_v").alias("mean"), F.count(F.lit(1)).alias("n"))
                .select(*dims, F.lit(m).alias("metric"), "mean", "n"))
         out = g if out is None else out.unionByName(g)
     return out

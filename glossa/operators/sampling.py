@@ -12,13 +12,18 @@ A stratum holding a third of all rows therefore costs the same as any other.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossa.session import broadcast_if_small, cut_lineage
+
 N_BUCKETS = 65536
 _BIG = 1 << 30
+#: Rows of a bucket above which it is cut again, and how often 16 bits of a range make a 64-bit id.
+EDGE_ROWS = 100_000
+ID_LEVELS = 4
 
 
 def md5_key(seed: int, *cols) -> Column:
@@ -35,31 +40,43 @@ def md5_bucket(h: Column) -> Column:
 
 def id_bucket(df: DataFrame, strata: Sequence[str], id_col: str) -> DataFrame:
     """Equal-width id buckets per stratum, monotone in ``id_col``."""
-    stats = df.groupBy(*strata).agg(F.min(id_col).alias("_lo"), F.max(id_col).alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo") + 1).cast("double") / N_BUCKETS
-    return (df.join(F.broadcast(stats), list(strata), "left")
-              .withColumn("_bucket", F.least(F.floor((F.col(id_col) - F.col("_lo")) / width).cast("int"),
-                                             F.lit(N_BUCKETS - 1)))
-              .drop("_lo", "_hi"))
+    lo, hi = F.min(id_col).alias("_lo"), F.max(id_col).alias("_hi")
+    if strata:
+        stats = broadcast_if_small(cut_lineage(df.groupBy(*strata).agg(lo, hi)))
+        df = df.join(stats, list(strata), "left")
+    else:
+        row = df.agg(lo, hi).first()
+        df = df.withColumns({"_lo": F.lit(row["_lo"]), "_hi": F.lit(row["_hi"])})
+    width = (F.col("_hi").cast("double") - F.col("_lo").cast("double") + 1) / N_BUCKETS
+    at = F.floor((F.col(id_col).cast("double") - F.col("_lo").cast("double")) / width).cast("int")
+    return df.withColumn("_bucket", F.least(at, F.lit(N_BUCKETS - 1))).drop("_lo", "_hi")
+
+
+def first_k_by_id(df: DataFrame, strata: Sequence[str], id_col: str, order: Sequence[str], quota: DataFrame | int) -> DataFrame:
+    """The first ``quota`` rows of each stratum in ``order``, which starts with ``id_col``."""
+    return first_k(id_bucket(df, strata, id_col), strata, order, "_bucket", quota,
+                   lambda edge, level: id_bucket(edge, strata, id_col) if level < ID_LEVELS else None).drop("_bucket")
 
 
-def flag_first_k(df: DataFrame, strata: Sequence[str], order: Sequence[str], bucket: str,
-                 quota: DataFrame | int, flag: str = "selected") -> DataFrame:
+def flag_first_k(df: DataFrame, strata: Sequence[str], order: Sequence[str], bucket: str, quota: DataFrame | int,
+                 flag: str = "selected", rebucket: Callable[[DataFrame, int], DataFrame | None] | None = None,
+                 level: int = 0) -> DataFrame:
     """Add boolean ``flag``: row is among the first ``k`` of its stratum in ``order``.
 
     ``quota`` is an int or a DataFrame (strata..., k) computed from counts (the k of
     stratified splits depends on each stratum's size). ``bucket`` must be monotone in
-    ``order``. Rows of strata missing from ``quota`` get k = 0.
+    ``order``. Rows of strata missing from ``quota`` get k = 0. ``rebucket(edge, level)`` cuts the rows
+    of straddling buckets that are too large to rank again by ``bucket``; None when it can't.
     """
     strata = list(strata)
     if not strata:
-        return _flag_first_k_single(df, order, bucket, quota, flag)
+        return _flag_first_k_single(df, order, bucket, quota, flag, rebucket, level)
     counts = df.groupBy(*strata, bucket).agg(F.count(F.lit(1)).alias("_n"))
     if isinstance(quota, int):
         counts = counts.withColumn("_k", F.lit(quota).cast("long"))
     else:
         q = quota.select(*strata, F.col("k").cast("long").alias("_k"))
-        counts = counts.join(F.broadcast(q), strata, "left").withColumn("_k", F.coalesce("_k", F.lit(0).cast("long")))
+        counts = counts.join(broadcast_if_small(q), strata, "left").withColumn("_k", F.coalesce("_k", F.lit(0).cast("long")))
     w = Window.partitionBy(*strata).orderBy(bucket)
     cum = counts.withColumn("_incl", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     cut = (cum.filter((F.col("_incl") >= F.col("_k")) & (F.col("_k") > 0))
@@ -72,18 +89,24 @@ def flag_first_k(df: DataFrame, strata: Sequence[str], order: Sequence[str], buc
              .select(*strata,
                      F.when(F.col("_kk") <= 0, F.lit(-1)).otherwise(F.coalesce("_cut", F.lit(_BIG))).alias("_cut"),
                      F.coalesce("_need", F.lit(0)).alias("_need")))
-    # one row per stratum: safe to broadcast
-    marked = df.join(F.broadcast(cut), strata, "left")
+    cut = cut_lineage(cut)  # one row per stratum
+    marked = df.join(broadcast_if_small(cut), strata, "left")
     rest = (marked.filter(F.col(bucket) != F.col("_cut"))
                   .withColumn(flag, F.col(bucket) < F.col("_cut")))
     edge = marked.filter(F.col(bucket) == F.col("_cut"))
+    if rebucket is not None:
+        crowded = counts.join(cut, strata).filter((F.col(bucket) == F.col("_cut")) & (F.col("_n") > EDGE_ROWS)).limit(1)
+        again = rebucket(edge.drop(bucket, "_cut", "_need"), level + 1) if crowded.count() else None
+        if again is not None:
+            need = cut.select(*strata, F.col("_need").alias("k"))
+            return rest.drop("_cut", "_need").unionByName(flag_first_k(again, strata, order, bucket, need, flag, rebucket, level + 1))
     wr = Window.partitionBy(*strata, bucket).orderBy(*order)
     edge = edge.withColumn(flag, F.row_number().over(wr) <= F.col("_need"))
     return rest.unionByName(edge).drop("_cut", "_need")
 
 
-def _flag_first_k_single(df: DataFrame, order: Sequence[str], bucket: str, quota: DataFrame | int,
-                         flag: str) -> DataFrame:
+def _flag_first_k_single(df: DataFrame, order: Sequence[str], bucket: str, quota: DataFrame | int, flag: str,
+                         rebucket: Callable[[DataFrame, int], DataFrame | None] | None = None, level: int = 0) -> DataFrame:
     """One stratum: the cut (bucket, need) is two scalars, fetched to the driver and used as
     literals -- no join at all."""
     counts = df.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n"))
@@ -93,19 +116,23 @@ def _flag_first_k_single(df: DataFrame, order: Sequence[str], bucket: str, quota
     w = Window.orderBy(bucket)  # over at most N_BUCKETS rows
     cum = counts.withColumn("_incl", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     row = (cum.filter(F.col("_incl") >= k).orderBy(bucket).limit(1)
-              .select(F.col(bucket).alias("b"), (F.lit(k) - F.col("_incl") + F.col("_n")).alias("need")).collect())
+              .select(F.col(bucket).alias("b"), (F.lit(k) - F.col("_incl") + F.col("_n")).alias("need"), "_n").collect())
     if not row:  # k >= all rows
         return df.withColumn(flag, F.lit(True))
     cut, need = int(row[0]["b"]), int(row[0]["need"])
     rest = df.filter(F.col(bucket) != cut).withColumn(flag, F.col(bucket) < cut)
+    if rebucket is not None and row[0]["_n"] > EDGE_ROWS:
+        again = rebucket(df.filter(F.col(bucket) == cut).drop(bucket), level + 1)
+        if again is not None:
+            return rest.unionByName(_flag_first_k_single(again, order, bucket, need, flag, rebucket, level + 1))
     edge = df.filter(F.col(bucket) == cut).withColumn(
         flag, F.row_number().over(Window.partitionBy(bucket).orderBy(*order)) <= need)
     return rest.unionByName(edge)
 
 
-def first_k(df: DataFrame, strata: Sequence[str], order: Sequence[str], bucket: str,
-            quota: DataFrame | int) -> DataFrame:
-    return flag_first_k(df, strata, order, bucket, quota, "_sel").filter("_sel").drop("_sel")
+def first_k(df: DataFrame, strata: Sequence[str], order: Sequence[str], bucket: str, quota: DataFrame | int,
+            rebucket: Callable[[DataFrame, int], DataFrame | None] | None = None) -> DataFrame:
+    return flag_first_k(df, strata, order, bucket, quota, "_sel", rebucket).filter("_sel").drop("_sel")
 
 
 # ---------------------------------------------------------------------------
@@ -165,14 +192,14 @@ def mixture_quotas(cells: DataFrame) -> DataFrame:
 
 
 def mixture_grid(samples: DataFrame, languages: Sequence[str], ratios: dict[str, tuple[float, float]],
-                 sample_size: int = 1000, seed: int = 42, base_lang: str = "en") -> tuple[DataFrame, DataFrame]:
+                 sample_size: int = 1000, seed: int = 42, base_lang: str = "en",
+                 output_dir: str = "data/mixtures") -> tuple[DataFrame, DataFrame]:
     """Every language x ratio cell drawn in one job.
 
     ``samples`` (lang, doc_id, pos, text, rank): per-language samples, already cleaned and
     capped at ``sample_size`` (A5). Returns (mixtures, manifest). A cell whose side is short
     is a ``failed`` manifest row and draws nothing; other cells are unaffected.
     """
-    from glossa.session import cut_lineage
     spark = samples.sparkSession
     samples = cut_lineage(samples)  # bounded by sample_size per language; read by both sides
     counts = samples.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
@@ -210,6 +237,7 @@ def mixture_grid(samples: DataFrame, languages: Sequence[str], ratios: dict[str,
                      .select("group", "target_lang", "ratio", "lang", "doc_id", "pos", "text", "order_key"))
     manifest = cells.select(
         F.when(F.col("status") == "created", file_name).otherwise(F.lit("")).alias("file"),
+        F.when(F.col("status") == "created", F.concat(F.lit(f"{output_dir.rstrip('/')}/"), file_name)).otherwise(F.lit("")).alias("path"),
         "group", "target_lang", "ratio", "english_percent", "target_percent",
         F.when(F.col("status") == "created", F.col("total")).otherwise(F.lit(0)).alias("n_texts"),
         "status", F.coalesce("error", F.lit("")).alias("error"))
@@ -220,32 +248,27 @@ def mixture_grid(samples: DataFrame, languages: Sequence[str], ratios: dict[str,
 # Top-k by score
 # ---------------------------------------------------------------------------
 
-def prefix_bucket(col: str) -> Column:
-    """First two UTF-8 bytes as an int: monotone in Spark's (byte-wise) string order."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(col), "UTF-8"), 1, 2)), 4, "0"), 16, 10).cast("int")
+def prefix_bucket(col: str, level: int = 0) -> Column:
+    """The ``level``-th pair of UTF-8 bytes as an int: monotone in Spark's (byte-wise) string order among strings whose
+    earlier pairs agree."""
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(col), "UTF-8"), 2 * level + 1, 2)), 4, "0"), 16, 10).cast("int")
 
 
-def top_k(df: DataFrame, group: Sequence[str], score: str, tie: str, k: int) -> DataFrame:
-    """The ``k`` rows with the highest ``score`` per group, ties by ``tie`` ascending -- exactly,
-    without a window over a whole group or a k x partitions merge in one task.
+#: Pairs of bytes of a tie that are tried before equal beginnings are ranked as they are.
+TIE_LEVELS = 32
 
-    A histogram of score values per group (small: one row per distinct score) locates the
-    threshold score; rows above it pass, rows below do not, and only the rows *at* the
-    threshold go through exact-k in ``tie`` order.
-    """
-    group = list(group)
-    hist = df.groupBy(*group, score).agg(F.count(F.lit(1)).alias("_n"))
-    w = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))).orderBy(F.desc(score))
-    hist = hist.withColumn("_above", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    thr = (hist.filter((F.col("_above") < k) & (F.col("_above") + F.col("_n") >= k))
-               .select(*group, F.col(score).alias("_thr"), (F.lit(k) - F.col("_above")).alias("k")))
-    one = [] if group else [F.lit(1).alias("_g")]
-    keys = group if group else ["_g"]
-    d = df.select("*", *one)
-    t = thr.select("*", *one)
-    # one row per group: bounded by the number of groups (languages, or one)
-    j = d.join(F.broadcast(t), keys, "left")
-    above = j.filter(F.col("_thr").isNull() | (F.col(score) > F.col("_thr")))
-    at = j.filter(F.col(score) == F.col("_thr")).withColumn("_b", prefix_bucket(tie))
-    at = first_k(at, keys, [tie], "_b", t.select(*keys, "k")).drop("_b")
-    return above.unionByName(at).drop("_thr", "k", *(["_g"] if not group else []))
+
+def top_k(df: DataFrame, group: Sequence[str], score: str, tie: str, k: int) -> DataFrame:
+    """The ``k`` rows with the highest ``score`` per group, ties by ``tie`` ascending -- exactly, without a window over a
+    whole group or a k x partitions merge in one task: exact-k in the order (-score, tie), whose straddling
+    bucket is cut by ranges of scores and then, within one score, by the beginnings of ``tie``."""
+    neg = df.withColumn("_neg", -F.col(score))
+
+    def rebucket(edge: DataFrame, level: int) -> DataFrame | None:
+        if level < ID_LEVELS:
+            return id_bucket(edge, group, "_neg")
+        if level < ID_LEVELS + TIE_LEVELS:
+            return edge.withColumn("_bucket", prefix_bucket(tie, level - ID_LEVELS))
+        return None
+
+    return first_k(id_bucket(neg, group, "_neg"), group, ["_neg", tie], "_bucket", k, rebucket).drop("_neg", "_bucket")

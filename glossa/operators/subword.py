@@ -10,9 +10,12 @@ summed with ``groupBy``; only the piece table (bounded by ``seed_size``) reaches
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,16 +91,30 @@ def wordpiece_encode(types: DataFrame, vocab: Sequence[str]) -> DataFrame:
 
 
 # ------------------------------------------------------------------- Unigram
+def _normal_words(batches):
+    """NFKC of the distinct words; white space that it makes splits a word."""
+    for b in batches:
+        words = [unicodedata.normalize("NFKC", w).split() for w in b.column(0).to_pylist()]
+        at = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        yield pa.RecordBatch.from_arrays([pa.array([META + x for w in words for x in w], pa.string()),
+                                          *[c.take(pa.array(at)) for c in b.columns[1:]]], names=b.schema.names)
+
+
 def unigram_type_table(corpus: DataFrame, target_lang: str, text_col: str = "text") -> DataFrame:
-    """Whitespace words with the word-start marker, counted per slice (runs of spaces collapse)."""
-    words = corpus.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(f"[^{T.WS_CHARS}]+"), 0)).alias("w"),
+    """Whitespace words after compatibility normalisation, with the word-start marker, counted per slice (runs of
+    spaces collapse)."""
+    ship_package(corpus.sparkSession)
+    words = corpus.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(f"[^{T.WS_CHARS}]+"), 0)).alias("word"),
                           "split", "label")
     sp, lab = F.col("split"), F.col("label")
-    return words.groupBy(F.concat(F.lit(META), F.col("w")).alias("word")).agg(
+    raw = words.groupBy("word").agg(
         F.count_if(sp == "train").alias("train_freq"),
         F.count_if(sp == "test").alias("test_all_freq"),
         F.count_if((sp == "test") & (lab == "en")).alias("test_en_freq"),
         F.count_if((sp == "test") & (lab == target_lang)).alias("test_target_freq"))
+    freqs = [f"{s}_freq" for s in SLICES]
+    normal = raw.mapInArrow(_normal_words, "word string, " + ", ".join(f"{c} long" for c in freqs))
+    return normal.groupBy("word").agg(*[F.sum(c).alias(c) for c in freqs])
 
 
 def _viterbi(word: str, logp: dict[str, float], unk_penalty: float) -> list[str]:
@@ -177,14 +194,13 @@ def _forward_backward(word: str, logp: dict[str, float]) -> dict[str, float]:
 
 def seed_pieces(types: DataFrame, seed_size: int) -> DataFrame:
     """All characters plus the ``seed_size`` most frequent substrings (2..16 chars) of train words."""
-    tw = types.filter(F.col("train_freq") > 0).select("word", "train_freq")
-    n = F.length("word")
-    starts = F.sequence(F.lit(1), n)
-    subs = tw.select("train_freq", F.explode(starts).alias("i"), "word", n.alias("n"))
-    subs = subs.select("train_freq", F.explode(F.sequence(F.lit(1), F.least(F.lit(MAX_PIECE_LEN), F.col("n") - F.col("i") + 1))).alias("len"),
-                       "i", "word")
-    subs = subs.select(F.substring("word", F.col("i"), F.col("len")).alias("piece"), "len", "train_freq")
-    counts = subs.groupBy("piece", "len").agg(F.sum("train_freq").alias("count"))
+    tw = types.filter(F.col("train_freq") > 0)
+    # a word's pieces are made inside its own row, so no row carries the whole word once per piece
+    starts = F.sequence(F.lit(1), F.length("word"))
+    pieces = F.flatten(F.transform(starts, lambda i: F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(MAX_PIECE_LEN), F.length("word") - i + 1)), lambda n: F.substring(F.col("word"), i, n))))
+    subs = tw.select("train_freq", F.explode(pieces).alias("piece"))
+    counts = subs.groupBy("piece").agg(F.sum("train_freq").alias("count")).withColumn("len", F.length("piece"))
     chars = counts.filter(F.col("len") == 1)
     from glossa.operators.sampling import top_k
     scored = counts.filter(F.col("len") > 1).withColumn("_s", F.col("count") * F.col("len"))
@@ -192,25 +208,46 @@ def seed_pieces(types: DataFrame, seed_size: int) -> DataFrame:
     return chars.unionByName(multi).select("piece", F.col("count").cast("double").alias("count"), "len")
 
 
-def train_unigram(types: DataFrame, vocab_size: int, seed_factor: int = 8, em_iters: int = 2,
-                  shrink: float = 0.75, max_rounds: int = 30) -> list[tuple[str, float]]:
-    """Seed -> EM -> prune to ``vocab_size`` (specials included). Returns [(piece, logp)]."""
+def _removal_losses(shared):
+    """Per piece: how much its occurrences lose in log probability when its best other segmentation replaces it."""
+    def run(it):
+        logp = shared.value
+        for pdf in it:
+            out = []
+            for p, e in zip(pdf["piece"], pdf["e"]):
+                rest = {k: v for k in {p[i:j] for i in range(len(p)) for j in range(i + 1, len(p) + 1)} - {p} if (v := logp.get(k)) is not None}
+                alone = _viterbi(p, rest, -1e9)
+                out.append(e * (logp[p] - sum(rest.get(x, -1e9) for x in alone)))
+            yield pd.DataFrame({"piece": pdf["piece"], "loss": out})
+    return run
+
+
+def train_unigram(types: DataFrame, vocab_size: int, seed_factor: int = 10, em_iters: int = 2,
+                  shrink: float = 0.75) -> list[tuple[str, float]]:
+    """Seed -> EM -> prune to ``vocab_size`` (specials included). Returns [(piece, logp)].
+
+    ``seed_factor`` times ``vocab_size`` substrings are the seeds. Each round keeps the ``shrink`` share of pieces whose removal
+    would cost the most likelihood, never fewer than asked for, until the size is reached; characters are never
+    dropped, so a size below the characters is an error."""
     n_keep = vocab_size - len(SPECIAL_TOKENS)
-    if types.filter(F.col("train_freq") > 0).limit(1).count() == 0:
+    spark = types.sparkSession
+    tw = types.filter(F.col("train_freq") > 0).select("word", "train_freq")
+    required = tw.select(F.explode(F.split("word", "")).alias("c")).distinct().count()
+    if not required:
         raise ValueError("cannot train a tokenizer: the training sample is empty")
-    ship_package(types.sparkSession)
-    seeds = seed_pieces(types, max(seed_factor * vocab_size, 1000)).collect()
+    if n_keep < required:
+        raise ValueError(f"unigram vocabulary of {vocab_size} is too small for {required} characters")
+    ship_package(spark)
+    seeds = seed_pieces(types, seed_factor * vocab_size).collect()
     chars = {r["piece"] for r in seeds if r["len"] == 1}
-    counts = {r["piece"]: r["count"] for r in seeds}
-    tw = types.filter(F.col("train_freq") > 0).select("word", "train_freq")
-    sc = types.sparkSession.sparkContext
+    sc = spark.sparkContext
 
     def normalise(cnt: dict[str, float]) -> dict[str, float]:
         tot = sum(cnt.values())
         return {p: math.log(c / tot) for p, c in cnt.items() if c > 0}
 
-    logp = normalise(counts)
-    for _ in range(max_rounds):
+    logp = normalise({r["piece"]: r["count"] for r in seeds})
+    while True:
         for _ in range(em_iters):
             b = sc.broadcast(logp)
 
@@ -230,25 +267,31 @@ def train_unigram(types: DataFrame, vocab_size: int, seed_factor: int = 8, em_it
             logp = normalise(cnt)
             b.unpersist()
         if len(logp) <= n_keep:
-            break
-        multi = sorted((p for p in logp if p not in chars), key=lambda p: (-logp[p], p))
-        room = max(n_keep - len(chars), 0)
-        keep_n = max(room, int(len(multi) * shrink))
-        keep = set(multi[:keep_n]) | chars
+            return sorted(logp.items(), key=lambda kv: (-kv[1], kv[0]))
+        multi = [(p, cnt[p]) for p in logp if p not in chars]
+        b = sc.broadcast(logp)
+        losses = spark.createDataFrame(multi, "piece string, e double").repartition(sc.defaultParallelism).mapInPandas(
+            _removal_losses(b), "piece string, loss double").collect()  # bounded by the seeds
+        b.unpersist()
+        ranked = sorted(losses, key=lambda r: (-r["loss"], r["piece"]))
+        keep = {r["piece"] for r in ranked[:max(n_keep - len(chars), int(len(multi) * shrink))]} | chars
         logp = normalise({p: math.exp(v) for p, v in logp.items() if p in keep})
-        if len(logp) <= n_keep or keep_n == room:
-            break
-    pieces = sorted(logp.items(), key=lambda kv: (-kv[1], kv[0]))
-    if len(pieces) > n_keep:
-        keepers = [kv for kv in pieces if kv[0] in chars]
-        others = [kv for kv in pieces if kv[0] not in chars][: max(n_keep - len(keepers), 0)]
-        pieces = sorted(keepers + others, key=lambda kv: (-kv[1], kv[0]))
-    return pieces
+
+
+def unk_penalty(logp: dict[str, float]) -> float:
+    """Score of an unknown character: well below the rarest piece."""
+    return min(logp.values()) - 10.0 if logp else -10.0
+
+
+def unigram_tokens(word: str, logp: dict[str, float], floor: float) -> list[str]:
+    """Tokens of a raw white-space word with its marker: compatibility normalisation, then Viterbi a word."""
+    words = unicodedata.normalize("NFKC", word[len(META):]).split()
+    return [t for w in words for t in _viterbi(META + w, logp, floor)]
 
 
 def unigram_sums(types: DataFrame, pieces: Sequence[tuple[str, float]]) -> DataFrame:
     logp = dict(pieces)
-    unk_penalty = min(logp.values()) - 10.0 if logp else -10.0
+    floor = unk_penalty(logp)
     ship_package(types.sparkSession)
     vb = types.sparkSession.sparkContext.broadcast(logp)
     freq_cols = [f"{s}_freq" for s in SLICES]
@@ -256,7 +299,7 @@ def unigram_sums(types: DataFrame, pieces: Sequence[tuple[str, float]]) -> DataF
     def run(it):
         lp = vb.value
         for pdf in it:
-            toks = [_viterbi(w, lp, unk_penalty) for w in pdf["word"]]
+            toks = [_viterbi(w, lp, floor) for w in pdf["word"]]
             out = pdf[freq_cols].copy()
             out["ntok"] = [len(t) for t in toks]
             out["tchars"] = [sum(len(x) for x in t) for t in toks]
@@ -273,13 +316,13 @@ def unigram_sums(types: DataFrame, pieces: Sequence[tuple[str, float]]) -> DataF
 
 def unigram_encode(types: DataFrame, pieces: Sequence[tuple[str, float]]) -> DataFrame:
     logp = dict(pieces)
-    unk_penalty = min(logp.values()) - 10.0 if logp else -10.0
+    floor = unk_penalty(logp)
     ship_package(types.sparkSession)
     vb = types.sparkSession.sparkContext.broadcast(logp)
 
     def run(it):
         lp = vb.value
         for pdf in it:
-            yield pd.DataFrame({"word": pdf["word"], "tokens": [_viterbi(w, lp, unk_penalty) for w in pdf["word"]]})
+            yield pd.DataFrame({"word": pdf["word"], "tokens": [_viterbi(w, lp, floor) for w in pdf["word"]]})
 
     return types.select("word").mapInPandas(run, "word string, tokens array<string>")

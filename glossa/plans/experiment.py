@@ -2,9 +2,9 @@
 
 corpus -> clean (B8, written once) -> size guard (C8) -> split (C3 stratified or C1 random +
 C2/C5 labels) -> type tables (D1) -> one training sweep per method over all vocab sizes
-(D2/D3/D4/D7) -> compression metrics (E1-E5) -> optional n-gram LM per cell (F) -> result
-table (G1), error table (G5), best rows (G2), status (G4). A failing method becomes error
-rows and does not stop the others, as in the reference's per-cell try/except.
+(D2/D3/D4/D7) -> saved tokenizers (A15) -> compression metrics (E1-E5) -> optional n-gram LM
+per cell (F) -> result table (G1), error table (G5), best rows (G2), status (G4). A failing
+cell becomes an error row and stops no other, as in the reference's per-cell try/except.
 """
 
 from __future__ import annotations
@@ -16,17 +16,20 @@ from pyspark.sql import functions as F
 
 from glossa.functions import text as T
 from glossa.operators import bpe as BPE
+from glossa.operators import encoders as E
 from glossa.operators import metrics as M
 from glossa.operators import ngram_lm as LM
 from glossa.operators import rollup as G
 from glossa.operators import sampling as S
 from glossa.operators import subword as W
 from glossa.session import cut_lineage
+from glossa.sources.io import save_tokenizer
 
 METHODS = ("bpe", "wordpiece", "unigram", "word", "char")
-# Vocabulary sizes offered (D9) and the default grid.
+# Vocabulary sizes offered (D9), the default grid and the split strategies.
 VOCAB_SIZES_OFFERED = [500, 1000, 2000, 4000, 8000, 16000, 32000, 64000]
-DEFAULT_VOCAB_SIZES = [1000, 2000]
+DEFAULT_VOCAB_SIZES = VOCAB_SIZES_OFFERED[1:3]
+SPLIT_STRATEGIES = ("random", "stratified_by_language")
 
 
 @dataclass
@@ -37,19 +40,35 @@ class ExperimentParams:
     test_fraction: float = 0.1
     seed: int = 42
     split_strategy: str = "stratified_by_language"
-    min_texts: int = 20
+    min_texts: int = 10
     run_language_model: bool = False
     block_size: int = 128
     lm_order: int = 2
 
+    def problems(self) -> list[str]:
+        """What is wrong with the parameters; empty when a run may start."""
+        out = []
+        if not (self.language or "").strip():
+            out.append("no language")
+        if not self.tokenizer_methods:
+            out.append("no tokenizer method")
+        if not self.vocab_sizes:
+            out.append("no vocabulary size")
+        out += [f"vocabulary size must be positive: {v}" for v in self.vocab_sizes if int(v) <= 0]
+        if not 0 < self.test_fraction < 0.9:
+            out.append("test_fraction must be between 0 and 0.9")
+        if self.split_strategy not in SPLIT_STRATEGIES:
+            out.append(f"unknown split strategy: {self.split_strategy}")
+        if self.min_texts < 2:
+            out.append("min_texts must be at least 2")
+        if self.run_language_model and self.block_size <= 1:
+            out.append("block_size must be above 1")
+        out += [f"unknown tokenizer method: {m}" for m in self.tokenizer_methods if m not in METHODS]
+        return out
+
     def validate(self) -> None:
-        if not 0 < self.test_fraction < 1:
-            raise ValueError("test_fraction must be in (0, 1)")
-        if not self.vocab_sizes or min(self.vocab_sizes) <= len(BPE.SPECIAL_TOKENS):
-            raise ValueError("vocab sizes must exceed the number of special tokens")
-        bad = [m for m in self.tokenizer_methods if m not in METHODS]
-        if bad:
-            raise ValueError(f"unknown tokenizer method(s): {bad}")
+        if bad := self.problems():
+            raise ValueError("; ".join(bad))
 
 
 @dataclass
@@ -76,87 +95,73 @@ def prepare(paragraphs: DataFrame, p: ExperimentParams, detected: str = "lang")
 SUM_COLUMNS = ["method", "vocab_size"] + [f"{k}_test_{s}" for s in ("all", "en", "target") for k in ("tokens", "token_chars")]
 
 
-def _token_sums(method: str, types: DataFrame, utypes: DataFrame | None, sizes: list[int],
-                keep: dict | None = None) -> DataFrame:
-    """Slice token totals for one method at every size, in the common column layout."""
-    return _method_sums(method, types, utypes, sizes, keep).select(
-        F.col("method"), F.col("vocab_size").cast("int").alias("vocab_size"),
-        *[F.col(c).cast("long").alias(c) for c in SUM_COLUMNS[2:]])
+@dataclass
+class Cell:
+    """A trained (method, vocabulary size): its slice token totals, its encoder and its tables."""
+    sums: DataFrame
+    encode: object
+    vocab: DataFrame
+    merges: DataFrame | None = None
 
 
-def _method_sums(method: str, types: DataFrame, utypes: DataFrame | None, sizes: list[int],
-                 keep: dict | None = None) -> DataFrame:
-    """Token totals per size; ``keep`` collects (method, size) -> (word, tokens) tables for the LM."""
+def train_cells(method: str, types: DataFrame, utypes: DataFrame | None, sizes: list[int]):
+    """Yield (size, Cell or Exception). One sweep serves all sizes of a merge method; a size that can't be trained
+    fails alone."""
     spark = types.sparkSession
+    sizes = sorted({int(v) for v in sizes})
+
+    def row(sums: DataFrame, v: int) -> DataFrame:
+        return sums.select(F.lit(method).alias("method"), F.lit(v).alias("vocab_size"), *[F.col(c).cast("long").alias(c) for c in SUM_COLUMNS[2:]])
+
     if method in ("word", "char"):
-        return M.lexical_token_sums(types, sizes, method)
-    out = None
-    if method == "bpe":
-        tr = BPE.train_merges(types, sizes, "bpe", keep_states=keep is not None)
-        if keep is not None:
-            for v, st in tr.states.items():
-                keep[("bpe", v)] = st.select("word", F.split(F.trim(F.col("seg")), "  ").alias("tokens"))
-        for v, snap in tr.snapshots.items():
-            row = snap.select(F.lit("bpe").alias("method"), F.lit(v).alias("vocab_size"), "*")
-            out = row if out is None else out.unionByName(row)
-    elif method == "wordpiece":
-        tr = BPE.train_merges(types, sizes, "wordpiece")
-        for v in sorted(set(sizes)):
-            if keep is not None:
-                keep[("wordpiece", v)] = cut_lineage(W.wordpiece_encode(types, tr.vocab[:v]))
-            row = W.wordpiece_sums(types, tr.vocab[:v]).select(F.lit("wordpiece").alias("method"),
-                                                               F.lit(v).alias("vocab_size"), "*")
-            out = row if out is None else out.unionByName(row)
-    elif method == "unigram":
-        for v in sorted(set(sizes)):
-            pieces = W.train_unigram(utypes, v)
-            if keep is not None:
-                keep[("unigram", v)] = cut_lineage(W.unigram_encode(utypes, pieces))
-            row = W.unigram_sums(utypes, pieces).select(F.lit("unigram").alias("method"), F.lit(v).alias("vocab_size"), "*")
-            out = row if out is None else out.unionByName(row)
-    return cut_lineage(spark.createDataFrame(out.collect(), out.schema))  # a handful of rows
-
-
-def lm_record_for_words(split: DataFrame, p: ExperimentParams) -> DataFrame:
-    """F on word tokens (the SQL-checkable LM); one row."""
-    toks = split.select("doc_id", "pos", "split", "label", T.pretokens(F.col("text")).alias("ids"))
-    g = LM.ngrams(LM.blocks(toks, "ids", p.block_size), p.lm_order)
-    return LM.lm_record(LM.evaluate(g, p.lm_order, LM.standard_slices(p.language)))
-
-
-def _word_tokens(method: str, types: DataFrame) -> DataFrame:
-    """Word-level and char-level tokenizers as (word, tokens) tables (vocabulary misses -> <unk>
-    are not modelled here: the LM sees the units themselves)."""
-    if method == "word":
-        return types.select("word", F.array(F.col("word")).alias("tokens"))
-    return types.select("word", F.regexp_extract_all(F.col("word"), F.lit(r"(?s)."), 0).alias("tokens"))
-
-
-def lm_records(spark: SparkSession, split: DataFrame, types: DataFrame, keep: dict, sums: DataFrame,
-               p: ExperimentParams) -> DataFrame:
-    """F per grid cell on that cell's own tokens; a failing cell gets no LM columns."""
-    cells = [(r["method"], int(r["vocab_size"])) for r in sums.select("method", "vocab_size").collect()]
-    out = None
-    for method, v in cells:
-        if method == "unigram":
-            words_of = lambda t: F.transform(  # noqa: E731 - whitespace words with the marker
-                F.regexp_extract_all(t, F.lit(f"[^{T.WS_CHARS}]+"), 0), lambda w: F.concat(F.lit(W.META), w))
-        else:
-            words_of = T.pretokens
-        table = keep.get((method, v)) if method not in ("word", "char") else _word_tokens(method, types)
-        if table is None:
-            continue
-        seqs = LM.token_sequences(split, table, words_of)
-        rec = LM.lm_for_tokens(seqs, p.block_size, p.lm_order, p.language).select(
-            F.lit(method).alias("method"), F.lit(v).alias("vocab_size"), "*")
-        rec = spark.createDataFrame(rec.collect(), rec.schema)  # one row per cell
-        out = rec if out is None else out.unionByName(rec)
-    return out
-
-
-def run_experiment(spark: SparkSession, paragraphs: DataFrame, p: ExperimentParams) -> ExperimentResult:
+        ranked = cut_lineage(M.lexical_vocab(types, sizes[-1], method))
+        sums = cut_lineage(M.lexical_token_sums(types, sizes, method))
+        for v in sizes:
+            mine = ranked.filter(F.col("rk") <= v - len(BPE.SPECIAL_TOKENS))
+            units = frozenset(r["unit"] for r in mine.select("unit").collect())  # bounded by v
+            table = mine.select((F.col("rk") + len(BPE.SPECIAL_TOKENS) - 1).alias("id"), F.col("unit").alias("piece"))
+            yield v, Cell(row(sums.filter(F.col("vocab_size") == v), v), E.Lexical(method, units), table)
+    elif method in ("bpe", "wordpiece"):
+        tr = BPE.train_merges(types, sizes, method)
+        for v in sizes:
+            rows, merges = tr.cuts[v]
+            vocab = tr.vocab[:rows]
+            if method == "bpe":
+                sums, encode = tr.snapshots[v], E.Merges([m[1:4] for m in tr.merges[:merges]], frozenset(tr.alphabet))
+            else:
+                sums, encode = W.wordpiece_sums(types, vocab), E.WordPiece(frozenset(vocab))
+            yield v, Cell(row(sums, v), encode, BPE.vocab_frame(spark, tr, rows), BPE.merges_frame(spark, tr, merges))
+    else:
+        for v in sizes:
+            try:
+                pieces = W.train_unigram(utypes, v)
+            except Exception as e:  # noqa: BLE001 - this size's error, the next may do
+                yield v, e
+                continue
+            table = spark.createDataFrame([(i, p, float(s)) for i, (p, s) in enumerate(pieces, len(BPE.SPECIAL_TOKENS))], "id int, piece string, score double")
+            yield v, Cell(row(W.unigram_sums(utypes, pieces), v), E.Unigram(dict(pieces)), table)
+
+
+def _words(method: str):
+    """What a method's encoder takes: pre-tokens, or white-space words with the marker."""
+    if method != "unigram":
+        return T.pretokens(F.col("text"))
+    return F.transform(F.regexp_extract_all(F.col("text"), F.lit(f"[^{T.WS_CHARS}]+"), 0), lambda w: F.concat(F.lit(W.META), w))
+
+
+def lm_record(split: DataFrame, method: str, cell: Cell, p: ExperimentParams) -> DataFrame:
+    """F on a cell's own tokens: one row."""
+    seqs = LM.token_sequences(split, _words(method), cell.encode)
+    rec = LM.lm_for_tokens(seqs, p.block_size, p.lm_order, p.language)
+    return split.sparkSession.createDataFrame(rec.collect(), rec.schema)
+
+
+def run_experiment(spark: SparkSession, paragraphs: DataFrame, p: ExperimentParams, tokenizers_dir: str | None = None,
+                   run_id: str = "run", detected: str = "lang") -> ExperimentResult:
+    """``detected`` names the column with the classifier's language of each text (B12). With ``tokenizers_dir`` every
+    result row's tokenizer is saved there."""
     p.validate()
-    split = prepare(paragraphs, p)
+    split = prepare(paragraphs, p, detected)
     stats = S.split_stats(split, "label")
     n_clean = stats.select("total_texts").first()[0]
     if n_clean < p.min_texts:
@@ -164,23 +169,31 @@ def run_experiment(spark: SparkSession, paragraphs: DataFrame, p: ExperimentPara
     types = cut_lineage(BPE.type_table(split, p.language))
     utypes = cut_lineage(W.unigram_type_table(split, p.language)) if "unigram" in p.tokenizer_methods else None
     text_stats = cut_lineage(M.text_stats(split, p.language))
-    sums, errors = None, []
-    keep: dict | None = {} if p.run_language_model else None
+    rows, errors = [], []
     for method in p.tokenizer_methods:
+        left = sorted({int(v) for v in p.vocab_sizes})
         try:
-            s = _token_sums(method, types, utypes, list(p.vocab_sizes), keep)
-            sums = s if sums is None else sums.unionByName(s)
-        except Exception as e:  # noqa: BLE001 - a failing cell is recorded, the grid goes on
-            errors += [(f"{method}/vocab_{v}", repr(e)) for v in p.vocab_sizes]
+            for v, cell in train_cells(method, types, utypes, left[:]):
+                left.remove(v)
+                try:
+                    if isinstance(cell, Exception):
+                        raise cell
+                    if tokenizers_dir:
+                        save_tokenizer(cell.vocab, cell.merges, tokenizers_dir, run_id, method, v)
+                    row = M.result_rows(text_stats, cell.sums)
+                    if p.run_language_model:
+                        one = F.lit(1).alias("_one")
+                        row = row.select("*", one).join(lm_record(split, method, cell, p).select("*", one), "_one").drop("_one")
+                    rows.append((row.first(), row.schema))
+                except Exception as e:  # noqa: BLE001 - a failing cell is recorded, the grid goes on
+                    errors.append((f"{method}/vocab_{v}", repr(e)))
+        except Exception as e:  # noqa: BLE001 - the sweep of this method failed: its remaining cells did
+            errors += [(f"{method}/vocab_{v}", repr(e)) for v in left]
     err_df = spark.createDataFrame(errors, "stage string, error string")
-    if sums is None:
+    status = "completed" if rows and not errors else ("partially_completed" if rows else "failed")
+    if not rows:
         empty = spark.createDataFrame([], "method string, vocab_size int")
-        return ExperimentResult(empty, err_df, stats, empty, "failed")
-    rows = M.result_rows(text_stats, sums)
-    if p.run_language_model:
-        lm = lm_records(spark, split, types, keep, sums, p)
-        rows = rows.join(lm, ["method", "vocab_size"], "left")
-    rows = G.result_table(rows, p.run_language_model)
-    n_rows = rows.count()
-    status = "completed" if n_rows and not errors else ("partially_completed" if n_rows else "failed")
-    return ExperimentResult(rows, err_df, stats, G.best_rows(rows), status)
+        return ExperimentResult(empty, err_df, stats, empty, status)
+    table = spark.createDataFrame([r for r, _ in rows], rows[0][1])  # one row per cell of the grid
+    table = G.result_table(table, p.run_language_model)
+    return ExperimentResult(table, err_df, stats, G.best_rows(table), status)

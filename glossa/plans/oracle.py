@@ -240,6 +240,7 @@ FROM drawn"""
 
 ORACLE["mixture_manifest"] = f"""WITH {_mixture_ctes()}
 SELECT CASE WHEN err IS NULL THEN 'mix_' || "group" || '_' || target_lang || '_' || ratio || '.txt' ELSE '' END AS file,
+       CASE WHEN err IS NULL THEN 'data/mixtures/mix_' || "group" || '_' || target_lang || '_' || ratio || '.txt' ELSE '' END AS path,
        "group", target_lang, ratio, english_percent, target_percent,
        CASE WHEN err IS NULL THEN total ELSE 0 END AS n_texts,
        CASE WHEN err IS NULL THEN 'created' ELSE 'failed' END AS status, coalesce(err, '') AS error
@@ -339,6 +340,51 @@ sums AS (SELECT * FROM sw UNION ALL SELECT * FROM sc)
 {result_select()}"""
 
 
+# One merge at a time, as a recursion over the type table; a vocabulary size is reached at the first step with that many
+# distinct strings. The steps cover the largest registered size (the alphabet takes the rest), so none is missed.
+_STEPS = max(R.BPE_SIZES) - 80
+BPE = f"""{TYPES},
+alpha AS (SELECT DISTINCT unnest(regexp_extract_all(word, '(?s).', 0)) AS c FROM types WHERE train_freq > 0),
+al AS (SELECT list(c) AS a FROM alpha),
+init AS (SELECT types.*, ' ' || array_to_string(list_transform(regexp_extract_all(word, '(?s).', 0),
+           lambda c: CASE WHEN list_contains(a, c) THEN c ELSE '<unk>' END), '  ') || ' ' AS seg FROM types, al),
+rec AS (
+  SELECT 0 AS step, '' AS l, '' AS r, 0::HUGEINT AS n, * FROM init
+  UNION ALL
+  SELECT s.step + 1, b.l, b.r, b.n, s.word, s.train_freq, s.test_all_freq, s.test_en_freq, s.test_target_freq,
+         replace(s.seg, ' ' || b.l || '  ' || b.r || ' ', ' ' || b.l || b.r || ' ')
+  FROM rec s, (SELECT l, r, sum(train_freq) AS n FROM (
+      SELECT train_freq, y[i] AS l, y[i + 1] AS r
+      FROM (SELECT train_freq, string_split(trim(seg), '  ') AS y FROM rec WHERE train_freq > 0), unnest(range(1, len(y))) AS u(i))
+    GROUP BY l, r HAVING sum(train_freq) >= 2 ORDER BY n DESC, l, r LIMIT 1) b
+  WHERE s.step < {_STEPS}),
+steps AS (SELECT step, any_value(l) AS l, any_value(r) AS r, any_value(n) AS n FROM rec WHERE step > 0 GROUP BY step),
+firsts AS (SELECT l || r AS piece, min(step) AS step FROM steps GROUP BY l || r),
+base AS (SELECT 5 + count(*) AS n FROM alpha),
+grown AS (SELECT 0 AS step, n FROM base UNION ALL
+          SELECT s.step, base.n + (SELECT count(*) FROM firsts f WHERE f.step <= s.step) FROM steps s, base),
+cut AS (SELECT v, coalesce(min(step) FILTER (WHERE n >= v), max(step)) AS step FROM grown, (SELECT unnest({list(R.BPE_SIZES)}) AS v) GROUP BY v),
+last AS (SELECT max(step) AS step FROM cut)"""
+
+ORACLE["bpe_merges"] = f"""WITH RECURSIVE {BPE}
+SELECT CAST(s.step AS INTEGER) AS rank, l AS "left", r AS "right", l || r AS merged, CAST(n AS BIGINT) AS count
+FROM steps s JOIN last ON s.step <= last.step"""
+ORACLE["bpe_vocab"] = f"""WITH RECURSIVE {BPE},
+pieces AS (SELECT 0 AS part, i AS k, p AS piece FROM (SELECT unnest(['<unk>', '<pad>', '<s>', '</s>', '<mask>']) AS p, unnest(range(5)) AS i)
+  UNION ALL SELECT 1, row_number() OVER (ORDER BY c), c FROM alpha
+  UNION ALL SELECT 2, f.step, f.piece FROM firsts f JOIN last ON f.step <= last.step)
+SELECT CAST(row_number() OVER (ORDER BY part, k) - 1 AS INTEGER) AS id, piece FROM pieces"""
+ORACLE["bpe_encode"] = f"""WITH RECURSIVE {BPE}
+SELECT word, len(string_split(trim(seg), '  ')) AS n_tokens, array_to_string(string_split(trim(seg), '  '), ' ') AS tokens
+FROM rec JOIN last USING (step) WHERE test_all_freq > 0"""
+_SUMS = ", ".join(f"CAST(sum({s}_freq * ((length(seg) - length(replace(seg, ' ', ''))) // 2)) AS BIGINT) AS tokens_{s}, "
+                  f"CAST(sum({s}_freq * length(replace(seg, ' ', ''))) AS BIGINT) AS token_chars_{s}"
+                  for s in ["test_all", "test_en", "test_target"])
+ORACLE["compression_by_language"] = f"""WITH RECURSIVE {BPE}, {text_stats_cte()},
+sums AS (SELECT 'bpe' AS method, v AS vocab_size, {_SUMS} FROM rec JOIN cut USING (step) GROUP BY v)
+{result_select()}"""
+
+
 # ------------------------------------------------------------ F: n-gram LM
 _B = R.LM_BLOCK
 BLOCKS = f"""{SPLIT},
@@ -351,69 +397,96 @@ blk AS (
 ORACLE["lm_blocks"] = f"""WITH {BLOCKS}
 SELECT doc_id, pos, split, block_no, len(block) AS n_ids, array_to_string(block, ' ') AS block_text FROM blk"""
 
-ORACLE["ngram_lm_eval"] = f"""WITH {BLOCKS},
-grams AS (SELECT doc_id, pos, split, label, block_no, block[i] AS w, block[i - 1] AS c1
-          FROM blk, unnest(range(2, len(block) + 1)) AS u(i)),
-tr AS (SELECT * FROM grams WHERE split = 'train'),
-uni AS (SELECT w, count(*) AS c_uni FROM tr GROUP BY w),
-ng AS (SELECT c1, w, count(*) AS n1 FROM tr GROUP BY c1, w),
-cx AS (SELECT c1, sum(n1) AS cc, count(*) AS tc FROM ng GROUP BY c1),
-tot AS (SELECT count(*) AS n, count(DISTINCT w) + 1 AS v FROM tr),
-sc AS (
-  SELECT g.*, (coalesce(u.c_uni, 0) + 1.0) / (tot.n + tot.v) AS p0, ng.n1, cx.cc, cx.tc
-  FROM grams g LEFT JOIN uni u USING (w) LEFT JOIN ng USING (c1, w) LEFT JOIN cx USING (c1), tot),
-nl AS (
+def lm_ctes(src: str, target: str, name: str, p: str = "") -> str:
+    """The LM of order 2 over blocks (doc_id, pos, split, label, block_no, block) of ``src``; one row ``name``."""
+    return f"""grams{p} AS (SELECT doc_id, pos, split, label, block_no, block[i] AS w, block[i - 1] AS c1
+          FROM {src}, unnest(range(2, len(block) + 1)) AS u(i)),
+tr{p} AS (SELECT * FROM grams{p} WHERE split = 'train'),
+uni{p} AS (SELECT w, count(*) AS c_uni FROM tr{p} GROUP BY w),
+ng{p} AS (SELECT c1, w, count(*) AS n1 FROM tr{p} GROUP BY c1, w),
+cx{p} AS (SELECT c1, sum(n1) AS cc, count(*) AS tc FROM ng{p} GROUP BY c1),
+tot{p} AS (SELECT count(*) AS n, count(DISTINCT w) + 1 AS v FROM tr{p}),
+nl{p} AS (
   SELECT *, -ln(CASE WHEN cc > 0 THEN (greatest(coalesce(n1, 0) - 0.75, 0.0) + 0.75 * tc * p0) / cc ELSE p0 END) AS nll
-  FROM sc),
-agg AS (
+  FROM (SELECT g.*, (coalesce(u.c_uni, 0) + 1.0) / (t.n + t.v) AS p0, ng{p}.n1, cx{p}.cc, cx{p}.tc
+        FROM grams{p} g LEFT JOIN uni{p} u USING (w) LEFT JOIN ng{p} USING (c1, w) LEFT JOIN cx{p} USING (c1), tot{p} t)),
+{name} AS (SELECT round(exp(l_test), 6) AS ppl, round(l_test, 6) AS eval_loss, round(l_train, 6) AS train_loss,
+       round(exp(l_en), 6) AS ppl_en, round(l_en, 6) AS loss_en, CAST(b_en AS INTEGER) AS test_en_blocks,
+       round(exp(l_target), 6) AS ppl_target, round(l_target, 6) AS loss_target,
+       CAST(b_target AS INTEGER) AS test_target_blocks, round(l_target - l_en, 6) AS gap_loss,
+       CAST(b_train AS INTEGER) AS train_blocks, CAST(b_test AS INTEGER) AS test_blocks FROM (
   SELECT avg(nll) FILTER (WHERE split = 'test') AS l_test, avg(nll) FILTER (WHERE split = 'train') AS l_train,
          avg(nll) FILTER (WHERE split = 'test' AND label = 'en') AS l_en,
-         avg(nll) FILTER (WHERE split = 'test' AND label = {Q.q(R.TARGET)}) AS l_target,
+         avg(nll) FILTER (WHERE split = 'test' AND label = {Q.q(target)}) AS l_target,
          count(DISTINCT (doc_id, pos, block_no)) FILTER (WHERE split = 'train') AS b_train,
          count(DISTINCT (doc_id, pos, block_no)) FILTER (WHERE split = 'test') AS b_test,
          count(DISTINCT (doc_id, pos, block_no)) FILTER (WHERE split = 'test' AND label = 'en') AS b_en,
-         count(DISTINCT (doc_id, pos, block_no)) FILTER (WHERE split = 'test' AND label = {Q.q(R.TARGET)}) AS b_target
-  FROM nl)
-SELECT round(exp(l_test), 6) AS ppl, round(l_test, 6) AS eval_loss, round(l_train, 6) AS train_loss,
-       round(exp(l_en), 6) AS ppl_en, round(l_en, 6) AS loss_en, CAST(b_en AS INTEGER) AS test_en_blocks,
-       round(exp(l_target), 6) AS ppl_target, round(l_target, 6) AS loss_target,
-       CAST(b_target AS INTEGER) AS test_target_blocks, round(l_target - l_en, 6) AS gap_loss,
-       CAST(b_train AS INTEGER) AS train_blocks, CAST(b_test AS INTEGER) AS test_blocks
-FROM agg"""
+         count(DISTINCT (doc_id, pos, block_no)) FILTER (WHERE split = 'test' AND label = {Q.q(target)}) AS b_target
+  FROM nl{p}))"""
 
 
-# ------------------------------------------------------------ G: roll-ups
-def run_results_ctes(target: str) -> str:
-    p = "_" + target.replace("-", "_")
-    return f"""labelled{p} AS (SELECT *, {Q.language_label('text', target, 'lang')} AS label FROM clean),
-{stratified_split_cte(f'labelled{p}', f'ss{p}')},
-words{p} AS (SELECT unnest({Q.pretokens('text')}) AS word, split, label FROM ss{p}),
-types{p} AS (
+ORACLE["ngram_lm_eval"] = f"WITH {BLOCKS}, {lm_ctes('blk', R.TARGET, 'lm')} SELECT * FROM lm"
+
+
+# ------------------------------------------------------------ G: roll-ups, over experiments on mixtures
+def run_results_ctes(run, p: str) -> str:
+    """An experiment on one mixture: clean, label, split, word and char tokenizers at every size, LM per cell."""
+    t = run.target
+    parts = [f"""mx{p} AS (SELECT s.doc_id, s.lang, s.pos, s.text FROM drawn d JOIN smp s USING (lang, doc_id, pos)
+          WHERE d.target_lang = {Q.q(t)} AND d.ratio = {Q.q(run.ratio)})""",
+             f"cl{p} AS (SELECT doc_id, lang, pos, text FROM {Q.clean_from(f'mx{p}', 'text', Q.q(t))} c WHERE {Q.keep_text('text')})",
+             f"lb{p} AS (SELECT *, {Q.language_label('text', t, 'lang')} AS label FROM cl{p})",
+             stratified_split_cte(f"lb{p}", f"ss{p}"),
+             f"words{p} AS (SELECT unnest({Q.pretokens('text')}) AS word, split, label FROM ss{p})",
+             f"""types{p} AS (
   SELECT word, count(*) FILTER (WHERE split = 'train') AS train_freq,
          count(*) FILTER (WHERE split = 'test') AS test_all_freq,
          count(*) FILTER (WHERE split = 'test' AND label = 'en') AS test_en_freq,
-         count(*) FILTER (WHERE split = 'test' AND label = {Q.q(target)}) AS test_target_freq
-  FROM words{p} GROUP BY word),
-{text_stats_cte(f'ss{p}', target, f'stats{p}')},
-{lexical_sums_cte('word', R.GRID_SIZES, f'sw{p}', f'types{p}', p)},
-{lexical_sums_cte('char', R.GRID_SIZES, f'sc{p}', f'types{p}', p)},
-sums{p} AS (SELECT * FROM sw{p} UNION ALL SELECT * FROM sc{p}),
-results{p} AS (SELECT *, 'runs/{target}' AS run_path FROM ({result_select(f'sums{p}', f'stats{p}')}))"""
-
-
-_BATCH_RUNS = ", ".join(f"({Q.q(f'data/mixtures/mix_{R._group(t)}_{t}_{r}.txt')}, {Q.q(f'runs/{t}')})" for t, r in R.BATCH)
-BATCH_CTES = (f"{CLEAN},\n" + ",\n".join(run_results_ctes(t) for t, _ in R.BATCH) + ",\n"
-              + "res AS (" + " UNION ALL ".join(f"SELECT * FROM results_{t.replace('-', '_')}" for t, _ in R.BATCH) + "),\n"
-              + f"runs(corpus_path, run_path) AS (VALUES {_BATCH_RUNS})")
+         count(*) FILTER (WHERE split = 'test' AND label = {Q.q(t)}) AS test_target_freq
+  FROM words{p} GROUP BY word)""",
+             text_stats_cte(f"ss{p}", t, f"stats{p}")]
+    cells = []
+    for m in ("word", "char"):
+        parts.append(lexical_sums_cte(m, run.sizes, f"s_{m}{p}", f"types{p}", p))
+        for v in run.sizes:
+            c = f"_{m}_{v}{p}"
+            units = Q.pretokens("text")
+            if m == "char":
+                units = f"flatten(list_transform({units}, lambda x: regexp_extract_all(x, '(?s).', 0)))"
+            parts += [f"voc{c} AS (SELECT coalesce(list(unit), []) AS voc FROM rank_{m}{p} WHERE rk <= {v - 5})",
+                      f"""tk{c} AS (SELECT doc_id, pos, split, label,
+              list_transform({units}, lambda x: CASE WHEN list_contains(voc, x) THEN x ELSE '<unk>' END) AS ids FROM ss{p}, voc{c})""",
+                      f"""bk{c} AS (SELECT doc_id, pos, split, label, CAST(s // {_B} AS INTEGER) AS block_no, ids[s + 1 : s + {_B}] AS block
+  FROM tk{c}, unnest(range(0, len(ids) - 1, {_B})) AS u(s) WHERE len(ids) >= 2 AND len(ids[s + 1 : s + {_B}]) >= 2)""",
+                      lm_ctes(f"bk{c}", t, f"lm{c}", c)]
+            cells.append(f"SELECT * FROM ({result_select(f's_{m}{p}', f'stats{p}')}) r, lm{c} WHERE r.vocab_size = {v}")
+    parts.append(f"results{p} AS (SELECT *, {Q.q(run.run_path)} AS run_path FROM ({' UNION ALL '.join(cells)}))")
+    return ",\n".join(parts)
+
+
+_DONE = [(r, f"_r{i}") for i, r in enumerate(R.BATCH) if r.target != "ru" and r.min_texts < 1000]
+_FEW = next(r for r in R.BATCH if r.min_texts >= 1000)
+_UNI, _UNI_P = next((r, p) for r, p in _DONE if "unigram" in r.methods)
+_RUN_ROWS = [f"SELECT {Q.q(r.corpus_path)} AS corpus_path, {Q.q(r.run_path)} AS run_path, CAST(NULL AS VARCHAR) AS failure, '' AS error" for r, _ in _DONE]
+_RUN_ROWS += [f"SELECT {Q.q(r.corpus_path)}, '', 'validation_failed', {Q.q(R.NO_CORPUS)}" for r in R.BATCH if r.target == "ru"]
+_RUN_ROWS.append(f"""SELECT {Q.q(_FEW.corpus_path)}, '', 'failed',
+  'RuntimeError(''not enough text fragments after cleaning: ' || (SELECT count(*) FROM few_clean) || '; minimum {_FEW.min_texts}'')'""")
+# a failing cell: fewer vocabulary rows than the marker and the characters of the normalised train words
+BATCH_CTES = (f"{_mixture_ctes()},\n" + ",\n".join(run_results_ctes(r, p) for r, p in _DONE) + ",\n"
+              + "res AS (" + " UNION ALL ".join(f"SELECT * FROM results{p}" for _, p in _DONE) + "),\n"
+              + f"""few AS (SELECT s.doc_id, s.lang, s.pos, s.text FROM drawn d JOIN smp s USING (lang, doc_id, pos)
+          WHERE d.target_lang = {Q.q(_FEW.target)} AND d.ratio = {Q.q(_FEW.ratio)}),
+few_clean AS (SELECT text FROM {Q.clean_from('few', 'text', Q.q(_FEW.target))} c WHERE {Q.keep_text('text')}),
+runs AS ({' UNION ALL '.join(_RUN_ROWS)}),
+uni_chars AS (SELECT count(DISTINCT c) + 1 AS n FROM (SELECT unnest(regexp_extract_all(text, '(?s)[^{T.WS_CHARS}]', 0)) AS c FROM ss{_UNI_P} WHERE split = 'train')),
+err AS (SELECT {Q.q(_UNI.run_path)} AS run_path, 'unigram/vocab_{_UNI.sizes[0]}' AS stage,
+        'ValueError(''unigram vocabulary of {_UNI.sizes[0]} is too small for ' || n || ' characters'')' AS error FROM uni_chars)""")
 
 
 def best_rows_sql(src: str = "res", keys: str = "run_path") -> str:
-    from glossa.operators.metrics import RESULT_COLUMNS
     from glossa.operators.rollup import BEST_CRITERIA
     parts = []
     for name, metric, mode in BEST_CRITERIA:
-        if metric not in RESULT_COLUMNS:  # the batch ran without the LM: no ppl / gap_loss columns
-            continue
         key = f"abs({metric})" if mode == "min_abs" else (f"-{metric}" if mode == "max" else metric)
         parts.append(f"""SELECT {keys}, '{name}' AS criterion, method, vocab_size, value FROM (
   SELECT {keys}, method, vocab_size, {metric} AS value,
@@ -423,41 +496,38 @@ def best_rows_sql(src: str = "res", keys: str = "run_path") -> str:
 
 
 ORACLE["best_rows"] = f"WITH {BATCH_CTES}\n{best_rows_sql()}"
-
-ORACLE["run_status"] = f"""WITH {BATCH_CTES},
-n AS (SELECT run_path, count(*) AS n_rows FROM res GROUP BY run_path)
-SELECT run_path, coalesce(n_rows, 0) AS n_rows, 0::BIGINT AS n_errors,
-       CASE WHEN coalesce(n_rows, 0) > 0 THEN 'completed' ELSE 'failed' END AS status
-FROM runs LEFT JOIN n USING (run_path)"""
-
-_T0 = R.BATCH[0][0]
-ORACLE["run_summary"] = f"""WITH {BATCH_CTES},
-raw AS (SELECT count(*) AS raw_texts FROM paras),
-st AS (SELECT count(*) AS cleaned_texts, count(*) FILTER (WHERE split = 'train') AS train_texts,
-              count(*) FILTER (WHERE split = 'test') AS test_texts,
-              count(*) FILTER (WHERE split = 'test' AND label = 'en') AS test_en_texts,
-              count(*) FILTER (WHERE split = 'test' AND label NOT IN ('en', 'unknown')) AS test_target_texts,
-              count(*) FILTER (WHERE split = 'test' AND label = 'unknown') AS test_unknown_texts FROM ss_{_T0}),
-cells AS (SELECT count(*) AS completed_combinations FROM res WHERE run_path = 'runs/{_T0}'),
-best AS (SELECT method AS best_method, vocab_size AS best_vocab_size, value AS best_tokens_per_char
-         FROM ({best_rows_sql("(SELECT * FROM res WHERE run_path = 'runs/" + _T0 + "')")})
-         WHERE criterion = 'best_tokens_per_char')
-SELECT raw.*, st.*, cells.*, best.*, 0::BIGINT AS failed_combinations, 'stratified_by_language' AS split_strategy
-FROM raw, st, cells LEFT JOIN best ON true"""
+ORACLE["error_table"] = f"WITH {BATCH_CTES} SELECT run_path, stage, error FROM err"
+
+_COUNTS = """counts_ AS (SELECT r.run_path, coalesce(n.n, 0) AS n_rows, coalesce(e.n, 0) AS n_errors FROM runs r
+  LEFT JOIN (SELECT run_path, count(*) AS n FROM res GROUP BY run_path) n USING (run_path)
+  LEFT JOIN (SELECT run_path, count(*) AS n FROM err GROUP BY run_path) e USING (run_path) WHERE r.run_path <> ''),
+run_st AS (SELECT *, CASE WHEN n_rows > 0 AND n_errors = 0 THEN 'completed' WHEN n_rows > 0 THEN 'partially_completed'
+                  ELSE 'failed' END AS status FROM counts_)"""
+ORACLE["run_status"] = f"WITH {BATCH_CTES}, {_COUNTS} SELECT run_path, n_rows, n_errors, status FROM run_st"
+
+_STATS = " UNION ALL ".join(f"""SELECT {Q.q(r.run_path)} AS run_path, (SELECT count(*) FROM mx{p}) AS raw_texts, count(*) AS cleaned_texts,
+  count(*) FILTER (WHERE split = 'train') AS train_texts, count(*) FILTER (WHERE split = 'test') AS test_texts,
+  count(*) FILTER (WHERE split = 'test' AND label = 'en') AS test_en_texts,
+  count(*) FILTER (WHERE split = 'test' AND label NOT IN ('en', 'unknown')) AS test_target_texts,
+  count(*) FILTER (WHERE split = 'test' AND label = 'unknown') AS test_unknown_texts FROM ss{p}""" for r, p in _DONE)
+ORACLE["run_summary"] = f"""WITH {BATCH_CTES}, {_COUNTS}, st AS ({_STATS}), best AS ({best_rows_sql()})
+SELECT st.*, 'stratified_by_language' AS split_strategy, c.n_rows AS completed_combinations, c.n_errors AS failed_combinations,
+  b.method AS best_method, b.vocab_size AS best_vocab_size, b.value AS best_tokens_per_char
+FROM st JOIN counts_ c USING (run_path) LEFT JOIN (SELECT * FROM best WHERE criterion = 'best_tokens_per_char') b USING (run_path)"""
 
 BATCH_SUMMARY = f"""summary AS (
   SELECT r.corpus_path, p.grp AS "group", p.tl AS target_lang, p.ratio,
-         CASE WHEN coalesce(c.n, 0) > 0 THEN 'completed' ELSE 'failed' END AS status, '' AS error, r.run_path,
-         CAST(coalesce(c.n, 0) AS INTEGER) AS completed_combinations, 0 AS failed_combinations,
+         coalesce(r.failure, CASE WHEN coalesce(e.n, 0) > 0 THEN 'partially_completed' ELSE 'completed' END) AS status,
+         r.error, r.run_path, CAST(coalesce(c.n, 0) AS INTEGER) AS completed_combinations,
+         CAST(coalesce(e.n, 0) AS INTEGER) AS failed_combinations,
          bt.method AS best_tokens_per_char_method, bt.vocab_size AS best_tokens_per_char_vocab,
-         bt.value AS best_tokens_per_char,
-         CAST(NULL AS VARCHAR) AS best_ppl_method, CAST(NULL AS INTEGER) AS best_ppl_vocab, CAST(NULL AS DOUBLE) AS best_ppl
-  FROM runs r
+         bt.value AS best_tokens_per_char, bp.method AS best_ppl_method, bp.vocab_size AS best_ppl_vocab, bp.value AS best_ppl
+  FROM (SELECT *, string_split(regexp_extract(corpus_path, '([^/]*?)(\\.[^./]*)?\\z', 1), '_') AS parts FROM runs) r
   LEFT JOIN (SELECT run_path, count(*) AS n FROM res GROUP BY run_path) c USING (run_path)
+  LEFT JOIN (SELECT run_path, count(*) AS n FROM err GROUP BY run_path) e USING (run_path)
   LEFT JOIN (SELECT * FROM best WHERE criterion = 'best_tokens_per_char') bt USING (run_path)
-  LEFT JOIN (SELECT run_path, string_split(regexp_extract(corpus_path, '([^/]*?)(\\.[^./]*)?\\z', 1), '_') AS parts
-             FROM runs) pp USING (run_path)
-  CROSS JOIN LATERAL (SELECT parts[2] AS grp, parts[3] AS tl, array_to_string(parts[4:], '_') AS ratio) p)"""
+  LEFT JOIN (SELECT * FROM best WHERE criterion = 'best_ppl') bp USING (run_path)
+  CROSS JOIN LATERAL (SELECT r.parts[2] AS grp, r.parts[3] AS tl, array_to_string(r.parts[4:], '_') AS ratio) p)"""
 
 ORACLE["batch_summary"] = f"""WITH {BATCH_CTES}, best AS ({best_rows_sql()}), {BATCH_SUMMARY}
 SELECT * FROM summary"""
@@ -474,15 +544,13 @@ ORACLE["batch_rollup"] = f"WITH {ROLLUP} SELECT * FROM rollup"
 
 def mean_by_sql(dims: list[str], coerce: bool = False) -> str:
     from glossa.operators.rollup import ROLLUP_METRICS
-    present = ["compression_factor_char_target", "compression_penalty_char"]  # no LM columns in this batch
     parts = []
-    for m in [x for x in ROLLUP_METRICS if x in present]:
+    for m in ROLLUP_METRICS:
         v = f"TRY_CAST({m} AS DOUBLE)" if coerce else f"CAST({m} AS DOUBLE)"
         dsel = ", ".join(f'CAST("{d}" AS VARCHAR) AS "{d}"' for d in dims)
         dn = " AND ".join(f'"{d}" IS NOT NULL' for d in dims)
         dl = ", ".join(f'"{d}"' for d in dims)
-        parts.append(f"""SELECT {dl}, '{m}' AS metric,
-  round(CAST(sum(CAST(round(_v * 1e6) AS BIGINT)) AS DOUBLE) / (count(*) * 1e6), 8) AS mean, count(*) AS n FROM (
+        parts.append(f"""SELECT {dl}, '{m}' AS metric, round(avg(_v), 8) AS mean, count(*) AS n FROM (
   SELECT {dsel}, {v} AS _v FROM rollup) WHERE _v IS NOT NULL AND NOT isnan(_v) AND {dn} GROUP BY {dl}""")
     return "\nUNION ALL\n".join(parts)
 
@@ -492,6 +560,9 @@ ORACLE["mean_by_method_percent"] = f"WITH {ROLLUP}\n{mean_by_sql(['method', 'tar
 ORACLE["mean_by_lang_percent"] = f"WITH {ROLLUP}\n{mean_by_sql(['target_lang', 'target_percent'])}"
 ORACLE["mean_by_line_vocab"] = f"WITH {ROLLUP}\n{mean_by_sql(['ratio', 'vocab_size'], coerce=True)}"
 ORACLE["status_counts"] = f"WITH {BATCH_CTES}, best AS ({best_rows_sql()}), {BATCH_SUMMARY} SELECT status, count(*) AS n FROM summary GROUP BY status"
+ORACLE["run_ledger"] = f"""WITH {BATCH_CTES}, {_COUNTS}
+SELECT regexp_extract(run_path, '([^/]+)$', 1) AS run_id, status, n_rows || ' cells' AS message,
+       regexp_extract(run_path, 'run_([^_]+)_', 1) AS language, true AS dated FROM run_st"""
 
 
 # ------------------------------------------------------------ B12: language id
@@ -503,18 +574,16 @@ ho AS (SELECT * FROM lh WHERE _h < '{R.HOLDOUT}'),
 tg AS (SELECT lang, substring(nt, i, n) AS gram FROM tr, unnest([1, 2, 3]) AS nn(n),
        unnest(range(1, greatest(length(nt) - n + 1, 1) + 1)) AS u(i) WHERE length(substring(nt, i, n)) > 0),
 cnt AS (SELECT lang, gram, count(*) AS count FROM tg GROUP BY lang, gram),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY count DESC, gram) AS rank FROM cnt)
-        WHERE rank <= 300),
-tot AS (SELECT lang, sum(count) AS n, count(*) AS v FROM top GROUP BY lang),
+tot AS (SELECT lang, sum(count) AS n, count(*) AS v FROM cnt GROUP BY lang),
 docs AS (SELECT lang, count(*) AS d FROM tr GROUP BY lang),
 lt AS (SELECT lang, ln(0.5 / (n + 0.5 * v)) AS unseen, ln(d / (SELECT sum(d) FROM docs)) AS prior, n, v
        FROM tot JOIN docs USING (lang)),
-model AS (SELECT t.lang, gram, count, rank, ln((count + 0.5) / (n + 0.5 * v)) - unseen AS gain, unseen, prior
-          FROM top t JOIN lt USING (lang))"""
+model AS (SELECT t.lang, gram, count, ln((count + 0.5) / (n + 0.5 * v)) - unseen AS gain, unseen, prior
+          FROM cnt t JOIN lt USING (lang))"""
 
-ORACLE["langid_nb"] = f"WITH {LANGID} SELECT lang, gram, count, rank FROM model"
+ORACLE["langid_nb"] = f"WITH {LANGID} SELECT lang, gram, count FROM model"
 
-ORACLE["langid_accuracy"] = f"""WITH {LANGID},
+PREDICTED = f"""{LANGID},
 hg AS (SELECT doc_id, pos, substring(nt, i, n) AS gram FROM ho, unnest([1, 2, 3]) AS nn(n),
        unnest(range(1, greatest(length(nt) - n + 1, 1) + 1)) AS u(i) WHERE length(substring(nt, i, n)) > 0),
 ng AS (SELECT doc_id, pos, count(*) AS n_grams FROM hg GROUP BY doc_id, pos),
@@ -522,8 +591,12 @@ sc AS (SELECT doc_id, pos, m.lang, sum(gain) AS gain FROM hg JOIN model m USING
 allsc AS (
   SELECT ng.doc_id, ng.pos, lt.lang, coalesce(sc.gain, 0) + ng.n_grams * lt.unseen + lt.prior AS score
   FROM ng JOIN lt ON true LEFT JOIN sc ON sc.doc_id = ng.doc_id AND sc.pos = ng.pos AND sc.lang = lt.lang),
-best AS (SELECT doc_id, pos, arg_max(lang, score) AS predicted FROM allsc GROUP BY doc_id, pos)
-SELECT h.lang, b.predicted, count(*) AS n_texts FROM ho h JOIN best b USING (doc_id, pos) GROUP BY h.lang, b.predicted"""
+best AS (SELECT doc_id, pos, arg_max(lang, score) AS predicted FROM allsc GROUP BY doc_id, pos),
+hp AS (SELECT h.*, b.predicted FROM ho h JOIN best b USING (doc_id, pos))"""
+
+ORACLE["langid_accuracy"] = f"WITH {PREDICTED} SELECT lang, predicted, count(*) AS n_texts FROM hp GROUP BY lang, predicted"
+ORACLE["label_by_classifier"] = f"""WITH {PREDICTED}
+SELECT lang, {Q.language_label('text', R.TARGET, 'predicted')} AS label, count(*) AS n_texts FROM hp GROUP BY 1, 2"""
 
 
 # ------------------------------------------------------------ S, A6-A15
@@ -536,11 +609,17 @@ SELECT lang, doc_id, pos FROM head"""
 ORACLE["corpus_roundtrip"] = f"""WITH {CLEAN}
 SELECT lang, count(*) AS n_texts, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM clean GROUP BY lang"""
 
+ORACLE["corpus_listing"] = f"""WITH {CLEAN}
+SELECT lang, CAST(sum(strlen({Q.strip('text')}) + 2) AS BIGINT) AS n_bytes FROM clean GROUP BY lang"""
+
+from glossa.operators.metrics import LM_COLUMNS as _LC  # noqa: E402
 from glossa.operators.metrics import RESULT_COLUMNS as _RC  # noqa: E402
+from glossa.operators.rollup import COMPACT_BATCH_COLUMNS as _CB  # noqa: E402
 from glossa.operators.rollup import COMPACT_COLUMNS as _CC  # noqa: E402
 
-ORACLE["result_table"] = f"WITH {BATCH_CTES} SELECT {', '.join(_RC)} FROM res"
-ORACLE["compact_results"] = f"WITH {BATCH_CTES} SELECT {', '.join(c for c in _CC if c in _RC)} FROM res"
+ORACLE["result_table"] = f"WITH {BATCH_CTES} SELECT {', '.join(_RC + _LC)} FROM res"
+ORACLE["compact_results"] = f"WITH {BATCH_CTES} SELECT {', '.join(_CC)} FROM res"
+ORACLE["compact_batch"] = f"WITH {ROLLUP} SELECT {', '.join(Q.ident(c) for c in _CB)} FROM rollup"
 
 ORACLE["ratio_percent"] = f"""
 SELECT doc_id, r AS ratio,

@@ -56,6 +56,11 @@ def clean_lang(doc_id: Column, lang: Column) -> Column:
     return out
 
 
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded for comparison with the oracle; stored results are full doubles."""
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
 def paragraphs(spark, d) -> DataFrame:
     return C.paragraph_scan(C.documents(spark, d))
 
@@ -307,7 +312,7 @@ def q_compression_grid(spark, d):
     sc = split_corpus(spark, d)
     types = cut_lineage(BPE.type_table(sc, TARGET))
     sums = M.lexical_token_sums(types, GRID_SIZES, "word").unionByName(M.lexical_token_sums(types, GRID_SIZES, "char"))
-    return M.result_rows(M.text_stats(sc, TARGET), sums)
+    return rounded(M.result_rows(M.text_stats(sc, TARGET), sums))
 
 
 def _bpe(spark, d, method="bpe", sizes=BPE_SIZES):
@@ -337,7 +342,7 @@ def q_compression_by_language(spark, d):
     for v, snap in tr.snapshots.items():
         row = snap.select(F.lit("bpe").alias("method"), F.lit(v).alias("vocab_size"), "*")
         sums = row if sums is None else sums.unionByName(row)
-    return M.result_rows(M.text_stats(sc, TARGET), sums)
+    return rounded(M.result_rows(M.text_stats(sc, TARGET), sums))
 
 
 # ------------------------------------------------------------ F: n-gram LM
@@ -363,37 +368,87 @@ def q_lm_blocks(spark, d):
 @register("ngram_lm_eval")
 def q_ngram_lm_eval(spark, d):
     g = LM.ngrams(word_blocks(spark, d), LM_ORDER)
-    return LM.lm_record(LM.evaluate(g, LM_ORDER, LM.standard_slices(TARGET)))
+    return rounded(LM.lm_record(LM.evaluate(g, LM_ORDER, LM.standard_slices(TARGET))))
 
 
 # ------------------------------------------------------------ G: roll-ups
 from glossa.operators import rollup as G  # noqa: E402
 
-# Fixed batch of runs over the same cleaned corpus: (target language, ratio name).
-BATCH = [("de", "90_10"), ("fr", "75_25"), ("es", "50_50")]
+from dataclasses import dataclass  # noqa: E402
 
 
-def run_results(c: DataFrame, target: str) -> DataFrame:
-    lab = c.withColumn("label", T.language_label(F.col("text"), target, F.col("lang")))
-    from glossa.session import cut_lineage
-    sc = cut_lineage(S.stratified_split(lab, ["doc_id", "pos"], "label", TEST_FRACTION, SEED))
-    types = cut_lineage(BPE.type_table(sc, target))
-    sums = M.lexical_token_sums(types, GRID_SIZES, "word").unionByName(M.lexical_token_sums(types, GRID_SIZES, "char"))
-    return M.result_rows(M.text_stats(sc, target), sums).withColumn("run_path", F.lit(f"runs/{target}"))
+@dataclass(frozen=True)
+class BatchRun:
+    """One corpus of the batch: a mixture (C7) and the run's parameters."""
+    target: str
+    ratio: str
+    methods: tuple[str, ...] = ("word", "char")
+    sizes: tuple[int, ...] = (100, 1000)
+    min_texts: int = 10
+
+    @property
+    def corpus_path(self) -> str:
+        return f"data/mixtures/mix_{_group(self.target)}_{self.target}_{self.ratio}.txt"
+
+    @property
+    def run_path(self) -> str:
+        return f"runs/run_{self.target}_{self.ratio}"
+
+
+# Fixed batch: two complete runs, one with a cell that fails (a Unigram vocabulary smaller than its characters), a mixture
+# that could not be drawn (no such language in the tables), and a run with fewer texts than it asks for.
+BATCH = [BatchRun("de", "90_10"), BatchRun("fr", "75_25"), BatchRun("es", "50_50", ("word", "char", "unigram"), (30,)),
+         BatchRun("ru", "90_10"), BatchRun("de", "50_50", min_texts=100_000)]
+NO_CORPUS = "corpus file not found"
+
+
+_BATCHES: dict[tuple[str, str], tuple] = {}
 
 
 def batch_tables(spark, d):
+    """(runs, results, errors, split statistics) of the batch, which a session runs once for each input: its tables
+    (a row a run or a cell) serve all the reports on it."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _BATCHES:
+        _BATCHES[at] = _run_batch(spark, d)
+    return _BATCHES[at]
+
+
+def _run_batch(spark, d):
+    """One experiment a mixture, with the LM."""
+    from glossa.plans.experiment import ExperimentParams, run_experiment
+    mix, manifest = _mixtures(spark, d)
+    created = {(r["target_lang"], r["ratio"]) for r in manifest.filter("status = 'created'").collect()}  # the grid's cells
     from glossa.session import cut_lineage
-    c = cleaned(spark, d)
-    res = None
-    for tgt, _ in BATCH:
-        r = run_results(c, tgt)
-        res = r if res is None else res.unionByName(r)
-    res = cut_lineage(res)
-    runs = spark.createDataFrame(
-        [(f"data/mixtures/mix_{_group(t)}_{t}_{r}.txt", f"runs/{t}") for t, r in BATCH], "corpus_path string, run_path string")
-    errors = spark.createDataFrame([], "run_path string, stage string, error string")
-    return runs, res, errors
+    mix = cut_lineage(mix.coalesce(spark.sparkContext.defaultParallelism))
+    runs, res, err, stats = [], None, None, None
+    for run in BATCH:
+        p = ExperimentParams(run.target, list(run.methods), list(run.sizes), TEST_FRACTION, SEED, min_texts=run.min_texts,
+                             run_language_model=True, block_size=LM_BLOCK, lm_order=LM_ORDER)
+        problems = p.problems() + ([] if (run.target, run.ratio) in created else [NO_CORPUS])
+        if problems:
+            runs.append((run.corpus_path, "", "validation_failed", "; ".join(problems)))
+            continue
+        texts = mix.filter((F.col("target_lang") == run.target) & (F.col("ratio") == run.ratio)).select("doc_id", "lang", "pos", "text")
+        try:
+            out = run_experiment(spark, texts, p)
+        except Exception as e:  # noqa: BLE001 - a run that fails is a row of the summary
+            runs.append((run.corpus_path, "", "failed", repr(e)))
+            continue
+        runs.append((run.corpus_path, run.run_path, None, ""))
+        at = F.lit(run.run_path).alias("run_path")
+        raw = texts.agg(F.count(F.lit(1)).alias("raw_texts"))
+        one = F.lit(1).alias("_one")
+        st = out.split_stats.select("*", one).join(raw.select("*", one), "_one").drop("_one").select("*", at, F.lit(p.split_strategy).alias("split_strategy"))
+        res = _plus(res, out.results.select("*", at))
+        err = _plus(err, out.errors.select("*", at))
+        stats = _plus(stats, st)
+    runs_df = spark.createDataFrame(runs, "corpus_path string, run_path string, failure string, error string")
+    return runs_df, rounded(res), err, cut_lineage(stats)
+
+
+def _plus(a, b):
+    return b if a is None else a.unionByName(b)
 
 
 def _group(lang: str) -> str:
@@ -405,82 +460,87 @@ def _group(lang: str) -> str:
 
 @register("best_rows")
 def q_best_rows(spark, d):
-    _, res, _ = batch_tables(spark, d)
+    _, res, _, _ = batch_tables(spark, d)
     return G.best_rows(res, ["run_path"])
 
 
-@register("run_status")
-def q_run_status(spark, d):
-    runs, res, err = batch_tables(spark, d)
+def _run_counts(runs, res, err):
     n = res.groupBy("run_path").agg(F.count(F.lit(1)).alias("n_rows"))
     e = err.groupBy("run_path").agg(F.count(F.lit(1)).alias("n_errors"))
-    j = runs.join(n, "run_path", "left").join(e, "run_path", "left").fillna(0, ["n_rows", "n_errors"])
-    return j.select("run_path", "n_rows", "n_errors", G.run_status(F.col("n_rows"), F.col("n_errors")).alias("status"))
+    named = runs.filter("run_path <> ''")
+    return named.join(n, "run_path", "left").join(e, "run_path", "left").fillna(0, ["n_rows", "n_errors"])
+
+
+@register("run_status")
+def q_run_status(spark, d):
+    runs, res, err, _ = batch_tables(spark, d)
+    return _run_counts(runs, res, err).select("run_path", "n_rows", "n_errors",
+                                              G.run_status(F.col("n_rows"), F.col("n_errors")).alias("status"))
+
+
+@register("error_table")
+def q_error_table(spark, d):
+    """The failed cells of every run."""
+    return batch_tables(spark, d)[2].select("run_path", "stage", "error")
 
 
 @register("run_summary")
 def q_run_summary(spark, d):
-    """G3 for the first batch run: corpus and split counts, cell counts, best row."""
-    tgt = BATCH[0][0]
-    raw = paragraphs(spark, d).agg(F.count(F.lit(1)).alias("raw_texts"))
-    c = cleaned(spark, d).withColumn("label", T.language_label(F.col("text"), tgt, F.col("lang")))
-    sc = S.stratified_split(c, ["doc_id", "pos"], "label", TEST_FRACTION, SEED)
-    st = S.split_stats(sc, "label")
-    _, res, err = batch_tables(spark, d)
-    res = res.filter(F.col("run_path") == f"runs/{tgt}")
-    cells = res.agg(F.count(F.lit(1)).alias("completed_combinations"))
-    best = G.best_rows(res).filter(F.col("criterion") == "best_tokens_per_char").select(
-        F.col("method").alias("best_method"), F.col("vocab_size").alias("best_vocab_size"),
+    """G3 for every run of the batch that gave results: corpus and split counts, cell counts, best row."""
+    runs, res, err, stats = batch_tables(spark, d)
+    cells = _run_counts(runs, res, err).select("run_path", F.col("n_rows").alias("completed_combinations"),
+                                               F.col("n_errors").alias("failed_combinations"))
+    best = G.best_rows(res, ["run_path"]).filter(F.col("criterion") == "best_tokens_per_char").select(
+        "run_path", F.col("method").alias("best_method"), F.col("vocab_size").alias("best_vocab_size"),
         F.col("value").alias("best_tokens_per_char"))
-    one = F.lit(1).alias("_one")
-    out = raw.select("*", one)
-    for t in [st.select(F.col("total_texts").alias("cleaned_texts"), "train_texts", "test_texts", "test_en_texts",
-                        "test_target_texts", "test_unknown_texts"), cells, best]:
-        out = out.join(t.select("*", one), "_one", "left")
-    return out.drop("_one").withColumn("failed_combinations", F.lit(0).cast("long")) \
-              .withColumn("split_strategy", F.lit("stratified_by_language"))
+    counts = stats.select("run_path", "raw_texts", F.col("total_texts").alias("cleaned_texts"), "train_texts", "test_texts",
+                          "test_en_texts", "test_target_texts", "test_unknown_texts", "split_strategy")
+    return counts.join(cells, "run_path").join(best, "run_path", "left")
 
 
 @register("batch_summary")
 def q_batch_summary(spark, d):
-    runs, res, err = batch_tables(spark, d)
+    runs, res, err, _ = batch_tables(spark, d)
     return G.batch_summary(runs, res, err)
 
 
+def _rollup(spark, d):
+    runs, res, err, _ = batch_tables(spark, d)
+    return G.batch_rollup(G.batch_summary(runs, res, err), res, "results/batch_demo")
+
+
 @register("batch_rollup")
 def q_batch_rollup(spark, d):
-    runs, res, err = batch_tables(spark, d)
-    return G.batch_rollup(G.batch_summary(runs, res, err), res, "results/batch_demo")
+    return _rollup(spark, d)
 
 
-def _rollup(spark, d):
-    runs, res, err = batch_tables(spark, d)
-    return G.batch_rollup(G.batch_summary(runs, res, err), res, "results/batch_demo")
+def _mean_by(spark, d, dims, coerce=False):
+    return rounded(G.mean_by(_rollup(spark, d), dims, coerce=coerce), 8)
 
 
 @register("mean_by_method_vocab")
 def q_mean_by_method_vocab(spark, d):
-    return G.mean_by(_rollup(spark, d), ["method", "vocab_size"])
+    return _mean_by(spark, d, ["method", "vocab_size"])
 
 
 @register("mean_by_method_percent")
 def q_mean_by_method_percent(spark, d):
-    return G.mean_by(_rollup(spark, d), ["method", "target_percent"])
+    return _mean_by(spark, d, ["method", "target_percent"])
 
 
 @register("mean_by_lang_percent")
 def q_mean_by_lang_percent(spark, d):
-    return G.mean_by(_rollup(spark, d), ["target_lang", "target_percent"])
+    return _mean_by(spark, d, ["target_lang", "target_percent"])
 
 
 @register("mean_by_line_vocab")
 def q_mean_by_line_vocab(spark, d):
-    return G.mean_by(_rollup(spark, d), ["ratio", "vocab_size"], coerce=True)
+    return _mean_by(spark, d, ["ratio", "vocab_size"], coerce=True)
 
 
 @register("status_counts")
 def q_status_counts(spark, d):
-    runs, res, err = batch_tables(spark, d)
+    runs, res, err, _ = batch_tables(spark, d)
     return G.status_counts(G.batch_summary(runs, res, err))
 
 
@@ -498,18 +558,26 @@ def _langid_sides(spark, d):
 @register("langid_nb")
 def q_langid_nb(spark, d):
     train, _ = _langid_sides(spark, d)
-    return LID.train(train, top_k=300).select("lang", "gram", "count", "rank")
+    return LID.train(train).select("lang", "gram", "count")
 
 
 @register("langid_accuracy")
 def q_langid_accuracy(spark, d):
     train, held = _langid_sides(spark, d)
-    model = LID.train(train, top_k=300)
-    pred = LID.predict(model, held, ["doc_id", "pos"])
+    pred = LID.predict(LID.train(train), held, ["doc_id", "pos"])
     return (held.join(pred, ["doc_id", "pos"]).groupBy("lang", "predicted")
                 .agg(F.count(F.lit(1)).alias("n_texts")))
 
 
+@register("label_by_classifier")
+def q_label_by_classifier(spark, d):
+    """B11 with B12 as its detector: labels of the held-out documents by the classifier trained on the others."""
+    train, held = _langid_sides(spark, d)
+    held = held.join(LID.predict(LID.train(train), held, ["doc_id", "pos"]), ["doc_id", "pos"])
+    lab = held.select("lang", T.language_label(F.col("text"), TARGET, F.col("predicted")).alias("label"))
+    return lab.groupBy("lang", "label").agg(F.count(F.lit(1)).alias("n_texts"))
+
+
 # ------------------------------------------------------------ S, A6-A15: streams and sinks
 def _scratch(spark, name: str) -> str:
     """A fresh folder inside the session's (shared) checkpoint directory."""
@@ -541,18 +609,18 @@ def q_corpus_roundtrip(spark, d):
     from glossa.sources import io as IO
     root = _scratch(spark, "corpora")
     IO.write_corpus_text(cleaned(spark, d), root, ["lang"])
-    back = IO.read_corpus_text(spark, root).withColumn("lang", F.regexp_extract("path", "lang=([^/]+)", 1))
-    p = C.paragraph_scan(back, keep=("doc_id", "lang"))
+    p = IO.read_corpus_text(spark, root).withColumn("lang", F.regexp_extract("path", "lang=([^/]+)", 1))
     return p.groupBy("lang").agg(F.count(F.lit(1)).alias("n_texts"), F.sum(F.length("text")).alias("n_chars"))
 
 
 @register("corpus_listing")
 def q_corpus_listing(spark, d):
-    """A12 over an exported corpus (file count depends on the writer's partitioning: rows-only)."""
+    """A12 over an exported corpus: bytes by language (the number of files follows the writer's partitions)."""
     from glossa.sources import io as IO
     root = _scratch(spark, "listing")
     IO.write_corpus_text(cleaned(spark, d), root, ["lang"])
-    return IO.file_listing(spark, root, "*.txt")
+    files = IO.file_listing(spark, root, "*.txt")
+    return files.groupBy(F.regexp_extract("path", "lang=([^/]+)", 1).alias("lang")).agg(F.sum("n_bytes").alias("n_bytes"))
 
 
 @register("run_ledger")
@@ -560,18 +628,18 @@ def q_run_ledger(spark, d):
     """A9 + A11: per-run status and config JSON written by the batch, read back as a ledger."""
     from glossa.sources import io as IO
     root = _scratch(spark, "runs")
-    runs, res, err = batch_tables(spark, d)
-    n = res.groupBy("run_path").agg(F.count(F.lit(1)).alias("n_rows"))
-    st = runs.join(n, "run_path", "left").fillna(0, ["n_rows"])
+    runs, res, err, _ = batch_tables(spark, d)
+    st = _run_counts(runs, res, err)
     rid = F.regexp_extract("run_path", "([^/]+)$", 1)
-    for r in [x["run_path"] for x in runs.select("run_path").collect()]:  # one folder per run (a handful)
-        one = st.filter(F.col("run_path") == r)
-        IO.write_json(one.select(rid.alias("run_id"), G.run_status(F.col("n_rows"), F.lit(0)).alias("status"),
-                                 F.lit("").alias("message"), F.current_timestamp().cast("string").alias("updated_at")),
-                      f"{root}/{r.split('/')[-1]}/status.json")
-        IO.write_json(one.select(rid.alias("run_id"), rid.alias("language"), "corpus_path"),
-                      f"{root}/{r.split('/')[-1]}/config.json")
-    return IO.run_ledger(spark, root)
+    for r in [x["run_path"] for x in st.select("run_path").collect()]:  # one folder per run (a handful)
+        one, folder = st.filter(F.col("run_path") == r), f"{root}/{r.split('/')[-1]}"
+        IO.write_json(one.select(rid.alias("run_id"), G.run_status(F.col("n_rows"), F.col("n_errors")).alias("status"),
+                                 F.concat(F.col("n_rows").cast("string"), F.lit(" cells")).alias("message"),
+                                 F.current_timestamp().cast("string").alias("updated_at")), f"{folder}/status.json")
+        IO.write_json(one.select(rid.alias("run_id"), F.regexp_extract("run_path", "run_([^_]+)_", 1).alias("language"), "corpus_path"),
+                      f"{folder}/config.json")
+    # the time and the scratch folder differ from run to run
+    return IO.run_ledger(spark, root).select("run_id", "status", "message", "language", (F.length("updated_at") > 0).alias("dated"))
 
 
 # ------------------------------------------------------------ D3/D4/D6: WordPiece, Unigram
@@ -616,7 +684,7 @@ def q_unigram_encode(spark, d):
 
 @register("experiment_methods")
 def q_experiment_methods(spark, d):
-    """Entry 1 end to end: every method at one vocabulary size, with the word-level LM."""
+    """Entry 1 end to end: every method at one vocabulary size, with the LM on each method's tokens."""
     from glossa.plans.experiment import ExperimentParams, run_experiment
     p = ExperimentParams(language=TARGET, tokenizer_methods=["bpe", "wordpiece", "unigram", "word", "char"],
                          vocab_sizes=[150], run_language_model=True, block_size=LM_BLOCK)
@@ -625,16 +693,22 @@ def q_experiment_methods(spark, d):
 
 @register("result_table")
 def q_result_table(spark, d):
-    """G1: the batch's result rows in the fixed column order (no LM columns in this batch)."""
-    _, res, _ = batch_tables(spark, d)
-    return G.result_table(res, with_lm=False)
+    """G1: the batch's result rows in the fixed column order, with the LM's columns."""
+    _, res, _, _ = batch_tables(spark, d)
+    return G.result_table(res, with_lm=True)
 
 
 @register("compact_results")
 def q_compact_results(spark, d):
-    """Preferred columns that exist."""
-    _, res, _ = batch_tables(spark, d)
-    return G.compact(res.drop("tokenizer_path"))
+    """B19, of a run: preferred columns that exist."""
+    _, res, _, _ = batch_tables(spark, d)
+    return G.compact(res)
+
+
+@register("compact_batch")
+def q_compact_batch(spark, d):
+    """B19, of a batch."""
+    return G.compact(_rollup(spark, d), G.COMPACT_BATCH_COLUMNS)
 
 
 # Fixed derived ratio names for B15, valid and malformed.

@@ -14,6 +14,11 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def ident(s: str) -> str:
+    """SQL identifier."""
+    return f'"{s}"'
+
+
 def strip(x: str) -> str:
     return f"trim({x}, {q(T.WS_LITERAL)})"
 

@@ -8,9 +8,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a side may have before we stop hinting a broadcast. The sides we broadcast are
-# bounded by a job parameter (vocabulary size, grams per language, strata), never by data.
-BROADCAST_MAX_ROWS = 2_000_000
+# Rows a side may have before we stop hinting a broadcast.
+BROADCAST_MAX_ROWS = 1_000_000
 
 
 def build_session(master: str | None = None, app: str = "glossa", shuffle_partitions: int | None = None,
@@ -41,13 +40,15 @@ def build_session(master: str | None = None, app: str = "glossa", shuffle_partit
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the shared folder named by ``spark.checkpoint.dir``; only when the session names
-    none (local runs, tests) take a fresh scratch folder of our own."""
+    none and runs locally (tests) take a fresh scratch folder of our own."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="glossa-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
@@ -61,12 +62,20 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, known_rows: int | None = None) -> DataFrame:
-    """Broadcast hint only behind a row-count check; above it the planner's shuffle join
-    (with AQE skew splitting) is used instead."""
-    n = known_rows if known_rows is not None else df.count()
+    """Broadcast hint only behind a row-count check (which stops reading at the bound); above it
+    the planner's shuffle join (with AQE skew splitting) is used instead."""
+    n = known_rows if known_rows is not None else df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path or glob names anything, in any store Spark reaches. Other errors rise."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin the rows over the cluster when a scan yields fewer partitions than cores
     (one small file is one split). Large inputs already have enough splits and are left alone,

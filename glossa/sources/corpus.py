@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.functions import text as T
-from glossa.operators.sampling import first_k, id_bucket
-from glossa.session import cut_lineage, spread
+from glossa.operators.sampling import first_k_by_id
+from glossa.session import broadcast_if_small, cut_lineage, spread
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -57,10 +57,9 @@ def clean_corpus(paragraphs: DataFrame, lang: Column | str | None = None) -> Dat
 def language_samples(corpus: DataFrame, sample_size: int, min_texts: int = 2) -> DataFrame:
     """A5: per language the first ``sample_size`` cleaned fragments in (doc_id, pos) order.
     Adds ``lang_ok`` = the language has at least ``min_texts`` cleaned fragments."""
-    b = id_bucket(corpus, ["lang"], "doc_id")
-    head = first_k(b, ["lang"], ["doc_id", "pos"], "_bucket", sample_size).drop("_bucket")
+    head = first_k_by_id(corpus, ["lang"], "doc_id", ["doc_id", "pos"], sample_size)
     n = corpus.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
-    return head.join(F.broadcast(n.select("lang", (F.col("_n") >= min_texts).alias("lang_ok"))), "lang")
+    return head.join(broadcast_if_small(n.select("lang", (F.col("_n") >= min_texts).alias("lang_ok"))), "lang")
 
 
 def quota_load(records: DataFrame, max_samples: int, languages: Sequence[str] | None = None) -> DataFrame:
@@ -70,13 +69,11 @@ def quota_load(records: DataFrame, max_samples: int, languages: Sequence[str] |
     if languages is not None:
         records = records.filter(F.col("lang").isin(list(languages)))
     rec = records.select("lang", "doc_id", field_fallback(records).alias("raw"))
-    rec = id_bucket(rec, ["lang"], "doc_id")
     # at most 5*max_samples rows per language: small, and read several times below
-    scanned = cut_lineage(first_k(rec, ["lang"], ["doc_id"], "_bucket", 5 * max_samples).drop("_bucket"))
+    scanned = cut_lineage(first_k_by_id(rec, ["lang"], "doc_id", ["doc_id"], 5 * max_samples))
     cleaned = (T.clean_frame(scanned.withColumnRenamed("raw", "text"), "text", F.col("lang"))
                 .filter(T.keep_text(F.col("text"))))
-    cleaned = id_bucket(cleaned, ["lang"], "doc_id")
-    return first_k(cleaned, ["lang"], ["doc_id"], "_bucket", max_samples).drop("_bucket")
+    return first_k_by_id(cleaned, ["lang"], "doc_id", ["doc_id"], max_samples)
 
 
 def load_manifest(spark: SparkSession, loaded: DataFrame, languages: Sequence[str], max_samples: int,

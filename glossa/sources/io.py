@@ -4,6 +4,7 @@ driver."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from glossa.functions import text as T
+from glossa.session import path_exists
 
 STATUS_SCHEMA = ST.StructType([ST.StructField("run_id", ST.StringType()), ST.StructField("status", ST.StringType()),
                                ST.StructField("message", ST.StringType()), ST.StructField("updated_at", ST.StringType())])
@@ -28,10 +30,24 @@ def write_corpus_text(df: DataFrame, path: str, partition_by: Sequence[str] = ()
 
 
 def read_corpus_text(spark: SparkSession, path: str) -> DataFrame:
-    """Read an exported corpus back as (path, doc_id, text): one document per file, split by A1."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
-    return files.select(F.col("path"), F.xxhash64("path").alias("doc_id"),
-                        F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), "\r\n?", "\n").alias("text"))
+    """Read corpus files back as (path, doc_id, block, pos, text), one stripped, non-empty fragment a row.
+
+    Fragments end at blank lines; a file without one has a fragment a line (A1). The files are read as splittable
+    text, never a whole file as one row: the blank line is the record separator, and only a file that is a single
+    record with no separator behind it is cut at its line breaks. Undecodable bytes are dropped, and nothing
+    else. ``(block, pos)`` orders the fragments of a file.
+    """
+    raw = (spark.read.option("lineSep", "\n\n").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(path)
+                .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"),
+                        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos")))
+    alone = F.octet_length("value") >= F.col("size")
+    text = F.replace(F.make_valid_utf8("value"), F.lit(T.REPLACEMENT_CHAR), F.lit(""))
+    text = F.regexp_replace(text, "\r\n?", "\n")
+    # a record holds a blank line only where it was written with carriage returns
+    parts = F.when(F.instr(text, "\n\n") > 0, F.split(text, "\n\n")).when(alone, F.split(text, T.LINE_BREAKS)).otherwise(F.array(text))
+    rows = raw.select("path", F.xxhash64("path").alias("doc_id"), "block", "pos", F.posexplode(parts).alias("part", "text"))
+    return (rows.select("path", "doc_id", "block", F.struct("pos", "part").alias("pos"), T.py_strip("text").alias("text"))
+                .filter(F.length("text") > 0))
 
 
 def write_table_csv(df: DataFrame, path: str) -> None:
@@ -40,11 +56,10 @@ def write_table_csv(df: DataFrame, path: str) -> None:
 
 
 def read_csv_safely(spark: SparkSession, path: str, schema: ST.StructType) -> DataFrame:
-    """A missing or empty table is an empty DataFrame with the expected schema."""
-    try:
-        return spark.read.schema(schema).option("header", True).csv(path)
-    except Exception:  # noqa: BLE001 - missing path
+    """A missing or empty table is an empty DataFrame with the expected schema; other errors rise."""
+    if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("header", True).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -53,11 +68,10 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def read_json(spark: SparkSession, path: str, schema: ST.StructType) -> DataFrame:
-    """A9 source: explicit schema, bad records tolerated (PERMISSIVE)."""
-    try:
-        return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
-    except Exception:  # noqa: BLE001 - missing path
+    """A9 source: explicit schema, bad records tolerated (PERMISSIVE); a missing path is empty."""
+    if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
 
 
 def snapshot_corpus(df: DataFrame, run_dir: str) -> str:
@@ -68,23 +82,35 @@ def snapshot_corpus(df: DataFrame, run_dir: str) -> str:
 
 
 def run_ledger(spark: SparkSession, runs_dir: str) -> DataFrame:
-    """Newest first; status and config merged; 'unknown' / '' when a file is missing or bad."""
-    st = read_json(spark, f"{runs_dir.rstrip('/')}/*/status.json", STATUS_SCHEMA)
-    cf = read_json(spark, f"{runs_dir.rstrip('/')}/*/config.json", CONFIG_SCHEMA)
-    ids = st.select("run_id").unionByName(cf.select("run_id")).filter(F.col("run_id").isNotNull()).distinct()
-    j = ids.join(st, "run_id", "left").join(cf, "run_id", "left")
-    return (j.select("run_id", F.concat(F.lit(runs_dir.rstrip("/") + "/"), F.col("run_id")).alias("path"),
+    """Every folder ``run_*``, newest id first; status and config merged by folder; 'unknown' / '' where a file is
+    missing or broken. The id is the folder's name, whatever the files say."""
+    root = runs_dir.rstrip("/")
+    folder = F.regexp_extract("_metadata.file_path", r"/([^/]+)/(?:status|config)\.json(?:/[^/]*)?$", 1)
+
+    def side(name: str, schema: ST.StructType, cols: list[str]) -> DataFrame:
+        pattern = f"{root}/run_*/{name}.json"
+        if not path_exists(spark, pattern):
+            return spark.createDataFrame([], "run_id string, " + ", ".join(f"{c} string" for c in cols))
+        df = spark.read.schema(schema).option("mode", "PERMISSIVE").json(pattern).select(folder.alias("run_id"), *cols)
+        return df.groupBy("run_id").agg(*[F.max(c).alias(c) for c in cols])
+
+    below = re.escape(re.sub(r"^[\w+.-]+:/+", "/", root)) + "/(run_[^/]+)/"
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+                  .select(F.regexp_extract("path", below, 1).alias("run_id")))  # the listing alone, no content
+    ids = files.filter(F.length("run_id") > 0).distinct()
+    j = (ids.join(side("status", STATUS_SCHEMA, ["status", "message", "updated_at"]), "run_id", "left")
+            .join(side("config", CONFIG_SCHEMA, ["language", "corpus_path"]), "run_id", "left"))
+    return (j.select("run_id", F.concat(F.lit(root + "/"), F.col("run_id")).alias("path"),
                      F.coalesce("status", F.lit("unknown")).alias("status"), F.coalesce("message", F.lit("")).alias("message"),
-                     F.coalesce("language", F.lit("")).alias("language"),
-                     F.coalesce("updated_at", F.lit("")).alias("updated_at"))
-             .orderBy(F.desc("updated_at"), F.desc("run_id")))
+                     F.coalesce("language", F.lit("")).alias("language"), F.coalesce("updated_at", F.lit("")).alias("updated_at"))
+             .orderBy(F.desc("run_id")))
 
 
 def file_listing(spark: SparkSession, folder: str, glob: str = "*.txt") -> DataFrame:
     """Files under ``folder`` matching ``glob`` with size in KB (content is not read)."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
                   .load(folder))
-    return files.select("path", F.round(F.col("length") / 1024.0, 2).alias("size_kb"))
+    return files.select("path", F.col("length").alias("n_bytes"), F.round(F.col("length") / 1024.0, 2).alias("size_kb"))
 
 
 def trainer_lines(df: DataFrame) -> DataFrame:
@@ -94,9 +120,11 @@ def trainer_lines(df: DataFrame) -> DataFrame:
 
 def save_tokenizer(vocab: DataFrame, merges: DataFrame | None, path: str, run_id: str, method: str,
                    vocab_size: int) -> str:
-    """Vocabulary (and merges) as parquet partitioned by run / method / size."""
-    part = [F.lit(run_id).alias("run_id"), F.lit(method).alias("method"), F.lit(int(vocab_size)).alias("vocab_size")]
-    vocab.select("*", *part).write.mode("append").partitionBy("run_id", "method", "vocab_size").parquet(f"{path}/vocab")
-    if merges is not None:
-        merges.select("*", *part).write.mode("append").partitionBy("run_id", "method", "vocab_size").parquet(f"{path}/merges")
+    """Vocabulary (and merges) as parquet partitioned by run / method / size. Saving again replaces that
+    tokenizer and no other."""
+    keys = {"run_id": run_id, "method": method, "vocab_size": int(vocab_size)}
+    for name, df in (("vocab", vocab), ("merges", merges)):
+        if df is not None:
+            (df.select("*", *[F.lit(v).alias(k) for k, v in keys.items()]).write.mode("overwrite")
+               .option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{path}/{name}"))
     return f"{path}/vocab/run_id={run_id}/method={method}/vocab_size={vocab_size}"

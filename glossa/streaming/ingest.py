@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.functions import text as T
-from glossa.operators.sampling import first_k, id_bucket
+from glossa.operators.sampling import first_k_by_id
+from glossa.session import path_exists
 from glossa.sources import corpus as C
 
 
@@ -43,15 +44,14 @@ def quota_writer(sink: str, max_samples: int):
     """S2 ``foreachBatch`` body."""
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        try:
+        if path_exists(spark, f"{sink}/batch_id=*"):  # a read that fails must not look like an empty sink
             done = (spark.read.parquet(sink).filter(F.col("batch_id") != batch_id)
                          .groupBy("lang").agg(F.count(F.lit(1)).alias("done")))
-        except Exception:  # noqa: BLE001 - empty sink on the first batch
+        else:
             done = spark.createDataFrame([], "lang string, done long")
         quota = (batch.select("lang").distinct().join(done, "lang", "left")
                       .select("lang", F.greatest(F.lit(max_samples) - F.coalesce("done", F.lit(0)), F.lit(0)).alias("k")))
-        b = id_bucket(batch, ["lang"], "doc_id")
-        admitted = first_k(b, ["lang"], ["doc_id", "pos"], "_bucket", quota).drop("_bucket")
+        admitted = first_k_by_id(batch, ["lang"], "doc_id", ["doc_id", "pos"], quota)
         admitted.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
     return write
 

@@ -6,17 +6,21 @@ from glossa.plans.experiment import ExperimentParams, run_experiment
 SF = "/root/testdata/sf0.001"
 
 
-def test_experiment_grid_and_lm(spark):
+def test_experiment_grid_and_lm(spark, tmp_path):
     p = ExperimentParams(language="de", tokenizer_methods=["bpe", "word", "char"], vocab_sizes=[60, 120],
                          run_language_model=True, block_size=32)
-    res = run_experiment(spark, R.paragraphs(spark, SF), p)
+    res = run_experiment(spark, R.paragraphs(spark, SF), p, tokenizers_dir=str(tmp_path))
     rows = {(r.method, r.vocab_size): r for r in res.results.collect()}
     assert set(rows) == {(m, v) for m in ("bpe", "word", "char") for v in (60, 120)}
     assert res.status == "completed" and res.errors.count() == 0
     # BPE below its alphabet size makes no merge: it tokenizes exactly like the char method
     assert rows[("bpe", 60)].n_tokens == rows[("char", 60)].n_tokens
-    assert rows[("bpe", 60)].ppl == rows[("char", 60)].ppl
+    # the LM sees the vocabulary: units outside it are <unk>
+    assert rows[("word", 60)].ppl != rows[("word", 120)].ppl and rows[("char", 60)].ppl != rows[("bpe", 60)].ppl
     assert all(r.ppl is not None and r.ppl > 1 for r in rows.values())
+    assert all(r.tokenizer_path for r in rows.values())
+    saved = spark.read.parquet(f"{tmp_path}/vocab").groupBy("method", "vocab_size").count().collect()
+    assert {(r.method, r.vocab_size) for r in saved} == set(rows)
     best = {r.criterion for r in res.best.collect()}
     assert {"best_tokens_per_char", "best_ppl", "best_gap_loss"} <= best
 
@@ -26,3 +30,45 @@ def test_experiment_guard(spark):
     with pytest.raises(RuntimeError):
         run_experiment(spark, R.paragraphs(spark, SF), ExperimentParams(language="de", min_texts=10 ** 9,
                                                                         tokenizer_methods=["word"], vocab_sizes=[50]))
+
+
+def test_parameters_are_checked():
+    ok = ExperimentParams("de")
+    assert ok.problems() == []
+    for bad in (dict(split_strategy="stratfied"), dict(test_fraction=0.9), dict(test_fraction=0.0), dict(vocab_sizes=[]), dict(vocab_sizes=[0]),
+                dict(min_texts=1), dict(tokenizer_methods=["x"]), dict(run_language_model=True, block_size=1), dict(language=" ")):
+        assert ExperimentParams(**({"language": "de"} | bad)).problems(), bad
+
+
+def test_a_failing_cell_stops_no_other(spark, monkeypatch):
+    """One size of one method is too small to train, and one cell's LM fails: both are recorded."""
+    from glossa.plans import experiment as X
+    real = X.lm_record
+
+    def flaky(split, method, cell, p):
+        if method == "char":
+            raise ValueError("no LM today")
+        return real(split, method, cell, p)
+
+    monkeypatch.setattr(X, "lm_record", flaky)
+    p = ExperimentParams("de", tokenizer_methods=["word", "char", "unigram"], vocab_sizes=[20], run_language_model=True, block_size=32)
+    res = run_experiment(spark, R.paragraphs(spark, SF), p)
+    assert [(r.method, r.vocab_size) for r in res.results.collect()] == [("word", 20)]
+    errors = {r.stage: r.error for r in res.errors.collect()}
+    assert "no LM today" in errors["char/vocab_20"] and "too small" in errors["unigram/vocab_20"] and res.status == "partially_completed"
+
+
+def test_lm_needs_both_sides(spark):
+    import pytest
+
+    from glossa.operators import ngram_lm as LM
+    rows = [("train", "en", ["a", "b", "c"], 1, 1)]
+    df = spark.createDataFrame(rows, "split string, label string, ids array<string>, doc_id int, pos int")
+    with pytest.raises(ValueError, match="test side"):
+        LM.lm_for_tokens(df, 8, 2, "de")
+
+
+def test_means_of_large_values(spark):
+    from glossa.operators import rollup as G
+    df = spark.createDataFrame([("bpe", 1e14), ("bpe", 3e14), ("bpe", None)], "method string, ppl_target double")
+    assert [(r.mean, r.n) for r in G.mean_by(df, ["method"]).collect()] == [(2e14, 2)]

@@ -19,10 +19,42 @@ def test_corpus_text_roundtrip(spark):
     df = spark.createDataFrame([("en", "first one"), ("en", " second "), ("de", "dritte")], "lang string, text string")
     IO.write_corpus_text(df, os.path.join(d, "c"), ["lang"])
     back = IO.read_corpus_text(spark, os.path.join(d, "c")).withColumn("lang", F.regexp_extract("path", "lang=([^/]+)", 1))
-    got = sorted((r.lang, r.text) for r in C.paragraph_scan(back, keep=("doc_id", "lang")).collect())
+    got = sorted((r.lang, r.text) for r in back.collect())
     assert got == [("de", "dritte"), ("en", "first one"), ("en", "second")]
 
 
+def test_corpus_files_keep_every_fragment(spark, tmp_path):
+    """A bad byte costs that byte alone; files without a blank line have a fragment a line."""
+    (tmp_path / "bad.txt").write_bytes("erste ü".encode() + b"\xff\n\n" + b"zweite\xc3 x\n")
+    (tmp_path / "lines.txt").write_bytes(b"a\r\nb\n\x0bc")
+    (tmp_path / "crlf.txt").write_bytes(b"one\r\ntwo\r\n\r\nthree")
+    (tmp_path / "single.txt").write_bytes(b"x\ny\n\n")
+    (tmp_path / "empty.txt").write_bytes(b" \n\n\n\n ")
+    got = {}
+    for r in IO.read_corpus_text(spark, str(tmp_path)).orderBy("path", "block", "pos").collect():
+        got.setdefault(r.path.rsplit("/", 1)[1], []).append(r.text)
+    assert got == {"bad.txt": ["erste ü", "zweite x"], "lines.txt": ["a", "b", "c"], "crlf.txt": ["one\ntwo", "three"], "single.txt": ["x\ny"]}
+
+
+def test_ledger_lists_broken_runs(spark, tmp_path):
+    for name, files in {"run_1": {"status.json": '{"status": "completed", "message": "m", "updated_at": "t"}', "config.json": '{"language": "de"}'},
+                        "run_2": {"status.json": "{broken"}, "run_3": {"log.txt": "x"}}.items():
+        (tmp_path / "runs" / name).mkdir(parents=True)
+        for f, text in files.items():
+            (tmp_path / "runs" / name / f).write_text(text)
+    led = IO.run_ledger(spark, f"{tmp_path}/runs").collect()
+    assert [(r.run_id, r.status, r.message, r.language) for r in led] == [
+        ("run_3", "unknown", "", ""), ("run_2", "unknown", "", ""), ("run_1", "completed", "m", "de")]
+
+
+def test_saving_a_tokenizer_again_replaces_it(spark, tmp_path):
+    v = spark.createDataFrame([(0, "<unk>"), (1, "a")], "id int, piece string")
+    for method in ("bpe", "bpe", "wordpiece"):
+        IO.save_tokenizer(v, None, str(tmp_path), "run1", method, 100)
+    assert spark.read.parquet(f"{tmp_path}/vocab").groupBy("method").count().collect().__len__() == 2
+    assert spark.read.parquet(f"{tmp_path}/vocab").count() == 4
+
+
 def test_safe_readers(spark):
     from glossa.sources.io import STATUS_SCHEMA
     assert IO.read_csv_safely(spark, "/nonexistent/x.csv", STATUS_SCHEMA).count() == 0
@@ -47,7 +79,10 @@ def test_stream_quota_is_idempotent(spark):
 def test_langid_accuracy(spark):
     c = R.cleaned(spark, "/root/testdata/sf0.01").withColumn("_h", F.md5(F.col("doc_id").cast("string")))
     train, held = c.filter("_h >= '4'"), c.filter("_h < '4'")
-    pred = LID.predict(LID.train(train, top_k=300), held, ["doc_id", "pos"])
+    model = LID.train(train)
+    pred = LID.predict(model, held, ["doc_id", "pos"])
+    joined = LID.predict(model, held, ["doc_id", "pos"], max_rows=10)  # too large a model to broadcast
+    assert pred.exceptAll(joined).count() == 0
     j = held.join(pred, ["doc_id", "pos"])
     acc = j.filter(F.col("lang") == F.col("predicted")).count() / j.count()
     assert acc > 0.9
@@ -61,9 +96,9 @@ def test_table_sinks(spark):
     back = IO.read_csv_safely(spark, f"{d}/t.csv", STATUS_SCHEMA).collect()
     assert back == [t.collect()[0].asDict() | {"message": None}] or [r.asDict() for r in back] == [
         t.collect()[0].asDict() | {"message": None}]  # an empty CSV field reads back as missing
-    IO.write_json(t, f"{d}/r1/status.json")
+    IO.write_json(t, f"{d}/run_1/status.json")
     led = IO.run_ledger(spark, d).collect()
-    assert [(r.run_id, r.status, r.language) for r in led] == [("r1", "completed", "")]
+    assert [(r.run_id, r.status, r.language) for r in led] == [("run_1", "completed", "")]
     snap = IO.snapshot_corpus(spark.createDataFrame([("a\nb",)], "text string"), f"{d}/run")
     assert spark.read.parquet(snap).count() == 1
     assert [r.line for r in IO.trainer_lines(spark.read.parquet(snap)).collect()] == ["a b"]

@@ -71,3 +71,30 @@ def test_top_k_matches_sort(spark):
     glob = S.top_k(df, [], "c", "w", 100).collect()
     exp = sorted(rows, key=lambda r: (-r[2], r[1].encode()))[:100]
     assert sorted(r.w for r in glob) == sorted(r[1] for r in exp)
+
+
+def test_outlier_ids_and_tied_prefixes_are_cut_again(spark, monkeypatch):
+    """One far id puts all others in one bucket, one marker puts all pieces in one: both are cut until small."""
+    monkeypatch.setattr(S, "EDGE_ROWS", 20)
+    sizes = []
+    real = S.id_bucket
+
+    def watched(df, strata, col):
+        out = real(df, strata, col)
+        sizes.append(out.groupBy("_bucket").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(S, "id_bucket", watched)
+    ids = [(lang, i) for lang in ("a", "b") for i in [*range(1000), 1 << 60, -(1 << 60)]] + [("c", 7)]
+    df = spark.createDataFrame(ids, "lang string, doc_id long")
+    got = {}
+    for r in S.first_k_by_id(df, ["lang"], "doc_id", ["doc_id"], 300).collect():
+        got.setdefault(r.lang, []).append(r.doc_id)
+    assert sorted(got["a"]) == sorted(got["b"]) == [-(1 << 60), *range(299)] and got["c"] == [7]
+    assert sizes[0] >= 1000 and sizes[-1] <= 20
+    pieces = [(f"\u2581word{i:04d}", 5) for i in range(500)] + [("x", 9), ("y", 1)]
+    top = S.top_k(spark.createDataFrame(pieces, "piece string, count long"), [], "count", "piece", 120).collect()
+    assert sorted(r.piece for r in top) == sorted(["x", *[f"\u2581word{i:04d}" for i in range(119)]])
+    grouped = spark.createDataFrame([(g, p, c) for g in "uv" for p, c in pieces], "g string, piece string, count long")
+    out = S.top_k(grouped, ["g"], "count", "piece", 120).collect()
+    assert {(r.g, r.piece) for r in out} == {(g, r.piece) for g in "uv" for r in top} and len(out) == 240

@@ -6,6 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from glossa.operators import bpe as B
+from glossa.operators import encoders as E
 from glossa.operators import subword as W
 
 
@@ -83,13 +84,38 @@ def test_unigram_training_small(spark):
     assert sums["token_chars_test_all"] == sum(len(w) * f for w, f, *_ in rows)
 
 
-def test_batched_bpe_with_bounded_neighbour_sets(spark, monkeypatch):
-    """Oversized neighbour sets reach the driver as NULL; batching stays exact (just smaller)."""
-    monkeypatch.setattr(B, "MAX_NEIGHBOURS", 2)
+def test_batched_bpe_with_few_candidates(spark):
+    """A short candidate list bounds what is not on it by its last count; batching stays exact (just smaller)."""
     rnd = random.Random(11)
     words = Counter("".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 6))) for _ in range(200))
     rows = [(w, f, f, 0, 0) for w, f in words.items()]
     types = spark.createDataFrame(rows, "word string, train_freq long, test_all_freq long, test_en_freq long, test_target_freq long")
-    tr = B.train_merges(types, [30], "bpe")
-    merges, vocab, _ = greedy_bpe(words, 30)
+    tr = B.train_merges(types, [20, 30], "bpe", top_n=4)
+    merges, vocab, seqs = greedy_bpe(words, 30)
     assert [(l, r) for _, l, r, _, _ in tr.merges] == merges and tr.vocab == vocab
+    assert tr.cuts[20][0] == 20 and tr.cuts[30] == (len(vocab), len(merges))
+    encode = E.Merges([m[1:4] for m in tr.merges], frozenset(tr.alphabet))
+    assert {w: encode(w) for w in words} == seqs and encode("aZb") == ["a", "<unk>", "b"]
+
+
+def test_pretokens_match_the_public_pretokenizer(spark):
+    from tokenizers.pre_tokenizers import Whitespace
+
+    from glossa.functions import text as T
+    texts = ["cafe\u0301 na\u00efve", "हिन्दी भाषा", "日本語 テスト、です", "a_b‿c d\u200ce", "x²y ½ Ⅷ Ⓐb", "don't stop--now!!", "ไทย ภาษา", "1,000.5 €£", "עִבְרִית", "한국어 테스트", "a\u00a0b\u3000c"]
+    texts += ["".join(chr(c) for c in range(lo, lo + 96)) for lo in (0x20, 0xa0, 0x300, 0x370, 0x590, 0x600, 0x900, 0xe00, 0x1100, 0x2000, 0x2070, 0x2100, 0x2150, 0x2460, 0x24b0, 0x3040, 0xac00)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for r in df.select("t", T.pretokens("t").alias("p")).collect():
+        assert r.p == [w for w, _ in Whitespace().pre_tokenize_str(r.t)], r.t
+
+
+def test_unigram_normalises_and_prunes_by_loss(spark):
+    corpus = spark.createDataFrame([("ＡＢ ﬁne x\u00a0y", "train", "en"), ("AB fine", "test", "en")], "text string, split string, label string")
+    types = {r.word: (r.train_freq, r.test_en_freq) for r in W.unigram_type_table(corpus, "de").collect()}
+    assert types["▁AB"] == (1, 1) and types["▁fine"] == (1, 1) and "▁ＡＢ" not in types
+    rows = [("▁" + w, f, f, 0, 0) for w, f in [("hello", 30), ("help", 20), ("world", 25), ("word", 10), ("hold", 5)]]
+    t = spark.createDataFrame(rows, "word string, train_freq long, test_all_freq long, test_en_freq long, test_target_freq long")
+    assert len(W.train_unigram(t, 20)) == 15
+    import pytest
+    with pytest.raises(ValueError, match="too small"):
+        W.train_unigram(t, 10)
