@@ -4,8 +4,8 @@ The DOMs of a host are merged: nodes with the same path of (tag, class, id) are
 importance combines how its pages present it (entropy of the child-tag sequences seen there) with what they say
 there (one minus the mean entropy of its text blocks over the pages: a block that every page repeats says nothing), and
 is weighted by what its markup declares (navigation, adverts, forms and the like weigh nothing, an article and its plain
-text elements weigh fully, anything else is undecided). Branches of low importance are removed from each page; the rest
-is the text.
+text elements weigh fully, anything else is undecided, or a little less where a class only hints at furniture). Branches of
+low importance are removed from each page, but none that holds an article for its class alone; the rest is the text.
 
 Scale: a page sends one small row a node, with the hashes of the blocks that are directly its own; counts are combined
 before they are shuffled, so a host with a third of all pages is spread by node and block. The list of branches
@@ -36,6 +36,8 @@ from glossa.llm.common import map_docs, store
 THRESHOLD = 0.3
 #: Weights: undecided nodes, and nodes inside an article that aren't plain text elements.
 UNDECIDED, INSIDE = 0.5, 0.55
+#: Weight of nodes with a class or id that hints at furniture: below ``UNDECIDED``, and importance decides.
+HINTED = 0.4
 #: Distinct pages of a host below which repetition says nothing.
 MIN_PAGES = 5
 #: Share of a node's own presentation in its importance; the rest is its content.
@@ -62,6 +64,9 @@ BOILERPLATE_WORDS = frozenset((
     "social comment comments commentlist disqus reply replies respond notice notices notification alert cookie cookies consent gdpr "
     "privacy popup modal overlay subscribe subscription newsletter signup login search searchbox pagination pager toolbar copyright "
     "legal skip hidden").split())
+# Of these, words that also name content or its layout: alone they hint, as any listed word does among others (has-sidebar).
+AMBIGUOUS_WORDS = frozenset(("header masthead menu aside related recommended share sharing social comment reply replies respond alert privacy "
+                             "search legal skip hidden").split())
 BOILERPLATE_ROLES = frozenset(("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar "
                                "status").split())
 
@@ -88,35 +93,46 @@ class Node:
     children: list[str] = field(default_factory=list)
     parent: Node | None = None
     silent: bool = False  # its text is not read: it is removed, or it interrupts a block without being one
+    gone: bool = False  # it or an ancestor is removed
+    named: bool = False  # weighted by its class or id alone
+    holds: bool = False  # an article is below it
 
 
 class Labels(dict):
-    """Attribute text of a tag -> (its label in the style tree, boilerplate, article), kept for the last distinct ones."""
+    """Attribute text of a tag -> (its label in the style tree, boilerplate, listed words, article), kept for the last
+    distinct ones. Listed words: "" without any, "declared" where a name consists of unambiguous ones, else "hint"."""
 
-    def __missing__(self, at: tuple[str, str]) -> tuple[str, bool, bool]:
+    def __missing__(self, at: tuple[str, str]) -> tuple[str, bool, str, bool]:
         tag, attrs = at
         found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTR.finditer(attrs)} if attrs else {}
         names = f"{found.get('class', '')} {found.get('id', '')}"
-        words = set(_SPLIT.split(names))
+        words = [set(_SPLIT.split(name)) - {""} for name in names.split()]
         content = tag in CONTENT or found.get("role") in ("main", "article")
         bad = tag in NEVER_TEXT or found.get("role") in BOILERPLATE_ROLES or "hidden" in found
-        bad = bad or (tag not in ("html", "body") and not content and bool(words & BOILERPLATE_WORDS))
+        listed = ""
+        if tag not in ("html", "body") and not content and any(w & BOILERPLATE_WORDS for w in words):
+            listed = "declared" if any(w and w <= BOILERPLATE_WORDS - AMBIGUOUS_WORDS for w in words) else "hint"
         label = f"{tag} {' '.join(sorted(_DIGITS.sub('', names).split()))}"
         if len(self) > 50_000:
             self.clear()
-        self[at] = out = (label, bad, content)
+        self[at] = out = (label, bad, listed, content)
         return out
 
 
-def _weight(tag: str, label: str, bad: bool, content: bool, parent: Node) -> tuple[float, bool]:
+def _weight(tag: str, label: str, bad: bool, listed: str, content: bool, parent: Node) -> tuple[float, bool, bool]:
+    """(weight, within an article, whether listed words alone lowered it)."""
     inside = parent.inside or content
     if bad or (tag == "header" and not parent.inside):
-        return 0.0, inside
+        return 0.0, inside, False
     if content:
-        return 1.0, inside
-    if inside:
-        return (1.0 if tag in TEXT or label == f"{tag} " else INSIDE), inside
-    return UNDECIDED, inside
+        return 1.0, inside, False
+    if listed == "declared":
+        return 0.0, inside, True
+    if inside and (tag in TEXT or label == f"{tag} "):
+        return 1.0, inside, False
+    if listed:
+        return HINTED, inside, True
+    return (INSIDE if inside else UNDECIDED), inside, False
 
 
 def parse(page: str, host: str, labels: Labels, gone: set[int] = frozenset()) -> Iterator[tuple[str, Node, str]]:
@@ -179,14 +195,17 @@ def parse(page: str, host: str, labels: Labels, gone: set[int] = frozenset()) ->
         if tag in SAME_LEVEL and (at := find(SAME_LEVEL[tag], LIST_SCOPE - set(SAME_LEVEL[tag]))):
             yield from close(at)
         parent = stack[-1]
-        label, bad, content = labels[tag, m["attrs"]]
-        weight, inside = _weight(tag, label, bad, content, parent)
+        label, bad, listed, content = labels[tag, m["attrs"]]
+        weight, inside, named = _weight(tag, label, bad, listed, content, parent)
         parent.children.append(tag)
         if tag in VOID:
             continue
         key = _signed(xxhash.xxh3_64_intdigest(label, parent.key & _ALL))
-        silent = parent.silent or key in gone or (weight == 0 and tag not in BLOCK)
-        node = Node(tag, key, weight, inside, parent=parent, silent=silent)
+        lost = parent.gone or key in gone
+        silent = lost or (parent.silent and not content) or (weight == 0 and tag not in BLOCK)
+        node = Node(tag, key, weight, inside, parent=parent, silent=silent, gone=lost, named=named)
+        while content and parent and not parent.holds:
+            parent.holds, parent = True, parent.parent
         if tag in RAW:  # never text: go on behind it
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, pos)
             pos = end.start() if end else n
@@ -202,16 +221,20 @@ def host_of(url: str | None) -> str:
 # ---- the style tree -----------------------------------------------------------------------------
 
 def _page_nodes(batches):
-    """Pass one: the distinct nodes of each page, with their style, their own blocks and their ancestors."""
+    """Pass one: the distinct nodes of each page, with their style, their own blocks, their ancestors and whether, weighted by
+    their class alone, they hold an article."""
     labels = Labels()
     for b in batches:
         rows = []
         for page_id, url, page in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             nodes: dict[int, tuple[Node, list, set]] = {}
+            holding = set()
             sid = _signed(xxhash.xxh3_64_intdigest(f"{host_of(url)}\0{page}"))
             for what, node, text in parse(page or "", host_of(url), labels):
                 if what == "close":
                     nodes.setdefault(node.key, (node, [], set()))[1].append(",".join(node.children))
+                    if node.named and node.holds:
+                        holding.add(node.key)
                 elif what == "block" and node.parent:
                     nodes.setdefault(node.key, (node, [], set()))[2].add(_signed(xxhash.xxh3_64_intdigest(text)))
             for key, (node, styles, blocks) in nodes.items():
@@ -220,14 +243,14 @@ def _page_nodes(batches):
                     up.append(at.key)
                     at = at.parent
                 style = _signed(xxhash.xxh3_64_intdigest("|".join(sorted(set(styles)))))
-                rows.append((page_id, sid, key, node.weight, style, up, list(blocks)))
-        cols = list(zip(*rows)) or [()] * 7
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                rows.append((page_id, sid, key, node.weight, style, up, list(blocks), key in holding))
+        cols = list(zip(*rows)) or [()] * 8
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)],
-                                         names=["page_id", "sid", "node", "weight", "style", "up", "blocks"])
+                                         names=["page_id", "sid", "node", "weight", "style", "up", "blocks", "holds"])
 
 
-NODES = "page_id long, sid long, node long, weight double, style long, up array<long>, blocks array<long>"
+NODES = "page_id long, sid long, node long, weight double, style long, up array<long>, blocks array<long>, holds boolean"
 
 
 def page_nodes(page: DataFrame) -> DataFrame:
@@ -236,7 +259,7 @@ def page_nodes(page: DataFrame) -> DataFrame:
     nodes = map_docs(page, _page_nodes, NODES)
     roots = nodes.filter(F.size("up") == 1).groupBy("sid", "node").agg(F.count("*").alias("n")).filter("n > 1")
     same = store(roots.groupBy("sid").agg(F.max("n").alias("n")))
-    return nodes.join(same, "sid", "left").select("page_id", "node", "weight", "style", "up", "blocks", (1 / F.coalesce("n", F.lit(1))).alias("share"))
+    return nodes.join(same, "sid", "left").select("page_id", "node", "weight", "style", "up", "blocks", "holds", (1 / F.coalesce("n", F.lit(1))).alias("share"))
 
 
 def importance(nodes: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -282,8 +305,9 @@ def extract_text(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(page_id, url, text): the main text of every page, a block a line."""
     page = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
     nodes = store(page_nodes(page))
-    low = store(importance(nodes).filter(F.col("weight") * (1 + F.col("importance")) / 2 < threshold).select("node"))
-    removed = (nodes.select("page_id", "node").join(low, "node").groupBy("page_id").agg(F.collect_set("node").alias("removed"))
+    fails = lambda weight: weight * (1 + F.col("importance")) / 2 < threshold
+    low = store(importance(nodes).filter(fails(F.col("weight"))).select("node", fails(F.lit(UNDECIDED)).alias("undecided_fails")))
+    removed = (nodes.select("page_id", "node", "holds").join(low, "node").filter(~F.col("holds") | F.col("undecided_fails")).groupBy("page_id").agg(F.collect_set("node").alias("removed"))
                .withColumnRenamed("page_id", "at"))
     packed = map_docs(page, _compress, "page_id long, url string, z binary")
     met = packed.join(removed, F.col("page_id").eqNullSafe(F.col("at")), "left").select("page_id", "url", "z", "removed")

@@ -68,6 +68,36 @@ def test_copies_of_an_article_stay(spark):
     assert set(extract(spark, rows).values()) == {"the same story"}
 
 
+WRAPPERS = [
+    ("<div class='content has-sidebar'><article><p>own {i}</p></article></div>", "own {i}"),
+    ("<div class='no-sidebar'><p>story {i}</p></div>", "story {i}"),
+    ("<div id=sidebar><div><article><p>odd {i}</p></article></div></div>", "odd {i}"),
+    ("<x-page class=ads><article><p>inline {i}</p></article></x-page>", "inline {i}"),
+    ("<article><header class='entry-header'><h1 class='entry-header'>H {i}</h1></header><p class=legal>law {i}</p><p>p</p></article>", "H {i}\nlaw {i}\np"),
+    ("<main><div class='comment'><article>said {i}</article></div></main>", "said {i}"),
+]
+
+
+@pytest.mark.parametrize("pages", [1, 8])
+def test_listed_words_in_names_of_wrappers_and_texts_cost_no_main_text(spark, pages):
+    rows = [page(m.format(i=i), "<nav>n</nav>", f"w{k}.example") for k, (m, _) in enumerate(WRAPPERS) for i in range(pages)]
+    got = extract(spark, rows)
+    assert [got[i] for i in range(len(rows))] == [w.format(i=i) for _, w in WRAPPERS for i in range(pages)]
+
+
+def test_importance_decides_on_hinted_branches(spark):
+    """The same on every page of a site: removed. Its own text on every page, or too few pages to tell: kept."""
+    for pages, want in ((30, "story {i}\nnote {i}"), (2, "Site name\nstory {i}\nnote {i}")):
+        rows = [page(f"<div class=x><p>story {i}</p></div><div class='legal'><p>note {i}</p></div>", "<div class='site-header'><p>Site name</p></div>") for i in range(pages)]
+        assert extract(spark, rows) == {i: want.format(i=i) for i in range(pages)}
+
+
+def test_an_article_keeps_its_wrapper_on_its_own_page_only(spark):
+    rows = [page(f"<div class=sidebar><p>links {i}</p></div><article><p>a {i}</p></article>") for i in range(8)]
+    rows.append(page("<div class=sidebar><article><p>odd</p></article></div>"))
+    assert extract(spark, rows) == {i: f"a {i}" for i in range(8)} | {8: "odd"}
+
+
 def test_importance_matches_the_formula(spark):
     rows = [page(f"<section><p>same</p><p>own {i}</p></section>" if i < 6 else f"<section id={i}><p>same</p></section>") for i in range(8)]
     rows += rows[:3]  # copies of pages count once
