@@ -7,7 +7,9 @@ windows with one key travels as one short string, its context. Then
 1. every key is counted over the corpus (only the distinct keys of a batch are shuffled), and keys met once are forgotten:
    their windows occur once;
 2. the contexts of the other keys are collected, equal ones of a batch as one row with their first place (so a passage
-   in a third of all documents stays small); a key that is met very often is split by a second hash of the windows;
+   in a third of all documents stays small); a key that is met very often is split by a second hash of the windows, and
+   where a split key still has many distinct contexts (the windows over the edge of a common passage, where each document
+   goes on differently) every window goes by a hash of all its bytes, so that none but equal windows share a key;
 3. contexts with a key meet in one task, where equal ones are one again and a suffix array is built by two-stage
    sorting; runs of adjacent suffixes with a common prefix of ``WINDOW`` bytes are equal strings, and the earliest place
    of each is kept;
@@ -28,6 +30,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -110,17 +113,22 @@ def _within(values: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     return chosen[np.minimum(np.searchsorted(chosen, values), len(chosen) - 1)] == values
 
 
-def contexts(text: np.ndarray, keys: np.ndarray, crowded: np.ndarray, window: int, gram: int):
+def contexts(text: np.ndarray, keys: np.ndarray, crowded: np.ndarray, window: int, gram: int, dense: np.ndarray = np.zeros(0, _U)):
     """(key, start, end) arrays of the runs of windows with one key, of sorted ``keys`` and ``crowded`` ones; the windows of
-    a crowded key go by that key and another hash. Runs are cut between chunks, which only makes more contexts."""
+    a crowded key go by that key and another hash, and those of them whose split key is ``dense`` each by its own
+    bytes. Runs are cut between chunks, which only makes more contexts."""
     for at, key, _ in window_keys(text, window, gram):
         cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         many = np.diff(np.append(cut, len(key)))
         plain, crowd = (np.repeat(_within(key[cut], k), many) for k in (keys, crowded))
         if crowd.any():
-            other = sliding(gram_hashes(text[at:at + len(key) + window - 1], gram, 1), window - gram + 1, np.minimum)
+            part = text[at:at + len(key) + window - 1]
+            other = sliding(gram_hashes(part, gram, 1), window - gram + 1, np.minimum)
             key = np.where(crowd, (key ^ (other >> _U(1))) * _U(_BASE), key)
-            cut = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (crowd[1:] != crowd[:-1])))
+            alone = crowd & _within(key, dense)
+            if alone.any():
+                key = np.where(alone, gram_hashes(part, window, 1), key)
+            cut = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (crowd[1:] != crowd[:-1]) | alone[1:] | alone[:-1]))
         end = np.append(cut[1:], len(key))
         chosen = (plain | crowd)[cut]
         yield key[cut][chosen], at + cut[chosen], at + end[chosen]
@@ -195,16 +203,39 @@ def _sorted_keys(values) -> np.ndarray:
     return np.sort(np.array(values or (), "i8").view(_U))
 
 
+def _split_keys(window: int, gram: int):
+    """(doc, key, n): the split keys of each document, and the bytes of their contexts that no document before it in the
+    batch has."""
+    def run(batches):
+        inflate = zstandard.ZstdDecompressor()
+        none = np.zeros(0, _U)
+        for b in batches:
+            seen, rows = set(), []
+            for doc, sid, z, crowded, copies in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 5, 6)), strict=True):
+                if not crowded or (copies and sid in copies):
+                    continue
+                raw, new = inflate.decompress(z), {}
+                for key, start, end in contexts(np.frombuffer(raw, np.uint8), none, _sorted_keys(crowded), window, gram):
+                    for k, s, e in zip(key.view("i8").tolist(), start.tolist(), end.tolist()):
+                        at = (k, xxhash.xxh3_64_intdigest(raw[s:e + window - 1]))
+                        new[k] = new.get(k, 0) + (0 if at in seen else e - s + window - 1)
+                        seen.add(at)
+                rows += [(doc, k, n) for k, n in new.items()]
+            cols = list(zip(*rows)) or [()] * 3
+            yield _batch(cols, ["doc", "key", "n"], [pa.int64()] * 3)
+    return run
+
+
 def _text_contexts(window: int, gram: int):
     def run(batches):
         inflate = zstandard.ZstdDecompressor()
         for b in batches:
             found = _Contexts()
-            for doc, sid, z, keys, crowded, copies in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6)), strict=True):
+            for doc, sid, z, keys, crowded, copies, dense in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6, 7)), strict=True):
                 if not (keys or crowded) or (copies and sid in copies):
                     continue
                 raw = inflate.decompress(z)
-                for key, start, end in contexts(np.frombuffer(raw, np.uint8), _sorted_keys(keys), _sorted_keys(crowded), window, gram):
+                for key, start, end in contexts(np.frombuffer(raw, np.uint8), _sorted_keys(keys), _sorted_keys(crowded), window, gram, _sorted_keys(dense)):
                     for k, s, e in zip(key.view("i8").tolist(), start.tolist(), end.tolist()):
                         found.add((k, raw[s:e + window - 1]), (doc, s))
                 if found.held > BLOCK_BYTES:
@@ -305,10 +336,8 @@ def _remove(window: int, gram: int):
     return run
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, spans, kept): the removed runs of each text's bytes, and what is left of them."""
-    if not 8 <= gram < window:
-        raise ValueError(f"gram must be from 8 to below the window: {gram}, {window}")
+def repeated_contexts(docs: DataFrame, window: int, gram: int, crowd: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(compressed texts, keys and copies of each document, contexts of its repeated keys)."""
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     text = own.select("doc", "text")
     packed = map_docs(own, _packed, "doc long, doc_id long, sid binary, z binary")
@@ -321,8 +350,21 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cr
     firsts = store(digests.groupBy("sid").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last"))
     copies = (digests.join(firsts, "sid").filter("doc > first").groupBy("doc").agg(F.collect_set("sid").alias("copies")))
     info = store(held.join(copies, "doc", "full"))
-    # 2. their contexts
-    found = map_docs(packed.join(info, "doc"), _text_contexts(window, gram), CONTEXTS)
+    # 2. their contexts; a split key may have as many bytes of them as a key that is just not crowded
+    if repeated.filter("crowd").isEmpty():
+        known = info.withColumn("dense", F.lit(None).cast("array<long>"))
+    else:
+        split = store(map_docs(packed.join(info.filter(F.size("crowded") > 0), "doc"), _split_keys(window, gram), "doc long, key long, n long"))
+        dense = split.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > crowd * 2 * window).select("key")
+        known = info.join(split.select("doc", "key").join(dense, "key").groupBy("doc").agg(F.collect_set("key").alias("dense")), "doc", "left")
+    return packed, info, map_docs(packed.join(known, "doc"), _text_contexts(window, gram), CONTEXTS)
+
+
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, spans, kept): the removed runs of each text's bytes, and what is left of them."""
+    if not 8 <= gram < window:
+        raise ValueError(f"gram must be from 8 to below the window: {gram}, {window}")
+    packed, info, found = repeated_contexts(docs, window, gram, crowd)
     # 3. suffix arrays
     kept = map_docs(found.repartition("key").sortWithinPartitions("key"), _sort_blocks(window), "doc long, start long, end long")
     kept = kept.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("kept"))

@@ -97,6 +97,23 @@ def test_matches_brute_force(spark, window, gram, crowd, monkeypatch):
     assert sum(w[2] for w in want) > 1000
 
 
+def test_no_key_gathers_the_edges_of_a_common_passage(spark):
+    """Around a passage that all documents hold each goes on differently: its windows have their keys inside the passage."""
+    rng = random.Random(5)
+    own = lambda n: random_bytes(rng, n, b"abcdefghij ").decode()
+    passage = own(200).upper()
+    rows = [(i, own(60) + passage + own(60)) for i in range(150)]
+    window, gram, crowd = 30, 8, 10
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    _, _, found = D.repeated_contexts(docs, window, gram, crowd)
+    by = {}
+    for r in found.collect():
+        by.setdefault(r.key, set()).add(bytes(r.context))
+    assert max(sum(map(len, contexts)) for contexts in by.values()) <= 2 * crowd * window
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in D.dedup_substrings(docs, window, gram, crowd).collect())
+    assert got == brute(rows, window)
+
+
 def test_long_texts_are_cut_into_chunks(monkeypatch):
     monkeypatch.setattr(D, "CHUNK", 64)
     rng = random.Random(0)
