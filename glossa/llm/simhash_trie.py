@@ -67,17 +67,24 @@ def majority(hashes: list[int]) -> int:
     return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big")
 
 
+def _text_hash():
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def _fingerprints(width: int):
     def run(batches):
         for b in batches:
             fps = np.array([majority(shingle_hashes(t or b"", width)) for t in as_bytes(b.column(1))], _U)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view("i8"))], names=["doc_id", "fp"])
+            more = b.columns[2:]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view("i8")), *more], names=["doc_id", "fp", *["text_hash"][:len(more)]])
     return run
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): a row's fingerprint, its 64 bits as a long."""
-    return map_docs(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _fingerprints(width), "doc_id long, fp long")
+def fingerprints(docs: DataFrame, width: int = SHINGLE, hashed: bool = False) -> DataFrame:
+    """(doc_id, fp): a row's fingerprint, its 64 bits as a long; and text_hash if ``hashed``."""
+    more = [_text_hash().alias("text_hash")] if hashed else []
+    return map_docs(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more), _fingerprints(width),
+                    "doc_id long, fp long" + ", text_hash long" * hashed)
 
 
 # ---- the walk inside a task ---------------------------------------------------------------------
@@ -210,24 +217,33 @@ def fingerprint_links(fps: DataFrame, budget: int = BUDGET, cell_rows: int = CEL
     return map_docs(pairs.repartition(4 * parts), _forest_links(budget), "u long, v long")
 
 
+def _labelled(marked: DataFrame, budget: int, cell_rows: int) -> DataFrame:
+    """(fp, first, label) of the distinct fingerprints of ``marked``: the smallest ``doc_id`` of each, and its component."""
+    nodes = store(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    labels = component_labels(fingerprint_links(nodes.select("fp"), budget, cell_rows)).withColumnRenamed("node", "fp")
+    return store(nodes.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp")))
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, budget: int = BUDGET, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row: the fingerprint as 16 hexadecimal digits, and the smallest
     ``doc_id`` that links reach."""
     marked = store(fingerprints(docs, width))
-    nodes = store(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    labels = component_labels(fingerprint_links(nodes.select("fp"), budget, cell_rows)).withColumnRenamed("node", "fp")
-    named = store(nodes.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp")))
+    named = _labelled(marked, budget, cell_rows)
     smallest = store(named.groupBy("label").agg(F.min("first").alias("component_id")))
     members = store(named.join(smallest, "label").select("fp", "component_id"))
     return marked.join(members, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, width: int = SHINGLE, budget: int = BUDGET, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest ``doc_id``, once if it repeats. Rows without a
+    """``docs`` with one row of each component: that of the smallest ``doc_id``, and of its rows there that whose text has
+    the smallest hash, once if it repeats. Rows that share a ``doc_id`` are told apart by their texts. Rows without a
     ``doc_id`` can't be named as copies of one another and stay."""
-    key = free_name(docs, "near_doc")
-    kept = (near_duplicates(docs, width, budget, cell_rows).filter("doc_id = component_id")
-            .select(F.col("doc_id").alias(key)).distinct())
-    named = docs.filter(F.col("doc_id").isNotNull())
-    return (named.join(kept, named["doc_id"].cast("long") == kept[key], "left_semi").dropDuplicates(["doc_id"])
-            .union(docs.filter(F.col("doc_id").isNull())))
+    key, text_key = free_name(docs, "near_doc"), free_name(docs, "near_text")
+    marked = store(fingerprints(docs, width, hashed=True))
+    labels = _labelled(marked, budget, cell_rows).select("fp", "label")
+    kept = (marked.filter(F.col("doc_id").isNotNull()).join(labels, "fp").groupBy("label").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
+            .select(F.col("row.doc_id").alias(key), F.col("row.text_hash").alias(text_key)))
+    named = docs.filter(F.col("doc_id").isNotNull()).withColumn(text_key, _text_hash())
+    met = named.join(kept.withColumnRenamed(text_key, f"{text_key}_kept"),
+                     (F.col("doc_id").cast("long") == F.col(key)) & (F.col(text_key) == F.col(f"{text_key}_kept")), "left_semi")
+    return met.dropDuplicates(["doc_id", text_key]).drop(text_key).union(docs.filter(F.col("doc_id").isNull()))

@@ -127,6 +127,16 @@ def test_documents_match_brute_force(spark):
     assert ids.count(None) == 1
 
 
+def test_rows_of_one_id_with_different_texts_are_told_apart(spark):
+    """Id 5 holds a text of its own and a copy of id 3's; 8 copies id 5's own text, 9 has two near texts, 7 one row twice."""
+    a, b, c, d = ([f"{x}{i}" for i in range(80)] for x in "abcd")
+    rows = [(3, a), (5, a), (5, b), (8, b), (9, c), (9, [*c[:-1], "c"]), (7, d), (7, d)]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in rows], "doc_id long, text string")
+    got = [sorted((r.doc_id, r.text) for r in S.one_of_each(docs.repartition(n, "text"), budget=20).collect()) for n in (1, 5)]
+    assert got[0] == got[1]
+    assert [k for k, _ in got[0]] == [3, 5, 7, 9] and got[0][1] == (5, " ".join(b))
+
+
 def test_empty_table(spark):
     assert S.near_duplicates(empty_docs(spark)).collect() == []
     assert S.one_of_each(empty_docs(spark)).collect() == []
