@@ -1,7 +1,8 @@
 """Token counts of a document's sections, by offset-mapped attribution.
 
-Each document is encoded once, as a whole, with the character span of every token; an interval join of the sorted spans
-with the sorted section spans attributes the tokens. A token that crosses a boundary is allocated by an explicit rule:
+Each document has the character span of every token of its whole text (put together from the spans of its pre-tokens where
+the tokenizer file allows it, else by encoding it as a whole); an interval join of the sorted spans with the sorted
+section spans attributes the tokens. A token that crosses a boundary is allocated by an explicit rule:
 ``first`` (to the section of its first character), ``last`` (of its last) or ``most`` (of most of its characters, the
 earliest if equal). So a document's counts always add up to its number of tokens, which encoding sections one by one
 would not give.
@@ -16,6 +17,8 @@ table gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -29,14 +32,37 @@ RULES = ("first", "last", "most")
 SECTIONS = "doc_id long, section int, start long, end long, n_tokens long, n_crossing long"
 
 
+#: The expression of a byte-level pre-tokenizer that splits by its own.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def splits_by(spec: str, pattern: str) -> bool:
+    """Whether the tokenizer file does nothing to a text across pre-tokens, and splits it by ``pattern``."""
+    spec = json.loads(spec)
+    byte = spec.get("pre_tokenizer") or {}
+    split = BYTE_LEVEL
+    if byte.get("type") == "Sequence" and len(byte["pretokenizers"]) == 2:
+        first, byte = byte["pretokenizers"]
+        split = first.get("pattern", {}).get("Regex") if first["type"] == "Split" and first["behavior"] == "Isolated" and not first["invert"] else None
+        split = None if byte.get("use_regex", True) else split
+    elif not byte.get("use_regex", True):
+        split = None
+    return (byte.get("type") == "ByteLevel" and not byte["add_prefix_space"] and split == pattern and not spec.get("normalizer")
+            and not spec.get("post_processor") and all(t["special"] for t in spec.get("added_tokens") or ()))
+
+
 class SpanEncoder(Generations):
     """Token spans by pre-token, for tokenizers whose pre-tokenizer is ``pattern``: each pre-token is encoded by itself, so the
-    spans of a text are those of its pre-tokens, shifted. Packed as 32-bit (start, end) pairs."""
+    spans of a text are those of its pre-tokens, shifted. Packed as 32-bit (start, end) pairs. With any other tokenizer
+    file, texts are encoded whole."""
 
     def __init__(self, spec: str, pattern: str):
         super().__init__()
         self.tokenizer = load(spec)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.whole = not splits_by(spec, pattern)
         self.split = regex.compile(pattern).findall
 
     def make(self, key: str) -> bytes:
@@ -44,6 +70,8 @@ class SpanEncoder(Generations):
 
     def spans(self, text: str) -> np.ndarray:
         """(tokens, 2): first character and the one after the last."""
+        if self.whole:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).offsets, "i8").reshape(-1, 2)
         pieces = self.split(text)
         packed = [self[p] for p in pieces]
         sizes = np.fromiter(map(len, pieces), "i8", len(pieces))

@@ -40,6 +40,25 @@ def test_cached_spans_equal_whole_texts():
         assert [tuple(x) for x in spans.spans(t).tolist()] == want, t
 
 
+def test_a_tokenizer_that_the_pattern_does_not_describe_encodes_whole_texts():
+    import json
+    spec = read_tokenizer(BYTE_BPE)
+    base = json.loads(spec)
+    assert not TC.SpanEncoder(spec, public_tokenizers.PATTERN).whole and TC.SpanEncoder(spec, r"\S+|\s+").whole
+    byte = base["pre_tokenizer"]
+    same = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": public_tokenizers.PATTERN}, "behavior": "Isolated", "invert": False},
+                                                  byte | {"use_regex": False}]}
+    for change, by_whole in (({"normalizer": {"type": "Replace", "pattern": {"String": "a"}, "content": ""}}, True),
+                             ({"pre_tokenizer": byte | {"add_prefix_space": True}}, True), ({"pre_tokenizer": byte | {"use_regex": False}}, True),
+                             ({"pre_tokenizer": same}, False)):
+        changed = json.dumps(base | change)
+        whole, spans = Tokenizer.from_str(changed), TC.SpanEncoder(changed, public_tokenizers.PATTERN)
+        whole.encode_special_tokens = True
+        assert spans.whole is by_whole
+        for t in random_texts(200, 3) + ["", "a  banana's 12 x", "日本 é"]:
+            assert [tuple(x) for x in spans.spans(t).tolist()] == whole.encode(t, add_special_tokens=False).offsets, (change, t)
+
+
 @pytest.mark.parametrize("capacity,n,spread", [(16, 40, 10), (64, 500, 30), (256, 2000, 256), (16, 5, 16)])
 def test_plan_holds_the_histogram_and_is_tight(capacity, n, spread):
     rng = random.Random(capacity * n)
