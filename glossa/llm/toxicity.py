@@ -61,8 +61,9 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
 # ---- the sample ---------------------------------------------------------------------------------
 
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """(text, toxic, weight): at most ``per_class`` documents of each label, outside the held-out fold; a weight
-    is the number of labelled documents that a sampled one stands for."""
+    """(text, toxic, weight): at most ``per_class`` documents of each label, outside the held-out fold, one row each (of a
+    repeated ``doc_id`` that whose text has the smallest hash); a weight is the number of labelled documents that a
+    sampled one stands for."""
     label = (labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
              .groupBy(F.col("doc_id").cast("long").alias("mil_doc")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
     have = docs.select(F.col("doc_id").cast("long").alias("mil_doc")).distinct()
@@ -77,7 +78,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     for p in parts[1:]:
         chosen = chosen.union(p)
     # at most 2 * per_class rows of three numbers: a proven bound for the broadcast
-    return docs.join(F.broadcast(chosen), docs["doc_id"].cast("long") == chosen["mil_doc"]).select("text", "toxic", "weight")
+    met = docs.join(F.broadcast(chosen), docs["doc_id"].cast("long") == chosen["mil_doc"])
+    one = met.groupBy("mil_doc", "toxic", "weight").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("row"))
+    return one.select("row.text", "toxic", "weight")
 
 
 def _feature_docs(batches):
@@ -110,21 +113,22 @@ def _bags(chosen):
     def run(batches):
         index = {f: i for i, f in enumerate(chosen.value)}
         for b in batches:
-            plain, ids, sizes = [], [], []
+            plain, ids, sizes, times = [], [], [], []
             for text in b.column(0).to_pylist():
-                flat, lens, empty = [], [], 0
+                bags, empty = Counter(), 0
                 for _, _, words in sentences(text or ""):
                     found = [index[f] for w in words for f in features(w) if f in index]
                     empty += not found
                     if found:
-                        flat += found
-                        lens.append(len(found))
-                plain.append(max(empty, 0 if lens else 1))
-                ids.append(flat)
-                sizes.append(lens)
+                        bags[tuple(sorted(found))] += 1
+                plain.append(max(empty, 0 if bags else 1))
+                ids.append([i for bag in bags for i in bag])
+                sizes.append([len(bag) for bag in bags])
+                times.append(list(bags.values()))
             yield pa.RecordBatch.from_arrays(
                 [b.column(1), b.column(2), pa.array(plain, pa.int64()), pa.array(ids, pa.list_(pa.int32())),
-                 pa.array(sizes, pa.list_(pa.int32()))], names=["toxic", "weight", "plain", "ids", "sizes"])
+                 pa.array(sizes, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32()))],
+                names=["toxic", "weight", "plain", "ids", "sizes", "times"])
     return run
 
 
@@ -149,7 +153,8 @@ def _softplus(z):
 
 
 def fit_bags(rows: list, n_features: int, rounds: int = 400, rate: float = 0.3, l2: float = 1e-4) -> tuple[float, np.ndarray]:
-    """Bias and weights by full-batch Adam on the noisy-or log likelihood plus an L2 term.
+    """Bias and weights by full-batch Adam on the noisy-or log likelihood plus an L2 term. A row's sentences are its distinct
+    bags, met ``times`` (once each if not given).
 
     log(1 - P) of a document is minus the sum of softplus(z) over its sentences, so a clean document pulls every
     sentence down by p, and a toxic one pulls each up by p * (1 - P) / P."""
@@ -159,6 +164,7 @@ def fit_bags(rows: list, n_features: int, rounds: int = 400, rate: float = 0.3,
     plain = np.array([r["plain"] for r in rows], float)
     sizes = [n for r in rows for n in r["sizes"]]
     doc = np.repeat(np.arange(len(rows)), [len(r["sizes"]) for r in rows])
+    times = np.array([n for r in rows for n in (r["times"] if "times" in r else [1] * len(r["sizes"]))], float)
     ids = np.array([i for r in rows for i in r["ids"]], int)
     sent = np.repeat(np.arange(len(sizes)), sizes)
     theta = np.zeros(n_features + 1)
@@ -167,10 +173,10 @@ def fit_bags(rows: list, n_features: int, rounds: int = 400, rate: float = 0.3,
     for t in range(1, rounds + 1):
         w, b = theta[:-1], theta[-1]
         z = b + np.bincount(sent, w[ids], len(sizes))
-        clean = plain * _softplus(b) + np.bincount(doc, _softplus(z), len(rows))  # -log(1 - P)
+        clean = plain * _softplus(b) + np.bincount(doc, times * _softplus(z), len(rows))  # -log(1 - P)
         p_doc = -np.expm1(-clean)
         pull = weight * np.where(y == 1, -np.exp(-clean) / np.maximum(p_doc, 1e-12), 1.0)
-        g_sent = pull[doc] * _sigmoid(z)
+        g_sent = times * pull[doc] * _sigmoid(z)
         grad = np.append(np.bincount(ids, g_sent[sent], n_features) + l2 * w / n_features,
                          g_sent.sum() + (pull * plain).sum() * _sigmoid(b))
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
@@ -186,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_feat
         return Model(0.0, constant=1.0 if seen.get(1) else 0.0)
     chosen = select_features(sample, seen[1][0], seen[0][0], max_features)
     sc = docs.sparkSession.sparkContext
-    bags = map_docs(sample, _bags(sc.broadcast(chosen)), "toxic int, weight double, plain long, ids array<int>, sizes array<int>")
+    bags = map_docs(sample, _bags(sc.broadcast(chosen)), "toxic int, weight double, plain long, ids array<int>, sizes array<int>, times array<int>")
     bias, weights = fit_bags(bags.collect(), len(chosen))
     return Model(bias, {f: float(w) for f, w in zip(chosen, weights, strict=True) if w})
 

@@ -74,6 +74,24 @@ def test_gradient_learns_the_guilty_feature():
     assert w[0] > 4 + max(w[1:]) and bias < -2
 
 
+def test_a_repeated_id_is_one_row_of_the_sample(spark):
+    rows = [(3, f"text {i}") for i in range(60)] + [(1, "one"), (2, "two"), (2, "two")]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    assert not any(zlib.crc32(str(k).encode()) % 4 == 2 for k in (1, 2, 3))
+    got = [sorted((r.text, r.toxic, r.weight) for r in X.training_sample(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), labels).collect())
+           for n in (1, 7)]
+    assert got[0] == got[1] and len(got[0]) == 3
+
+
+def test_repeated_bags_count_as_often_as_they_are_met():
+    sent = [([0, 1], 3), ([2], 2)]
+    other = {"toxic": 0, "weight": 2.0, "plain": 3, "ids": [1, 2], "sizes": [1, 1]}
+    long = {"toxic": 1, "weight": 1.0, "plain": 1, "ids": [i for b, n in sent for _ in range(n) for i in b], "sizes": [len(b) for b, n in sent for _ in range(n)]}
+    short = {"toxic": 1, "weight": 1.0, "plain": 1, "ids": [0, 1, 2], "sizes": [2, 1], "times": [3, 2]}
+    a, b = (X.fit_bags([r, other], 3) for r in (long, short))
+    assert a[0] == pytest.approx(b[0]) and a[1].tolist() == pytest.approx(b[1].tolist())
+
+
 def test_without_labels_or_rows(spark):
     d = spark.createDataFrame(ODD_TEXTS, "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
