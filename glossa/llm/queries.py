@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from glossa.llm import (decontaminate, html_extract, line_dedup, packing, quality_rules, simhash_trie, suffix_dedup, token_counts,
+from glossa.llm import (decontaminate, html_extract, line_dedup, packing, pieces, quality_rules, simhash_trie, suffix_dedup, token_counts,
                         toxicity, warc)
 from glossa.llm.common import read_table, shared_path
 
@@ -66,6 +66,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted", "offending")
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash_near_dedup, op3_best_fit_packing,
                                    op4_benchmark_decontamination, op5_token_counts, op6_suffix_array_dedup, op7_line_dedup, op8_html_extraction,
-                                   op9_warc, op10_toxicity)}
+                                   op9_warc, op10_toxicity, op11_sentencepiece)}
