@@ -60,4 +60,26 @@ SELECT any_value(doc_id) AS doc_id, any_value(item_id) AS item_id, any_value(n)
 FROM dg JOIN ig USING (g) JOIN ic USING (ir) GROUP BY r, ir HAVING 5 * count(*) >= 4 * any_value(n)
 """
 
-ORACLE = {"op1_quality_rules": OP1, "op4_benchmark_decontamination": OP4, "op7_line_dedup": OP7}
+OP12 = rf"""
+WITH p AS (SELECT row_number() OVER () AS r, lang, piece FROM (SELECT coalesce(lang, 'und') AS lang,
+        unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+w AS (SELECT r, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+x AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM x, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE i + m - 1 <= len(w)),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+k AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS first_part, array_to_string(w[k + 1:], ' ') AS rest
+      FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+s AS (SELECT k.lang, k.phrase, a, k, l.f AS l, r.f AS r, 2000000::HUGEINT * a // (l.f + r.f) AS score
+      FROM k JOIN f l ON l.lang = k.lang AND l.phrase = first_part JOIN f r ON r.lang = k.lang AND r.phrase = rest),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS pick FROM s),
+i AS (SELECT lang, a AS longer, array_to_string(w[j:j + z - 1], ' ') AS phrase FROM c, (SELECT unnest([1, 2, 3]) AS j), (SELECT unnest([2, 3]) AS z)
+      WHERE z < m AND j + z - 1 <= m),
+o AS (SELECT lang, phrase, max(longer) AS longer FROM i GROUP BY ALL),
+t AS (SELECT b.lang, b.phrase, a, l, r, score, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+      FROM b LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase WHERE pick = 1 AND (longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a))
+SELECT t.lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM t JOIN n ON n.lang = t.lang WHERE rank <= 2000
+"""
+
+ORACLE = {"op1_quality_rules": OP1, "op4_benchmark_decontamination": OP4, "op7_line_dedup": OP7, "op12_phrase_collocations": OP12}
