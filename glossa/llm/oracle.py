@@ -82,4 +82,18 @@ t AS (SELECT b.lang, b.phrase, a, l, r, score, row_number() OVER (PARTITION BY b
 SELECT t.lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM t JOIN n ON n.lang = t.lang WHERE rank <= 2000
 """
 
-ORACLE = {"op1_quality_rules": OP1, "op4_benchmark_decontamination": OP4, "op7_line_dedup": OP7, "op12_phrase_collocations": OP12}
+OP13 = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.r, a.vec_id AS anchor_id, a.label AS anchor_label, b.r AS o, b.vec_id, b.label, list_inner_product(a.e, b.e)::BIGINT AS score
+      FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+g AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS k FROM p WHERE label = anchor_label),
+n AS (SELECT g.anchor_id, g.vec_id AS positive_id, g.score AS positive_score, p.vec_id AS negative_id, p.score AS negative_score,
+        row_number() OVER (PARTITION BY g.r, g.k ORDER BY p.score DESC, p.vec_id) AS rank
+      FROM g JOIN p ON p.r = g.r AND p.label <> p.anchor_label AND 80 * g.score <= 100 * p.score AND 100 * p.score <= 100 * g.score WHERE g.k <= 5)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+ORACLE = {"op1_quality_rules": OP1, "op4_benchmark_decontamination": OP4, "op7_line_dedup": OP7, "op12_phrase_collocations": OP12,
+          "op13_hard_negatives": OP13}

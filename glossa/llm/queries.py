@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from glossa.llm import (decontaminate, html_extract, line_dedup, packing, phrases, pieces, quality_rules, simhash_trie, suffix_dedup, token_counts,
+from glossa.llm import (decontaminate, hard_negatives, html_extract, line_dedup, packing, phrases, pieces, quality_rules, simhash_trie, suffix_dedup, token_counts,
                         toxicity, warc)
 from glossa.llm.common import read_table, shared_path
 
@@ -78,6 +78,12 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(read_table(spark, sf_dir, "documents").select("text", "lang"), top=2000)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings").withColumn("label", F.expr("IF(vec_id % 7 = 0, (label + 1) % 10, label)"))
+    return hard_negatives.mine(rows, "vec_id", "embedding", "label", F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash_near_dedup, op3_best_fit_packing,
                                    op4_benchmark_decontamination, op5_token_counts, op6_suffix_array_dedup, op7_line_dedup, op8_html_extraction,
-                                   op9_warc, op10_toxicity, op11_sentencepiece, op12_phrase_collocations)}
+                                   op9_warc, op10_toxicity, op11_sentencepiece, op12_phrase_collocations,
+                                   op13_hard_negatives)}
