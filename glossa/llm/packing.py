@@ -162,27 +162,35 @@ def best_fit(rest: dict[int, int], capacity: int) -> list[tuple[list[int], int]]
     return [g for room in sorted(groups) for g in groups[room]]
 
 
+def _rounded(uses: dict, lengths: np.ndarray, counts: np.ndarray, capacity: int, least: int, up: bool) -> list[tuple[tuple[int, ...], int]]:
+    """Whole uses of the configurations that fill at least ``least``, fullest first and within the counts; fractions of a use are
+    rounded up or down, and what is left goes to best fit."""
+    remaining, plan = counts.copy(), []
+    fill = {c: int(lengths[list(c)].sum()) for c in uses}
+    for config in sorted((c for c in uses if fill[c] >= least), key=lambda c: (-fill[c], -uses[c], c)):
+        items, copies = np.unique(config, return_counts=True)
+        whole = ceil(uses[config] - 1e-9) if up else int(uses[config] + 1e-9)
+        n = min(whole, int((remaining[items] // copies).min()))
+        if n > 0:
+            remaining[items] -= copies * n
+            plan.append((tuple(int(lengths[i]) for i in config), n))
+    rest = {int(k): int(n) for k, n in zip(lengths, remaining) if n}
+    return plan + [(tuple(items), n) for items, n in best_fit(rest, capacity)]
+
+
 def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of one sequence, how many such sequences), holding exactly the histogram."""
+    """(lengths of one sequence, how many such sequences), holding exactly the histogram: the best of the programme's roundings (full
+    configurations alone, all of them rounded up, or down) and of best fit without it."""
     left = {k: n for k, n in histogram.items() if n}
     plan = [((k,), left.pop(k)) for k in [k for k in left if k >= capacity]]
     if not left:
         return plan
     lengths = np.array(sorted(left))
     counts = np.array([left[k] for k in lengths])
-    remaining = counts.copy()
     uses = solve_lp(lengths, counts, capacity)
-    fill = {c: int(lengths[list(c)].sum()) for c in uses}
-    for config in sorted(uses, key=lambda c: (-fill[c], -uses[c], c)):
-        if fill[config] < capacity:
-            break  # what doesn't fill a sequence is left to best fit
-        items, copies = np.unique(config, return_counts=True)
-        n = min(ceil(uses[config] - 1e-9), int((remaining[items] // copies).min()))
-        if n > 0:
-            remaining[items] -= copies * n
-            plan.append((tuple(int(lengths[i]) for i in config), n))
-    rest = {int(k): int(n) for k, n in zip(lengths, remaining) if n}
-    return plan + [(tuple(items), n) for items, n in best_fit(rest, capacity)]
+    roundings = [_rounded(uses, lengths, counts, capacity, least, up) for least, up in ((capacity, True), (0, False), (0, True))]
+    roundings.append(_rounded({}, lengths, counts, capacity, 0, False))
+    return plan + min(roundings, key=lambda found: sum(n for _, n in found))
 
 
 def _slots(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -222,9 +230,10 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     pieces = store(pieces)
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    total = sum(histogram.values())
     slots = spark.sparkContext.broadcast(_slots(plan_sequences(histogram, capacity)))
-    salted = pieces.withColumn("pack_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(1 + total // BUCKET_ROWS)))
+    # a row for each length, so ``capacity`` at most
+    ways = F.broadcast(spark.createDataFrame([(k, 1 + n // BUCKET_ROWS) for k, n in histogram.items()], "length long, pack_ways long"))
+    salted = pieces.join(ways, "length").withColumn("pack_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("pack_ways"))).drop("pack_ways")
     before = (salted.groupBy("length", "pack_salt").agg(F.count("*").alias("n"))
               .withColumn("pack_before", F.sum("n").over(W.partitionBy("length").orderBy("pack_salt")) - F.col("n")).drop("n"))
     inside = W.partitionBy("length", "pack_salt").orderBy("doc_id", "piece", "ids_crc32")

@@ -80,6 +80,37 @@ def test_plan_beats_decreasing_fits_where_they_fail():
     assert sum(n for _, n in P.plan_sequences({7: 30, 5: 30, 4: 30}, 12)) == 40
 
 
+def test_configurations_that_do_not_fill_a_sequence_are_kept():
+    """A third of a sequence's tokens stay free in each, and no other way needs fewer: plain best fit takes 1100."""
+    assert sum(n for _, n in P.plan_sequences({2080: 600, 1100: 600, 1060: 600, 930: 1200}, 4096)) == 900
+
+
+def fewest(sizes, capacity):
+    """Exact, by the sets of pieces that one more sequence can hold."""
+    n = len(sizes)
+    fill = [sum(sizes[i] for i in range(n) if s >> i & 1) for s in range(1 << n)]
+    best = [0] + [n] * ((1 << n) - 1)
+    for s in range(1, 1 << n):
+        low, rest = s & -s, s & (s - 1)
+        part = rest
+        while True:
+            if fill[part | low] <= capacity:
+                best[s] = min(best[s], 1 + best[rest ^ part])
+            if not part:
+                break
+            part = (part - 1) & rest
+    return best[-1]
+
+
+def test_plans_are_within_one_of_the_fewest():
+    rng = random.Random(11)
+    for _ in range(60):
+        capacity = rng.choice([10, 30, 100])
+        sizes = [rng.randint(1, capacity) if rng.random() < 0.5 else rng.randint(capacity // 5, capacity // 2) for _ in range(rng.randint(1, 9))]
+        used = sum(n for _, n in P.plan_sequences({k: sizes.count(k) for k in set(sizes)}, capacity))
+        assert fewest(sizes, capacity) <= used <= fewest(sizes, capacity) + 1, (sizes, capacity)
+
+
 def test_knapsack_matches_brute_force():
     rng = random.Random(5)
     for _ in range(20):
