@@ -96,6 +96,7 @@ class Node:
     gone: bool = False  # it or an ancestor is removed
     named: bool = False  # weighted by its class or id alone
     holds: bool = False  # an article is below it
+    content: bool = False  # it is one
 
 
 class Labels(dict):
@@ -203,7 +204,7 @@ def parse(page: str, host: str, labels: Labels, gone: set[int] = frozenset()) ->
         key = _signed(xxhash.xxh3_64_intdigest(label, parent.key & _ALL))
         lost = parent.gone or key in gone
         silent = lost or (parent.silent and not content) or (weight == 0 and tag not in BLOCK)
-        node = Node(tag, key, weight, inside, parent=parent, silent=silent, gone=lost, named=named)
+        node = Node(tag, key, weight, inside, parent=parent, silent=silent, gone=lost, named=named, content=content)
         while content and parent and not parent.holds:
             parent.holds, parent = True, parent.parent
         if tag in RAW:  # never text: go on behind it
@@ -237,20 +238,23 @@ def _page_nodes(batches):
                         holding.add(node.key)
                 elif what == "block" and node.parent:
                     nodes.setdefault(node.key, (node, [], set()))[2].add(_signed(xxhash.xxh3_64_intdigest(text)))
+            marked = any(node.content for node, _, _ in nodes.values())
             for key, (node, styles, blocks) in nodes.items():
+                # outside the article of a page, a hint is enough
+                outside = marked and node.weight == HINTED and not node.inside and key not in holding
                 up, at = [], node
                 while at.parent:
                     up.append(at.key)
                     at = at.parent
                 style = _signed(xxhash.xxh3_64_intdigest("|".join(sorted(set(styles)))))
-                rows.append((page_id, sid, key, node.weight, style, up, list(blocks), key in holding))
-        cols = list(zip(*rows)) or [()] * 8
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_())
+                rows.append((page_id, sid, key, node.weight, style, up, list(blocks), key in holding, outside))
+        cols = list(zip(*rows)) or [()] * 9
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_(), pa.bool_())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)],
-                                         names=["page_id", "sid", "node", "weight", "style", "up", "blocks", "holds"])
+                                         names=["page_id", "sid", "node", "weight", "style", "up", "blocks", "holds", "outside"])
 
 
-NODES = "page_id long, sid long, node long, weight double, style long, up array<long>, blocks array<long>, holds boolean"
+NODES = "page_id long, sid long, node long, weight double, style long, up array<long>, blocks array<long>, holds boolean, outside boolean"
 
 
 def page_nodes(page: DataFrame) -> DataFrame:
@@ -259,7 +263,7 @@ def page_nodes(page: DataFrame) -> DataFrame:
     nodes = map_docs(page, _page_nodes, NODES)
     roots = nodes.filter(F.size("up") == 1).groupBy("sid", "node").agg(F.count("*").alias("n")).filter("n > 1")
     same = store(roots.groupBy("sid").agg(F.max("n").alias("n")))
-    return nodes.join(same, "sid", "left").select("page_id", "node", "weight", "style", "up", "blocks", "holds", (1 / F.coalesce("n", F.lit(1))).alias("share"))
+    return nodes.join(same, "sid", "left").select("page_id", "node", "weight", "style", "up", "blocks", "holds", "outside", (1 / F.coalesce("n", F.lit(1))).alias("share"))
 
 
 def importance(nodes: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -307,7 +311,8 @@ def extract_text(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     nodes = store(page_nodes(page))
     fails = lambda weight: weight * (1 + F.col("importance")) / 2 < threshold
     low = store(importance(nodes).filter(fails(F.col("weight"))).select("node", fails(F.lit(UNDECIDED)).alias("undecided_fails")))
-    removed = (nodes.select("page_id", "node", "holds").join(low, "node").filter(~F.col("holds") | F.col("undecided_fails")).groupBy("page_id").agg(F.collect_set("node").alias("removed"))
+    found = nodes.select("page_id", "node", "holds").join(low, "node").filter(~F.col("holds") | F.col("undecided_fails")).select("page_id", "node")
+    removed = (found.union(nodes.filter("outside").select("page_id", "node")).groupBy("page_id").agg(F.collect_set("node").alias("removed"))
                .withColumnRenamed("page_id", "at"))
     packed = map_docs(page, _compress, "page_id long, url string, z binary")
     met = packed.join(removed, F.col("page_id").eqNullSafe(F.col("at")), "left").select("page_id", "url", "z", "removed")

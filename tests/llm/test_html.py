@@ -92,6 +92,76 @@ def test_importance_decides_on_hinted_branches(spark):
         assert extract(spark, rows) == {i: want.format(i=i) for i in range(pages)}
 
 
+OUTSIDE = ("comment reply respond user-comment comment-body related recommended share header search legal privacy aside menu hidden "
+           "has-sidebar social skip-link").split()
+
+
+@pytest.mark.parametrize("pages", [1, 12])
+def test_hinted_branches_outside_an_article_go(spark, pages):
+    """Whatever they say, also what no other page of the site says."""
+    rows = [page("<article><p>story {i}</p></article><div class='{w}'><p>unique {i}</p>text {i}</div>".format(i=i, w=w), "", f"{w}.example")
+            for w in OUTSIDE for i in range(pages)]
+    got = extract(spark, rows)
+    assert [got[k] for k in range(len(rows))] == [f"story {i}" for _ in OUTSIDE for i in range(pages)]
+
+
+def brute_pages(rows):
+    """Whole pages by the stated formula, over a parse of its own: the style tree of well-formed pages of div, p and article."""
+    import re
+    from collections import Counter, defaultdict
+    parsed = []
+    for _, html in rows:
+        nodes, blocks, kids = defaultdict(list), [], defaultdict(list)
+        at = [("body", "")]
+        for m in re.finditer(r"<(/?)(\w+)(?: class='([^']*)')?>|([^<]+)", html[html.index("<body>") + 6:html.index("</body>")]):
+            end, tag, cls, text = m.groups()
+            if text:
+                blocks.append((tuple(at), text))
+                nodes[tuple(at)].append(text)
+            elif end:
+                at.pop()
+            else:
+                kids[tuple(at)].append(tag)
+                at.append((tag, cls or ""))
+                kids[tuple(at)] = kids[tuple(at)]
+                nodes[tuple(at)] = nodes[tuple(at)]
+        parsed.append((nodes, blocks, kids))
+    pages, styles, said = Counter(), defaultdict(Counter), defaultdict(Counter)
+    for nodes, _, kids in parsed:
+        for node in set(nodes) | {(("body", ""),)}:
+            pages[node] += 1
+            styles[node][tuple(kids[node])] += 1
+            for text in set(nodes.get(node, ())):
+                said[node][text] += 1
+
+    def score(node):
+        m = pages[node]
+        if m < H.MIN_PAGES:
+            return 1.0
+        below = [math.log(n) / math.log(pages[x]) if pages[x] >= H.MIN_PAGES else 0.0 for x in said if x[:len(node)] == node for n in said[x].values()]
+        shown = sum(n / m * math.log(m / n) for n in styles[node].values()) / math.log(m)
+        return shown if not below else H.PRESENTATION * shown + (1 - H.PRESENTATION) * (1 - sum(below) / len(below))
+
+    out = []
+    for _, blocks, _ in parsed:
+        out.append("\n".join(text for node, text in blocks
+                             if all(H.UNDECIDED * (1 + score(node[:k])) / 2 >= H.THRESHOLD for k in range(2, len(node) + 1))))
+    return out
+
+
+def test_whole_pages_match_brute_force(spark):
+    import random
+    rng = random.Random(9)
+    rows = []
+    for i in range(40):
+        parts = [f"<div class='{c}'>{t}</div>" for c, t in (("top", "<p>Slogan</p>"), ("mid", f"<p>own {i}</p><p>{rng.choice(['a', 'b', 'c'])}</p>"),
+                                                         ("low", f"<div class='x'><p>{rng.choice(['often', 'often', f'rare {i}'])}</p></div><p>line</p>"), ("odd", f"t{i % 7}"))
+                 if rng.random() < 0.85]
+        rows.append(page("".join(parts)))
+    got = extract(spark, rows)
+    assert [got[i] for i in range(40)] == brute_pages(rows)
+
+
 def test_an_article_keeps_its_wrapper_on_its_own_page_only(spark):
     rows = [page(f"<div class=sidebar><p>links {i}</p></div><article><p>a {i}</p></article>") for i in range(8)]
     rows.append(page("<div class=sidebar><article><p>odd</p></article></div>"))
