@@ -5,9 +5,9 @@ is their noisy-or, ``1 - prod(1 - p)``. The weights are fitted on document label
 noisy-or likelihood, so the model itself finds which sentences made a document toxic, and scoring reports them.
 
 The model is fitted on a bounded sample: at most ``per_class`` labelled documents of each label (by hash order of
-``doc_id``), reweighted to the true shares, and at most ``max_features`` features, chosen by the significance of
-their document counts. Features come from Spark; the driver only sees the selected features' places. The fitted model
-is a few thousand numbers and is broadcast; scoring is one pass over all rows without a shuffle.
+``doc_id``), reweighted to the true shares, with every feature whose document counts in the sample are significant. Features
+come from Spark; the driver sees the selected ones and, of each sampled document, the sentences that hold any. The fitted model
+is a number for each feature and is broadcast; scoring is one pass over all rows without a shuffle.
 
 Defined results: a null or empty text has no sentence with words and gets the score of one plain sentence; a null
 ``doc_id`` is never held out and never learnt from; labels that are null are ignored, a document labelled twice is
@@ -30,9 +30,8 @@ from pyspark.sql import functions as F
 from glossa.llm.common import map_docs, store, with_fields
 
 FOLDS, HELD_OUT = 4, 2
-#: Labelled documents of each label the model is fitted on, and features it may have.
+#: Labelled documents of each label the model is fitted on.
 PER_CLASS = 4000
-MAX_FEATURES = 4000
 MIN_DOCS, MIN_Z = 4, 4.0
 PREFIXES = range(3, 9)
 THRESHOLD = 0.3
@@ -94,7 +93,7 @@ def _feature_docs(batches):
                                           pa.array(list(rows.values()), pa.int64())], names=["f", "toxic", "n"])
 
 
-def select_features(sample: DataFrame, n_pos: int, n_neg: int, max_features: int = MAX_FEATURES) -> list[str]:
+def select_features(sample: DataFrame, n_pos: int, n_neg: int) -> list[str]:
     """Features significantly more frequent in toxic documents: the z of their log odds (smoothed by a half)."""
     n = (map_docs(sample.select("text", "toxic"), _feature_docs, "f string, toxic int, n long").groupBy("f")
          .agg(F.coalesce(F.sum(F.when(F.col("toxic") == 1, F.col("n"))), F.lit(0)).alias("a"),
@@ -105,8 +104,8 @@ def select_features(sample: DataFrame, n_pos: int, n_neg: int, max_features: int
     # the smoothed z is bounded by the rarer cell, so rare but pure features are measured by their expected count
     pure = (F.col("a") * n_neg - F.col("b") * n_pos) / F.sqrt(F.lit(float(n_pos) * n_neg) * (F.col("a") + F.col("b")))
     rows = (n.filter(F.col("a") >= MIN_DOCS).withColumn("z", F.greatest(z, pure)).filter(F.col("z") >= MIN_Z)
-            .orderBy(F.desc("z"), "f").limit(max_features).select("f").collect())
-    return [r["f"] for r in rows]
+            .select("f").collect())
+    return sorted(r["f"] for r in rows)
 
 
 def _bags(chosen):
@@ -184,13 +183,13 @@ def fit_bags(rows: list, n_features: int, rounds: int = 400, rate: float = 0.3,
     return float(theta[-1]), theta[:-1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_features: int = MAX_FEATURES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     sample = store(training_sample(docs, labels, per_class))
     seen = {r["toxic"]: (r["n"], r["w"]) for r in
             sample.groupBy("toxic").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()}
     if not (seen.get(1) and seen.get(0)):
         return Model(0.0, constant=1.0 if seen.get(1) else 0.0)
-    chosen = select_features(sample, seen[1][0], seen[0][0], max_features)
+    chosen = select_features(sample, seen[1][0], seen[0][0])
     sc = docs.sparkSession.sparkContext
     bags = map_docs(sample, _bags(sc.broadcast(chosen)), "toxic int, weight double, plain long, ids array<int>, sizes array<int>, times array<int>")
     bias, weights = fit_bags(bags.collect(), len(chosen))

@@ -99,3 +99,32 @@ def test_without_labels_or_rows(spark):
     ones = spark.createDataFrame([(4, 1), (5, 1), (6, 1), (7, 1), (8, 1), (11, 1)], "doc_id long, toxic int")
     assert {r.score for r in X.classify(d, ones).collect()} == {1.0}
     assert X.classify(empty_docs(spark), none).collect() == []
+
+
+def test_scores_are_the_noisy_or_of_their_sentences(spark):
+    """Each row's score and offending sentences against a plain evaluation of the fitted weights."""
+    import math
+    import re
+    docs, labels, _ = corpus(400, 8)
+    d = spark.createDataFrame(docs + [(9000 + (k or 0), t) for k, t in ODD_TEXTS], "doc_id long, text string")
+    model = X.fit(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model.weights
+    for r in X.score_documents(d, model).collect():
+        miss, offending = 1.0, []
+        for s in re.finditer(r"[^.!?\n]+", r.text or ""):
+            words = {w.lower() for w in re.findall(r"\w+", s.group())}
+            if words:
+                z = model.bias + sum(v for f, v in model.weights.items() for w in words if (w == f[:-1] if f.endswith("$") else 3 <= len(f) <= 8 and w.startswith(f)))
+                p = 1 / (1 + math.exp(-z))
+                miss *= 1 - p
+                if p >= X.THRESHOLD:
+                    offending.append((s.start(), s.end()))
+        score = 1 - miss if re.search(r"\w", r.text or "") else 1 / (1 + math.exp(-model.bias))
+        assert r.score == pytest.approx(score, abs=1e-9) and [(o.start, o.end) for o in r.offending] == offending
+
+
+def test_every_significant_feature_is_used(spark):
+    """Thousands of rare words, each significant: none is left out."""
+    rows = [(i, " ".join(f"bad{k}x" for k in range(200 * (i % 30), 200 * (i % 30) + 200)) if i < 1300 else "plain words here") for i in range(2600)]
+    lab = spark.createDataFrame([(i, int(i < 1300)) for i in range(2600)], "doc_id long, toxic int")
+    assert len(X.fit(spark.createDataFrame(rows, "doc_id long, text string"), lab).weights) > 5000
