@@ -35,8 +35,8 @@ SHARDS = 8
 #: Languages, most words first, whose shards' shares are known to every task; in others a shard's local support is one.
 LANGS = 1000
 #: Words a task gathers before it sends their phrases, and phrases that one bucket of hashes may get.
-FLUSH_WORDS = 2_000_000
-BUCKET_GRAMS = 4_000_000
+FLUSH_WORDS = 1_000_000
+BUCKET_GRAMS = 1_000_000
 #: Bits of a filter at most (32 MB), bits a member, and members a slice is built from.
 FILTER_BITS = 1 << 28
 FILTER_SPREAD = 12
@@ -73,11 +73,14 @@ def _mixed(x: np.ndarray, odd: np.uint64) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-def _hashes(words: Words, lang: str) -> np.ndarray:
+def _hashes(words) -> np.ndarray:
     """A 64-bit hash for each word number."""
     from xxhash import xxh64_intdigest
-    seed = zlib.crc32(lang.encode("utf-8", "replace"))
-    return np.fromiter((xxh64_intdigest(w, seed) for w in words), _U, len(words))
+    return np.fromiter(map(xxh64_intdigest, words), _U, len(words))
+
+
+def _of_lang(hashes: np.ndarray, lang: str) -> np.ndarray:
+    return _mixed(hashes ^ _U(zlib.crc32(lang.encode("utf-8", "replace"))), _ODD[0])
 
 
 def _join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -127,17 +130,20 @@ def _gathered(batches, sharded: bool) -> Iterator[tuple[Words, dict[tuple[str, i
 
 def _count_words(batches):
     for words, parts in _gathered(batches, sharded=True):
-        names = list(words)
+        names = pa.array(list(words), pa.binary())
         by_lang: dict[str, np.ndarray] = {}
-        out = []
+        fields = ("lang", pa.string()), ("word", pa.string()), ("shard", pa.int32()), ("n", pa.int64())
+        sums = []
         for (lang, shard), ids in parts.items():
             n = np.bincount(ids, minlength=len(names))
             n[_END] = 0
             by_lang[lang] = by_lang[lang] + n if lang in by_lang else n
-            out.append((lang, None, shard, int(n.sum())))
+            sums.append((lang, None, shard, int(n.sum())))
+        yield _batch(sums, *fields)
         for lang, n in by_lang.items():
-            out += [(lang, names[i].decode("utf-8", "replace"), None, int(n[i])) for i in np.flatnonzero(n)]
-        yield _batch(out, ("lang", pa.string()), ("word", pa.string()), ("shard", pa.int32()), ("n", pa.int64()))
+            met = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(met), np.int64))), names.take(pa.array(met)).cast(pa.string()),
+                                              pa.nulls(len(met), pa.int32()), pa.array(n[met], pa.int64())], [f for f, _ in fields])
 
 
 def _batch(rows: list[tuple], *fields: tuple[str, pa.DataType]) -> pa.RecordBatch:
@@ -151,7 +157,7 @@ def _unique(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _pairs(ids: np.ndarray, hashes: np.ndarray, frequent: Filter) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the pair at each place, and whether it lies in a piece and both words are frequent."""
-    known = frequent.has(_mixed(hashes, _ODD[0]))
+    known = frequent.has(hashes)
     known[[_GAP, _END]] = False
     w, ok = hashes[ids], known[ids]
     return _join(w[:-1], w[1:]), ok[:-1] & ok[1:]
@@ -171,10 +177,10 @@ def _send_grams(level: int, buckets: int, supports: dict, frequent, pairs=None):
         words_filter = Filter(*frequent.value)
         pairs_filter = Filter(*pairs.value) if pairs else None
         for words, parts in _gathered(batches, sharded=True):
-            sent, hashes = [], {}
+            sent, hashes, any_lang = [], {}, _hashes(words)
             for (lang, shard), ids in parts.items():
                 if lang not in hashes:
-                    hashes[lang] = _hashes(words, lang)
+                    hashes[lang] = _of_lang(any_lang, lang)
                 pair, ok = _pairs(ids, hashes[lang], words_filter)
                 if level == 2:
                     grams = [pair[ok]]
@@ -200,7 +206,8 @@ def _locally_frequent(table: pa.Table) -> pa.Table:
         ("hashes", _U), ("shards", np.uint8), ("supports", np.uint32), ("counts", np.uint32)))
     key = _mixed(h ^ (shard.astype(_U) + _U(1)) * _ODD[0], _ODD[1])
     order = np.argsort(key)
-    starts = np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]]))
+    key = key[order]
+    starts = np.flatnonzero(np.diff(key, prepend=~key[:1]))
     total = np.add.reduceat(n[order].astype(np.int64), starts)
     kept = total >= np.minimum.reduceat(support[order], starts)
     found = np.unique(h[order[starts[kept]]])
@@ -253,9 +260,9 @@ def _count_phrases(frequent, pairs, longer):
     def run(batches):
         words_filter, pairs_filter, longer_filter = (Filter(*b.value) for b in (frequent, pairs, longer))
         for words, parts in _gathered(batches, sharded=False):
-            names = list(words)
+            names, any_lang = list(words), _hashes(words)
             for (lang, _), ids in parts.items():
-                hashes = _hashes(words, lang)
+                hashes = _of_lang(any_lang, lang)
                 pair, ok = _pairs(ids, hashes, words_filter)
                 ok[ok] = pairs_filter.has(pair[ok])
                 at = np.flatnonzero(ok)
@@ -297,7 +304,7 @@ def mine(docs: DataFrame, support: int = SUPPORT, text: str = "text", lang: str
             rows: dict[str, list[bytes]] = {}
             for lang, word in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
                 rows.setdefault(lang, []).append(word)
-            yield _batch([(_mixed(_hashes(ws, lang), _ODD[0]).tobytes(),) for lang, ws in rows.items()], ("hashes", pa.binary()))
+            yield _batch([(_of_lang(_hashes(ws), lang).tobytes(),) for lang, ws in rows.items()], ("hashes", pa.binary()))
 
     frequent = _filter_of(spark, map_docs(words.select("lang", "phrase"), packed, "hashes binary"), n_frequent)
     pairs = _mine(texts, 2, n_words, supports, frequent)
