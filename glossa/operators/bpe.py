@@ -6,18 +6,10 @@ combine, so a word that is a third of all tokens costs one partial count per tas
 
 Training keeps each type's current segmentation as a padded string, every symbol wrapped
 in its own spaces (`` t  h  e ``); pre-tokens never contain whitespace, so the space is a
-safe separator. One round, two jobs:
-
-1. count adjacent symbol pairs over train types (explode + codegen'd groupBy, weighted by
-   train_freq) and fetch the ``top_n`` largest; then count the triples of symbols whose two
-   pairs are both among those (bounded by the candidates' chains);
-2. choose candidates that greedy one-at-a-time BPE would take next, in that order. A candidate
-   that chains with a chosen pair (they share a symbol somewhere in a train word) is put off:
-   it loses at least the occurrences of that triple. A pair that a choice creates occurs at most
-   as often as the triple it comes from. A further candidate is chosen only if it out-counts
-   all of these, so it is what greedy BPE takes; each merge makes a string that is new -- the pair
-   that does not is taken and ends the batch;
-3. apply the batch as nested literal ``replace`` calls (JVM-side, codegen'd).
+safe separator. The next merges are guessed on a bounded sample and checked on all types
+(``forecast``): a round is one job, in which every type takes up the merges accepted last, then tries the
+guess and reports the changes of pair counts. All pairs are counted only when the list of exact counts is
+used up. The merges are those of one-at-a-time greedy BPE, ties by (left, right).
 
 Test words carry along, so their encoding at every vocabulary size is the segmentation
 at the moment the vocabulary reached that size: a single aggregate per snapshot. Merge
@@ -27,21 +19,29 @@ Lineage is cut with a reliable checkpoint every few rounds.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.functions import text as T
-from glossa.session import cut_lineage, spread
+from glossa.operators import forecast as FC
+from glossa.session import cut_lineage, ship_package, spread
 
 # Special tokens occupy ids 0-4 and count toward vocab_size.
 SPECIAL_TOKENS = ["<unk>", "<pad>", "<s>", "</s>", "<mask>"]
 UNK = "<unk>"
 CONT = "##"  # WordPiece continuation prefix
 
+# Pairs with exact counts and word types of the sample that the driver holds, and merges that a round may guess.
+LISTED_PAIRS = 16384
+SAMPLE_TYPES = 300_000
+MOST_AHEAD = 1024
+
 SLICES = ["train", "test_all", "test_en", "test_target"]
 
 
@@ -106,67 +106,55 @@ def merged_symbol(left: str, right: str, wordpiece: bool) -> str:
     return left + right
 
 
-def choose_batch(cands: list[tuple[int, str, str]], vocab: set[str], budget: int, min_frequency: int,
-                 wordpiece: bool, complete: bool, chains: dict[tuple[str, str, str], int]) -> list[tuple[str, str, str, int]]:
-    """What one-at-a-time greedy BPE would take next, in order; see the module docstring.
-
-    ``cands`` is sorted by (count desc, left, right); ``complete`` says it holds every pair.
-    ``budget`` = vocabulary rows still allowed before the next snapshot size (only new
-    strings use it). ``chains`` counts the triples (x, a, b) of train words whose pairs are both
-    candidates; a triple with another pair counts at most as much as the last candidate.
-    """
-    floor = 0 if complete else (cands[-1][0] if cands else 0)
-    around: dict[tuple[str, str], list[tuple[tuple[str, str], int]]] = {}  # pair -> (pair it chains with, count)
-    for (x, a, b), n in chains.items():
-        around.setdefault((x, a), []).append(((a, b), n))
-        around.setdefault((a, b), []).append(((x, a), n))
-    batch: list[tuple[str, str, str, int]] = []
-    chosen: set[tuple[str, str]] = set()
-    made: set[str] = set()
-    bound = -1
-    for c, l, r in cands:
-        if c < min_frequency or len(made) >= budget or (batch and c <= bound):
-            break
-        touching = around.get((l, r), ())
-        # a pair of equal symbols doesn't merge everywhere in a run of them, so it may leave its neighbours as they are
-        lost = max((n if p[0] != p[1] else 0 for p, n in touching if p in chosen), default=None)
-        if lost is not None:  # put off: what is left of it must be out-counted
-            bound = max(bound, c - lost)
-            continue
-        if batch and (l, l, l) in chains and l == r:
-            break
-        m = merged_symbol(l, r, wordpiece)
-        batch.append((l, r, m, c))
-        chosen.add((l, r))
-        bound = max(bound, floor, max((n for _, n in touching), default=0))
-        if m in vocab or m in made:
-            break  # not a new string: take it, but it ends the batch
-        made.add(m)
-    return batch
-
-
-def chain_triples(state: DataFrame, cands: list[tuple[int, str, str]]) -> dict[tuple[str, str, str], int]:
-    """Occurrences of the symbol triples (a, b, c) in train words whose two pairs (a,b) and (b,c) are both
-    candidates. The candidate table is bounded by ``top_n``, so it is broadcast."""
-    pairs = state.sparkSession.createDataFrame([(l, r) for _, l, r in cands], "l string, r string")
-    act = state.filter((F.col("train_freq") > 0) & (n_symbols("seg") > 2))
-    syms = symbols("seg")
-    n = F.size(syms)
-    z = F.arrays_zip(F.slice(syms, 1, n - 2).alias("a"), F.slice(syms, 2, n - 2).alias("b"),
-                     F.slice(syms, 3, n - 2).alias("c"))
-    tri = act.select(F.explode(z).alias("t"), "train_freq").select("t.a", "t.b", "t.c", "train_freq")
-    first, second = pairs.toDF("a", "b"), pairs.toDF("b", "c")
-    known = tri.join(F.broadcast(first), ["a", "b"]).join(F.broadcast(second), ["b", "c"])
-    return {(r["a"], r["b"], r["c"]): int(r["n"]) for r in known.groupBy("a", "b", "c").agg(F.sum("train_freq").alias("n")).collect()}
-
-
-def apply_batch(seg: F.Column, batch: Sequence[tuple[str, str, str, int]]) -> F.Column:
-    """Merge every occurrence of every batch pair. Symbols are wrapped in their own spaces,
-    so occurrences of different (disjoint) pairs never share characters and nested literal
-    replaces equal one left-to-right pass."""
-    out = seg
-    for l, r, m, _ in batch:
-        out = F.replace(out, F.lit(f" {l}  {r} "), F.lit(f" {m} "))
+def _state_schema() -> str:
+    return "word string, seg string, " + ", ".join(f"{s}_freq long" for s in SLICES)
+
+
+def _split(seg: str) -> list[str]:
+    return seg[1:-1].split("  ")
+
+
+def apply_merges(state: DataFrame, merges: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """Every type's segmentation after the merges, one after the other."""
+    merges = list(merges)
+
+    def run(batches):
+        steps = FC.step_of(merges)
+        for b in batches:
+            segs = []
+            for seg in b.column(1).to_pylist():
+                s = _split(seg)
+                after = FC.apply_in_order(s, steps, merges)
+                segs.append(seg if after is s else f" {'  '.join(after)} ")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(segs, pa.string()), *b.columns[2:]], b.schema.names)
+
+    return state.mapInArrow(run, _state_schema())
+
+
+def count_changes(state: DataFrame, guess: list[tuple[str, str, str]], counts: FC.Counts) -> dict[int, list[tuple[tuple[str, str], int]]]:
+    """By step of the guess: changes of the counts of listed pairs, and of new ones that may reach the list."""
+    listed = state.sparkSession.sparkContext.broadcast(frozenset(counts.count))  # a bounded list
+
+    def run(batches):
+        steps, total = FC.step_of(guess), defaultdict(int)
+        for b in batches:
+            for seg, freq in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if freq:
+                    FC.apply_in_order(_split(seg), steps, guess, total, freq)
+        made = {m for _, _, m in guess}  # of other pairs off the list, losses don't matter
+        rows = [(*p, step, d) for (p, step), d in total.items() if d and (d > 0 or p in listed.value or not made.isdisjoint(p))]
+        cols = list(zip(*rows)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()),
+                                          pa.array([r[:2] in listed.value for r in rows], pa.bool_())], ["l", "r", "step", "d", "listed"])
+
+    found = state.mapInArrow(run, "l string, r string, step int, d long, listed boolean").groupBy("l", "r").agg(
+        F.first("listed").alias("listed"), F.sum(F.greatest("d", F.lit(0))).alias("most"), F.collect_list(F.struct("step", "d")).alias("steps"))
+    rows = found.filter(F.col("listed") | (F.col("most") >= counts.least)).select("l", "r", "steps").toArrow().to_pylist()
+    listed.unpersist()
+    out: dict[int, list] = defaultdict(list)
+    for row in rows:
+        for s in row["steps"]:
+            out[s["step"]].append(((row["l"], row["r"]), s["d"]))
     return out
 
 
@@ -177,6 +165,7 @@ class MergeTraining:
     merges: list[tuple[int, str, str, str, int]] = field(default_factory=list)  # rank, left, right, merged, count
     vocab: list[str] = field(default_factory=list)
     rounds: int = 0
+    recounts: int = 0
     cuts: dict[int, tuple[int, int]] = field(default_factory=dict)  # vocab_size -> (vocabulary rows, merges)
     snapshots: dict[int, DataFrame] = field(default_factory=dict)  # vocab_size -> slice token sums (1 row)
     states: dict[int, DataFrame] = field(default_factory=dict)  # vocab_size -> type table with seg
@@ -192,12 +181,14 @@ def slice_sums(state: DataFrame) -> DataFrame:
     return state.agg(*aggs)
 
 
-def train_merges(types: DataFrame, vocab_sizes: Sequence[int], method: str = "bpe", min_frequency: int = 2,
-                 top_n: int = 512, checkpoint_every: int = 16, keep_states: bool = False) -> MergeTraining:
-    """D2 (``bpe``) / D3 (``wordpiece``) training over a type table, snapshotting every
-    requested vocabulary size in one sweep."""
+def train_merges(types: DataFrame, vocab_sizes: Sequence[int], method: str = "bpe", min_frequency: int = 2, top_n: int = LISTED_PAIRS,
+                 sample_types: int = SAMPLE_TYPES, checkpoint_every: int = 12, keep_states: bool = False) -> MergeTraining:
+    """D2 (``bpe``) / D3 (``wordpiece``) training over a type table, snapshotting every requested vocabulary size in one sweep.
+
+    The driver holds ``top_n`` pairs and ``sample_types`` types; neither changes the result."""
     wordpiece = method == "wordpiece"
     spark = types.sparkSession
+    ship_package(spark)
     train_words = types.filter(F.col("train_freq") > 0)
     alphabet = sorted(r[0] for r in train_words.select(F.explode(_chars(F.col("word"))).alias("c")).distinct().collect())
     if not alphabet:
@@ -216,45 +207,48 @@ def train_merges(types: DataFrame, vocab_sizes: Sequence[int], method: str = "bp
     vocab_set = set(vocab)
     res = MergeTraining(method=method, alphabet=alphabet, vocab=vocab)
     state = cut_lineage(state).persist(StorageLevel.MEMORY_AND_DISK)
-    targets = sorted(set(int(v) for v in vocab_sizes))
-    rank = 0
-    done = False
-    old = None
-    for target in targets:
+    held = [state]
+    sample = FC.Forecast((_split(r["seg"]), r["train_freq"]) for r in state.filter("train_freq > 0").orderBy(
+        F.desc("train_freq"), "word").limit(sample_types).select("seg", "train_freq").toArrow().to_pylist())
+    counts, done, ahead = None, False, 32
+    for target in sorted(set(int(v) for v in vocab_sizes)):
         while not done and len(vocab) < target:
-            pc = pair_counts(state).orderBy(F.desc("count"), "left", "right").limit(top_n + 1).collect()
-            if old is not None:  # this round's state is cached now; drop the one before
-                old.unpersist()
-                old = None
-            cands = [(int(r["count"]), r["left"], r["right"]) for r in pc]
-            if not cands or cands[0][0] < min_frequency:
+            if counts is None or counts.best() is None:
+                listed = pair_counts(state).orderBy(F.desc("count"), "left", "right").limit(top_n + 1).toArrow().to_pylist()
+                floor = (-listed[top_n]["count"], listed[top_n]["left"], listed[top_n]["right"]) if len(listed) > top_n else None
+                counts = FC.Counts({(r["left"], r["right"]): r["count"] for r in listed[:top_n]}, floor)
+                res.recounts += 1
+            best = counts.best()
+            if best is None or best[0] < min_frequency:  # None: the first pair off the list ties with the best one, which has its key
                 done = True
                 break
-            complete = len(cands) <= top_n
-            # pairs beyond the list are bounded by the last count in it (a safe over-estimate)
-            batch = choose_batch(cands[:top_n], vocab_set, target - len(vocab), min_frequency, wordpiece, complete,
-                                 chain_triples(state, cands[:top_n]))
-            for l, r, m, c in batch:
-                rank += 1
-                res.merges.append((rank, l, r, m, c))
-                if m not in vocab_set:
+            guess = sample.guess(counts, ahead, target - len(vocab), vocab_set, min_frequency, lambda l, r: merged_symbol(l, r, wordpiece))
+            taken = FC.accepted(counts, guess, count_changes(state, guess, counts), min_frequency)
+            ahead = min(MOST_AHEAD, max(32, 2 * len(taken)))
+            for (l, r, m), c in taken:
+                res.merges.append((len(res.merges) + 1, l, r, m, c))
+                if m in vocab_set:
+                    counts = None  # pairs off the list may have grown
+                else:
                     vocab_set.add(m)
                     vocab.append(m)
-            prev = state
-            state = state.withColumn("seg", apply_batch(F.col("seg"), batch))
+            merges = [m for m, _ in taken]
+            sample.apply(merges)
             res.rounds += 1
+            state = apply_merges(state, merges)
             if res.rounds % checkpoint_every == 0:
                 state = cut_lineage(state)
-            # keep one round of merges per job: the next round's jobs read this cached state
-            state = state.persist(StorageLevel.MEMORY_AND_DISK)
-            old = prev
-        held, state = state, cut_lineage(state)
-        held.unpersist()
-        old = None
+            state = state.persist(StorageLevel.MEMORY_AND_DISK)  # filled by the next round's job
+            held.append(state)
+            while len(held) > 2:
+                held.pop(0).unpersist()
+        state = cut_lineage(state)
         res.cuts[target] = (len(vocab), len(res.merges))
         res.snapshots[target] = spark.createDataFrame(slice_sums(state).collect(), slice_sums(state).schema)
         if keep_states:
             res.states[target] = state
+    for old in held:
+        old.unpersist()
     res.vocab = vocab
     return res
 

@@ -1,10 +1,13 @@
-"""Encoders of single words (D6) for the language model: small callables, bounded by the vocabulary, that are
-broadcast and applied inside each paragraph's row."""
+"""Encoders of words (D6) for the language model: small callables, bounded by the vocabulary, that are broadcast and
+applied to the unseen words of a batch of paragraphs at once."""
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from glossa.operators import forecast as FC
 from glossa.operators import subword as W
 from glossa.operators.bpe import UNK
 
@@ -15,48 +18,56 @@ class Lexical:
     method: str
     vocab: frozenset[str]
 
-    def __call__(self, word: str) -> list[str]:
-        return [u if u in self.vocab else UNK for u in ([word] if self.method == "word" else word)]
+    def __call__(self, words: Sequence[str]) -> list[list[str]]:
+        return [[u if u in self.vocab else UNK for u in ([w] if self.method == "word" else w)] for w in words]
 
 
 @dataclass
 class Merges:
-    """BPE: merge the pair of the lowest rank until none is left."""
+    """BPE: the pair of the lowest rank merges until none is left."""
     merges: list[tuple[str, str, str]]
     alphabet: frozenset[str]
     rank: dict[tuple[str, str], int] = field(init=False)
 
     def __post_init__(self):
-        self.rank = {(l, r): i for i, (l, r, _) in enumerate(self.merges)}
+        self.rank = {}
+        for i, (l, r, _) in enumerate(self.merges):
+            self.rank.setdefault((l, r), i)
 
-    def __call__(self, word: str) -> list[str]:
+    def _word(self, word: str) -> list[str]:
         s = [c if c in self.alphabet else UNK for c in word]
         while (best := min((self.rank[p] for p in zip(s, s[1:]) if p in self.rank), default=None)) is not None:
-            l, r, m = self.merges[best]
-            out, i = [], 0
-            while i < len(s):
-                pair = i + 1 < len(s) and s[i] == l and s[i + 1] == r
-                out.append(m if pair else s[i])
-                i += 1 + pair
-            s = out
+            s = FC.merge_once(s, *self.merges[best])
         return s
 
+    def __call__(self, words: Sequence[str]) -> list[list[str]]:
+        return [self._word(w) for w in words]
 
-@dataclass
-class WordPiece:
-    vocab: frozenset[str]
 
-    def __call__(self, word: str) -> list[str]:
-        return W.wordpiece_tokens(word, self.vocab)
+class Built:
+    """An encoder that is built from what is shipped where it is first used."""
+    _encode = None
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_encode"}
 
 
 @dataclass
-class Unigram:
-    logp: dict[str, float]
-    floor: float = field(init=False)
+class WordPiece(Built):
+    vocab: Sequence[str]
+
+    def __call__(self, words: Sequence[str]) -> list[list[str]]:
+        self._encode = self._encode or W.wordpiece_encoder(self.vocab)
+        return self._encode(words)[0]
 
-    def __post_init__(self):
-        self.floor = W.unk_penalty(self.logp)
 
-    def __call__(self, word: str) -> list[str]:
-        return W.unigram_tokens(word, self.logp, self.floor)
+@dataclass
+class Unigram(Built):
+    """Raw white-space words with the marker: compatibility normalisation, then each word that is left."""
+    pieces: Sequence[tuple[str, float]]
+
+    def __call__(self, words: Sequence[str]) -> list[list[str]]:
+        self._encode = self._encode or W.unigram_encoder(self.pieces)
+        parts = [[W.META + x for x in unicodedata.normalize("NFKC", w[len(W.META):]).split()] for w in words]
+        found = iter(self._encode([x for p in parts for x in p]))
+        return [[t for _ in p for t, _ in next(found)] for p in parts]

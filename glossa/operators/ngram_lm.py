@@ -127,8 +127,8 @@ def standard_slices(target_lang: str) -> dict[str, Column]:
 
 
 def token_sequences(split_corpus: DataFrame, words: Column, encoder) -> DataFrame:
-    """Tokens of each paragraph (column ids). ``encoder(word)`` gives a word's tokens; it is broadcast (its size is bounded by
-    the vocabulary) and applied inside the paragraph's own row, so nothing is shuffled; words met before are looked up."""
+    """Tokens of each paragraph (column ids). ``encoder(words)`` gives each word's tokens; it is broadcast (its size is bounded by
+    the vocabulary) and applied to the unseen words of a batch of rows, so nothing is shuffled."""
     ship_package(split_corpus.sparkSession)
     shared = split_corpus.sparkSession.sparkContext.broadcast(encoder)
     keys = ["doc_id", "pos", "split", "label"]
@@ -136,17 +136,12 @@ def token_sequences(split_corpus: DataFrame, words: Column, encoder) -> DataFram
     def run(batches):
         seen: dict[str, list[str]] = {}
         for b in batches:
-            ids = []
-            for row in b.column(len(keys)).to_pylist():
-                out: list[str] = []
-                for w in row or ():
-                    tokens = seen.get(w)
-                    if tokens is None:
-                        if len(seen) >= CACHE_WORDS:
-                            seen.clear()
-                        tokens = seen[w] = shared.value(w)
-                    out += tokens
-                ids.append(out)
+            rows = b.column(len(keys)).to_pylist()
+            if len(seen) >= CACHE_WORDS:
+                seen.clear()
+            new = list({w for row in rows for w in row or ()} - seen.keys())
+            seen.update(zip(new, shared.value(new)))
+            ids = [[t for w in row or () for t in seen[w]] for row in rows]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.list_(pa.string()))], names=[*keys, "ids"])
 
     types = {f.name: f.dataType.simpleString() for f in split_corpus.schema.fields}

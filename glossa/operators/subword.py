@@ -1,71 +1,54 @@
 """WordPiece encoding (D6) and Unigram LM training / encoding.
 
-Both run over the distributed type table with ``mapInPandas``: each task gets the
-vocabulary (bounded by the requested vocab size, so the broadcast is size-checked by
-construction) and encodes its share of distinct words once; frequencies ride along, so
-no join back is needed. Unigram's E-step emits expected piece counts per type that are
-summed with ``groupBy``; only the piece table (bounded by ``seed_size``) reaches the driver.
+All run over the distributed type table in Arrow batches: each task gets the vocabulary (bounded by the requested
+size) as a trie and works on the lattices of a batch of distinct words at once (``lattice``); frequencies ride along, so
+no join back is needed. Unigram's E-step emits expected piece counts per task that are summed with ``groupBy``; only
+the piece table (bounded by the seeds) reaches the driver.
 """
 
 from __future__ import annotations
 
-import math
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.functions import text as T
+from glossa.operators import lattice as LT
 from glossa.operators.bpe import CONT, SLICES, SPECIAL_TOKENS, UNK
-from glossa.session import ship_package
+from glossa.session import ship_package, spread
 
 META = "▁"  # fixed value: Unigram word-start marker
 MAX_PIECE_LEN = 16
 WP_MAX_WORD_CHARS = 100
+PIECES_AT_ONCE = 20_000
 
 
-# ----------------------------------------------------------------- WordPiece
-def wordpiece_tokens(word: str, vocab: set[str]) -> list[str]:
-    """Greedy longest-match-first; the whole word is <unk> if any position fails."""
-    if len(word) > WP_MAX_WORD_CHARS:
-        return [UNK]
-    out, start, n = [], 0, len(word)
-    while start < n:
-        end, cur = n, None
-        while start < end:
-            sub = word[start:end] if start == 0 else CONT + word[start:end]
-            if sub in vocab:
-                cur = sub
-                break
-            end -= 1
-        if cur is None:
-            return [UNK]
-        out.append(cur)
-        start = end
-    return out
+_SUMS = {"ntok": pa.int64(), "tchars": pa.int64()}
+_LISTS = {"word": pa.string(), "tokens": pa.list_(pa.string()), "ids": pa.list_(pa.int32())}
+_SQL = {pa.int64(): "long", pa.string(): "string", pa.list_(pa.string()): "array<string>", pa.list_(pa.int32()): "array<int>"}
 
 
-def _encode_sums(types: DataFrame, vocab: Sequence[str], encoder) -> DataFrame:
-    """Per-slice token totals for an encoder run once per distinct word."""
+def _encoded(types: DataFrame, columns: Sequence[str], out: dict[str, pa.DataType], make) -> DataFrame:
+    """Some columns of the types (numbers) and what an encoder makes of each batch of words. ``make()`` builds the encoder once a task; it
+    maps words to a list of values for each column of ``out``."""
     ship_package(types.sparkSession)
-    vb = types.sparkSession.sparkContext.broadcast(frozenset(vocab))
-    freq_cols = [f"{s}_freq" for s in SLICES]
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        voc = vb.value
-        for pdf in it:
-            toks = [encoder(w, voc) for w in pdf["word"]]
-            out = pdf[freq_cols].copy()
-            out["ntok"] = [len(t) for t in toks]
-            out["tchars"] = [sum(len(x) for x in t) for t in toks]
-            yield out
-
-    schema = ", ".join(f"{c} long" for c in freq_cols) + ", ntok long, tchars long"
-    enc = types.select("word", *freq_cols).mapInPandas(run, schema)
+
+    def run(batches):
+        encode = make()
+        for b in batches:
+            columns = [pa.array(v, t) for v, t in zip(encode(b.column(0).to_pylist()), out.values())]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *columns], [*b.schema.names[1:], *out])
+
+    schema = ", ".join([*[f"{c} long" for c in columns], *[f"{n} {_SQL[t]}" for n, t in out.items()]])
+    return types.select("word", *columns).mapInArrow(run, schema)
+
+
+def _slice_sums(enc: DataFrame) -> DataFrame:
     aggs = []
     for s in SLICES:
         aggs += [F.sum(F.col(f"{s}_freq") * F.col("ntok")).alias(f"tokens_{s}"),
@@ -73,21 +56,51 @@ def _encode_sums(types: DataFrame, vocab: Sequence[str], encoder) -> DataFrame:
     return enc.agg(*aggs)
 
 
+_FREQS = [f"{s}_freq" for s in SLICES]
+
+
+# ----------------------------------------------------------------- WordPiece
+def wordpiece_encoder(vocab: Sequence[str]):
+    """Greedy longest match first over a trie: (tokens, ids) of each of some words; the whole word is <unk> if any place
+    fails or it has more than ``WP_MAX_WORD_CHARS`` characters."""
+    names = list(vocab)
+    head, tail = LT.Trie(names), LT.Trie([p[len(CONT):] for p in names if p.startswith(CONT) and len(p) > len(CONT)])
+    ids = [i for i, p in enumerate(names) if p.startswith(CONT) and len(p) > len(CONT)]
+    unk = names.index(UNK) if UNK in names else 0
+
+    def encode(words: Sequence[str]) -> tuple[list[list[str]], list[list[int]]]:
+        tokens, numbers = [], []
+        for w, cuts in zip(words, LT.longest_first(head, tail, [w[:WP_MAX_WORD_CHARS + 1] for w in words])):
+            if cuts is None or len(w) > WP_MAX_WORD_CHARS:
+                tokens.append([UNK])
+                numbers.append([unk])
+            else:
+                tokens.append([w[s:e] if not s else CONT + w[s:e] for s, e, _ in cuts])
+                numbers.append([p if not s else ids[p] for s, _, p in cuts])
+        return tokens, numbers
+    return encode
+
+
 def wordpiece_sums(types: DataFrame, vocab: Sequence[str]) -> DataFrame:
-    return _encode_sums(types, vocab, wordpiece_tokens)
+    """Per-slice token totals, each distinct word encoded once."""
+    shared = types.sparkSession.sparkContext.broadcast(list(vocab))
+
+    def make():
+        encode = wordpiece_encoder(shared.value)
+        return lambda words: zip(*[(len(t), sum(map(len, t))) for t in encode(words)[0]])
+
+    return _slice_sums(_encoded(types, _FREQS, _SUMS, make))
 
 
 def wordpiece_encode(types: DataFrame, vocab: Sequence[str]) -> DataFrame:
-    """(word, tokens array<string>) for every distinct word."""
-    ship_package(types.sparkSession)
-    vb = types.sparkSession.sparkContext.broadcast(frozenset(vocab))
+    """(word, tokens, ids) for every distinct word; ids are places in the vocabulary."""
+    shared = types.sparkSession.sparkContext.broadcast(list(vocab))
 
-    def run(it):
-        voc = vb.value
-        for pdf in it:
-            yield pd.DataFrame({"word": pdf["word"], "tokens": [wordpiece_tokens(w, voc) for w in pdf["word"]]})
+    def make():
+        encode = wordpiece_encoder(shared.value)
+        return lambda words: (words, *encode(words))
 
-    return types.select("word").mapInPandas(run, "word string, tokens array<string>")
+    return _encoded(types, [], _LISTS, make)
 
 
 # ------------------------------------------------------------------- Unigram
@@ -117,81 +130,6 @@ def unigram_type_table(corpus: DataFrame, target_lang: str, text_col: str = "tex
     return normal.groupBy("word").agg(*[F.sum(c).alias(c) for c in freqs])
 
 
-def _viterbi(word: str, logp: dict[str, float], unk_penalty: float) -> list[str]:
-    n = len(word)
-    best = [0.0] + [-math.inf] * n
-    back = [0] * (n + 1)
-    for i in range(n):
-        if best[i] == -math.inf:
-            continue
-        for j in range(i + 1, min(n, i + MAX_PIECE_LEN) + 1):
-            p = logp.get(word[i:j])
-            if p is None:
-                if j == i + 1:
-                    p = unk_penalty
-                else:
-                    continue
-            s = best[i] + p
-            if s > best[j]:
-                best[j], back[j] = s, i
-    pieces, j = [], n
-    while j > 0:
-        i = back[j]
-        pieces.append(word[i:j])
-        j = i
-    pieces.reverse()
-    # unknown single characters next to each other fuse into one token (surface kept)
-    out: list[str] = []
-    prev_unk = False
-    for p in pieces:
-        unk = p not in logp
-        if unk and prev_unk:
-            out[-1] += p
-        else:
-            out.append(p)
-        prev_unk = unk
-    return out
-
-
-def _forward_backward(word: str, logp: dict[str, float]) -> dict[str, float]:
-    """Expected piece counts for one word under the unigram model (log-space)."""
-    n = len(word)
-    edges = [[] for _ in range(n + 1)]  # edges ending at j: (i, piece, lp)
-    for i in range(n):
-        for j in range(i + 1, min(n, i + MAX_PIECE_LEN) + 1):
-            lp = logp.get(word[i:j])
-            if lp is not None:
-                edges[j].append((i, word[i:j], lp))
-    alpha = [-math.inf] * (n + 1)
-    alpha[0] = 0.0
-    for j in range(1, n + 1):
-        acc = [alpha[i] + lp for i, _, lp in edges[j] if alpha[i] > -math.inf]
-        if acc:
-            m = max(acc)
-            alpha[j] = m + math.log(sum(math.exp(a - m) for a in acc))
-    if alpha[n] == -math.inf:
-        return {}
-    beta = [-math.inf] * (n + 1)
-    beta[n] = 0.0
-    out_edges = [[] for _ in range(n + 1)]
-    for j in range(1, n + 1):
-        for i, p, lp in edges[j]:
-            out_edges[i].append((j, p, lp))
-    for i in range(n - 1, -1, -1):
-        acc = [beta[j] + lp for j, _, lp in out_edges[i] if beta[j] > -math.inf]
-        if acc:
-            m = max(acc)
-            beta[i] = m + math.log(sum(math.exp(a - m) for a in acc))
-    z = alpha[n]
-    exp: dict[str, float] = {}
-    for j in range(1, n + 1):
-        for i, p, lp in edges[j]:
-            if alpha[i] > -math.inf and beta[j] > -math.inf:
-                e = math.exp(alpha[i] + lp + beta[j] - z)
-                exp[p] = exp.get(p, 0.0) + e
-    return exp
-
-
 def seed_pieces(types: DataFrame, seed_size: int) -> DataFrame:
     """All characters plus the ``seed_size`` most frequent substrings (2..16 chars) of train words."""
     tw = types.filter(F.col("train_freq") > 0)
@@ -208,74 +146,105 @@ def seed_pieces(types: DataFrame, seed_size: int) -> DataFrame:
     return chars.unionByName(multi).select("piece", F.col("count").cast("double").alias("count"), "len")
 
 
-def _removal_losses(shared):
-    """Per piece: how much its occurrences lose in log probability when its best other segmentation replaces it."""
-    def run(it):
-        logp = shared.value
-        for pdf in it:
-            out = []
-            for p, e in zip(pdf["piece"], pdf["e"]):
-                rest = {k: v for k in {p[i:j] for i in range(len(p)) for j in range(i + 1, len(p) + 1)} - {p} if (v := logp.get(k)) is not None}
-                alone = _viterbi(p, rest, -1e9)
-                out.append(e * (logp[p] - sum(rest.get(x, -1e9) for x in alone)))
-            yield pd.DataFrame({"piece": pdf["piece"], "loss": out})
-    return run
+def _expected_counts(words: DataFrame, pieces: list[str], score: np.ndarray) -> np.ndarray:
+    """E-step: the expected uses of every piece over the train words (word, train_freq); a number a piece reaches the driver."""
+    shared = words.sparkSession.sparkContext.broadcast((pieces, score))
 
+    def run(batches):
+        pieces, score = shared.value
+        trie, total = LT.Trie(pieces), np.zeros(len(score))
+        for b in batches:
+            total += LT.expected(LT.lattice(trie, b.column(0).to_pylist()), score, b.column(1).to_numpy().astype(np.float64))
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["piece", "e"])
 
-def train_unigram(types: DataFrame, vocab_size: int, seed_factor: int = 10, em_iters: int = 2,
-                  shrink: float = 0.75) -> list[tuple[str, float]]:
-    """Seed -> EM -> prune to ``vocab_size`` (specials included). Returns [(piece, logp)].
+    sums = words.mapInArrow(run, "piece int, e double").groupBy("piece").agg(F.sum("e").alias("e")).toArrow()
+    shared.unpersist()
+    out = np.zeros(len(pieces))
+    out[sums.column("piece").to_numpy()] = sums.column("e").to_numpy()
+    return out
 
-    ``seed_factor`` times ``vocab_size`` substrings are the seeds. Each round keeps the ``shrink`` share of pieces whose removal
-    would cost the most likelihood, never fewer than asked for, until the size is reached; characters are never
+
+def _removal_losses(spark, pieces: list[str], score: np.ndarray, uses: np.ndarray) -> np.ndarray:
+    """Of every piece: how much log probability its uses lose when its best other segmentation replaces it."""
+    shared = spark.sparkContext.broadcast((pieces, score))
+
+    def run(batches):
+        pieces, score = shared.value
+        trie = LT.Trie(pieces)
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            for at in range(0, len(ids), PIECES_AT_ONCE):
+                part = ids[at:at + PIECES_AT_ONCE]
+                lat = LT.lattice(trie, [pieces[i] for i in part])
+                whole = np.isin(lat.start, lat.first) & np.isin(lat.end, lat.last)
+                other = LT.best(lat.without(whole), score)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(np.maximum(other, -1e9))], ["piece", "other"])
+
+    parts = min(spark.sparkContext.defaultParallelism, 1 + len(pieces) // PIECES_AT_ONCE)
+    other = spark.range(0, len(pieces), 1, parts).mapInArrow(run, "piece long, other double").toArrow()
+    shared.unpersist()
+    out = np.zeros(len(pieces))
+    out[other.column("piece").to_numpy()] = other.column("other").to_numpy()
+    return uses * (score - out)
+
+
+def train_unigram_grid(types: DataFrame, vocab_sizes: Sequence[int], seed_factor: int = 10, em_iters: int = 2,
+                       shrink: float = 0.75) -> dict[int, list[tuple[str, float]] | ValueError]:
+    """D4 for a grid: seed -> EM -> prune, in one descending sweep that gives [(piece, logp)] at each size (specials included).
+
+    ``seed_factor`` times the largest size are the seeds. Each round keeps the ``shrink`` share of pieces whose removal
+    would cost the most likelihood, never fewer than asked for, until the next size is reached; characters are never
     dropped, so a size below the characters is an error."""
-    n_keep = vocab_size - len(SPECIAL_TOKENS)
     spark = types.sparkSession
     tw = types.filter(F.col("train_freq") > 0).select("word", "train_freq")
     required = tw.select(F.explode(F.split("word", "")).alias("c")).distinct().count()
     if not required:
         raise ValueError("cannot train a tokenizer: the training sample is empty")
-    if n_keep < required:
-        raise ValueError(f"unigram vocabulary of {vocab_size} is too small for {required} characters")
+    sizes = sorted({int(v) for v in vocab_sizes}, reverse=True)
+    out: dict[int, list[tuple[str, float]] | ValueError] = {
+        v: ValueError(f"unigram vocabulary of {v} is too small for {required} characters") for v in sizes if v - len(SPECIAL_TOKENS) < required}
+    sizes = [v for v in sizes if v not in out]
+    if not sizes:
+        return out
     ship_package(spark)
-    seeds = seed_pieces(types, seed_factor * vocab_size).collect()
-    chars = {r["piece"] for r in seeds if r["len"] == 1}
-    sc = spark.sparkContext
-
-    def normalise(cnt: dict[str, float]) -> dict[str, float]:
-        tot = sum(cnt.values())
-        return {p: math.log(c / tot) for p, c in cnt.items() if c > 0}
-
-    logp = normalise({r["piece"]: r["count"] for r in seeds})
-    while True:
-        for _ in range(em_iters):
-            b = sc.broadcast(logp)
-
-            def estep(it, b=b):
-                lp = b.value
-                for pdf in it:
-                    acc: dict[str, float] = {}
-                    for w, f in zip(pdf["word"], pdf["train_freq"]):
-                        for p, e in _forward_backward(w, lp).items():
-                            acc[p] = acc.get(p, 0.0) + e * f
-                    yield pd.DataFrame({"piece": list(acc), "e": list(acc.values())})
-
-            ex = tw.mapInPandas(estep, "piece string, e double").groupBy("piece").agg(F.sum("e").alias("e")).collect()
-            cnt = {r["piece"]: r["e"] for r in ex}
-            for c in chars:  # characters are never dropped
-                cnt[c] = max(cnt.get(c, 0.0), 1e-3)
-            logp = normalise(cnt)
-            b.unpersist()
-        if len(logp) <= n_keep:
-            return sorted(logp.items(), key=lambda kv: (-kv[1], kv[0]))
-        multi = [(p, cnt[p]) for p in logp if p not in chars]
-        b = sc.broadcast(logp)
-        losses = spark.createDataFrame(multi, "piece string, e double").repartition(sc.defaultParallelism).mapInPandas(
-            _removal_losses(b), "piece string, loss double").collect()  # bounded by the seeds
-        b.unpersist()
-        ranked = sorted(losses, key=lambda r: (-r["loss"], r["piece"]))
-        keep = {r["piece"] for r in ranked[:max(n_keep - len(chars), int(len(multi) * shrink))]} | chars
-        logp = normalise({p: math.exp(v) for p, v in logp.items() if p in keep})
+    seeds = sorted((r["piece"], r["count"], r["len"] == 1) for r in seed_pieces(types, seed_factor * sizes[0]).toArrow().to_pylist())
+    pieces = [p for p, _, _ in seeds]
+    uses, char = np.array([c for _, c, _ in seeds], float), np.array([c for _, _, c in seeds], bool)
+    words = spread(tw).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def keep(kept):
+        nonlocal pieces, uses, char
+        pieces, uses, char = [p for p, k in zip(pieces, kept) if k], uses[kept], char[kept]
+        return np.log(uses / uses.sum())
+
+    score = keep(uses > 0)
+    for v in sizes:
+        n_keep = v - len(SPECIAL_TOKENS)
+        while True:
+            for _ in range(em_iters):
+                uses = _expected_counts(words, pieces, score)
+                uses[char] = np.maximum(uses[char], 1e-3)  # characters are never dropped
+                score = keep(uses > 0)
+            if len(pieces) <= n_keep:
+                break
+            losses = np.where(char, np.inf, _removal_losses(spark, pieces, score, uses))
+            stay = max(n_keep, int(char.sum()) + int((~char).sum() * shrink))
+            kept = np.zeros(len(pieces), bool)
+            kept[np.argsort(-losses, kind="stable")[:stay]] = True  # ties by piece
+            score = score[kept] - np.log(np.exp(score[kept]).sum())
+            pieces, uses, char = [p for p, k in zip(pieces, kept) if k], uses[kept], char[kept]
+        out[v] = sorted(zip(pieces, score.tolist()), key=lambda kv: (-kv[1], kv[0]))
+    words.unpersist()
+    return out
+
+
+def train_unigram(types: DataFrame, vocab_size: int, **params) -> list[tuple[str, float]]:
+    """D4 at one size."""
+    found = train_unigram_grid(types, [vocab_size], **params)[vocab_size]
+    if isinstance(found, ValueError):
+        raise found
+    return found
 
 
 def unk_penalty(logp: dict[str, float]) -> float:
@@ -283,46 +252,32 @@ def unk_penalty(logp: dict[str, float]) -> float:
     return min(logp.values()) - 10.0 if logp else -10.0
 
 
-def unigram_tokens(word: str, logp: dict[str, float], floor: float) -> list[str]:
-    """Tokens of a raw white-space word with its marker: compatibility normalisation, then Viterbi a word."""
-    words = unicodedata.normalize("NFKC", word[len(META):]).split()
-    return [t for w in words for t in _viterbi(META + w, logp, floor)]
+def unigram_encoder(pieces: Sequence[tuple[str, float]]):
+    """(surface, piece number or -1) lists of some words with their markers."""
+    trie, scores, floor = LT.Trie([p for p, _ in pieces]), np.array([s for _, s in pieces]), unk_penalty(dict(pieces))
+    return lambda words: LT.segment(trie, scores, floor, words)
 
 
 def unigram_sums(types: DataFrame, pieces: Sequence[tuple[str, float]]) -> DataFrame:
-    logp = dict(pieces)
-    floor = unk_penalty(logp)
-    ship_package(types.sparkSession)
-    vb = types.sparkSession.sparkContext.broadcast(logp)
-    freq_cols = [f"{s}_freq" for s in SLICES]
-
-    def run(it):
-        lp = vb.value
-        for pdf in it:
-            toks = [_viterbi(w, lp, floor) for w in pdf["word"]]
-            out = pdf[freq_cols].copy()
-            out["ntok"] = [len(t) for t in toks]
-            out["tchars"] = [sum(len(x) for x in t) for t in toks]
-            yield out
-
-    schema = ", ".join(f"{c} long" for c in freq_cols) + ", ntok long, tchars long"
-    enc = types.select("word", *freq_cols).mapInPandas(run, schema)
-    aggs = []
-    for s in SLICES:
-        aggs += [F.sum(F.col(f"{s}_freq") * F.col("ntok")).alias(f"tokens_{s}"),
-                 F.sum(F.col(f"{s}_freq") * F.col("tchars")).alias(f"token_chars_{s}")]
-    return enc.agg(*aggs)
+    shared = types.sparkSession.sparkContext.broadcast(list(pieces))
+
+    def make():
+        encode = unigram_encoder(shared.value)
+        return lambda words: zip(*[(len(t), sum(len(x) for x, _ in t)) for t in encode(words)])
+
+    return _slice_sums(_encoded(types, _FREQS, _SUMS, make))
 
 
 def unigram_encode(types: DataFrame, pieces: Sequence[tuple[str, float]]) -> DataFrame:
-    logp = dict(pieces)
-    floor = unk_penalty(logp)
-    ship_package(types.sparkSession)
-    vb = types.sparkSession.sparkContext.broadcast(logp)
+    """(word, tokens, ids) of every distinct word; ids follow the special tokens in the order of ``pieces``, unknown ones are 0."""
+    shared = types.sparkSession.sparkContext.broadcast(list(pieces))
+
+    def make():
+        encode = unigram_encoder(shared.value)
 
-    def run(it):
-        lp = vb.value
-        for pdf in it:
-            yield pd.DataFrame({"word": pdf["word"], "tokens": [_viterbi(w, lp, floor) for w in pdf["word"]]})
+        def lists(words):
+            found = encode(words)
+            return words, [[x for x, _ in t] for t in found], [[p + len(SPECIAL_TOKENS) if p >= 0 else 0 for _, p in t] for t in found]
+        return lists
 
-    return types.select("word").mapInPandas(run, "word string, tokens array<string>")
+    return _encoded(types, [], _LISTS, make)

@@ -129,17 +129,15 @@ def train_cells(method: str, types: DataFrame, utypes: DataFrame | None, sizes:
             if method == "bpe":
                 sums, encode = tr.snapshots[v], E.Merges([m[1:4] for m in tr.merges[:merges]], frozenset(tr.alphabet))
             else:
-                sums, encode = W.wordpiece_sums(types, vocab), E.WordPiece(frozenset(vocab))
+                sums, encode = W.wordpiece_sums(types, vocab), E.WordPiece(vocab)
             yield v, Cell(row(sums, v), encode, BPE.vocab_frame(spark, tr, rows), BPE.merges_frame(spark, tr, merges))
     else:
-        for v in sizes:
-            try:
-                pieces = W.train_unigram(utypes, v)
-            except Exception as e:  # noqa: BLE001 - this size's error, the next may do
-                yield v, e
+        for v, pieces in sorted(W.train_unigram_grid(utypes, sizes).items()):
+            if isinstance(pieces, Exception):
+                yield v, pieces  # this size's error, the others do
                 continue
             table = spark.createDataFrame([(i, p, float(s)) for i, (p, s) in enumerate(pieces, len(BPE.SPECIAL_TOKENS))], "id int, piece string, score double")
-            yield v, Cell(row(W.unigram_sums(utypes, pieces), v), E.Unigram(dict(pieces)), table)
+            yield v, Cell(row(W.unigram_sums(utypes, pieces), v), E.Unigram(pieces), table)
 
 
 def _words(method: str):

@@ -1,12 +1,15 @@
 """BPE batching equals one-at-a-time greedy BPE; encoders restore words; metrics edge cases."""
 
+import math
 import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from glossa.operators import bpe as B
 from glossa.operators import encoders as E
+from glossa.operators import lattice as LT
 from glossa.operators import subword as W
 
 
@@ -59,18 +62,122 @@ def test_batched_bpe_equals_greedy(spark):
         assert got == seqs
 
 
+def plain_wordpiece(word, vocab):
+    if len(word) > W.WP_MAX_WORD_CHARS:
+        return ["<unk>"]
+    out, start = [], 0
+    while start < len(word):
+        end = next((e for e in range(len(word), start, -1) if ("##" if start else "") + word[start:e] in vocab), None)
+        if end is None:
+            return ["<unk>"]
+        out.append(("##" if start else "") + word[start:end])
+        start = end
+    return out
+
+
+def plain_best(word, logp, unknown):
+    best, back = [0.0] + [-math.inf] * len(word), [0] * (len(word) + 1)
+    for i in range(len(word)):
+        for j in range(i + 1, len(word) + 1):
+            s = best[i] + logp.get(word[i:j], unknown if j == i + 1 else -math.inf)
+            if s > best[j]:
+                best[j], back[j] = s, i
+    cuts, j = [], len(word)
+    while j:
+        cuts.append((back[j], j))
+        j = back[j]
+    out, last = [], False
+    for i, j in reversed(cuts):
+        alone = word[i:j] not in logp
+        if alone and last:
+            out[-1] += word[i:j]
+        else:
+            out.append(word[i:j])
+        last = alone
+    return out
+
+
+def plain_expected(word, logp):
+    """By all segmentations of the word."""
+    def cuts(rest):
+        if not rest:
+            yield []
+        for k in range(1, len(rest) + 1):
+            if rest[:k] in logp:
+                yield from ([rest[:k], *more] for more in cuts(rest[k:]))
+    weighed = [(math.exp(sum(logp[p] for p in c)), c) for c in cuts(word)]
+    out = Counter()
+    for p, c in weighed:
+        for x in c:
+            out[x] += p / sum(w for w, _ in weighed)
+    return out
+
+
+def random_words(rnd, n, letters="abcé🙂", most=9):
+    return ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, most))) for _ in range(n)]
+
+
 def test_wordpiece_encoder():
-    vocab = {"un", "##aff", "##able", "a", "##b", "<unk>"}
-    assert W.wordpiece_tokens("unaffable", vocab) == ["un", "##aff", "##able"]
-    assert W.wordpiece_tokens("unx", vocab) == ["<unk>"]
+    vocab = ["<unk>", "un", "##aff", "##able", "a", "##b"]
+    assert W.wordpiece_encoder(vocab)(["unaffable", "unx", "", "ab"]) == ([["un", "##aff", "##able"], ["<unk>"], [], ["a", "##b"]], [[1, 2, 3], [0], [], [4, 5]])
+    rnd = random.Random(2)
+    for _ in range(50):
+        vocab = ["<unk>"] + sorted({rnd.choice(["", "##"]) + w for w in random_words(rnd, 25, "abcé", 4) if w})
+        words = random_words(rnd, 40) + ["a" * 100, "a" * 101, "##", "##a"]
+        tokens, ids = W.wordpiece_encoder(vocab)(words)
+        assert tokens == [plain_wordpiece(w, set(vocab)) for w in words]
+        assert [[vocab[i] for i in x] for x in ids] == tokens
+
+
+def test_lattices_equal_plain_sums_and_paths():
+    rnd = random.Random(4)
+    for _ in range(40):
+        pieces = sorted({w for w in random_words(rnd, 20, "abcé", 4) if w})
+        scores = np.array([-5 * rnd.random() for _ in pieces])
+        logp, words = dict(zip(pieces, scores)), random_words(rnd, 25)
+        weights = np.array([rnd.randint(0, 5) for _ in words], float)
+        trie = LT.Trie(pieces)
+        assert [[x for x, _ in t] for t in LT.segment(trie, scores, -20.0, words)] == [plain_best(w, logp, -20.0) for w in words]
+        want = Counter()
+        for w, f in zip(words, weights):
+            for p, e in plain_expected(w, logp).items():
+                want[p] += e * f
+        got = LT.expected(LT.lattice(trie, words), scores, weights)
+        assert np.allclose(got, [want[p] for p in pieces])
 
 
 def test_unigram_viterbi_restores_word():
-    lp = {"▁": -3.0, "a": -2.0, "b": -2.0, "ab": -1.0, "▁ab": -0.5}
-    toks = W._viterbi("▁abab", lp, -20.0)
-    assert "".join(toks) == "▁abab" and toks[0] == "▁ab"
-    toks = W._viterbi("▁xyab", lp, -20.0)
-    assert "".join(toks) == "▁xyab" and "xy" in toks  # unknown run fused, surface kept
+    lp = [("▁", -3.0), ("a", -2.0), ("b", -2.0), ("ab", -1.0), ("▁ab", -0.5)]
+    toks, other = W.unigram_encoder(lp)(["▁abab", "▁xyab"])
+    assert [x for x, _ in toks] == ["▁ab", "ab"] and [p for _, p in toks] == [4, 3]
+    assert [x for x, _ in other] == ["▁", "xy", "ab"]  # an unknown run is one token, its surface kept
+
+
+def test_unigram_grid_is_one_sweep(spark):
+    rnd = random.Random(6)
+    rows = [("▁" + w, rnd.randint(1, 30), 1, 0, 0) for w in sorted(set(random_words(rnd, 400, "abcdef", 8))) if w]
+    types = spark.createDataFrame(rows, "word string, train_freq long, test_all_freq long, test_en_freq long, test_target_freq long")
+    grid = W.train_unigram_grid(types, [60, 30, 8])
+    assert isinstance(grid[8], ValueError) and [len(grid[v]) for v in (60, 30)] == [55, 25]
+    small, large = ({p for p, _ in grid[v]} for v in (30, 60))
+    assert small < large and grid[60] == W.train_unigram(types, 60)
+    assert all(abs(sum(math.exp(s) for _, s in grid[v]) - 1) < 1e-9 for v in (30, 60))
+    enc = {r.word: r for r in W.unigram_encode(types, grid[60]).collect()}
+    for w, *_ in rows:
+        assert "".join(enc[w].tokens) == w and [grid[60][i - 5][0] for i in enc[w].ids] == enc[w].tokens
+
+
+def test_forecasts_never_change_the_merges(spark):
+    """The list of exact counts, the sample and the checkpoints may be of any size; also for WordPiece."""
+    rnd = random.Random(13)
+    words = Counter(w for w in random_words(rnd, 500, "abcdefg", 9) if w)
+    rows = [(w, f, f, 0, 0) for w, f in words.items()]
+    types = spark.createDataFrame(rows, "word string, train_freq long, test_all_freq long, test_en_freq long, test_target_freq long")
+    for method in ("bpe", "wordpiece"):
+        runs = [B.train_merges(types, [40, 90], method, top_n=n, sample_types=k, checkpoint_every=c) for n, k, c in ((16384, 1000, 12), (7, 60, 1), (50, 1, 3))]
+        assert len({tuple(r.merges) for r in runs}) == 1 and len({tuple(r.vocab) for r in runs}) == 1 and len({str(r.cuts) for r in runs}) == 1
+        assert runs[1].recounts > runs[0].recounts == 1
+    assert [(l, r) for _, l, r, _, _ in B.train_merges(types, [90]).merges] == greedy_bpe(words, 90)[0]
 
 
 def test_unigram_training_small(spark):
@@ -90,12 +197,12 @@ def test_batched_bpe_with_few_candidates(spark):
     words = Counter("".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 6))) for _ in range(200))
     rows = [(w, f, f, 0, 0) for w, f in words.items()]
     types = spark.createDataFrame(rows, "word string, train_freq long, test_all_freq long, test_en_freq long, test_target_freq long")
-    tr = B.train_merges(types, [20, 30], "bpe", top_n=4)
+    tr = B.train_merges(types, [20, 30], "bpe", top_n=4, sample_types=20)
     merges, vocab, seqs = greedy_bpe(words, 30)
     assert [(l, r) for _, l, r, _, _ in tr.merges] == merges and tr.vocab == vocab
     assert tr.cuts[20][0] == 20 and tr.cuts[30] == (len(vocab), len(merges))
     encode = E.Merges([m[1:4] for m in tr.merges], frozenset(tr.alphabet))
-    assert {w: encode(w) for w in words} == seqs and encode("aZb") == ["a", "<unk>", "b"]
+    assert dict(zip(words, encode(list(words)))) == seqs and encode(["aZb"]) == [["a", "<unk>", "b"]]
 
 
 def test_pretokens_match_the_public_pretokenizer(spark):
