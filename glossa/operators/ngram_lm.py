@@ -4,14 +4,19 @@ F1 block chunking and n-gram extraction are array expressions on each row (no wi
 paragraph): ``blocks = [ids[i:i+B] for i in range(0, n-1, B)]`` keeping blocks of >= 2
 tokens; the first token of a block is context only and contexts never cross blocks.
 The grams are aggregated once, to (split, label, first, context, w, n); training counts are
-sums of that table, evaluation joins its rows (distinct grams, not token occurrences, so a
-frequent word is one row) to the counts and averages ``-log p`` weighted by n. Probabilities use
-interpolated absolute discounting with an add-one unigram floor over the vocabulary, so
-every test token has a finite loss.
+aggregates of that table, evaluation joins its rows (distinct grams, not token occurrences, so a
+frequent word is one row) to the counts and averages ``-log p`` weighted by n.
+
+Probabilities are interpolated Kneser-Ney: the highest order counts grams, every lower one the distinct tokens met on the
+left of a gram (a block's begin is one), and the discount of an order is n1 / (n1 + 2 n2) from its counts of counts (0.75
+where either is zero). The lowest order falls back to one over the vocabulary and an unknown token, so every loss is finite.
+Any number of models, told apart by key columns, are trained and evaluated in the same jobs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,60 +55,81 @@ def ngrams(blk: DataFrame, order: int) -> DataFrame:
     return g.select(*keep, "g.*")
 
 
-def train_counts(train_grams: DataFrame, order: int) -> dict[str, DataFrame]:
-    """F2, from aggregated grams (column n): count tables per order: uni (w, c), and for k>=1 ctx_k (context, w, c) with context
-    totals ctxsum_k (context, c_ctx, t_ctx = distinct followers)."""
-    out = {"uni": train_grams.groupBy("w").agg(F.sum("n").alias("c"))}
-    for k in range(1, order):
-        ctx = [f"c{j}" for j in range(1, k + 1)]
-        g = train_grams.filter(F.col(f"c{k}").isNotNull()).groupBy(*ctx, "w").agg(F.sum("n").alias("c"))
-        out[f"ng{k}"] = g
-        out[f"ctx{k}"] = g.groupBy(*ctx).agg(F.sum("c").alias("c_ctx"), F.count(F.lit(1)).alias("t_ctx"))
+def _context(k: int) -> list[str]:
+    return [f"c{j}" for j in range(1, k)]
+
+
+def count_tables(train_grams: DataFrame, order: int, by: Sequence[str]) -> dict[int, tuple[DataFrame, DataFrame, DataFrame]]:
+    """F2, from aggregated grams (column n), by order k: (grams: context, w, n), (contexts: total, kinds of followers) and, a row
+    for each model, its discount, total and kinds."""
+    out = {}
+    grams = train_grams.groupBy(*by, *_context(order), "w").agg(F.sum("n").alias("n"))
+    for k in range(order, 0, -1):
+        if k < order:  # distinct left neighbours; no neighbour is one
+            grams = grams.groupBy(*by, *_context(k), "w").agg(F.count(F.lit(1)).alias("n"))
+        whole = grams.filter(F.col(f"c{k - 1}").isNotNull()) if k > 1 else grams
+        contexts = whole.groupBy(*by, *_context(k)).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+        n1, n2 = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
+        sizes = whole.groupBy(*by).agg(F.when((n1 > 0) & (n2 > 0), n1 / (n1 + 2 * n2)).otherwise(F.lit(DISCOUNT)).alias(f"d{k}"),
+                                       F.sum("n").alias(f"total{k}"), F.count(F.lit(1)).alias(f"kinds{k}"))
+        out[k] = whole, contexts, sizes
     return out
 
 
-def score(test_grams: DataFrame, counts: dict[str, DataFrame], order: int, vocab_n: int, total_n: int) -> DataFrame:
-    """-log p for every test gram (column ``nll``)."""
-    uni = counts["uni"].select("w", F.col("c").alias("c_uni"))
-    s = test_grams.join(uni, "w", "left")
-    p = (F.coalesce(F.col("c_uni"), F.lit(0)) + F.lit(1.0)) / F.lit(float(total_n + vocab_n))
-    s = s.withColumn("_p0", p)
-    prev = "_p0"
-    for k in range(1, order):
-        ctx = [f"c{j}" for j in range(1, k + 1)]
-        ng = counts[f"ng{k}"].select(*ctx, "w", F.col("c").alias(f"_n{k}"))
-        cx = counts[f"ctx{k}"].select(*ctx, F.col("c_ctx").alias(f"_cc{k}"), F.col("t_ctx").alias(f"_tc{k}"))
-        s = s.join(ng, ctx + ["w"], "left").join(cx, ctx, "left")
-        cc, tc, nn = F.col(f"_cc{k}"), F.col(f"_tc{k}"), F.coalesce(F.col(f"_n{k}"), F.lit(0))
-        pk = F.when(cc > 0, (F.greatest(nn - F.lit(DISCOUNT), F.lit(0.0)) + F.lit(DISCOUNT) * tc * F.col(prev)) / cc) \
-              .otherwise(F.col(prev))
-        s = s.withColumn(f"_p{k}", pk)
-        prev = f"_p{k}"
-    return s.withColumn("nll", -F.log(F.col(prev)))
-
-
-def evaluate(grams: DataFrame, order: int, slices: dict[str, Column]) -> DataFrame:
-    """Train on ``split='train'`` grams; loss / ppl / blocks per slice; one row.
-
-    ``grams`` needs split, label, first, w, c1..c{order-1}; a side without a block is an error (F6).
-    """
-    keys = ["split", "label", "first", "w", *[f"c{k}" for k in range(1, order)]]
-    counted = cut_lineage(grams.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
-    train = counted.filter(F.col("split") == "train")
-    sides = {r["split"]: r for r in counted.groupBy("split").agg(F.sum("n").alias("n"), F.countDistinct("w").alias("v")).collect()}
-    for side in ("train", "test"):
-        if side not in sides:
-            raise ValueError(f"language model: the {side} side has no block of two or more tokens")
-    scored = score(counted, train_counts(train, order), order, int(sides["train"]["v"]) + 1, int(sides["train"]["n"]))
+def score(grams: DataFrame, tables: dict[int, tuple[DataFrame, DataFrame, DataFrame]], order: int, by: Sequence[str]) -> DataFrame:
+    """-log p for every gram (column ``nll``)."""
+    s = grams
+    for k in range(1, order + 1):
+        s = s.join(F.broadcast(tables[k][2]), list(by), "left")  # a row for each model
+    s = s.withColumn("_p", 1 / (F.col("kinds1") + 1.0))
+    for k in range(1, order + 1):
+        whole, contexts, _ = tables[k]
+        s = s.join(whole.withColumnRenamed("n", "_n"), [*by, *_context(k), "w"], "left")
+        n, d = F.coalesce("_n", F.lit(0)), F.coalesce(f"d{k}", F.lit(DISCOUNT))
+        if k > 1:
+            s = s.join(contexts, [*by, *_context(k)], "left")
+            total, kinds = F.col("total"), F.col("kinds")
+        else:
+            total, kinds = F.col("total1"), F.col("kinds1")
+        p = F.when(total > 0, (F.greatest(n - d, F.lit(0.0)) + d * kinds * F.col("_p")) / total).otherwise(F.col("_p"))
+        s = s.withColumn("_p", p).drop("_n", "total", "kinds")
+    return s.withColumn("nll", -F.log("_p"))
+
+
+def count_grams(grams: DataFrame, order: int, by: Sequence[str] = ()) -> DataFrame:
+    """The grams that training and evaluation work on, counted and written once."""
+    return cut_lineage(grams.groupBy(*by, "split", "label", "first", "w", *_context(order)).agg(F.count(F.lit(1)).alias("n")))
+
+
+def missing_sides(counted: DataFrame, by: Sequence[str] = ()) -> list[tuple[dict, str]]:
+    """(key, side) of the models without a block on a side; a key with no grams at all isn't known here."""
+    have: dict[tuple, set] = {}
+    for r in counted.select(*by, "split").distinct().collect():  # two rows a model
+        have.setdefault(tuple(r[k] for k in by), set()).add(r["split"])
+    if not by and not have:
+        have[()] = set()
+    return [(dict(zip(by, key)), side) for key, sides in have.items() for side in ("train", "test") if side not in sides]
+
+
+def no_block(side: str) -> str:
+    return f"language model: the {side} side has no block of two or more tokens"
+
+
+def evaluate(counted: DataFrame, order: int, slices: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
+    """Train on ``split='train'`` grams; loss / ppl / blocks per slice; a row for each model of ``by``."""
+    keys = list(by) or ["_model"]
+    if not by:
+        counted = counted.withColumn("_model", F.lit(0))
+    scored = score(counted, count_tables(counted.filter(F.col("split") == "train"), order, keys), order, keys)
     aggs = []
     for name, cond in slices.items():
         # every block has exactly one first predicted position: counting those counts blocks
         aggs += [F.try_divide(F.sum(F.when(cond, F.col("n") * F.col("nll"))), F.sum(F.when(cond, F.col("n")))).alias(f"_loss_{name}"),
                  F.coalesce(F.sum(F.when(cond & F.col("first"), F.col("n"))), F.lit(0)).alias(f"_blocks_{name}")]
-    return scored.agg(*aggs)
+    return scored.groupBy(*keys).agg(*aggs)
 
 
-def lm_record(agg: DataFrame) -> DataFrame:
+def lm_record(agg: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """the 12 LM result fields (train_loss = F3 on the train side)."""
     def loss(n):
         return F.col(f"_loss_{n}")
@@ -112,7 +138,7 @@ def lm_record(agg: DataFrame) -> DataFrame:
         return F.exp(F.col(f"_loss_{n}"))
 
     return agg.select(
-        ppl("test").alias("ppl"), loss("test").alias("eval_loss"), loss("train").alias("train_loss"),
+        *by, ppl("test").alias("ppl"), loss("test").alias("eval_loss"), loss("train").alias("train_loss"),
         ppl("en").alias("ppl_en"), loss("en").alias("loss_en"), F.col("_blocks_en").cast("int").alias("test_en_blocks"),
         ppl("target").alias("ppl_target"), loss("target").alias("loss_target"),
         F.col("_blocks_target").cast("int").alias("test_target_blocks"),
@@ -148,7 +174,10 @@ def token_sequences(split_corpus: DataFrame, words: Column, encoder) -> DataFram
     return split_corpus.select(*keys, words.alias("words")).mapInArrow(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", ids array<string>")
 
 
-def lm_for_tokens(seqs: DataFrame, block_size: int, order: int, target_lang: str) -> DataFrame:
-    """F1-F5 on token sequences: one LM record row."""
-    g = ngrams(blocks(seqs, "ids", block_size), order)
-    return lm_record(evaluate(g, order, standard_slices(target_lang)))
+def lm_for_tokens(seqs: DataFrame, block_size: int, order: int, target_lang: str, by: Sequence[str] = ()) -> tuple[DataFrame, list[tuple[dict, str]]]:
+    """F1-F5 on token sequences: (an LM record for each model, what F6 finds). Without ``by``, a finding is an error."""
+    counted = count_grams(ngrams(blocks(seqs, "ids", block_size), order), order, by)
+    missing = missing_sides(counted, by)
+    if missing and not by:
+        raise ValueError(no_block(missing[0][1]))
+    return lm_record(evaluate(counted, order, standard_slices(target_lang), by), by), missing

@@ -192,27 +192,33 @@ def mixture_quotas(cells: DataFrame) -> DataFrame:
 
 
 def mixture_grid(samples: DataFrame, languages: Sequence[str], ratios: dict[str, tuple[float, float]],
-                 sample_size: int = 1000, seed: int = 42, base_lang: str = "en",
-                 output_dir: str = "data/mixtures") -> tuple[DataFrame, DataFrame]:
-    """Every language x ratio cell drawn in one job.
+                 sample_size: int | None = 1000, seed: int = 42, base_lang: str = "en",
+                 output_dir: str = "data/mixtures", cells_of: Sequence[tuple[str, str]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Every language x ratio cell drawn in one job, or those of ``cells_of``.
 
-    ``samples`` (lang, doc_id, pos, text, rank): per-language samples, already cleaned and
-    capped at ``sample_size`` (A5). Returns (mixtures, manifest). A cell whose side is short
+    ``samples`` (lang, doc_id, pos, text): per-language samples, already cleaned and
+    capped at ``sample_size`` (A5). Without a ``sample_size`` a cell is as large as the texts of its
+    two languages allow. Returns (mixtures, manifest). A cell whose side is short
     is a ``failed`` manifest row and draws nothing; other cells are unaffected.
     """
     spark = samples.sparkSession
-    samples = cut_lineage(samples)  # bounded by sample_size per language; read by both sides
+    samples = cut_lineage(samples)  # read by both sides and counted
     counts = samples.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     # the grid itself is job parameters: languages x ratios, built on the driver
     grid = spark.createDataFrame(
-        [(l, base_lang, r, float(e), float(t)) for l in languages for r, (e, t) in ratios.items()],
+        [(l, base_lang, r, float(e), float(t)) for l in languages for r, (e, t) in ratios.items() if cells_of is None or (l, r) in cells_of],
         "target_lang string, base_lang string, ratio string, english_percent double, target_percent double")
     from glossa.functions.text import language_group
     n_target = counts.select(F.col("lang").alias("target_lang"), F.col("n").alias("n_target"))
     n_en = counts.select(F.col("lang").alias("base_lang"), F.col("n").alias("n_en"))
     cells = (grid.join(n_target, "target_lang", "left").join(n_en, "base_lang", "left")
                  .fillna(0, ["n_target", "n_en"]))
-    cells = cells.withColumn("total", F.least(F.lit(sample_size).cast("long"), F.col("n_en"), F.col("n_target") * 100))
+    if sample_size is None:
+        most = F.least(F.col("n_en") * F.lit(100.0) / F.col("english_percent"), F.col("n_target") * F.lit(100.0) / F.col("target_percent"))
+        cells = mixture_quotas(cells.withColumn("total", F.floor(most).cast("long")))  # rounding may ask for one English text too many
+        cells = cells.withColumn("total", F.col("total") - F.greatest(F.col("english_count") - F.col("n_en"), F.lit(0)))
+    else:
+        cells = cells.withColumn("total", F.least(F.lit(sample_size).cast("long"), F.col("n_en"), F.col("n_target") * 100))
     cells = mixture_quotas(cells).withColumn("group", language_group("target_lang"))
     err = (F.when(F.col("n_target") < 2, F.lit("RuntimeError('too few fragments after cleaning')"))
             .when(F.col("total") <= 0, F.lit("ValueError('total_size must be positive')"))

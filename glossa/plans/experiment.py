@@ -10,9 +10,11 @@ cell becomes an error row and stops no other, as in the reference's per-cell try
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from glossa.functions import text as T
 from glossa.operators import bpe as BPE
@@ -43,7 +45,7 @@ class ExperimentParams:
     min_texts: int = 10
     run_language_model: bool = False
     block_size: int = 128
-    lm_order: int = 2
+    lm_order: int = 3
 
     def problems(self) -> list[str]:
         """What is wrong with the parameters; empty when a run may start."""
@@ -92,6 +94,7 @@ def prepare(paragraphs: DataFrame, p: ExperimentParams, detected: str = "lang")
     return cut_lineage(s)
 
 
+LM_FIELDS = M.LM_COLUMNS
 SUM_COLUMNS = ["method", "vocab_size"] + [f"{k}_test_{s}" for s in ("all", "en", "target") for k in ("tokens", "token_chars")]
 
 
@@ -147,11 +150,39 @@ def _words(method: str):
     return F.transform(F.regexp_extract_all(F.col("text"), F.lit(f"[^{T.WS_CHARS}]+"), 0), lambda w: F.concat(F.lit(W.META), w))
 
 
-def lm_record(split: DataFrame, method: str, cell: Cell, p: ExperimentParams) -> DataFrame:
-    """F on a cell's own tokens: one row."""
-    seqs = LM.token_sequences(split, _words(method), cell.encode)
-    rec = LM.lm_for_tokens(seqs, p.block_size, p.lm_order, p.language)
-    return split.sparkSession.createDataFrame(rec.collect(), rec.schema)
+def cell_tokens(split: DataFrame, method: str, cell: Cell) -> DataFrame:
+    """The LM's input: a cell's own tokens of every text."""
+    return LM.token_sequences(split, _words(method), cell.encode)
+
+
+def _records(frames: dict[str, DataFrame], job) -> tuple[dict[str, object], dict[str, str]]:
+    """A result for each cell from one job over all of them, ``job(frames)``; where that fails, cell by cell, so that a failing cell
+    stops no other."""
+    try:
+        return job(frames), {}
+    except Exception as e:  # noqa: BLE001
+        if len(frames) == 1:
+            return {}, {next(iter(frames)): repr(e)}
+    found, failed = {}, {}
+    for cell, frame in frames.items():
+        ok, bad = _records({cell: frame}, job)
+        found.update(ok)
+        failed.update(bad)
+    return found, failed
+
+
+def _union(frames: dict[str, DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [f.select(F.lit(cell).alias("cell"), "*") for cell, f in frames.items()])
+
+
+def lm_records(frames: dict[str, DataFrame], p: ExperimentParams) -> dict[str, object]:
+    """F on each cell's tokens: one model a cell, all in the same jobs. A cell without a block on a side raises where it is alone."""
+    rec, missing = LM.lm_for_tokens(_union(frames), p.block_size, p.lm_order, p.language, ["cell"])
+    found = {r["cell"]: r for r in rec.collect()}  # a row a cell
+    lacking = {key["cell"]: side for key, side in missing} | {c: "train" for c in frames if c not in found}
+    if lacking:
+        raise ValueError(LM.no_block(next(iter(lacking.values()))))
+    return found
 
 
 def run_experiment(spark: SparkSession, paragraphs: DataFrame, p: ExperimentParams, tokenizers_dir: str | None = None,
@@ -167,31 +198,47 @@ def run_experiment(spark: SparkSession, paragraphs: DataFrame, p: ExperimentPara
     types = cut_lineage(BPE.type_table(split, p.language))
     utypes = cut_lineage(W.unigram_type_table(split, p.language)) if "unigram" in p.tokenizer_methods else None
     text_stats = cut_lineage(M.text_stats(split, p.language))
-    rows, errors = [], []
+    sums, tokens, errors = {}, {}, {}
+    cells = [f"{m}/vocab_{v}" for m in p.tokenizer_methods for v in sorted({int(v) for v in p.vocab_sizes})]
     for method in p.tokenizer_methods:
         left = sorted({int(v) for v in p.vocab_sizes})
         try:
             for v, cell in train_cells(method, types, utypes, left[:]):
                 left.remove(v)
+                name = f"{method}/vocab_{v}"
                 try:
                     if isinstance(cell, Exception):
                         raise cell
                     if tokenizers_dir:
                         save_tokenizer(cell.vocab, cell.merges, tokenizers_dir, run_id, method, v)
-                    row = M.result_rows(text_stats, cell.sums)
                     if p.run_language_model:
-                        one = F.lit(1).alias("_one")
-                        row = row.select("*", one).join(lm_record(split, method, cell, p).select("*", one), "_one").drop("_one")
-                    rows.append((row.first(), row.schema))
+                        tokens[name] = cell_tokens(split, method, cell)
+                    sums[name] = cell.sums
                 except Exception as e:  # noqa: BLE001 - a failing cell is recorded, the grid goes on
-                    errors.append((f"{method}/vocab_{v}", repr(e)))
+                    errors[name] = repr(e)
         except Exception as e:  # noqa: BLE001 - the sweep of this method failed: its remaining cells did
-            errors += [(f"{method}/vocab_{v}", repr(e)) for v in left]
+            errors |= {f"{method}/vocab_{v}": repr(e) for v in left}
+    schema = M.result_rows(text_stats, types.sparkSession.createDataFrame([], ", ".join(
+        f"{c} {'string' if c == 'method' else 'int' if c == 'vocab_size' else 'long'}" for c in SUM_COLUMNS))).schema
+
+    def metric_rows(frames):
+        made = M.result_rows(text_stats, reduce(DataFrame.unionByName, frames.values()))
+        return {f"{r['method']}/vocab_{r['vocab_size']}": r for r in made.collect()}  # a row a cell
+
+    found, failed = _records(sums, metric_rows) if sums else ({}, {})
+    errors |= failed
+    if p.run_language_model and found:
+        models, failed = _records({c: t for c, t in tokens.items() if c in found}, lambda frames: lm_records(frames, p))
+        errors |= failed
+        schema = StructType([*schema.fields, *[StructField(c, IntegerType() if c.endswith("_blocks") else DoubleType()) for c in LM_FIELDS]])
+        found = {c: (*found[c], *[models[c][f] for f in LM_FIELDS]) for c in found if c in models}
+    rows = [found[c] for c in cells if c in found]
+    errors = [(c, errors[c]) for c in cells if c in errors]
     err_df = spark.createDataFrame(errors, "stage string, error string")
     status = "completed" if rows and not errors else ("partially_completed" if rows else "failed")
     if not rows:
         empty = spark.createDataFrame([], "method string, vocab_size int")
         return ExperimentResult(empty, err_df, stats, empty, status)
-    table = spark.createDataFrame([r for r, _ in rows], rows[0][1])  # one row per cell of the grid
+    table = spark.createDataFrame(rows, schema)  # one row per cell of the grid
     table = G.result_table(table, p.run_language_model)
     return ExperimentResult(table, err_df, stats, G.best_rows(table), status)

@@ -204,17 +204,24 @@ SELECT language, 'data/source_corpora' AS output_dir, 'train' AS split, 50 AS ma
 FROM m"""
 
 
-def _mixture_ctes(sample_size: int = 300, langs=("de", "fr", "es", "ru"), seed: int = R.SEED) -> str:
+def _mixture_ctes(sample_size: int | None = 300, langs=("de", "fr", "es", "ru"), seed: int = R.SEED, cells_of=None) -> str:
     ratios = {**T.RATIOS_UNDERREPRESENTED, **T.RATIOS_TOKENIZER_TRAINING}
-    grid = ", ".join(f"({Q.q(l)}, 'en', {Q.q(r)}, {e}::DOUBLE, {t}::DOUBLE)" for l in langs for r, (e, t) in ratios.items())
+    grid = ", ".join(f"({Q.q(l)}, 'en', {Q.q(r)}, {e}::DOUBLE, {t}::DOUBLE)" for l in langs for r, (e, t) in ratios.items()
+                     if cells_of is None or (l, r) in cells_of)
+    if sample_size is None:
+        sample = "smp AS (SELECT * FROM clean)"
+        most = "CAST(floor(least(n_en * 100.0::DOUBLE / english_percent, n_target * 100.0::DOUBLE / target_percent)) AS BIGINT)"
+        total = f"m - greatest(m - CAST(floor(m::DOUBLE * target_percent / 100.0::DOUBLE) AS BIGINT) - n_en, 0) AS total FROM (SELECT *, {most} AS m FROM cells0)"
+    else:
+        sample, total = first_k_cte("clean", "smp", sample_size), f"least({sample_size}, n_en, n_target * 100) AS total FROM cells0"
     h = Q.md5_key(seed, "target_lang", "ratio", "side", "lang", "doc_id", "pos")
-    return f"""{CLEAN}, {first_k_cte('clean', 'smp', sample_size)},
+    return f"""{CLEAN}, {sample},
 counts AS (SELECT lang, count(*) AS n FROM smp GROUP BY lang),
 grid(target_lang, base_lang, ratio, english_percent, target_percent) AS (VALUES {grid}),
 cells0 AS (
   SELECT g.*, coalesce(t.n, 0) AS n_target, coalesce(e.n, 0) AS n_en
   FROM grid g LEFT JOIN counts t ON t.lang = g.target_lang LEFT JOIN counts e ON e.lang = g.base_lang),
-cells1 AS (SELECT *, least({sample_size}, n_en, n_target * 100) AS total FROM cells0),
+cells1 AS (SELECT *, {total}),
 cells2 AS (SELECT *, CAST(floor(total::DOUBLE * target_percent / 100.0::DOUBLE) AS BIGINT) AS target_count FROM cells1),
 cells AS (
   SELECT *, total - target_count AS english_count, {Q.language_group('target_lang')} AS "group",
@@ -398,18 +405,29 @@ ORACLE["lm_blocks"] = f"""WITH {BLOCKS}
 SELECT doc_id, pos, split, block_no, len(block) AS n_ids, array_to_string(block, ' ') AS block_text FROM blk"""
 
 def lm_ctes(src: str, target: str, name: str, p: str = "") -> str:
-    """The LM of order 2 over blocks (doc_id, pos, split, label, block_no, block) of ``src``; one row ``name``."""
-    return f"""grams{p} AS (SELECT doc_id, pos, split, label, block_no, block[i] AS w, block[i - 1] AS c1
+    """The Kneser-Ney LM of order 3 over blocks (doc_id, pos, split, label, block_no, block) of ``src``; one row ``name``."""
+    def discount(table: str) -> str:
+        return f"(SELECT CASE WHEN a > 0 AND b > 0 THEN a / (a + 2 * b) ELSE 0.75::DOUBLE END AS d FROM (SELECT count(*) FILTER (n = 1)::DOUBLE AS a, count(*) FILTER (n = 2)::DOUBLE AS b FROM {table}))"
+
+    def step(n: str, d: str, total: str, kinds: str, lower: str) -> str:
+        return f"CASE WHEN {total} > 0 THEN (greatest(coalesce({n}, 0) - {d}, 0.0::DOUBLE) + {d} * {kinds} * {lower}) / {total} ELSE {lower} END"
+
+    return f"""grams{p} AS (SELECT doc_id, pos, split, label, block_no, block[i] AS w, block[i - 1] AS c1, CASE WHEN i > 2 THEN block[i - 2] END AS c2
           FROM {src}, unnest(range(2, len(block) + 1)) AS u(i)),
-tr{p} AS (SELECT * FROM grams{p} WHERE split = 'train'),
-uni{p} AS (SELECT w, count(*) AS c_uni FROM tr{p} GROUP BY w),
-ng{p} AS (SELECT c1, w, count(*) AS n1 FROM tr{p} GROUP BY c1, w),
-cx{p} AS (SELECT c1, sum(n1) AS cc, count(*) AS tc FROM ng{p} GROUP BY c1),
-tot{p} AS (SELECT count(*) AS n, count(DISTINCT w) + 1 AS v FROM tr{p}),
-nl{p} AS (
-  SELECT *, -ln(CASE WHEN cc > 0 THEN (greatest(coalesce(n1, 0) - 0.75, 0.0) + 0.75 * tc * p0) / cc ELSE p0 END) AS nll
-  FROM (SELECT g.*, (coalesce(u.c_uni, 0) + 1.0) / (t.n + t.v) AS p0, ng{p}.n1, cx{p}.cc, cx{p}.tc
-        FROM grams{p} g LEFT JOIN uni{p} u USING (w) LEFT JOIN ng{p} USING (c1, w) LEFT JOIN cx{p} USING (c1), tot{p} t)),
+all3{p} AS (SELECT c2, c1, w, count(*) AS n FROM grams{p} WHERE split = 'train' GROUP BY ALL),
+n3{p} AS (SELECT * FROM all3{p} WHERE c2 IS NOT NULL),
+n2{p} AS (SELECT c1, w, count(*) AS n FROM all3{p} GROUP BY ALL),
+n1{p} AS (SELECT w, count(*) AS n FROM n2{p} GROUP BY ALL),
+x3{p} AS (SELECT c2, c1, sum(n) AS t3, count(*) AS k3 FROM n3{p} GROUP BY ALL),
+x2{p} AS (SELECT c1, sum(n) AS t2, count(*) AS k2 FROM n2{p} GROUP BY ALL),
+x1{p} AS (SELECT sum(n) AS t1, count(*) AS k1 FROM n1{p}),
+dd{p} AS (SELECT a.d AS d1, b.d AS d2, c.d AS d3 FROM {discount(f'n1{p}')} a, {discount(f'n2{p}')} b, {discount(f'n3{p}')} c),
+nl{p} AS (SELECT *, -ln({step('m3', 'd3', 't3', 'k3', 'p2')}) AS nll FROM (
+  SELECT *, {step('m2', 'd2', 't2', 'k2', 'p1')} AS p2 FROM (
+    SELECT *, {step('m1', 'd1', 't1', 'k1', '(1 / (k1 + 1.0::DOUBLE))')} AS p1 FROM (
+      SELECT g.*, n1{p}.n AS m1, n2{p}.n AS m2, n3{p}.n AS m3, t1, k1, t2, k2, t3, k3, d1, d2, d3
+      FROM grams{p} g LEFT JOIN n1{p} USING (w) LEFT JOIN n2{p} USING (c1, w) LEFT JOIN n3{p} USING (c2, c1, w)
+        LEFT JOIN x2{p} USING (c1) LEFT JOIN x3{p} USING (c2, c1), x1{p}, dd{p})))),
 {name} AS (SELECT round(exp(l_test), 6) AS ppl, round(l_test, 6) AS eval_loss, round(l_train, 6) AS train_loss,
        round(exp(l_en), 6) AS ppl_en, round(l_en, 6) AS loss_en, CAST(b_en AS INTEGER) AS test_en_blocks,
        round(exp(l_target), 6) AS ppl_target, round(l_target, 6) AS loss_target,
@@ -453,9 +471,10 @@ def run_results_ctes(run, p: str) -> str:
             units = Q.pretokens("text")
             if m == "char":
                 units = f"flatten(list_transform({units}, lambda x: regexp_extract_all(x, '(?s).', 0)))"
-            parts += [f"voc{c} AS (SELECT coalesce(list(unit), []) AS voc FROM rank_{m}{p} WHERE rk <= {v - 5})",
-                      f"""tk{c} AS (SELECT doc_id, pos, split, label,
-              list_transform({units}, lambda x: CASE WHEN list_contains(voc, x) THEN x ELSE '<unk>' END) AS ids FROM ss{p}, voc{c})""",
+            parts += [
+                      f"""tk{c} AS (SELECT doc_id, pos, split, label, list(coalesce(r.unit, '<unk>') ORDER BY i) AS ids FROM (
+              SELECT doc_id, pos, split, label, unnest(us) AS u, unnest(range(len(us))) AS i FROM (SELECT *, {units} AS us FROM ss{p}))
+              LEFT JOIN (SELECT unit FROM rank_{m}{p} WHERE rk <= {v - 5}) r ON r.unit = u GROUP BY ALL)""",
                       f"""bk{c} AS (SELECT doc_id, pos, split, label, CAST(s // {_B} AS INTEGER) AS block_no, ids[s + 1 : s + {_B}] AS block
   FROM tk{c}, unnest(range(0, len(ids) - 1, {_B})) AS u(s) WHERE len(ids) >= 2 AND len(ids[s + 1 : s + {_B}]) >= 2)""",
                       lm_ctes(f"bk{c}", t, f"lm{c}", c)]
@@ -472,7 +491,7 @@ _RUN_ROWS += [f"SELECT {Q.q(r.corpus_path)}, '', 'validation_failed', {Q.q(R.NO_
 _RUN_ROWS.append(f"""SELECT {Q.q(_FEW.corpus_path)}, '', 'failed',
   'RuntimeError(''not enough text fragments after cleaning: ' || (SELECT count(*) FROM few_clean) || '; minimum {_FEW.min_texts}'')'""")
 # a failing cell: fewer vocabulary rows than the marker and the characters of the normalised train words
-BATCH_CTES = (f"{_mixture_ctes()},\n" + ",\n".join(run_results_ctes(r, p) for r, p in _DONE) + ",\n"
+BATCH_CTES = (f"{_mixture_ctes(None, cells_of=[(r.target, r.ratio) for r in R.BATCH])},\n" + ",\n".join(run_results_ctes(r, p) for r, p in _DONE) + ",\n"
               + "res AS (" + " UNION ALL ".join(f"SELECT * FROM results{p}" for _, p in _DONE) + "),\n"
               + f"""few AS (SELECT s.doc_id, s.lang, s.pos, s.text FROM drawn d JOIN smp s USING (lang, doc_id, pos)
           WHERE d.target_lang = {Q.q(_FEW.target)} AND d.ratio = {Q.q(_FEW.ratio)}),

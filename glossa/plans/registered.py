@@ -348,8 +348,8 @@ def q_compression_by_language(spark, d):
 # ------------------------------------------------------------ F: n-gram LM
 from glossa.operators import ngram_lm as LM  # noqa: E402
 
-LM_BLOCK = 32
-LM_ORDER = 2
+LM_BLOCK = 128
+LM_ORDER = 3
 
 
 def word_blocks(spark, d) -> DataFrame:
@@ -367,8 +367,8 @@ def q_lm_blocks(spark, d):
 
 @register("ngram_lm_eval")
 def q_ngram_lm_eval(spark, d):
-    g = LM.ngrams(word_blocks(spark, d), LM_ORDER)
-    return rounded(LM.lm_record(LM.evaluate(g, LM_ORDER, LM.standard_slices(TARGET))))
+    counted = LM.count_grams(LM.ngrams(word_blocks(spark, d), LM_ORDER), LM_ORDER)
+    return rounded(LM.lm_record(LM.evaluate(counted, LM_ORDER, LM.standard_slices(TARGET))))
 
 
 # ------------------------------------------------------------ G: roll-ups
@@ -402,49 +402,60 @@ BATCH = [BatchRun("de", "90_10"), BatchRun("fr", "75_25"), BatchRun("es", "50_50
 NO_CORPUS = "corpus file not found"
 
 
-_BATCHES: dict[tuple[str, str], tuple] = {}
+_BATCHES: dict[tuple, tuple] = {}
+#: Runs of a batch that are under way at the same time.
+RUNS_AT_ONCE = 4
 
 
 def batch_tables(spark, d):
-    """(runs, results, errors, split statistics) of the batch, which a session runs once for each input: its tables
-    (a row a run or a cell) serve all the reports on it."""
-    at = (spark.sparkContext.applicationId, d)
+    """(runs, results, errors, split statistics) of the batch, which a session runs once for each state of its input: its tables
+    (a row a run or a cell) serve all the reports on it. Files that are added, replaced or removed give a new batch."""
+    from glossa.sources import io as IO
+    at = (spark.sparkContext.applicationId, d, IO.input_state(spark, f"{d}/documents.parquet"))
     if at not in _BATCHES:
         _BATCHES[at] = _run_batch(spark, d)
     return _BATCHES[at]
 
 
 def _run_batch(spark, d):
-    """One experiment a mixture, with the LM."""
+    """One experiment a mixture, with the LM, on all texts that the mixture's ratio allows; the runs share the cluster."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+
     from glossa.plans.experiment import ExperimentParams, run_experiment
-    mix, manifest = _mixtures(spark, d)
-    created = {(r["target_lang"], r["ratio"]) for r in manifest.filter("status = 'created'").collect()}  # the grid's cells
     from glossa.session import cut_lineage
-    mix = cut_lineage(mix.coalesce(spark.sparkContext.defaultParallelism))
-    runs, res, err, stats = [], None, None, None
-    for run in BATCH:
+    ratios = {**T.RATIOS_UNDERREPRESENTED, **T.RATIOS_TOKENIZER_TRAINING}
+    mix, manifest = S.mixture_grid(cleaned(spark, d), sorted({r.target for r in BATCH}), ratios, sample_size=None, seed=SEED,
+                                   cells_of=[(r.target, r.ratio) for r in BATCH])
+    created = {(r["target_lang"], r["ratio"]) for r in manifest.filter("status = 'created'").collect()}  # the grid's cells
+    mix = cut_lineage(mix)
+
+    def one(run):
         p = ExperimentParams(run.target, list(run.methods), list(run.sizes), TEST_FRACTION, SEED, min_texts=run.min_texts,
                              run_language_model=True, block_size=LM_BLOCK, lm_order=LM_ORDER)
         problems = p.problems() + ([] if (run.target, run.ratio) in created else [NO_CORPUS])
         if problems:
-            runs.append((run.corpus_path, "", "validation_failed", "; ".join(problems)))
-            continue
+            return (run.corpus_path, "", "validation_failed", "; ".join(problems)), None
         texts = mix.filter((F.col("target_lang") == run.target) & (F.col("ratio") == run.ratio)).select("doc_id", "lang", "pos", "text")
         try:
             out = run_experiment(spark, texts, p)
         except Exception as e:  # noqa: BLE001 - a run that fails is a row of the summary
-            runs.append((run.corpus_path, "", "failed", repr(e)))
-            continue
-        runs.append((run.corpus_path, run.run_path, None, ""))
+            return (run.corpus_path, "", "failed", repr(e)), None
         at = F.lit(run.run_path).alias("run_path")
-        raw = texts.agg(F.count(F.lit(1)).alias("raw_texts"))
-        one = F.lit(1).alias("_one")
-        st = out.split_stats.select("*", one).join(raw.select("*", one), "_one").drop("_one").select("*", at, F.lit(p.split_strategy).alias("split_strategy"))
-        res = _plus(res, out.results.select("*", at))
-        err = _plus(err, out.errors.select("*", at))
-        stats = _plus(stats, st)
-    runs_df = spark.createDataFrame(runs, "corpus_path string, run_path string, failure string, error string")
-    return runs_df, rounded(res), err, cut_lineage(stats)
+        one_row = F.lit(1).alias("_one")
+        raw = texts.agg(F.count(F.lit(1)).alias("raw_texts")).select("*", one_row)
+        stats = out.split_stats.select("*", one_row).join(raw, "_one").drop("_one").select("*", at, F.lit(p.split_strategy).alias("split_strategy"))
+        return (run.corpus_path, run.run_path, None, ""), (out.results.select("*", at), out.errors.select("*", at), cut_lineage(stats))
+
+    with ThreadPoolExecutor(RUNS_AT_ONCE) as pool:
+        ended = list(pool.map(inheritable_thread_target(spark)(one), BATCH))
+    res, err, stats = None, None, None
+    for _, tables in ended:
+        if tables:
+            res, err, stats = (_plus(a, b) for a, b in zip((res, err, stats), tables))
+    runs_df = spark.createDataFrame([r for r, _ in ended], "corpus_path string, run_path string, failure string, error string")
+    return runs_df, rounded(res), err, stats
 
 
 def _plus(a, b):
@@ -645,7 +656,8 @@ def q_run_ledger(spark, d):
 # ------------------------------------------------------------ D3/D4/D6: WordPiece, Unigram
 from glossa.operators import subword as W  # noqa: E402
 
-SUBWORD_SIZE = 300
+SUBWORD_SIZE = 300  # of the queries that SQL repeats step by step
+SUBWORD_SIZES = [1000, 2000]  # the default grid
 
 
 @register("wordpiece_vocab")
@@ -657,37 +669,58 @@ def q_wordpiece_vocab(spark, d):
 @register("wordpiece_encode")
 def q_wordpiece_encode(spark, d):
     _, types, tr = _bpe(spark, d, "wordpiece", [SUBWORD_SIZE])
-    enc = W.wordpiece_encode(types.filter(F.col("test_all_freq") > 0), tr.vocab)
-    return enc.select("word", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+    return _readable(W.wordpiece_encode(types.filter(F.col("test_all_freq") > 0), tr.vocab))
+
+
+def _readable(enc: DataFrame) -> DataFrame:
+    return enc.select("word", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"),
+                      F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+
+
+@register("merge_vocab_grid")
+def q_merge_vocab_grid(spark, d):
+    """Merges of BPE and WordPiece at the default sizes, each method in one sweep, with the rank at which a size is reached."""
+    from glossa.session import cut_lineage
+    types = cut_lineage(BPE.type_table(split_corpus(spark, d), TARGET))
+    out = None
+    for method in ("bpe", "wordpiece"):
+        tr = BPE.train_merges(types, SUBWORD_SIZES, method)
+        reached = [v for v in SUBWORD_SIZES]
+        size = F.expr("CASE " + " ".join(f"WHEN rank <= {tr.cuts[v][1]} THEN {v}" for v in reached) + " END")
+        out = _plus(out, BPE.merges_frame(spark, tr).select(F.lit(method).alias("method"), size.cast("int").alias("vocab_size"), "rank", "left", "right", "merged", "count"))
+    return out
 
 
 def _unigram(spark, d):
     from glossa.session import cut_lineage
     utypes = cut_lineage(W.unigram_type_table(split_corpus(spark, d), TARGET))
-    return utypes, W.train_unigram(utypes, SUBWORD_SIZE)
+    return utypes, W.train_unigram_grid(utypes, SUBWORD_SIZES)
 
 
 @register("unigram_vocab")
 def q_unigram_vocab(spark, d):
-    _, pieces = _unigram(spark, d)
-    rows = [(i, p, float(lp)) for i, (p, lp) in enumerate(pieces, start=len(BPE.SPECIAL_TOKENS))]
-    specials = [(i, t, 0.0) for i, t in enumerate(BPE.SPECIAL_TOKENS)]
-    return spark.createDataFrame(specials + rows, "id int, piece string, score double")
+    """The vocabulary at each default size."""
+    _, grid = _unigram(spark, d)
+    rows = []
+    for v, pieces in grid.items():
+        if not isinstance(pieces, Exception):
+            rows += [(v, i, t, 0.0) for i, t in enumerate(BPE.SPECIAL_TOKENS)]
+            rows += [(v, i, p, float(lp)) for i, (p, lp) in enumerate(pieces, start=len(BPE.SPECIAL_TOKENS))]
+    return spark.createDataFrame(rows, "vocab_size int, id int, piece string, score double")
 
 
 @register("unigram_encode")
 def q_unigram_encode(spark, d):
-    utypes, pieces = _unigram(spark, d)
-    enc = W.unigram_encode(utypes.filter(F.col("test_all_freq") > 0), pieces)
-    return enc.select("word", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+    utypes, grid = _unigram(spark, d)
+    return _readable(W.unigram_encode(utypes.filter(F.col("test_all_freq") > 0), grid[SUBWORD_SIZES[-1]]))
 
 
 @register("experiment_methods")
 def q_experiment_methods(spark, d):
-    """Entry 1 end to end: every method at one vocabulary size, with the LM on each method's tokens."""
+    """Entry 1 end to end: every method at the default vocabulary sizes, with the LM on each method's tokens."""
     from glossa.plans.experiment import ExperimentParams, run_experiment
     p = ExperimentParams(language=TARGET, tokenizer_methods=["bpe", "wordpiece", "unigram", "word", "char"],
-                         vocab_sizes=[150], run_language_model=True, block_size=LM_BLOCK)
+                         vocab_sizes=SUBWORD_SIZES, run_language_model=True, block_size=LM_BLOCK)
     return run_experiment(spark, paragraphs(spark, d), p).results
 
 

@@ -113,6 +113,13 @@ def file_listing(spark: SparkSession, folder: str, glob: str = "*.txt") -> DataF
     return files.select("path", F.col("length").alias("n_bytes"), F.round(F.col("length") / 1024.0, 2).alias("size_kb"))
 
 
+def input_state(spark: SparkSession, path: str) -> tuple[int, int]:
+    """(number of files, hash of their names, lengths and times) below a path: changes when a file is added, replaced or removed."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    each = F.xxhash64("path", "length", F.col("modificationTime").cast("double")) % (1 << 40)  # sums stay in range
+    return tuple(files.select(each.alias("h")).agg(F.count(F.lit(1)), F.coalesce(F.sum("h"), F.lit(0))).first())
+
+
 def trainer_lines(df: DataFrame) -> DataFrame:
     """One training line per fragment, newlines as spaces."""
     return df.select(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")).alias("line"))
