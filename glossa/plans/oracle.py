@@ -384,6 +384,42 @@ SELECT CAST(row_number() OVER (ORDER BY part, k) - 1 AS INTEGER) AS id, piece FR
 ORACLE["bpe_encode"] = f"""WITH RECURSIVE {BPE}
 SELECT word, len(string_split(trim(seg), '  ')) AS n_tokens, array_to_string(string_split(trim(seg), '  '), ' ') AS tokens
 FROM rec JOIN last USING (step) WHERE test_all_freq > 0"""
+# WordPiece by the same recursion: symbols after a word's first one carry the mark, which a merge drops on its right.
+_MARK = Q.q("##")
+WORDPIECE = f"""{TYPES},
+init AS (SELECT word, train_freq, ' ' || array_to_string(list_transform(regexp_extract_all(word, '(?s).', 0),
+           lambda c, i: CASE WHEN i > 1 THEN {_MARK} || c ELSE c END), '  ') || ' ' AS seg FROM types WHERE train_freq > 0),
+symbols AS (SELECT DISTINCT unnest(string_split(trim(seg), '  ')) AS s FROM init),
+rec AS (
+  SELECT 0 AS step, '' AS m, * FROM init
+  UNION ALL
+  SELECT s.step + 1, b.m, s.word, s.train_freq, replace(s.seg, ' ' || b.l || '  ' || b.r || ' ', ' ' || b.m || ' ')
+  FROM rec s, (SELECT l, r, l || CASE WHEN starts_with(r, {_MARK}) THEN substr(r, 3) ELSE r END AS m, sum(train_freq) AS n FROM (
+      SELECT train_freq, y[i] AS l, y[i + 1] AS r
+      FROM (SELECT train_freq, string_split(trim(seg), '  ') AS y FROM rec), unnest(range(1, len(y))) AS u(i))
+    GROUP BY l, r HAVING sum(train_freq) >= 2 ORDER BY n DESC, l, r LIMIT 1) b
+  WHERE s.step < {R.SUBWORD_SIZE - 80}),
+firsts AS (SELECT m AS piece, min(step) AS step FROM rec WHERE step > 0 AND m NOT IN (SELECT s FROM symbols) GROUP BY m),
+pieces AS (SELECT 0 AS part, i AS k, p AS piece FROM (SELECT unnest(['<unk>', '<pad>', '<s>', '</s>', '<mask>']) AS p, unnest(range(5)) AS i)
+  UNION ALL SELECT 1, row_number() OVER (ORDER BY s), s FROM symbols
+  UNION ALL SELECT 2, step, piece FROM firsts),
+vocab AS MATERIALIZED (SELECT id, piece FROM (SELECT CAST(row_number() OVER (ORDER BY part, k) - 1 AS INTEGER) AS id, part, piece FROM pieces)
+          WHERE id < {R.SUBWORD_SIZE} OR part < 2)"""
+
+ORACLE["wordpiece_vocab"] = f"WITH RECURSIVE {WORDPIECE} SELECT id, piece FROM vocab"
+# longest match first: from each place the longest piece of the vocabulary; a place without one makes the word unknown
+ORACLE["wordpiece_encode"] = f"""WITH RECURSIVE {WORDPIECE},
+tested AS (SELECT word FROM types WHERE test_all_freq > 0),
+enc AS (
+  SELECT word, 1::BIGINT AS place, []::VARCHAR[] AS tokens, []::INTEGER[] AS ids FROM tested WHERE length(word) <= 100
+  UNION ALL
+  SELECT word, place + arg_max(n, n), list_append(any_value(tokens), arg_max(piece, n)), list_append(any_value(ids), arg_max(id, n)) FROM (
+    SELECT e.*, v.piece, v.id, n FROM enc e, unnest(range(1, length(e.word) - e.place + 2)) AS u(n)
+    JOIN vocab v ON v.piece = CASE WHEN e.place > 1 THEN {_MARK} ELSE '' END || substr(e.word, e.place, n) WHERE e.place <= length(e.word))
+  GROUP BY word, place),
+done AS (SELECT word, tokens, ids FROM enc WHERE place = length(word) + 1),
+out AS (SELECT word, coalesce(tokens, ['<unk>']) AS tokens, coalesce(ids, [0]) AS ids FROM tested LEFT JOIN done USING (word))
+SELECT word, len(tokens) AS n_tokens, array_to_string(tokens, ' ') AS tokens, array_to_string(ids, ' ') AS ids FROM out"""
 _SUMS = ", ".join(f"CAST(sum({s}_freq * ((length(seg) - length(replace(seg, ' ', ''))) // 2)) AS BIGINT) AS tokens_{s}, "
                   f"CAST(sum({s}_freq * length(replace(seg, ' ', ''))) AS BIGINT) AS token_chars_{s}"
                   for s in ["test_all", "test_en", "test_target"])
