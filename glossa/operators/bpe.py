@@ -136,13 +136,13 @@ def count_changes(state: DataFrame, guess: list[tuple[str, str, str]], counts: F
     listed = state.sparkSession.sparkContext.broadcast(frozenset(counts.count))  # a bounded list
 
     def run(batches):
-        steps, total = FC.step_of(guess), defaultdict(int)
+        steps, total = FC.step_of(guess), [defaultdict(int) for _ in guess]
         for b in batches:
             for seg, freq in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 if freq:
                     FC.apply_in_order(_split(seg), steps, guess, total, freq)
         made = {m for _, _, m in guess}  # of other pairs off the list, losses don't matter
-        rows = [(*p, step, d) for (p, step), d in total.items() if d and (d > 0 or p in listed.value or not made.isdisjoint(p))]
+        rows = [(*p, step, d) for step, changes in enumerate(total) for p, d in changes.items() if d and (d > 0 or p in listed.value or not made.isdisjoint(p))]
         cols = list(zip(*rows)) or [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()),
                                           pa.array([r[:2] in listed.value for r in rows], pa.bool_())], ["l", "r", "step", "d", "listed"])

@@ -32,20 +32,37 @@ def merge_once(s: list[str], left: str, right: str, merged: str) -> list[str]:
     return out
 
 
-def apply_in_order(s: list[str], steps: dict[Pair, int], merges: list[Merge], changes: dict | None = None, freq: int = 0) -> list[str]:
-    """A word's symbols after the merges, one after the other. ``changes[(pair, step)]`` gets the changes of pair counts times
+def merge_and_count(s: list[str], left: str, right: str, merged: str, freq: int, changes: dict[Pair, int]) -> list[str]:
+    """As ``merge_once``; ``changes`` gets the changes of the pair counts, which all lie next to the merged places."""
+    out, i, n, end = [], 0, len(s), -1
+    while i < n:
+        x = s[i]
+        if x == left and i + 1 < n and s[i + 1] == right:
+            changes[left, right] -= freq
+            if out:  # the neighbour on the left, which may have been merged just now
+                before = out[-1]
+                changes[right if end == i else before, left] -= freq
+                changes[before, merged] += freq
+            out.append(merged)
+            i = end = i + 2
+        else:
+            if end == i:
+                changes[right, x] -= freq
+                changes[merged, x] += freq
+            out.append(x)
+            i += 1
+    return out
+
+
+def apply_in_order(s: list[str], steps: dict[Pair, int], merges: list[Merge], changes: list[dict] | None = None, freq: int = 0) -> list[str]:
+    """A word's symbols after the merges, one after the other. ``changes`` of each step gets the changes of pair counts times
     ``freq``. A pair made by a step can only be merged by a later one."""
     if steps.keys().isdisjoint(zip(s, s[1:])):
         return s
     at = -1
     while (step := min((k for p in zip(s, s[1:]) if (k := steps.get(p, -1)) > at), default=None)) is not None:
-        after = merge_once(s, *merges[step])
-        if changes is not None:
-            for p in zip(s, s[1:]):
-                changes[p, step] -= freq
-            for p in zip(after, after[1:]):
-                changes[p, step] += freq
-        s, at = after, step
+        s = merge_once(s, *merges[step]) if changes is None else merge_and_count(s, *merges[step], freq, changes[step])
+        at = step
     return s
 
 
@@ -105,58 +122,64 @@ class Forecast:
             for p in zip(s, s[1:]):
                 self.index[p].add(i)
 
-    def _touched(self, merge: Merge, now: dict[int, list[str]], added: dict[Pair, set[int]]):
-        left, right, merged = merge
-        for i in self.index.get((left, right), set()) | added.get((left, right), set()):
-            s, f = now.get(i) or self.words[i][0], self.words[i][1]
-            after = merge_once(s, left, right, merged)
-            if len(after) < len(s):
-                yield i, s, after, f
-
     def guess(self, counts: Counts, n: int, new_strings: int, vocab: set[str], min_count: int, join) -> list[Merge]:
         """Up to ``n`` merges that greedy merging would take if other words merged like those of the sample."""
         counts = counts.copy()
         now: dict[int, list[str]] = {}
         added: dict[Pair, set[int]] = defaultdict(set)
+        self.trail: list[list[tuple[int, list[str]]]] = []
         out: list[Merge] = []
         made: set[str] = set()
+        words, index = self.words, self.index
         while len(out) < n and len(made) < new_strings:
             if (top := counts.best()) is None or top[0] < min_count:
                 break
             c, (left, right) = top
-            merge = (left, right, join(left, right))
-            out.append(merge)
-            if merge[2] in vocab or merge[2] in made:
+            merged = join(left, right)
+            out.append((left, right, merged))
+            if merged in vocab or merged in made:
+                self.trail.append(self._merge(out[-1], now, added, defaultdict(int)))
                 break  # not a new string: pairs with it may already count, so it ends the guess
-            made.add(merge[2])
-            touched = list(self._touched(merge, now, added))
+            made.add(merged)
             changes: dict[Pair, int] = defaultdict(int)
-            seen = 0
-            for i, s, after, f in touched:
-                seen += f * sum(p == (left, right) for p in zip(s, s[1:]))
-                for p in zip(s, s[1:]):
-                    changes[p] -= f
-                for p in zip(after, after[1:]):
-                    changes[p] += f
-                    if merge[2] in p:
-                        added[p].add(i)
-                now[i] = after
+            self.trail.append(self._merge(out[-1], now, added, changes))
+            seen = -changes.pop((left, right), 0)
             scale = max(1.0, c / seen) if seen else 1.0  # occurrences outside the sample change alike
-            changes.pop((left, right), None)
             counts.change((left, right), -c)
             for p, d in changes.items():
                 if d and (p in counts.count or d * scale >= counts.least):
                     counts.change(p, max(int(d * scale), -counts.count.get(p, 0)))
+        self.added = added
+        return out
+
+    def _merge(self, merge: Merge, now: dict[int, list[str]], added: dict[Pair, set[int]], changes: dict[Pair, int]) -> list[tuple[int, list[str]]]:
+        """The words that a merge changes, after it; ``now`` holds words that have changed already."""
+        left, right, merged = merge
+        pair, words, out = (left, right), self.words, []
+        for i in self.index.get(pair, set()) | added.get(pair, set()):
+            s = now.get(i) or words[i][0]
+            after = merge_and_count(s, left, right, merged, words[i][1], changes)
+            if len(after) < len(s):
+                now[i] = after
+                out.append((i, after))
+                last = None
+                for x in after:
+                    if last == merged or (x == merged and last is not None):
+                        added[last, x].add(i)
+                    last = x
         return out
 
     def apply(self, merges: list[Merge]) -> None:
-        for merge in merges:
-            for i, _, after, f in list(self._touched(merge, {}, {})):
-                self.words[i] = (after, f)
-                for p in zip(after, after[1:]):
-                    if merge[2] in p:
-                        self.index[p].add(i)
-            self.index.pop(merge[:2], None)
+        """Take up the first merges of the last guess."""
+        for changed in self.trail[:len(merges)]:
+            for i, after in changed:
+                self.words[i] = (after, self.words[i][1])
+        for left, right, _ in merges:
+            self.index.pop((left, right), None)
+        made = {m for _, _, m in merges}
+        for p, some in self.added.items():
+            if not made.isdisjoint(p):  # words that hold a pair no longer, or not yet, are looked at in vain
+                self.index[p] |= some
 
 
 def accepted(counts: Counts, guess: list[Merge], changes: dict[int, list[tuple[Pair, int]]], min_count: int) -> list[tuple[Merge, int]]:
