@@ -44,26 +44,28 @@ def _long_enough(key: bytes, min_chars: int) -> bool:
 def _keys(min_chars: int):
     def run(batches):
         for b in batches:
-            ids, hashes = [], []
-            for doc, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
+            ids, rows, hashes = [], [], []
+            for doc, row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), strict=True):
                 keys = {line_key(x) for x in (text or b"").split(b"\n")}
                 found = {_digest(k) for k in keys if _long_enough(k, min_chars)}
                 ids += [doc] * len(found)
+                rows += [row] * len(found)
                 hashes += found
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.binary())],
-                                             names=["doc", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(hashes, pa.binary())],
+                                             names=["doc", "row", "h"])
     return run
 
 
 def dropped_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc, drops): the digests of the keys each document loses."""
-    keys = store(map_docs(docs.select(F.col("doc_id").cast("long").alias("doc"), "text"), _keys(min_chars),
-                          "doc long, h binary"))
+    """(doc, row, drops): the digests of the keys each text of a document loses; ``row`` is a hash of the text, so that rows of one id,
+    or of none, have lists of their own."""
+    keys = store(map_docs(docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("row"), "text"), _keys(min_chars),
+                          "doc long, row long, h binary"))
     # stored, so that both sides of the join are plain shuffles and a hot key can be split
     common = store(keys.groupBy("h").agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("keeper"))
                    .filter(F.col("n") >= min_docs).select("h", "keeper"))
     lost = keys.join(common, "h").filter(F.col("doc").isNull() | (F.col("doc") != F.col("keeper")))
-    return lost.groupBy("doc").agg(F.collect_set("h").alias("drops"))
+    return lost.groupBy("doc", "row").agg(F.collect_set("h").alias("drops"))
 
 
 def _reassemble(text_at: int, min_chars: int):
@@ -90,8 +92,8 @@ def _reassemble(text_at: int, min_chars: int):
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with ``text`` reassembled from the kept lines, plus n_lines (before dropping) and n_dropped."""
     docs = docs.drop("n_lines", "n_dropped")
-    key, drops = free_name(docs, "line_doc"), free_name(docs, "line_drops")
-    lost = dropped_keys(docs, min_chars, min_docs).select(F.col("doc").alias(key), F.col("drops").alias(drops))
-    met = docs.join(lost, docs["doc_id"].cast("long").eqNullSafe(lost[key]), "left").drop(key)
+    key, row, drops = (free_name(docs, n) for n in ("line_doc", "line_row", "line_drops"))
+    lost = dropped_keys(docs, min_chars, min_docs).select(F.col("doc").alias(key), F.col("row").alias(row), F.col("drops").alias(drops))
+    met = docs.join(lost, docs["doc_id"].cast("long").eqNullSafe(lost[key]) & (F.xxhash64(docs["text"]) == lost[row]), "left").drop(key, row)
     return map_docs(met, _reassemble(docs.columns.index("text"), min_chars),
                     with_fields(docs.schema, ("n_lines", "long"), ("n_dropped", "long")))

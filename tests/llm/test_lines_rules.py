@@ -107,3 +107,15 @@ def test_native_plan_and_empty_table(spark):
 
 def test_digest_of_query_columns():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_rows_of_one_id_have_lists_of_their_own(spark):
+    """A third of all rows share one id, as many have none: no list holds the keys of more than one text."""
+    common = [f"a line that many documents of this table do share, number {i:03d}" for i in range(60)]
+    rows = [(i, "\n".join(common)) for i in range(6)] + [(77, f"{common[i % 60]}\nown {i}") for i in range(60)] + [(None, f"{common[i % 60]}\nnone {i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lists = L.dropped_keys(docs).filter("doc IS NULL OR doc = 77").collect()
+    assert max(len(r.drops) for r in lists) == 1 and len(lists) == 60  # 77 is the largest id of every line
+    got = sorted((str(r.doc_id), r.text, r.n_lines, r.n_dropped) for r in L.dedup_lines(docs).collect())
+    assert got == sorted([(str(i), "", 60, 60) for i in range(6)] + [("77", f"{common[i % 60]}\nown {i}", 2, 0) for i in range(60)]
+                         + [("None", f"none {i}", 2, 1) for i in range(60)])
