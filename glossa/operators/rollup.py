@@ -47,7 +47,8 @@ def result_table(rows: DataFrame, with_lm: bool) -> DataFrame:
 
 def best_rows(results: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """One row per (keys..., criterion) with the winning method / vocab_size / value.
-    Undefined values are skipped; ties go to the smaller (method, vocab_size)."""
+    Undefined values are skipped, but for tokens_per_char, where they come last (a run with no defined value has a best row
+    of value NULL); ties go to the smaller (method, vocab_size)."""
     keys = list(keys)
     out = None
     for name, metric, mode in BEST_CRITERIA:
@@ -55,9 +56,9 @@ def best_rows(results: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
             continue
         v = F.col(metric)
         key = F.abs(v) if mode == "min_abs" else (-v if mode == "max" else v)
-        r = results.filter(v.isNotNull())
+        r = results if metric == "tokens_per_char" else results.filter(v.isNotNull())
         pick = F.min_by(F.struct("method", "vocab_size", v.alias("value")),
-                        F.struct(key.alias("k"), F.col("method"), F.col("vocab_size")))
+                        F.struct(v.isNull().alias("undefined"), key.alias("k"), F.col("method"), F.col("vocab_size")))
         g = (r.groupBy(*keys).agg(pick.alias("b")) if keys else r.agg(pick.alias("b")))
         g = g.filter(F.col("b").isNotNull()).select(*keys, F.lit(name).alias("criterion"), F.col("b.method").alias("method"),
                                                     F.col("b.vocab_size").alias("vocab_size"),

@@ -545,8 +545,8 @@ def best_rows_sql(src: str = "res", keys: str = "run_path") -> str:
         key = f"abs({metric})" if mode == "min_abs" else (f"-{metric}" if mode == "max" else metric)
         parts.append(f"""SELECT {keys}, '{name}' AS criterion, method, vocab_size, value FROM (
   SELECT {keys}, method, vocab_size, {metric} AS value,
-         row_number() OVER (PARTITION BY {keys} ORDER BY {key}, method, vocab_size) AS _r
-  FROM {src} WHERE {metric} IS NOT NULL) WHERE _r = 1""")
+         row_number() OVER (PARTITION BY {keys} ORDER BY {metric} IS NULL, {key}, method, vocab_size) AS _r
+  FROM {src}{'' if metric == 'tokens_per_char' else f' WHERE {metric} IS NOT NULL'}) WHERE _r = 1""")
     return "\nUNION ALL\n".join(parts)
 
 
@@ -565,10 +565,13 @@ _STATS = " UNION ALL ".join(f"""SELECT {Q.q(r.run_path)} AS run_path, (SELECT co
   count(*) FILTER (WHERE split = 'test' AND label = 'en') AS test_en_texts,
   count(*) FILTER (WHERE split = 'test' AND label NOT IN ('en', 'unknown')) AS test_target_texts,
   count(*) FILTER (WHERE split = 'test' AND label = 'unknown') AS test_unknown_texts FROM ss{p}""" for r, p in _DONE)
+_BEST = ", ".join(f"(SELECT {c} FROM best b WHERE b.criterion = '{n}' AND b.run_path = st.run_path) AS {n}{suffix}"
+                  for n in ("best_tokens_per_char", "best_target_compression_factor", "best_compression_penalty_char", "best_target_tokens_per_char",
+                            "best_compression_gap_tokens_per_char", "best_ppl", "best_gap_loss") for c, suffix in (("method", "_method"), ("vocab_size", "_vocab"), ("value", "")))
 ORACLE["run_summary"] = f"""WITH {BATCH_CTES}, {_COUNTS}, st AS ({_STATS}), best AS ({best_rows_sql()})
 SELECT st.*, 'stratified_by_language' AS split_strategy, c.n_rows AS completed_combinations, c.n_errors AS failed_combinations,
-  b.method AS best_method, b.vocab_size AS best_vocab_size, b.value AS best_tokens_per_char
-FROM st JOIN counts_ c USING (run_path) LEFT JOIN (SELECT * FROM best WHERE criterion = 'best_tokens_per_char') b USING (run_path)"""
+  {_BEST}
+FROM st JOIN counts_ c USING (run_path)"""
 
 BATCH_SUMMARY = f"""summary AS (
   SELECT r.corpus_path, p.grp AS "group", p.tl AS target_lang, p.ratio,

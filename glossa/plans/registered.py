@@ -501,9 +501,10 @@ def q_run_summary(spark, d):
     runs, res, err, stats = batch_tables(spark, d)
     cells = _run_counts(runs, res, err).select("run_path", F.col("n_rows").alias("completed_combinations"),
                                                F.col("n_errors").alias("failed_combinations"))
-    best = G.best_rows(res, ["run_path"]).filter(F.col("criterion") == "best_tokens_per_char").select(
-        "run_path", F.col("method").alias("best_method"), F.col("vocab_size").alias("best_vocab_size"),
-        F.col("value").alias("best_tokens_per_char"))
+    best = G.best_rows(res, ["run_path"])
+    pick = lambda c, name: F.max(F.when(F.col("criterion") == name, F.col(c)))  # noqa: E731 - a row a criterion
+    best = best.groupBy("run_path").agg(*[pick(c, name).alias(alias) for name, _, _ in G.BEST_CRITERIA
+                                          for c, alias in (("method", f"{name}_method"), ("vocab_size", f"{name}_vocab"), ("value", name))])
     counts = stats.select("run_path", "raw_texts", F.col("total_texts").alias("cleaned_texts"), "train_texts", "test_texts",
                           "test_en_texts", "test_target_texts", "test_unknown_texts", "split_strategy")
     return counts.join(cells, "run_path").join(best, "run_path", "left")
