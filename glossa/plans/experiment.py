@@ -9,9 +9,12 @@ cell becomes an error row and stops no other, as in the reference's per-cell try
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
+from threading import Lock
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
@@ -200,7 +203,10 @@ def run_experiment(spark: SparkSession, paragraphs: DataFrame, p: ExperimentPara
     text_stats = cut_lineage(M.text_stats(split, p.language))
     sums, tokens, errors = {}, {}, {}
     cells = [f"{m}/vocab_{v}" for m in p.tokenizer_methods for v in sorted({int(v) for v in p.vocab_sizes})]
-    for method in p.tokenizer_methods:
+
+    saving = Lock()
+
+    def train(method):
         left = sorted({int(v) for v in p.vocab_sizes})
         try:
             for v, cell in train_cells(method, types, utypes, left[:]):
@@ -210,15 +216,19 @@ def run_experiment(spark: SparkSession, paragraphs: DataFrame, p: ExperimentPara
                     if isinstance(cell, Exception):
                         raise cell
                     if tokenizers_dir:
-                        save_tokenizer(cell.vocab, cell.merges, tokenizers_dir, run_id, method, v)
+                        with saving:  # one writer of a folder at a time
+                            save_tokenizer(cell.vocab, cell.merges, tokenizers_dir, run_id, method, v)
                     if p.run_language_model:
                         tokens[name] = cell_tokens(split, method, cell)
                     sums[name] = cell.sums
                 except Exception as e:  # noqa: BLE001 - a failing cell is recorded, the grid goes on
                     errors[name] = repr(e)
         except Exception as e:  # noqa: BLE001 - the sweep of this method failed: its remaining cells did
-            errors |= {f"{method}/vocab_{v}": repr(e) for v in left}
-    schema = M.result_rows(text_stats, types.sparkSession.createDataFrame([], ", ".join(
+            errors.update({f"{method}/vocab_{v}": repr(e) for v in left})
+
+    with ThreadPoolExecutor(max(1, len(p.tokenizer_methods))) as pool:  # methods share the cluster; each has its own cells
+        list(pool.map(inheritable_thread_target(spark)(train), p.tokenizer_methods))
+    schema = M.result_rows(text_stats, spark.createDataFrame([], ", ".join(
         f"{c} {'string' if c == 'method' else 'int' if c == 'vocab_size' else 'long'}" for c in SUM_COLUMNS))).schema
 
     def metric_rows(frames):
