@@ -611,7 +611,7 @@ def q_stream_clean(spark, d):
 def q_stream_quota(spark, d):
     from glossa.streaming import ingest as SI
     root = _scratch(spark, "stream-quota")
-    SI.run_quota_stream(spark, d, f"{root}/sink", f"{root}/state", 50)
+    SI.run_quota_stream(spark, d, f"{root}/sink", f"{root}/state", 50, ["en", "de", "fr", "es"])
     return spark.read.parquet(f"{root}/sink").select("lang", "doc_id", "pos")
 
 

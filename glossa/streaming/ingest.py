@@ -5,11 +5,15 @@ Stateless, so it needs no watermark. S2: the reference stops reading once a lang
 ``max_samples`` accepted fragments; as a stream this is ``foreachBatch`` that reads the
 per-language counts already in the sink and admits the remainder in key order. Each batch
 writes to its own ``batch_id=`` folder with overwrite, so a replayed batch after a failure
-rewrites the same output (idempotent).
+rewrites the same output (idempotent). With the wanted languages given, the stream ends once all have their
+samples: later batches are not read, and the query is stopped.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from threading import Event
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,24 +44,46 @@ def run_clean_stream(spark: SparkSession, folder: str, sink: str, checkpoint: st
     q.awaitTermination()
 
 
-def quota_writer(sink: str, max_samples: int):
-    """S2 ``foreachBatch`` body."""
+def _accepted(spark: SparkSession, sink: str) -> DataFrame:
+    """Samples in the sink: (lang, batch_id, done)."""
+    if path_exists(spark, f"{sink}/batch_id=*"):  # a read that fails must not look like an empty sink
+        return spark.read.parquet(sink).groupBy("lang", "batch_id").agg(F.count(F.lit(1)).alias("done"))
+    return spark.createDataFrame([], "lang string, batch_id int, done long")
+
+
+def quota_writer(sink: str, max_samples: int, languages: Sequence[str] | None = None, full: Event | None = None):
+    """S2 ``foreachBatch`` body. ``full`` is set when every wanted language has its samples; a batch that comes then is left
+    unread."""
+    def all_full(spark: SparkSession) -> bool:
+        have = {r["lang"]: r["done"] for r in _accepted(spark, sink).filter(F.col("lang").isin(list(languages)))
+                .groupBy("lang").agg(F.sum("done").alias("done")).collect()}  # a row a wanted language
+        return all(have.get(lang, 0) >= max_samples for lang in languages)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if path_exists(spark, f"{sink}/batch_id=*"):  # a read that fails must not look like an empty sink
-            done = (spark.read.parquet(sink).filter(F.col("batch_id") != batch_id)
-                         .groupBy("lang").agg(F.count(F.lit(1)).alias("done")))
-        else:
-            done = spark.createDataFrame([], "lang string, done long")
+        if full is not None and full.is_set():
+            return
+        done = _accepted(spark, sink).filter(F.col("batch_id") != batch_id).groupBy("lang").agg(F.sum("done").alias("done"))
         quota = (batch.select("lang").distinct().join(done, "lang", "left")
                       .select("lang", F.greatest(F.lit(max_samples) - F.coalesce("done", F.lit(0)), F.lit(0)).alias("k")))
         admitted = first_k_by_id(batch, ["lang"], "doc_id", ["doc_id", "pos"], quota)
         admitted.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        if languages and full is not None and all_full(spark):
+            full.set()
     return write
 
 
-def run_quota_stream(spark: SparkSession, folder: str, sink: str, checkpoint: str, max_samples: int) -> None:
-    paras = C.clean_corpus(C.paragraph_scan(document_stream(spark, folder).select("doc_id", "lang", "text")))
-    q = (paras.writeStream.foreachBatch(quota_writer(sink, max_samples))
+def run_quota_stream(spark: SparkSession, folder: str, sink: str, checkpoint: str, max_samples: int,
+                     languages: Sequence[str] | None = None, glob: str = "documents*.parquet") -> None:
+    """Without ``languages`` any language may still come, and all files are read."""
+    docs = document_stream(spark, folder, glob).select("doc_id", "lang", "text")
+    if languages is not None:
+        docs = docs.filter(F.col("lang").isin(list(languages)))
+    full = Event()
+    paras = C.clean_corpus(C.paragraph_scan(docs))
+    q = (paras.writeStream.foreachBatch(quota_writer(sink, max_samples, languages, full))
               .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+    while not q.awaitTermination(0.2):
+        if full.is_set():
+            q.stop()
+            return

@@ -76,6 +76,31 @@ def test_stream_quota_is_idempotent(spark):
     assert all(r["count"] == 7 for r in got) and len(got) == 4
 
 
+def test_stream_stops_when_all_quotas_are_full(spark):
+    """Later files are never read: one of them is no Parquet file at all, and the result is that of the first ones."""
+    import os
+    d = tempfile.mkdtemp()
+    os.makedirs(f"{d}/in")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("lang IN ('en', 'de')").select("doc_id", "lang", "text")
+    for i in range(12):  # in the order of their times
+        docs.filter(F.col("doc_id") % 12 == i).coalesce(1).write.parquet(f"{d}/part{i}")
+        name = next(f for f in os.listdir(f"{d}/part{i}") if f.endswith(".parquet"))
+        target = f"{d}/in/documents-{i:02d}.parquet"
+        os.link(f"{d}/part{i}/{name}", target)
+        os.utime(target, (1_700_000_000 + i, 1_700_000_000 + i))
+    with open(f"{d}/in/documents-11.parquet.new", "wb") as f:
+        f.write(b"PAR1 broken PAR1")
+    os.replace(f"{d}/in/documents-11.parquet.new", f"{d}/in/documents-11.parquet")
+    os.utime(f"{d}/in/documents-11.parquet", (1_700_000_100, 1_700_000_100))
+    schema = docs.schema
+    from unittest import mock
+    with mock.patch.object(SI, "document_stream", lambda s, folder, glob: s.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)):
+        SI.run_quota_stream(spark, f"{d}/in", f"{d}/sink", f"{d}/state", 5, ["en", "de"])
+    got = spark.read.parquet(f"{d}/sink")
+    assert {r.lang: r.n for r in got.groupBy("lang").agg(F.count("*").alias("n")).collect()} == {"en": 5, "de": 5}
+    assert len([x for x in os.listdir(f"{d}/sink") if x.startswith("batch_id=")]) < 11
+
+
 def test_langid_accuracy(spark):
     c = R.cleaned(spark, "/root/testdata/sf0.01").withColumn("_h", F.md5(F.col("doc_id").cast("string")))
     train, held = c.filter("_h >= '4'"), c.filter("_h < '4'")
