@@ -5,21 +5,26 @@ Training: explode 1..3-grams of lower-cased, space-normalised text -> ``groupBy(
 counts (map-side combine) -> add-1/2 log probabilities; every gram counts. Scoring: a text's
 score for a language is the sum of its grams' log-probability *gains* over the language's
 unseen-gram floor, plus the floor for every gram and the prior. While the model is small
-(checked) it is broadcast and each text is scored inside its own row; beyond that the grams
+(checked) it is broadcast and texts are scored a portion at a time, in arrays; beyond that the grams
 of each text are counted and joined to the model.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.functions import text as T
+from glossa.operators import lattice as LT
 from glossa.session import BROADCAST_MAX_ROWS, cut_lineage, ship_package
 
 MAX_N = 3
 SMOOTH = 0.5
+CHARS_AT_ONCE = 300_000
 
 
 def normalise(text: Column) -> Column:
@@ -51,23 +56,39 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
                        "unseen", "prior"))
 
 
+def _portions(texts: list[str]) -> Iterator[list[str]]:
+    """Texts of ``CHARS_AT_ONCE`` characters at a time (a single longer text is a portion of its own)."""
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t) > CHARS_AT_ONCE:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
+
+
+def best_languages(trie: LT.Trie, gains: np.ndarray, base: np.ndarray, texts: list[str]) -> np.ndarray:
+    """The best language of each normalised text: its grams are found in a trie, and their rows of the gram-by-language
+    matrix are summed. A tie goes to the first language."""
+    places = LT.Places.of(texts)
+    start, _, gram = places.matches(trie, places.char_place)
+    sizes = places.last - places.first
+    text = np.repeat(np.arange(len(texts)), sizes + 1)[start]
+    n = sum(np.maximum(sizes - k, 0) for k in range(MAX_N))
+    score = np.stack([np.bincount(text, gains[gram, k], len(texts)) + n * unseen + prior for k, (unseen, prior) in enumerate(base)], axis=1)
+    return score.argmax(axis=1)
+
+
 def _score_rows(shared, n_keys: int, names: list[str]):
     def run(batches):
-        table, langs, base = shared.value
+        grams, gains, langs, base = shared.value
+        trie = LT.Trie(grams)
         for b in batches:
-            best = []
-            for text in b.column(n_keys).to_pylist():
-                text = text or ""
-                gain = [0.0] * len(langs)
-                n = 0
-                for size in range(1, MAX_N + 1):
-                    for i in range(len(text) - size + 1):
-                        n += 1
-                        for k, g in table.get(text[i:i + size], ()):
-                            gain[k] += g
-                # languages are in name order, so a tie goes to the smaller full name
-                best.append(max(range(len(langs)), key=lambda k: (gain[k] + n * base[k][0] + base[k][1], -k)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([langs[k] for k in best], pa.string())], names=names)
+            texts = [t or "" for t in b.column(n_keys).to_pylist()]
+            best = [langs[k] for part in _portions(texts) for k in best_languages(trie, gains, base, part).tolist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(best, pa.string())], names=names)
     return run
 
 
@@ -82,11 +103,12 @@ def predict(model: DataFrame, texts: DataFrame, key_cols: list[str], text_col: s
     gain = model.select("lang", "gram", (F.col("logp") - F.col("unseen")).alias("gain"))
     if gain.limit(max_rows + 1).count() <= max_rows:  # a checked bound
         at = {l: k for k, (l, _, _) in enumerate(langs)}
-        table: dict[str, list] = {}
-        for r in gain.collect():
-            table.setdefault(r["gram"], []).append((at[r["lang"]], r["gain"]))
+        rows = gain.toArrow()
+        names, place = np.unique(np.array(rows.column("gram").to_pylist(), object), return_inverse=True)
+        gains = np.zeros((len(names), len(langs)))
+        gains[place, [at[l] for l in rows.column("lang").to_pylist()]] = rows.column("gain").to_numpy()
         ship_package(spark)
-        shared = spark.sparkContext.broadcast((table, [l for l, _, _ in langs], [(u, p) for _, u, p in langs]))
+        shared = spark.sparkContext.broadcast((names.tolist(), gains, [l for l, _, _ in langs], np.array([(u, p) for _, u, p in langs])))
         types = {f.name: f.dataType.simpleString() for f in texts.schema.fields}
         return texts.select(*key_cols, normalise(F.col(text_col)).alias("_t")).mapInArrow(
             _score_rows(shared, len(key_cols), [*key_cols, "predicted"]), ", ".join(f"{k} {types[k]}" for k in key_cols) + ", predicted string")
