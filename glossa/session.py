@@ -25,8 +25,10 @@ def build_session(master: str | None = None, app: str = "glossa", shuffle_partit
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.driver.memory": "16g",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
+    if (master or "").startswith("local"):  # executors live in the driver there; on a cluster its size is the caller's
+        conf["spark.driver.memory"] = "16g"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
