@@ -39,7 +39,8 @@ def shared_path(spark: SparkSession, tag: str) -> str:
 
 def store(df: DataFrame) -> DataFrame:
     """Compute once and cut lineage: a reliable checkpoint in the shared folder, so later reads
-    survive lost executors and Spark's cleaner removes the files with the last reference."""
+    survive lost executors. Spark's cleaner removes the files with the last reference where the session
+    sets ``spark.cleaner.referenceTracking.cleanCheckpoints``."""
     return cut_lineage(df)
 
 
