@@ -19,9 +19,13 @@ windows with one key travels as one short string, its context. Then
 A text equal to that of a smaller ``doc_id`` repeats it wholly and needs no contexts. Hashes only bring strings
 together; equality is that of the sorted bytes. Texts cross the shuffles compressed.
 
+Rows that share a ``doc_id`` (or have none) are told apart by a 64-bit hash of their texts, so every list is that of one
+text, however many rows an id has.
+
 Defined results: a null or empty text has no bytes; texts shorter than the window lose nothing; null ids come after all
-others, as one document; rows that share a ``doc_id`` are versions of one document, where only an earlier start is earlier; an
-empty table gives an empty result; extra columns are not read.
+others, as one document; rows that share a ``doc_id`` are versions of one document, where an earlier start is earlier, and at
+equal starts the text with the smaller hash; equal rows have equal results; an empty table gives an empty result; extra columns
+are not read.
 """
 
 from __future__ import annotations
@@ -156,37 +160,36 @@ def _count_keys(window: int, gram: int):
 def _keys_of_docs(window: int, gram: int):
     def run(batches):
         for b in batches:
-            keys = [np.unique(text_keys(t, window, gram)) for t in _texts(b, 1)]
-            docs = np.repeat(b.column(0).to_numpy(), [len(k) for k in keys])
-            yield _batch([docs, np.concatenate(keys or [np.zeros(0, _U)]).view("i8")], ["doc", "key"], [pa.int64(), pa.int64()])
+            rows = dict(zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), _texts(b, 2), strict=True))  # equal rows once
+            keys = [np.unique(text_keys(t, window, gram)) for t in rows.values()]
+            doc, own = (np.repeat(np.array(x, "i8"), [len(k) for k in keys]) for x in (zip(*rows) if rows else ((), ())))
+            yield _batch([doc, own, np.concatenate(keys or [np.zeros(0, _U)]).view("i8")], ["doc", "sub", "key"], [pa.int64()] * 3)
     return run
 
 
 def _packed(batches):
-    """(doc, doc_id, sid, z): order key, id, SHA-256 and compressed bytes of a text."""
+    """(doc, sub, doc_id, z): order key, the text's hash, id and compressed bytes of a text."""
     squeeze = zstandard.ZstdCompressor(level=3)
     for b in batches:
-        texts = [t or b"" for t in as_bytes(b.column(2))]
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()),
-             pa.array([squeeze.compress(t) for t in texts], pa.binary())], names=["doc", "doc_id", "sid", "z"])
+        z = pa.array([squeeze.compress(t or b"") for t in as_bytes(b.column(3))], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), z], names=["doc", "sub", "doc_id", "z"])
 
 
 def _digests(batches):
     for b in batches:
-        texts = [t or b"" for t in as_bytes(b.column(1))]
-        yield _batch([b.column(0), [hashlib.sha256(t).digest() for t in texts], [len(t) for t in texts]], ["doc", "sid", "n"],
-                     [pa.int64(), pa.binary(), pa.int64()])
+        texts = [t or b"" for t in as_bytes(b.column(2))]
+        yield _batch([b.column(0), b.column(1), [hashlib.sha256(t).digest() for t in texts], [len(t) for t in texts]],
+                     ["doc", "sub", "sid", "n"], [pa.int64(), pa.int64(), pa.binary(), pa.int64()])
 
 
-CONTEXTS = "key long, context binary, doc long, at long"
+CONTEXTS = "key long, context binary, doc long, at long, sub long"
 
 
 class _Contexts(dict):
-    """(key, context) -> its first (doc, place)."""
+    """(key, context) -> its first (doc, place, text's hash)."""
     held = 0
 
-    def add(self, at: tuple[int, bytes], place: tuple[int, int]) -> None:
+    def add(self, at: tuple[int, bytes], place: tuple[int, int, int]) -> None:
         known = self.get(at)
         if known is None:
             self.held += len(at[1])
@@ -195,8 +198,8 @@ class _Contexts(dict):
 
     def batch(self) -> pa.RecordBatch:
         keys, parts = zip(*self) if self else ((), ())
-        docs, places = zip(*self.values()) if self else ((), ())
-        return _batch([keys, parts, docs, places], ["key", "context", "doc", "at"], [pa.int64(), pa.binary(), pa.int64(), pa.int64()])
+        docs, places, subs = zip(*self.values()) if self else ((), (), ())
+        return _batch([keys, parts, docs, places, subs], ["key", "context", "doc", "at", "sub"], [pa.int64(), pa.binary(), *[pa.int64()] * 3])
 
 
 def _sorted_keys(values) -> np.ndarray:
@@ -204,15 +207,15 @@ def _sorted_keys(values) -> np.ndarray:
 
 
 def _split_keys(window: int, gram: int):
-    """(doc, key, n): the split keys of each document, and the bytes of their contexts that no document before it in the
+    """(doc, sub, key, n): the split keys of each text, and the bytes of their contexts that no document before it in the
     batch has."""
     def run(batches):
         inflate = zstandard.ZstdDecompressor()
         none = np.zeros(0, _U)
         for b in batches:
             seen, rows = set(), []
-            for doc, sid, z, crowded, copies in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 5, 6)), strict=True):
-                if not crowded or (copies and sid in copies):
+            for doc, own, z, crowded, copy in zip(*(b.column(c).to_pylist() for c in ("doc", "sub", "z", "crowded", "copy")), strict=True):
+                if not crowded or copy:
                     continue
                 raw, new = inflate.decompress(z), {}
                 for key, start, end in contexts(np.frombuffer(raw, np.uint8), none, _sorted_keys(crowded), window, gram):
@@ -220,9 +223,9 @@ def _split_keys(window: int, gram: int):
                         at = (k, xxhash.xxh3_64_intdigest(raw[s:e + window - 1]))
                         new[k] = new.get(k, 0) + (0 if at in seen else e - s + window - 1)
                         seen.add(at)
-                rows += [(doc, k, n) for k, n in new.items()]
-            cols = list(zip(*rows)) or [()] * 3
-            yield _batch(cols, ["doc", "key", "n"], [pa.int64()] * 3)
+                rows += [(doc, own, k, n) for k, n in new.items()]
+            cols = list(zip(*rows)) or [()] * 4
+            yield _batch(cols, ["doc", "sub", "key", "n"], [pa.int64()] * 4)
     return run
 
 
@@ -231,13 +234,14 @@ def _text_contexts(window: int, gram: int):
         inflate = zstandard.ZstdDecompressor()
         for b in batches:
             found = _Contexts()
-            for doc, sid, z, keys, crowded, copies, dense in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6, 7)), strict=True):
-                if not (keys or crowded) or (copies and sid in copies):
+            names = ("doc", "sub", "z", "keys", "crowded", "copy", "dense")
+            for doc, own, z, keys, crowded, copy, dense in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+                if not (keys or crowded) or copy:
                     continue
                 raw = inflate.decompress(z)
                 for key, start, end in contexts(np.frombuffer(raw, np.uint8), _sorted_keys(keys), _sorted_keys(crowded), window, gram, _sorted_keys(dense)):
                     for k, s, e in zip(key.view("i8").tolist(), start.tolist(), end.tolist()):
-                        found.add((k, raw[s:e + window - 1]), (doc, s))
+                        found.add((k, raw[s:e + window - 1]), (doc, s, own))
                 if found.held > BLOCK_BYTES:
                     yield found.batch()
                     found = _Contexts()
@@ -247,8 +251,8 @@ def _text_contexts(window: int, gram: int):
 
 # ---- the suffix array of a block ----------------------------------------------------------------
 
-def kept_windows(parts: list[bytes], docs: np.ndarray, places: np.ndarray, window: int):
-    """(doc, start, end) arrays: runs of windows that are the earliest of their string. ``places`` is where a context starts."""
+def kept_windows(parts: list[bytes], docs: np.ndarray, places: np.ndarray, subs: np.ndarray, window: int):
+    """(doc, sub, start, end) arrays: runs of windows that are the earliest of their string. ``places`` is where a context starts."""
     text, starts = joined(parts, window)
     words = words8(text)
     many = np.fromiter(map(len, parts), "i8", len(parts)) - window + 1
@@ -263,13 +267,16 @@ def kept_windows(parts: list[bytes], docs: np.ndarray, places: np.ndarray, windo
     doc, at = docs[owner], places[owner] + sa - starts[owner]
     heads = np.flatnonzero(first)
     least_doc = np.minimum.reduceat(doc, heads)[string]
-    least_at = np.minimum.reduceat(np.where(doc == least_doc, at, LAST), heads)[string]
+    least = doc == least_doc
+    least &= at == np.minimum.reduceat(np.where(least, at, LAST), heads)[string]
+    own = subs[owner]
+    least &= own == np.minimum.reduceat(np.where(least, own, LAST), heads)[string]
     kept = np.zeros(len(text), bool)
-    kept[sa[(doc == least_doc) & (at == least_at)]] = True
+    kept[sa[least]] = True
     s, e = _runs(kept)
     owner = np.searchsorted(starts, s, "right") - 1
     shift = places[owner] - starts[owner]
-    return docs[owner], s + shift, e + shift
+    return docs[owner], subs[owner], s + shift, e + shift
 
 
 def _sort_blocks(window: int):
@@ -278,16 +285,15 @@ def _sort_blocks(window: int):
         block, last = _Contexts(), None
 
         def flush():
-            docs, places = (np.array(x, "i8") for x in zip(*block.values()))
-            d, s, e = kept_windows([part for _, part in block], docs, places, window)
-            return _batch([d, s, e], ["doc", "start", "end"], [pa.int64()] * 3)
+            docs, places, subs = (np.array(x, "i8") for x in zip(*block.values()))
+            return _batch(kept_windows([part for _, part in block], docs, places, subs, window), ["doc", "sub", "start", "end"], [pa.int64()] * 4)
 
         for b in batches:
-            for key, part, doc, at in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for key, part, doc, at, own in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 if block.held > BLOCK_BYTES and key != last:
                     yield flush()
                     block = _Contexts()
-                block.add((key, part), (doc, at))
+                block.add((key, part), (doc, at, own))
                 last = key
         if block:
             yield flush()
@@ -320,9 +326,9 @@ def _remove(window: int, gram: int):
         inflate = zstandard.ZstdDecompressor()
         for b in batches:
             rows = []
-            for doc_id, sid, z, keys, crowded, copies, kept in zip(*(b.column(i).to_pylist() for i in range(1, 8)), strict=True):
+            for doc_id, z, keys, crowded, copy, kept in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 raw = inflate.decompress(z)
-                if copies and sid in copies:
+                if copy:
                     s, e = np.array([0]), np.array([len(raw)])
                 elif keys or crowded:
                     s, e = removed_spans(np.frombuffer(raw, np.uint8), _sorted_keys([*(keys or ()), *(crowded or ())]), kept or [], window, gram)
@@ -336,28 +342,36 @@ def _remove(window: int, gram: int):
     return run
 
 
+ROW = ["doc", "sub"]
+
+
 def repeated_contexts(docs: DataFrame, window: int, gram: int, crowd: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(compressed texts, keys and copies of each document, contexts of its repeated keys)."""
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    text = own.select("doc", "text")
-    packed = map_docs(own, _packed, "doc long, doc_id long, sid binary, z binary")
-    # 1. repeated keys, and the keys of each document among them
-    counted = map_docs(text, _count_keys(window, gram), "key long, n long")
+    """(compressed texts, keys of each text and whether it is a copy, contexts of its repeated keys)."""
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"),
+                      F.xxhash64(F.coalesce("text", F.lit(""))).alias("sub"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    digests = store(map_docs(own.select(*ROW, "text"), _digests, "doc long, sub long, sid binary, n long"))
+    if digests.groupBy("doc").agg(F.min("sub").alias("a"), F.max("sub").alias("b")).filter("a < b").isEmpty():
+        # every id has one text: the id alone names it, and a constant costs the shuffles nothing
+        own, digests = (x.withColumn("sub", F.lit(0).cast("long")) for x in (own, digests))
+    text = own.select(*ROW, "text")
+    packed = map_docs(own, _packed, "doc long, sub long, doc_id long, z binary")
+    # 1. repeated keys, and the keys of each text among them
+    counted = map_docs(text.select("doc", "text"), _count_keys(window, gram), "key long, n long")
     repeated = store(counted.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key", (F.col("n") > crowd).alias("crowd")))
-    held = (map_docs(text, _keys_of_docs(window, gram), "doc long, key long").join(repeated, "key").groupBy("doc")
-            .agg(F.collect_list(F.when(~F.col("crowd"), F.col("key"))).alias("keys"), F.collect_list(F.when(F.col("crowd"), F.col("key"))).alias("crowded")))
-    digests = store(map_docs(text, _digests, "doc long, sid binary, n long").filter(F.col("n") >= window).select("doc", "sid"))
-    firsts = store(digests.groupBy("sid").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last"))
-    copies = (digests.join(firsts, "sid").filter("doc > first").groupBy("doc").agg(F.collect_set("sid").alias("copies")))
-    info = store(held.join(copies, "doc", "full"))
+    held = (map_docs(text, _keys_of_docs(window, gram), "doc long, sub long, key long").join(repeated, "key").groupBy(*ROW)
+            .agg(F.collect_set(F.when(~F.col("crowd"), F.col("key"))).alias("keys"), F.collect_set(F.when(F.col("crowd"), F.col("key"))).alias("crowded")))
+    long = digests.filter(F.col("n") >= window)
+    firsts = store(long.groupBy("sid").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last"))
+    copies = long.join(firsts, "sid").filter("doc > first").select(*ROW, F.lit(True).alias("copy")).distinct()
+    info = store(held.join(copies, ROW, "full"))
     # 2. their contexts; a split key may have as many bytes of them as a key that is just not crowded
     if repeated.filter("crowd").isEmpty():
         known = info.withColumn("dense", F.lit(None).cast("array<long>"))
     else:
-        split = store(map_docs(packed.join(info.filter(F.size("crowded") > 0), "doc"), _split_keys(window, gram), "doc long, key long, n long"))
+        split = store(map_docs(packed.join(info.filter(F.size("crowded") > 0), ROW), _split_keys(window, gram), "doc long, sub long, key long, n long"))
         dense = split.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > crowd * 2 * window).select("key")
-        known = info.join(split.select("doc", "key").join(dense, "key").groupBy("doc").agg(F.collect_set("key").alias("dense")), "doc", "left")
-    return packed, info, map_docs(packed.join(known, "doc"), _text_contexts(window, gram), CONTEXTS)
+        known = info.join(split.select(*ROW, "key").join(dense, "key").groupBy(*ROW).agg(F.collect_set("key").alias("dense")), ROW, "left")
+    return packed, info, map_docs(packed.join(known, ROW), _text_contexts(window, gram), CONTEXTS)
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
@@ -366,8 +380,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cr
         raise ValueError(f"gram must be from 8 to below the window: {gram}, {window}")
     packed, info, found = repeated_contexts(docs, window, gram, crowd)
     # 3. suffix arrays
-    kept = map_docs(found.repartition("key").sortWithinPartitions("key"), _sort_blocks(window), "doc long, start long, end long")
-    kept = kept.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("kept"))
+    kept = map_docs(found.repartition("key").sortWithinPartitions("key"), _sort_blocks(window), "doc long, sub long, start long, end long")
+    kept = kept.groupBy(*ROW).agg(F.collect_list(F.struct("start", "end")).alias("kept"))
     # 4. removal
-    known = info.join(kept, "doc", "left")
-    return map_docs(packed.join(known, "doc", "left").select("doc", "doc_id", "sid", "z", "keys", "crowded", "copies", "kept"), _remove(window, gram), RESULT)
+    known = info.join(kept, ROW, "left")
+    return map_docs(packed.join(known, ROW, "left").select("doc_id", "z", "keys", "crowded", "copy", "kept"), _remove(window, gram), RESULT)

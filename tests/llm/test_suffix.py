@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from glossa.llm import suffix_dedup as D
 from glossa.llm import suffix_sort as S
@@ -49,19 +50,21 @@ def test_every_equal_window_has_the_key_and_repeats_show(seed):
             assert met.count(k) > 1
 
 
-def brute(rows, window):
+def brute(rows, window, hashes=None):
+    """``hashes`` ranks the versions of an id that hold a string at one place."""
     order = lambda d: D.LAST if d is None else d
     first = {}
     texts = [(order(d), (t or "").encode()) for d, t in rows]
+    own = lambda b: hashes[b] if hashes else 0
     for d, b in texts:
         for i in range(len(b) - window + 1):
             w = b[i:i + window]
-            first[w] = min(first.get(w, (d, i)), (d, i))
+            first[w] = min(first.get(w, (d, i, own(b))), (d, i, own(b)))
     out = []
     for (d, b), (doc, _) in zip(texts, rows):
         gone = [False] * len(b)
         for i in range(len(b) - window + 1):
-            if first[b[i:i + window]] < (d, i):
+            if first[b[i:i + window]] < (d, i, own(b)):
                 gone[i:i + window] = [True] * window
         spans = sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))
         out.append((str(doc), len(b), sum(gone), spans, bytes(x for x, g in zip(b, gone) if not g)))
@@ -114,6 +117,22 @@ def test_no_key_gathers_the_edges_of_a_common_passage(spark):
     assert got == brute(rows, window)
 
 
+@pytest.mark.parametrize("crowd", [20_000, 10])
+def test_an_id_on_a_third_of_the_rows_has_a_list_for_each_text(spark, crowd):
+    """Versions of one id, rows without an id and equal rows, with a passage that all hold and a common beginning."""
+    rng = random.Random(11)
+    own = lambda n: random_bytes(rng, n, b"abcdefghij ").decode()
+    passage, head, window, gram = own(90), own(50).upper(), 30, 8
+    rows = [(doc, (head if i % 4 == 0 else "") + own(60) + passage + own(60)) for doc in (7, None) for i in range(40)]
+    rows += [(i, own(80) + passage[i:] + own(40)) for i in range(30)] + [rows[0]] * 12 + [rows[41]] * 12 + [(7, rows[50][1]), (7, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    hashes = {(r.text or "").encode(): r.h for r in docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    _, info, _ = D.repeated_contexts(docs, window, gram, crowd)
+    assert max(len(r["keys"] or ()) + len(r["crowded"] or ()) for r in info.collect()) <= max(len(t or "") for _, t in rows)
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in D.dedup_substrings(docs, window, gram, crowd).collect())
+    assert got == brute(rows, window, hashes)
+
+
 def test_long_texts_are_cut_into_chunks(monkeypatch):
     monkeypatch.setattr(D, "CHUNK", 64)
     rng = random.Random(0)
