@@ -45,6 +45,8 @@ from glossa.llm.suffix_sort import adjacent_equal, joined, suffix_order, words8
 WINDOW, GRAM = 100, 20
 #: Windows hashed at a time, bytes sorted at a time, and occurrences of a key above which it is split.
 CHUNK, BLOCK_BYTES, CROWD = 1 << 18, 3 << 20, 20_000
+#: Crowded keys of texts and texts that have some, up to which they are broadcast (at most 32 MB) instead of the texts shuffled.
+BROADCAST_KEYS = 1 << 20
 LAST = (1 << 63) - 1
 
 _U = np.uint64
@@ -368,7 +370,10 @@ def repeated_contexts(docs: DataFrame, window: int, gram: int, crowd: int) -> tu
     if repeated.filter("crowd").isEmpty():
         known = info.withColumn("dense", F.lit(None).cast("array<long>"))
     else:
-        split = store(map_docs(packed.join(info.filter(F.size("crowded") > 0), ROW), _split_keys(window, gram), "doc long, sub long, key long, n long"))
+        having = info.filter(F.size("crowded") > 0).select(*ROW, "crowded", "copy")
+        if (having.agg(F.sum(F.size("crowded") + 1)).first()[0] or 0) <= BROADCAST_KEYS:
+            having = F.broadcast(having)
+        split = store(map_docs(packed.join(having, ROW), _split_keys(window, gram), "doc long, sub long, key long, n long"))
         dense = split.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > crowd * 2 * window).select("key")
         known = info.join(split.select(*ROW, "key").join(dense, "key").groupBy(*ROW).agg(F.collect_set("key").alias("dense")), ROW, "left")
     return packed, info, map_docs(packed.join(known, ROW), _text_contexts(window, gram), CONTEXTS)

@@ -117,9 +117,10 @@ def test_no_key_gathers_the_edges_of_a_common_passage(spark):
     assert got == brute(rows, window)
 
 
-@pytest.mark.parametrize("crowd", [20_000, 10])
-def test_an_id_on_a_third_of_the_rows_has_a_list_for_each_text(spark, crowd):
+@pytest.mark.parametrize("crowd,small", [(20_000, 1 << 20), (10, 1 << 20), (10, 0)])
+def test_an_id_on_a_third_of_the_rows_has_a_list_for_each_text(spark, crowd, small, monkeypatch):
     """Versions of one id, rows without an id and equal rows, with a passage that all hold and a common beginning."""
+    monkeypatch.setattr(D, "BROADCAST_KEYS", small)
     rng = random.Random(11)
     own = lambda n: random_bytes(rng, n, b"abcdefghij ").decode()
     passage, head, window, gram = own(90), own(50).upper(), 30, 8
