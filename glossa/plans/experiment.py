@@ -28,7 +28,7 @@ from glossa.operators import rollup as G
 from glossa.operators import sampling as S
 from glossa.operators import subword as W
 from glossa.session import cut_lineage
-from glossa.sources.io import save_tokenizer
+from glossa.sources.io import save_tokenizer, trainer_lines
 
 METHODS = ("bpe", "wordpiece", "unigram", "word", "char")
 # Vocabulary sizes offered (D9), the default grid and the split strategies.
@@ -189,15 +189,17 @@ def lm_records(frames: dict[str, DataFrame], p: ExperimentParams) -> dict[str, o
 
 
 def run_experiment(spark: SparkSession, paragraphs: DataFrame, p: ExperimentParams, tokenizers_dir: str | None = None,
-                   run_id: str = "run", detected: str = "lang") -> ExperimentResult:
+                   run_id: str = "run", detected: str = "lang", lines_dir: str | None = None) -> ExperimentResult:
     """``detected`` names the column with the classifier's language of each text (B12). With ``tokenizers_dir`` every
-    result row's tokenizer is saved there."""
+    result row's tokenizer is saved there; with ``lines_dir`` the train side, a fragment a line (A14)."""
     p.validate()
     split = prepare(paragraphs, p, detected)
     stats = S.split_stats(split, "label")
     n_clean = stats.select("total_texts").first()[0]
     if n_clean < p.min_texts:
         raise RuntimeError(f"not enough text fragments after cleaning: {n_clean}; minimum {p.min_texts}")
+    if lines_dir:
+        trainer_lines(split.filter(F.col("split") == "train")).write.text(lines_dir)
     types = cut_lineage(BPE.type_table(split, p.language))
     utypes = cut_lineage(W.unigram_type_table(split, p.language)) if "unigram" in p.tokenizer_methods else None
     text_stats = cut_lineage(M.text_stats(split, p.language))

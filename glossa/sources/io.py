@@ -7,7 +7,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
@@ -135,3 +135,14 @@ def save_tokenizer(vocab: DataFrame, merges: DataFrame | None, path: str, run_id
             (df.select("*", *[F.lit(v).alias(k) for k, v in keys.items()]).write.mode("overwrite")
                .option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{path}/{name}"))
     return f"{path}/vocab/run_id={run_id}/method={method}/vocab_size={vocab_size}"
+
+
+def tokenizer_path(path: str, run_id: str) -> Column:
+    """Where ``save_tokenizer`` puts the vocabulary of each row's (method, vocab_size)."""
+    return F.concat(F.lit(f"{path}/vocab/run_id={run_id}/method="), F.col("method"), F.lit("/vocab_size="), F.col("vocab_size").cast("string"))
+
+
+def write_status(spark: SparkSession, run_dir: str, run_id: str, status: str, message: str = "") -> None:
+    """A run's status for the ledger (A11), one row."""
+    row = spark.createDataFrame([(run_id, status, message)], "run_id string, status string, message string")
+    write_json(row.withColumn("updated_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")), f"{run_dir}/status.json")
