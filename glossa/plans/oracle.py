@@ -347,6 +347,16 @@ sums AS (SELECT * FROM sw UNION ALL SELECT * FROM sc)
 {result_select()}"""
 
 
+ORACLE["saved_run"] = f"""WITH {TYPES}, {text_stats_cte()},
+{lexical_sums_cte('word', R.GRID_SIZES, 'sw')},
+{lexical_sums_cte('char', R.GRID_SIZES, 'sc')},
+sums AS (SELECT * FROM sw UNION ALL SELECT * FROM sc),
+res AS ({result_select()}),
+kept AS (SELECT count(*) FILTER (WHERE split = 'train') AS n_lines FROM ss),
+raw AS (SELECT count(*) AS n_fragments, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM paras)
+SELECT 'run_de' AS run_id, res.* EXCLUDE (tokenizer_path), true AS saved, n_lines, n_fragments, n_chars FROM res, kept, raw"""
+
+
 # One merge at a time, as a recursion over the type table; a vocabulary size is reached at the first step with that many
 # distinct strings. The steps cover the largest registered size (the alphabet takes the rest), so none is missed.
 _STEPS = max(R.BPE_SIZES) - 80

@@ -725,6 +725,30 @@ def q_experiment_methods(spark, d):
     return run_experiment(spark, paragraphs(spark, d), p).results
 
 
+@register("saved_run")
+def q_saved_run(spark, d):
+    """What readers see of a folder with a run that ends and one that fails: result rows, with the saved
+    tokenizer's pieces in the range of its size, and the lines and fragments that were saved."""
+    from glossa.plans import runs as X
+    from glossa.plans.experiment import ExperimentParams
+    root = _scratch(spark, "saved")
+    texts = paragraphs(spark, d)
+    p = ExperimentParams(TARGET, ["word", "char"], GRID_SIZES, TEST_FRACTION, SEED)
+    X.run_in_folder(spark, texts, p, root, "run_de", "documents")
+    try:
+        X.run_in_folder(spark, texts, ExperimentParams(TARGET, ["word"], GRID_SIZES, TEST_FRACTION, SEED, min_texts=1 << 60), root, "run_few")
+    except RuntimeError:
+        pass  # in the ledger
+    rows = X.committed_results(spark, root)
+    keys = ["run_id", "method", "vocab_size"]
+    saved = spark.read.parquet(f"{root}/run_de/tokenizers/vocab").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pieces"))
+    one = F.lit(1).alias("_one")
+    lines = spark.read.text(f"{root}/run_de/trainer_lines").agg(F.count(F.lit(1)).alias("n_lines"))
+    frozen = spark.read.parquet(f"{root}/run_de/corpus").agg(F.count(F.lit(1)).alias("n_fragments"), F.sum(F.length("text")).alias("n_chars"))
+    out = rows.join(saved, keys, "left").withColumn("saved", F.col("n_pieces").between(1, F.col("vocab_size"))).drop("n_pieces", "tokenizer_path")
+    return rounded(out.select("*", one).join(lines.select("*", one), "_one").join(frozen.select("*", one), "_one").drop("_one"))
+
+
 @register("result_table")
 def q_result_table(spark, d):
     """G1: the batch's result rows in the fixed column order, with the LM's columns."""
