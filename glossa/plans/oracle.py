@@ -200,7 +200,7 @@ SELECT language, 'data/source_corpora' AS output_dir, 'train' AS split, 50 AS ma
        42 AS seed, 'documents' AS dataset, 'data/source_corpora/' || language || '.txt' AS output_path,
        CAST(loaded_samples AS INTEGER) AS loaded_samples,
        CASE WHEN loaded_samples > 0 THEN 'completed' ELSE 'failed' END AS status,
-       CASE WHEN loaded_samples > 0 THEN '' ELSE 'RuntimeError(''no text fragments for language ' || language || ''')' END AS error
+       CASE WHEN loaded_samples > 0 THEN '' ELSE 'RuntimeError(''no text fragments for language ' || language || ''')' END AS error, true AS timed
 FROM m"""
 
 
@@ -260,9 +260,8 @@ cnt AS (SELECT count(*) AS cleaned_texts, count(*) FILTER (WHERE split = 'train'
                count(*) FILTER (WHERE split = 'test') AS test_texts FROM rs)
 SELECT * FROM first5, raw, cnt"""
 
-ORACLE["missing_sources"] = f"""WITH {CLEAN},
-req(lang) AS (VALUES ('en'), ('de'), ('fr'), ('es'), ('ru'), ('ja'), ('zh-cn'))
-SELECT lang FROM req WHERE lang NOT IN (SELECT DISTINCT lang FROM clean)"""
+ORACLE["missing_sources"] = """WITH req(lang) AS (VALUES ('en'), ('de'), ('fr'), ('es'), ('ru'), ('ja'), ('zh-cn'))
+SELECT lang FROM req WHERE lang NOT IN (SELECT lang FROM documents WHERE lang IS NOT NULL)"""
 
 
 # ------------------------------------------------------- D/E: tokenizers, metrics

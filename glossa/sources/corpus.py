@@ -8,6 +8,7 @@ collected. ``posexplode`` is done per document, so the cost follows the text vol
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,7 +96,20 @@ def load_manifest(spark: SparkSession, loaded: DataFrame, languages: Sequence[st
                                           F.col("language"), F.lit("')"))).alias("error"))
 
 
+def load_languages(spark: SparkSession, records: DataFrame, languages: Sequence[str], max_samples: int,
+                   **config) -> tuple[DataFrame, DataFrame]:
+    """A3 and A4: (loaded fragments, manifest with ``started_at`` and ``finished_at``). All languages load in one job, so they share
+    its times (ISO seconds, UTC); ``config`` is ``load_manifest``'s."""
+    now = lambda: datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S")
+    started = now()
+    loaded = cut_lineage(quota_load(records, max_samples, languages))
+    finished = now()
+    manifest = load_manifest(spark, loaded, languages, max_samples, **config)
+    return loaded, manifest.select("*", F.lit(started).alias("started_at"), F.lit(finished).alias("finished_at"))
+
+
 def missing_sources(spark: SparkSession, available: DataFrame, required: Sequence[str]) -> DataFrame:
-    """Required languages with no source corpus (left anti join)."""
+    """Required languages with no source corpus (left anti join). ``available`` has a row a source, or many; only its
+    ``lang`` is read."""
     req = spark.createDataFrame([(l,) for l in required], "lang string")
     return req.join(available.select("lang").distinct(), "lang", "left_anti")
