@@ -29,23 +29,42 @@ def write_corpus_text(df: DataFrame, path: str, partition_by: Sequence[str] = ()
     w.text(path)
 
 
+def _corpus_lines(spark: SparkSession, path: str, sep: str | None = None, only: Column | None = None) -> DataFrame:
+    """(value, path, block, pos) of the corpus files below a path, split at ``sep`` (else at line breaks) by many tasks a file.
+    ``only`` picks files by ``path`` from the listing; the others aren't read."""
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt")
+    files = (reader.option("lineSep", sep) if sep else reader).text(path).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    return (files if only is None else files.filter(only)).select("*", F.monotonically_increasing_id().alias("pos"))
+
+
+def files_without_blank_line(spark: SparkSession, path: str) -> list[str]:
+    """The corpus files that have no two line breaks in a row: no empty line but, at most, the first. A name a file."""
+    lines = _corpus_lines(spark, path).select("path", "block", "pos", (F.octet_length("value") == 0).alias("empty"))
+    files = lines.groupBy("path").agg(F.count_if("empty").alias("n"), F.min_by("empty", F.struct("block", "pos")).alias("first"))
+    return [r["path"] for r in files.filter(F.col("n") <= F.col("first").cast("int")).select("path").collect()]
+
+
 def read_corpus_text(spark: SparkSession, path: str) -> DataFrame:
     """Read corpus files back as (path, doc_id, block, pos, text), one stripped, non-empty fragment a row.
 
-    Fragments end at blank lines; a file without one has a fragment a line (A1). The files are read as splittable
-    text, never a whole file as one row: the blank line is the record separator, and only a file that is a single
-    record with no separator behind it is cut at its line breaks. Undecodable bytes are dropped, and nothing
+    Fragments end at blank lines; a file without one has a fragment a line (A1). A first pass finds the files of the second
+    kind, then each kind is read with its own record separator, so that a file of either is split over many tasks (a file whose
+    blank lines are all written with carriage returns is one record). Undecodable bytes are dropped, and nothing
     else. ``(block, pos)`` orders the fragments of a file.
     """
-    raw = (spark.read.option("lineSep", "\n\n").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(path)
-                .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"),
-                        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos")))
-    alone = F.octet_length("value") >= F.col("size")
+    by_line = files_without_blank_line(spark, path)
     text = F.replace(F.make_valid_utf8("value"), F.lit(T.REPLACEMENT_CHAR), F.lit(""))
     text = F.regexp_replace(text, "\r\n?", "\n")
+
+    def fragments(raw: DataFrame, parts) -> DataFrame:
+        return raw.select("path", F.xxhash64("path").alias("doc_id"), "block", "pos", F.posexplode(parts).alias("part", "text"))
+
+    mine = F.col("path").isin(by_line)
     # a record holds a blank line only where it was written with carriage returns
-    parts = F.when(F.instr(text, "\n\n") > 0, F.split(text, "\n\n")).when(alone, F.split(text, T.LINE_BREAKS)).otherwise(F.array(text))
-    rows = raw.select("path", F.xxhash64("path").alias("doc_id"), "block", "pos", F.posexplode(parts).alias("part", "text"))
+    rows = fragments(_corpus_lines(spark, path, "\n\n", ~mine if by_line else None), F.split(text, "\n\n"))
+    if by_line:
+        rows = rows.unionByName(fragments(_corpus_lines(spark, path, only=mine), F.split(text, T.LINE_BREAKS)))
     return (rows.select("path", "doc_id", "block", F.struct("pos", "part").alias("pos"), T.py_strip("text").alias("text"))
                 .filter(F.length("text") > 0))
 

@@ -2,6 +2,7 @@
 
 import os
 import tempfile
+from urllib.parse import unquote
 
 from pyspark.sql import functions as F
 
@@ -36,6 +37,38 @@ def test_corpus_files_keep_every_fragment(spark, tmp_path):
     assert got == {"bad.txt": ["erste ü", "zweite x"], "lines.txt": ["a", "b", "c"], "crlf.txt": ["one\ntwo", "three"], "single.txt": ["x\ny"]}
 
 
+def test_large_files_of_either_kind_are_read_by_many_tasks(spark, tmp_path):
+    """Against the rule on the whole text: blank lines if there are any, else line breaks."""
+    kinds = {"lines": "\n".join(f"line {i} ü\x0bsecond" for i in range(20_000)), "blank": "\n\n".join(f"one {i}\ntwo" for i in range(20_000)),
+             "first [1] a%20b": "\n" + "\n".join(f"x{i}" for i in range(50)), "late": "a\nb\n" * 9000 + "\n", "old": "p\r\rq\rr", "none": "", "nl": "\n",
+             "two": "\n\nz\ny", "crlf": "u\r\nv\r\n"}
+    for name, text in kinds.items():
+        (tmp_path / f"{name}.txt").write_bytes(text.encode())
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        rows = IO.read_corpus_text(spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).orderBy("path", "block", "pos").collect()
+        by_line = IO.files_without_blank_line(spark, str(tmp_path))
+        splits = lambda only: IO._corpus_lines(spark, str(tmp_path), only=only).rdd.getNumPartitions()
+        mine = F.col("path").isin(by_line)
+        assert max(splits(mine), splits(~mine)) < splits(None)  # the files of the other kind aren't read
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert {unquote(f.rsplit("/", 1)[1])[:-4] for f in by_line} == {"crlf", "first [1] a%20b", "lines", "nl"}
+    got, tasks = {}, {}
+    for r in rows:
+        name = unquote(r.path.rsplit("/", 1)[1])[:-4]
+        got.setdefault(name, []).append(r.text)
+        tasks.setdefault(name, set()).add((r.task, r.block))
+    want = {}
+    for name in kinds:
+        text = (tmp_path / f"{name}.txt").read_text(encoding="utf-8", errors="ignore")
+        parts = text.split("\n\n") if "\n\n" in text else text.splitlines()
+        want[name] = [p.strip() for p in parts if p.strip()]
+    assert got == {k: v for k, v in want.items() if v}
+    assert len(tasks["lines"]) > 3 and len(tasks["blank"]) > 3
+
+
 def test_ledger_lists_broken_runs(spark, tmp_path):
     for name, files in {"run_1": {"status.json": '{"status": "completed", "message": "m", "updated_at": "t"}', "config.json": '{"language": "de"}'},
                         "run_2": {"status.json": "{broken"}, "run_3": {"log.txt": "x"}}.items():
