@@ -25,9 +25,10 @@ from glossa.sources import corpus as C
 
 def document_stream(spark: SparkSession, folder: str, glob: str = "documents*.parquet",
                     max_files_per_trigger: int = 1) -> DataFrame:
-    schema = spark.read.option("pathGlobFilter", glob).parquet(folder).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", glob)
-                 .option("maxFilesPerTrigger", max_files_per_trigger).parquet(folder))
+    """The tables of a folder as a stream; each is a file, or a folder of part files."""
+    at = f"{folder.rstrip('/')}/{glob}"
+    schema = spark.read.parquet(at).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(at)
 
 
 def clean_stream(docs: DataFrame, target_lang: str) -> DataFrame:
@@ -38,7 +39,8 @@ def clean_stream(docs: DataFrame, target_lang: str) -> DataFrame:
 
 
 def run_clean_stream(spark: SparkSession, folder: str, sink: str, checkpoint: str, target_lang: str) -> None:
-    q = (clean_stream(document_stream(spark, folder), target_lang)
+    docs = document_stream(spark, folder, max_files_per_trigger=max(1, spark.sparkContext.defaultParallelism))  # a file a core
+    q = (clean_stream(docs, target_lang)
          .writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()

@@ -163,3 +163,15 @@ def test_table_sinks(spark):
     v = spark.createDataFrame([(0, "<unk>"), (1, "a")], "id int, piece string")
     p = IO.save_tokenizer(v, None, f"{d}/tok", "run1", "bpe", 100)
     assert spark.read.parquet(f"{d}/tok/vocab").filter("method = 'bpe' AND vocab_size = 100").count() == 2 and p
+
+
+def test_streams_read_a_table_in_part_files(spark, tmp_path):
+    """A table may be a folder of part files, as Spark writes it; the streams found none there."""
+    docs = spark.createDataFrame([(i, "en" if i % 2 else "de", f"paragraph number {i}\n\nand another one of {i}") for i in range(40)], "doc_id long, lang string, text string")
+    docs.repartition(4).write.parquet(f"{tmp_path}/in/documents.parquet")
+    SI.run_clean_stream(spark, f"{tmp_path}/in", f"{tmp_path}/sink", f"{tmp_path}/state", "de")
+    got = spark.read.parquet(f"{tmp_path}/sink").select("doc_id", "pos", "label", "text")
+    want = R.labelled(spark, f"{tmp_path}/in").select("doc_id", "pos", "label", "text")
+    assert got.count() == 80 and got.exceptAll(want).count() == 0
+    SI.run_quota_stream(spark, f"{tmp_path}/in", f"{tmp_path}/sink2", f"{tmp_path}/state2", 3, ["en", "de"])
+    assert {r["lang"]: r["count"] for r in spark.read.parquet(f"{tmp_path}/sink2").groupBy("lang").count().collect()} == {"en": 3, "de": 3}
