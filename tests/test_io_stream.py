@@ -175,3 +175,16 @@ def test_streams_read_a_table_in_part_files(spark, tmp_path):
     assert got.count() == 80 and got.exceptAll(want).count() == 0
     SI.run_quota_stream(spark, f"{tmp_path}/in", f"{tmp_path}/sink2", f"{tmp_path}/state2", 3, ["en", "de"])
     assert {r["lang"]: r["count"] for r in spark.read.parquet(f"{tmp_path}/sink2").groupBy("lang").count().collect()} == {"en": 3, "de": 3}
+
+
+def test_langid_counts_every_gram(spark):
+    """Against plain slicing; a character beyond U+FFFF is one character (it gave grams of half a character), a null lang its own group."""
+    from collections import Counter
+    rows = [("de", " Straße  und\tWeg "), ("de", "a😀b"), ("en", ""), (None, "xy"), ("ja", "".join(chr(0x4E00 + i) for i in range(300))), ("en", None)]
+    got = {(r.lang, r.gram): r["count"] for r in LID.gram_counts(spark.createDataFrame(rows, "lang string, text string")).collect()}
+    want = Counter()
+    for lang, text in rows:
+        t = f" {' '.join(text.lower().split())} " if text is not None else ""
+        want.update((lang, t[i:i + n]) for n in (1, 2, 3) for i in range(len(t) - n + 1))
+    assert got == want
+    assert all(len(r.gram) <= 3 for r in LID.train(spark.createDataFrame(rows[:2], "lang string, text string")).collect())
