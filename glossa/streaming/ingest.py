@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions import text as T
 from glossa.operators.sampling import first_k_by_id
-from glossa.session import path_exists
+from glossa.session import cut_lineage, path_exists
 from glossa.sources import corpus as C
 
 
@@ -65,6 +65,7 @@ def quota_writer(sink: str, max_samples: int, languages: Sequence[str] | None =
         spark = batch.sparkSession
         if full is not None and full.is_set():
             return
+        batch = cut_lineage(batch)  # read several times below
         done = _accepted(spark, sink).filter(F.col("batch_id") != batch_id).groupBy("lang").agg(F.sum("done").alias("done"))
         quota = (batch.select("lang").distinct().join(done, "lang", "left")
                       .select("lang", F.greatest(F.lit(max_samples) - F.coalesce("done", F.lit(0)), F.lit(0)).alias("k")))
