@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from glossa.operators import bpe as B
 from glossa.operators import encoders as E
+from glossa.operators import forecast as FC
 from glossa.operators import lattice as LT
 from glossa.operators import subword as W
 
@@ -226,3 +227,75 @@ def test_unigram_normalises_and_prunes_by_loss(spark):
     import pytest
     with pytest.raises(ValueError, match="too small"):
         W.train_unigram(t, 10)
+
+
+def plain_changes(words, guess, wanted):
+    """What ``count_changes`` finds, of all words: by step, changes of the pairs that ``wanted`` keeps."""
+    total, steps = [Counter() for _ in guess], FC.step_of(guess)
+    for s, f in words:
+        FC.apply_in_order(s, steps, guess, total, f)
+    return {k: [(p, d) for p, d in c.items() if d and wanted(p)] for k, c in enumerate(total)}
+
+
+def plain_counts(words):
+    pairs = Counter()
+    for s, f in words:
+        for p in zip(s, s[1:]):
+            pairs[p] += f
+    return pairs
+
+
+def test_merges_are_taken_past_others_of_the_guess():
+    words = [(list("ab"), 5), (list("cd"), 8), (list("abcd"), 1), (list("cdab"), 1)]
+    guess = [("a", "b", "ab"), ("c", "d", "cd"), ("x", "y", "xy")]  # the second comes first, also next to an "a b"
+    counts = FC.Counts(dict(plain_counts(words)), None)
+    assert FC.accepted(counts, guess, plain_changes(words, guess, lambda p: True), 1)[:2] == [(guess[1], 10), (guess[0], 7)]
+    assert counts.count == {("ab", "cd"): 1, ("cd", "ab"): 1}
+    guess = [("a", "b", "ab"), ("b", "c", "bc"), ("x", "y", "xy")]
+    words = [(list("abc"), 5), (list("bc"), 1)]  # these meet: the second can't be taken past the first
+    assert not FC.accepted(FC.Counts(dict(plain_counts(words)), None), guess, plain_changes(words, guess, lambda p: True), 1)
+
+
+def test_merges_from_wrong_guesses_are_greedy_ones():
+    rnd = random.Random(8)
+    passed = 0
+    for case in range(150):
+        letters = "abcdefgh"[:rnd.randint(2, 8)]
+        words = [(list(w), rnd.randint(1, 30)) for w in random_words(rnd, 60, letters, 8) if w]
+        top_n = rnd.choice([6, 20, 1000])
+        plain, want = list(words), []
+        for _ in range(25):
+            pairs = plain_counts(plain)
+            best = min(pairs, key=lambda p: (-pairs[p], p), default=None)
+            if best is None or pairs[best] < 2:
+                break
+            want.append((best, pairs[best]))
+            plain = [(FC.merge_once(s, *best, "".join(best)), f) for s, f in plain]
+        vocab, got, counts = set(letters), [], None
+        sample = FC.Forecast([w for w in words if rnd.random() < 0.5])
+        for _ in range(200):
+            if counts is None or counts.best() is None:
+                listed = sorted((-c, *p) for p, c in plain_counts(words).items())
+                counts = FC.Counts({(l, r): -c for c, l, r in listed[:top_n]}, listed[top_n] if len(listed) > top_n else None)
+            if counts.best()[0] < 2 or len(got) >= 25:
+                break
+            guess = sample.guess(counts, rnd.choice([3, 10]), 100, vocab, 2, str.__add__)
+            made = {m for _, _, m in guess}
+            listed = set(counts.count)
+            taken = FC.accepted(counts, guess, plain_changes(words, guess, lambda p: p in listed or not made.isdisjoint(p)), 2)
+            merges = [m for m, _ in taken]
+            assert merges, "the first merge of a guess is the best pair"
+            passed += merges != guess[:len(merges)]
+            got += [(m[:2], c) for m, c in taken]
+            sample.apply(merges)
+            words = [(FC.apply_in_order(s, FC.step_of(merges), merges), f) for s, f in words]
+            exact = plain_counts(words)
+            assert all(exact[p] == c for p, c in counts.count.items())
+            if any(m in vocab for _, _, m in merges) or len({m for _, _, m in merges}) < len(merges):
+                counts = None
+            vocab |= {m for _, _, m in merges}
+        assert got[:25] == want[:len(got[:25])] and len(got) >= len(want)
+        assert all(FC.apply_in_order(s, {}, []) == s for s, _ in sample.words)
+        now = {("".join(s)): s for s, _ in words}
+        assert all(s == now["".join(s)] for s, _ in sample.words)
+    assert passed > 20
