@@ -98,3 +98,13 @@ def test_outlier_ids_and_tied_prefixes_are_cut_again(spark, monkeypatch):
     grouped = spark.createDataFrame([(g, p, c) for g in "uv" for p, c in pieces], "g string, piece string, count long")
     out = S.top_k(grouped, ["g"], "count", "piece", 120).collect()
     assert {(r.g, r.piece) for r in out} == {(g, r.piece) for g in "uv" for r in top} and len(out) == 240
+
+
+def test_stratified_split_counts_rows_once(spark, monkeypatch):
+    quotas, flag = [], S.flag_first_k
+    monkeypatch.setattr(S, "flag_first_k", lambda df, strata, order, bucket, quota, *a, **k: quotas.append(quota) or flag(df, strata, order, bucket, quota, *a, **k))
+    df = spark.createDataFrame([(i, "en" if i % 3 else None) for i in range(30)], "doc_id int, label string")
+    got = S.stratified_split(df, ["doc_id"], "label", 0.1, 1).filter("label = 'en'").groupBy("split").count()
+    assert {r[0]: r[1] for r in got.collect()} == {"test": 2, "train": 18}
+    counted = S.cut_lineage(df.groupBy("label").count().withColumnRenamed("count", "_n"))
+    assert {r["label"]: r["k"] for r in quotas[0](counted).collect()} == {"en": 2, None: 1}  # from the counts of buckets, not from the rows
