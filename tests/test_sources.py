@@ -20,3 +20,16 @@ def test_the_source_check_reads_no_text(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<lang:string>" in plan and "text" not in plan
     assert {r.lang for r in df.collect()} == {"ru", "ja", "zh-cn"}
+
+
+def test_threads_ship_the_package_once():
+    import time
+    from concurrent.futures import ThreadPoolExecutor
+    from types import SimpleNamespace
+
+    from glossa.session import ship_package
+    shipped = []
+    context = SimpleNamespace(_jsc=object(), addPyFile=lambda path: (time.sleep(0.2), shipped.append(path)))
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(ship_package, [SimpleNamespace(sparkContext=context)] * 4))
+    assert len(shipped) == 1
