@@ -58,6 +58,22 @@ def test_a_failing_cell_stops_no_other(spark, monkeypatch):
     assert "no LM today" in errors["char/vocab_20"] and "too small" in errors["unigram/vocab_20"] and res.status == "partially_completed"
 
 
+def test_cells_of_a_run_read_its_texts_together(spark):
+    """One scan for all cells on pre-tokens, one for those on marked words."""
+    from glossa.operators import encoders as E
+    from glossa.plans import experiment as X
+    split = spark.createDataFrame([("train", "en", "a b a b"), ("test", "de", "b a c")], "split string, label string, text string")
+    cells = {f"{m}/{v}": X.CellTexts(split, m, E.Lexical(m, frozenset("ab"[:v]))) for m in ("word", "char") for v in (1, 2)}
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    grams = X.cell_grams(cells, ExperimentParams("de", lm_order=2))
+    assert plan(grams).count("MapInArrow") == 1
+    unk = "<unk>"
+    assert {(r["split"], r["first"], r["w"], r["c1"]): r["n"] for r in grams.filter("cell = 'word/1'").collect()} == {
+        ("train", True, unk, "a"): 1, ("train", False, "a", unk): 1, ("train", False, unk, "a"): 1, ("test", True, "a", unk): 1, ("test", False, unk, "a"): 1}
+    cells["unigram/3"] = X.CellTexts(split, "unigram", E.Unigram([("\u2581", -1.0), ("a", -2.0), ("b", -2.0)]))
+    assert plan(X.cell_grams(cells, ExperimentParams("de"))).count("MapInArrow") == 2
+
+
 def test_lm_needs_both_sides(spark):
     import pytest
 

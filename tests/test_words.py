@@ -59,6 +59,37 @@ def test_grams_are_counted_by_portion():
         assert got == want, order
 
 
+def test_texts_are_looked_at_once_for_all_cells(monkeypatch):
+    """Grams of each encoder's tokens as ``blocks`` and ``ngrams`` give them, also where portions end early and words are numbered anew."""
+    import pyarrow as pa
+
+    from glossa.operators import encoders as E
+    rng = random.Random(4)
+    texts = [None if rng.random() < .1 else " ".join("".join(rng.choice("abcde") for _ in range(rng.randint(1, 3))) for _ in range(rng.choice([0, 1, 2, 7, 40])))
+             for _ in range(90)]
+    sides = [(rng.choice(["train", "test"]), rng.choice(["en", "de", None])) for _ in texts]
+    cells = {"word": E.Lexical("word", frozenset(["a", "ab", "c", "dd"])), "char": E.Lexical("char", frozenset("abc")), "raw": None}
+    schema = pa.schema([(c, pa.bool_() if c == "first" else pa.int64() if c == "n" else pa.string()) for c in ["cell", "split", "label", "first", "w", "c1", "c2", "n"]])
+    batches = [pa.RecordBatch.from_arrays([pa.array([s[0] for s in sides[at:at + 9]]), pa.array([s[1] for s in sides[at:at + 9]], pa.string()),
+                                           pa.array(texts[at:at + 9], pa.string())], names=["split", "label", "text"]) for at in range(0, 90, 9)]
+    want = Counter()
+    for side, text in zip(sides, texts):
+        for cell, encoder in cells.items():
+            found = words.pretokens(text or "")
+            row = found if encoder is None else [t for part in encoder(found) for t in part]
+            for s in range(0, len(row) - 1, 8):
+                blk = row[s:s + 8]
+                want.update((cell, *side, i == 1, blk[i], *[blk[i - k] if i >= k else None for k in (1, 2)]) for i in range(1, len(blk)))
+    for tokens, kinds in ((1 << 20, 1 << 20), (100, 1 << 20), (1 << 20, 30), (50, 20)):
+        monkeypatch.setattr(LM, "TOKENS_AT_ONCE", tokens)
+        monkeypatch.setattr(LM, "WORDS_AT_ONCE", kinds)
+        looked, got = [], Counter()
+        for b in LM.counted_batches(iter(batches), schema, 2, 8, 3, lambda t: looked.append(t) or words.pretokens(t), cells, True):
+            for *key, n in zip(*(c.to_pylist() for c in b.columns)):
+                got[tuple(key)] += n
+        assert got == want and len(looked) == sum(t is not None for t in texts), (tokens, kinds)
+
+
 def test_gates_of_the_repair_and_of_scripts_miss_no_character(spark):
     codes = [c for c in [*range(0x0, 0xD800), *range(0xE000, 0x10000), 0x10400, 0x20000]]
     df = spark.createDataFrame([(c, f"x{chr(c)}y") for c in codes], "c int, t string").repartition(8)
