@@ -90,6 +90,40 @@ def test_texts_are_looked_at_once_for_all_cells(monkeypatch):
         assert got == want and len(looked) == sum(t is not None for t in texts), (tokens, kinds)
 
 
+def test_a_task_gives_a_gram_once_and_small_vocabularies_follow_from_large_ones(monkeypatch):
+    """Portions of a task are summed before they go on; a lexical cell whose units a larger one has is not counted from texts again."""
+    import pyarrow as pa
+
+    from glossa.operators import encoders as E
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("abcdé😀") for _ in range(rng.randint(1, 2))) for _ in range(rng.choice([0, 1, 2, 9, 40]))) for _ in range(80)]
+    sides = [(rng.choice(["train", "test"]), rng.choice(["en", None])) for _ in texts]
+    cells = {"word/2": E.Lexical("word", frozenset(["a", "bé"])), "word/3": E.Lexical("word", frozenset(["a", "bé", "<unk>"])), "word/0": E.Lexical("word", frozenset()),
+             "word/x": E.Lexical("word", frozenset(["c"])), "char/3": E.Lexical("char", frozenset("a😀b")), "char/1": E.Lexical("char", frozenset("b")),
+             "char/same": E.Lexical("char", frozenset("a😀b"))}
+    schema = pa.schema([(c, pa.bool_() if c == "first" else pa.int64() if c == "n" else pa.string()) for c in ["cell", "split", "label", "first", "w", "c1", "c2", "n"]])
+    batches = [pa.RecordBatch.from_arrays([pa.array([s[0] for s in sides[at:at + 8]]), pa.array([s[1] for s in sides[at:at + 8]], pa.string()),
+                                           pa.array(texts[at:at + 8], pa.string())], names=["split", "label", "text"]) for at in range(0, 80, 8)]
+    want = Counter()
+    for side, text in zip(sides, texts):
+        for cell, encoder in cells.items():
+            row = [t for part in encoder(words.pretokens(text)) for t in part]
+            for s in range(0, len(row) - 1, 8):
+                blk = row[s:s + 8]
+                want.update((cell, *side, i == 1, blk[i], *[blk[i - k] if i >= k else None for k in (1, 2)]) for i in range(1, len(blk)))
+    assert set(LM._followers(cells, 3)) == {"word/3", "word/x", "char/3"}
+    monkeypatch.setattr(LM, "TOKENS_AT_ONCE", 60)
+    monkeypatch.setattr(LM, "WORDS_AT_ONCE", 9)
+    for held in (1 << 20, 40):
+        monkeypatch.setattr(LM, "GRAMS_HELD", held)
+        got, rows = Counter(), 0
+        for b in LM.counted_batches(iter(batches), schema, 2, 8, 3, words.pretokens, cells, True):
+            rows += b.num_rows
+            for *key, n in zip(*(c.to_pylist() for c in b.columns)):
+                got[tuple(key)] += n
+        assert got == want and (rows == len(want)) == (held > 40)
+
+
 def test_gates_of_the_repair_and_of_scripts_miss_no_character(spark):
     codes = [c for c in [*range(0x0, 0xD800), *range(0xE000, 0x10000), 0x10400, 0x20000]]
     df = spark.createDataFrame([(c, f"x{chr(c)}y") for c in codes], "c int, t string").repartition(8)
