@@ -74,6 +74,40 @@ def test_cells_of_a_run_read_its_texts_together(spark):
     assert plan(X.cell_grams(cells, ExperimentParams("de"))).count("MapInArrow") == 2
 
 
+def test_numbers_of_tokens_give_the_records_of_tokens(spark):
+    """Lexical cells shuffle numbers; a cell whose encoder lists no tokens keeps them all as strings, and null stays no token."""
+    import random
+
+    from glossa.operators import encoders as E
+    from glossa.operators import ngram_lm as LM
+    from glossa.plans import experiment as X
+    rng = random.Random(6)
+    rows = [(rng.choice(["train", "train", "test"]), rng.choice(["en", "de"]), " ".join(rng.choice(["a", "bb", "cab", "<unk>", "é"]) for _ in range(rng.randint(0, 30))))
+            for _ in range(60)]
+    split = spark.createDataFrame(rows, "split string, label string, text string").repartition(4)
+    p = ExperimentParams("de", lm_order=3, block_size=8)
+    cells = {f"{m}/{len(v)}": X.CellTexts(split, m, E.Lexical(m, frozenset(v))) for m, v in (("word", ["a", "bb"]), ("word", ["a"]), ("char", list("ab")), ("char", list("abcé")))}
+    numbers = X.cell_grams(cells, p, numbered=True)
+    assert dict(numbers.dtypes)["w"] == dict(numbers.dtypes)["c2"] == "int"
+    mixed = {**cells, "bpe/1": X.CellTexts(split, "bpe", E.Merges([("a", "b", "ab")], frozenset("abc")))}
+    assert dict(X.cell_grams(mixed, p, numbered=True).dtypes)["w"] == "string"
+    got = X.lm_records(cells, p)
+    want = {r["cell"]: r for r in LM.lm_for_grams(X.cell_grams(cells, p), 3, "de", ["cell"])[0].collect()}
+    assert got.keys() == want.keys() == cells.keys()
+    for cell, r in want.items():
+        assert all(abs(got[cell][f] - r[f]) < 1e-9 for f in X.LM_FIELDS), cell
+
+
+def test_small_tables_of_the_driver_start_no_python(spark):
+    from glossa.session import local_frame
+    rows = [("a", 1, None), (None, 2, 0.5)]
+    df = local_frame(spark, rows, "s string, n int, x double")
+    assert [tuple(r) for r in df.collect()] == rows and df.dtypes == [("s", "string"), ("n", "int"), ("x", "double")]
+    assert "LocalTableScan" in df._jdf.queryExecution().executedPlan().toString()
+    none = local_frame(spark, [], "s string, n int")
+    assert none.collect() == [] and none.columns == ["s", "n"]
+
+
 def test_lm_needs_both_sides(spark):
     import pytest
 
