@@ -146,7 +146,7 @@ def _score_rows(shared, n_keys: int, names: list[str]):
 
 def predict(model: DataFrame, texts: DataFrame, key_cols: list[str], text_col: str = "text",
             max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """(key..., predicted)."""
+    """(key..., predicted), a row for each text; keys are any columns to be kept."""
     spark = texts.sparkSession
     model = cut_lineage(model)
     langs = sorted((r["lang"], float(r["unseen"]), float(r["prior"])) for r in model.select("lang", "unseen", "prior").distinct().collect())
@@ -164,10 +164,12 @@ def predict(model: DataFrame, texts: DataFrame, key_cols: list[str], text_col: s
         types = {f.name: f.dataType.simpleString() for f in texts.schema.fields}
         return texts.select(*key_cols, F.lower(text_col).alias("_t")).mapInArrow(
             _score_rows(shared, len(key_cols), [*key_cols, "predicted"]), ", ".join(f"{k} {types[k]}" for k in key_cols) + ", predicted string")
-    g = texts.select(*key_cols, F.explode(grams(F.col(text_col))).alias("gram")).groupBy(*key_cols, "gram").agg(F.count(F.lit(1)).alias("k"))
-    matched = g.join(gain, "gram").groupBy(*key_cols).agg(*[F.coalesce(F.sum(F.when(F.col("lang") == l, F.col("k") * F.col("gain"))), F.lit(0.0))
-                                                            .alias(f"_g{i}") for i, (l, _, _) in enumerate(langs)])
-    n = texts.select(*key_cols, F.size(grams(F.col(text_col))).alias("_n")).join(matched, key_cols, "left")
+    # keys may repeat: rows are told apart by a number that is written with them
+    rows = cut_lineage(texts.select(*key_cols, F.col(text_col).alias("_t"), F.monotonically_increasing_id().alias("_row")))
+    g = rows.select("_row", F.explode(grams(F.col("_t"))).alias("gram")).groupBy("_row", "gram").agg(F.count(F.lit(1)).alias("k"))
+    matched = g.join(gain, "gram").groupBy("_row").agg(*[F.coalesce(F.sum(F.when(F.col("lang") == l, F.col("k") * F.col("gain"))), F.lit(0.0))
+                                                         .alias(f"_g{i}") for i, (l, _, _) in enumerate(langs)])
+    n = rows.select(*key_cols, "_row", F.size(grams(F.col("_t"))).alias("_n")).join(matched, "_row", "left")
     best = None
     for i, (l, u, p) in enumerate(langs):
         cand = F.struct((F.coalesce(f"_g{i}", F.lit(0.0)) + F.col("_n") * F.lit(u) + F.lit(p)).alias("score"), F.lit(l).alias("lang"))

@@ -188,3 +188,22 @@ def test_langid_counts_every_gram(spark):
         want.update((lang, t[i:i + n]) for n in (1, 2, 3) for i in range(len(t) - n + 1))
     assert got == want
     assert all(len(r.gram) <= 3 for r in LID.train(spark.createDataFrame(rows[:2], "lang string, text string")).collect())
+
+
+def test_repeated_documents_are_labelled_once_each(spark, tmp_path):
+    """A prediction is a row for each text, whatever its keys; the queries joined them by (doc_id, pos), which squared repeated rows."""
+    from glossa.operators import langid as LID
+    from glossa.plans import registered as R
+    said = {"en": "the house and the garden of the king number", "de": "das Haus und der Garten und die Tiere Nummer"}
+    rows = [(i, lang, f"{said[lang]} {i}") for i in range(60) for lang in [("en", "de")[i % 2]] for _ in range(1 + i % 3)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    _, held = R._langid_sides(spark, str(tmp_path))
+    want = {r.lang: r["count"] for r in held.groupBy("lang").count().collect()}
+    assert sum(want.values()) > held.select("doc_id").distinct().count()
+    assert {(r.lang, r.label): r.n_texts for r in R.q_label_by_classifier(spark, str(tmp_path)).collect()} == {(k, k): n for k, n in want.items()}
+    assert {(r.lang, r.predicted): r.n_texts for r in R.q_langid_accuracy(spark, str(tmp_path)).collect()} == {(k, k): n for k, n in want.items()}
+    train, held = R._langid_sides(spark, str(tmp_path))
+    model = LID.train(train)
+    for max_rows in (10, 1 << 20):  # joined, broadcast
+        assert {(r.lang, r.predicted): r["count"] for r in LID.predict(model, held, ["lang"], max_rows=max_rows).groupBy("lang", "predicted").count().collect()} == {
+            (k, k): n for k, n in want.items()}

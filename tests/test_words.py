@@ -100,7 +100,7 @@ def test_a_task_gives_a_gram_once_and_small_vocabularies_follow_from_large_ones(
     sides = [(rng.choice(["train", "test"]), rng.choice(["en", None])) for _ in texts]
     cells = {"word/2": E.Lexical("word", frozenset(["a", "bé"])), "word/3": E.Lexical("word", frozenset(["a", "bé", "<unk>"])), "word/0": E.Lexical("word", frozenset()),
              "word/x": E.Lexical("word", frozenset(["c"])), "char/3": E.Lexical("char", frozenset("a😀b")), "char/1": E.Lexical("char", frozenset("b")),
-             "char/same": E.Lexical("char", frozenset("a😀b"))}
+             "char/same": E.Lexical("char", frozenset("a😀b")), "bpe": E.Merges([("a", "b", "ab")], frozenset("abc"))}
     schema = pa.schema([(c, pa.bool_() if c == "first" else pa.int64() if c == "n" else pa.string()) for c in ["cell", "split", "label", "first", "w", "c1", "c2", "n"]])
     batches = [pa.RecordBatch.from_arrays([pa.array([s[0] for s in sides[at:at + 8]]), pa.array([s[1] for s in sides[at:at + 8]], pa.string()),
                                            pa.array(texts[at:at + 8], pa.string())], names=["split", "label", "text"]) for at in range(0, 80, 8)]
@@ -111,7 +111,7 @@ def test_a_task_gives_a_gram_once_and_small_vocabularies_follow_from_large_ones(
             for s in range(0, len(row) - 1, 8):
                 blk = row[s:s + 8]
                 want.update((cell, *side, i == 1, blk[i], *[blk[i - k] if i >= k else None for k in (1, 2)]) for i in range(1, len(blk)))
-    assert set(LM._followers(cells, 3)) == {"word/3", "word/x", "char/3"}
+    assert set(LM._followers(cells, 3)) == {"word/3", "word/x", "char/3", "bpe"}
     monkeypatch.setattr(LM, "TOKENS_AT_ONCE", 60)
     monkeypatch.setattr(LM, "WORDS_AT_ONCE", 9)
     for held in (1 << 20, 40):
