@@ -299,3 +299,42 @@ def test_merges_from_wrong_guesses_are_greedy_ones():
         now = {("".join(s)): s for s, _ in words}
         assert all(s == now["".join(s)] for s, _ in sample.words)
     assert passed > 20
+
+
+def test_plain_products_equal_sums_of_logarithms(monkeypatch):
+    """Expected uses in one sweep without a lattice: also of words too long or too rare for plain numbers, of words that no pieces cover,
+    and where the trie has no table."""
+    rng = random.Random(11)
+    words = ["", "a", "zz", "abz", *("".join(rng.choice("abcdé😀") for _ in range(rng.choice([1, 3, 8, 20]))) for _ in range(120)), "ab" * 400]
+    pieces = sorted({*"abcdé😀", *("".join(rng.choice("abcdé😀") for _ in range(rng.randint(2, 5))) for _ in range(60))})
+    for low in (-3.0, -60.0, -800.0):
+        scores, weights = np.array([rng.uniform(low, -0.5) for _ in pieces]), np.array([float(rng.randint(1, 9)) for _ in words])
+        for cells, chars in ((1 << 23, 200_000), (0, 40)):
+            monkeypatch.setattr(LT, "TABLE_CELLS", cells)
+            monkeypatch.setattr(LT, "CHARS_AT_ONCE", chars)
+            trie = LT.Trie(pieces)
+            want, got = LT.expected(LT.lattice(trie, words), scores, weights), LT.expected_uses(trie, words, scores, weights)
+            assert np.allclose(got, want, rtol=1e-9, atol=0), (low, cells)
+    assert not LT.expected_uses(trie, ["", "zz"], scores, np.ones(2)).any() and not LT.expected_uses(trie, [], scores, np.empty(0)).any()
+
+
+def test_seeds_count_substrings_once_and_keep_ties_by_piece(spark):
+    rng = random.Random(12)
+    words = {"▁" + "".join(rng.choice("abcdé") for _ in range(rng.randint(1, 7))): rng.randint(0, 4) for _ in range(300)}
+    types = spark.createDataFrame(list(words.items()), "word string, train_freq long").repartition(5)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    want = Counter()
+    for w, n in words.items():
+        want.update({p: n * c for p, c in Counter(w[s:e] for s in range(len(w)) for e in range(s + 1, len(w) + 1)).items()})
+    want = {p: n for p, n in want.items() if n}
+    for k in (7, 60, 10 ** 6):
+        several = sorted((p for p in want if len(p) > 1), key=lambda p: (-want[p] * len(p), p))[:k]
+        got = {r["piece"]: (r["count"], r["len"]) for r in W.seed_pieces(types.mapInArrow(count, types.schema), k).collect()}
+        assert got == {p: (want[p], len(p)) for p in [*several, *(p for p in want if len(p) == 1)]}
+    assert seen.value == 3 * len(words)
