@@ -122,3 +122,16 @@ def test_means_of_large_values(spark):
     from glossa.operators import rollup as G
     df = spark.createDataFrame([("bpe", 1e14), ("bpe", 3e14), ("bpe", None)], "method string, ppl_target double")
     assert [(r.mean, r.n) for r in G.mean_by(df, ["method"]).collect()] == [(2e14, 2)]
+
+
+def test_the_lm_of_cells_shuffles_blocks(spark):
+    """One row holds many grams of a cell, so that ten cells on one corpus don't shuffle ten tables of strings."""
+    from glossa.operators import encoders as E
+    from glossa.plans import experiment as X
+    texts = [("train" if i % 4 else "test", ["en", "de"][i % 2], " ".join(f"w{i * j % 97}" for j in range(60))) for i in range(200)]
+    split = spark.createDataFrame(texts, "split string, label string, text string").coalesce(1)
+    cells = {f"{m}/{v}": X.CellTexts(split, m, E.Lexical(m, frozenset([f"w{i}" for i in range(v)] if m == "word" else "w0123456789"[:v]))) for m in ("word", "char") for v in (5, 11)}
+    p = ExperimentParams("de", block_size=16)
+    rows = X.cell_blocks(cells, p, 2)
+    assert 10 * rows.count() < X.cell_grams(cells, p).count() and {r["cell"] for r in rows.select("cell").distinct().collect()} == set(cells)
+    assert X.lm_records(cells, p).keys() == cells.keys()
